@@ -60,13 +60,7 @@ def header_key_array(c, sep: str) -> Column:
 def drop_suffix(c, suffix: str) -> Column:
     """Remove a trailing ``suffix`` unless nothing would be left."""
     c = _col(c)
-    if not suffix:
-        return c
-    n = len(suffix)
-    return F.when(
-        F.endswith(c, F.lit(suffix)) & (F.length(c) > n),
-        F.substr(c, F.lit(1), F.length(c) - n),
-    ).otherwise(c)
+    return F.regexp_replace(c, f"(?s)(?<=.){quote(suffix)}\\z", "") if suffix else c
 
 
 def first_token(c) -> Column:
@@ -90,7 +84,7 @@ def _name_part(c) -> Column:
 def sample_id(c, suffix: str = "") -> Column:
     """Sample of a query name: before ``;``, without ``_var<i>`` and the suffix."""
     sid = F.regexp_replace(_name_part(c), r"_var\d+$", "")
-    return F.when(F.endswith(sid, F.lit(suffix)), F.substr(sid, F.lit(1), F.length(sid) - len(suffix))).otherwise(sid) if suffix else sid
+    return F.regexp_replace(sid, quote(suffix) + "\\z", "") if suffix else sid
 
 
 def sample_of_header(c, suffix: str = "") -> Column:
