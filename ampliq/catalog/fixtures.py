@@ -113,6 +113,31 @@ VIEWS = {
           max(concat(replace(p.p_brand,'#',''),'_',lower(p.p_type))) AS s_organism
         FROM @lineitem l JOIN @part p ON l.l_partkey=p.p_partkey JOIN @supplier s ON l.l_suppkey=s.s_suppkey
         JOIN @nation n ON s.s_nationkey=n.n_nationkey JOIN @region r ON n.n_regionkey=r.r_regionkey GROUP BY 1,2""",
+    # Candidate records: the orders of a customer are the candidates of one sample, one file per priority.
+    "fx_cands": """
+        SELECT file, sample, orderkey, seq, CASE WHEN status='P'
+            THEN concat(sample,'_var',cast(orderkey%9+1 AS $S),';type=raw;len=',cast(length(seq) AS $S),';coverage=',cast(orderkey AS $S),';fixed_indels=',cast(orderkey%2 AS $S),';Ns=',cast(n_amb AS $S))
+            ELSE concat(sample,'_all.fa;',cast(length(seq) AS $S),';',cast(orderkey AS $S),';ambs=',cast(n_amb AS $S),';estgaps=',cast(orderkey%3 AS $S)) END AS header
+        FROM (SELECT file, sample, orderkey, status, seq, length(seq)-length(replace(replace(seq,'N',''),'R','')) AS n_amb
+          FROM (SELECT concat('run',substr(o_orderpriority,1,1)) AS file, concat('C',lpad(cast(o_custkey AS $S),9,'0')) AS sample,
+              o_orderkey AS orderkey, o_orderstatus AS status,
+              translate(cast(o_custkey*7919+o_orderkey%2 AS $S),'0123456789','ACGTACGTRN') AS seq FROM @orders) a) b""",
+    # Expected taxonomy per customer; one market segment has none.
+    "fx_ctax": """
+        SELECT concat(CASE WHEN c_mktsegment='HOUSEHOLD' THEN 'c' ELSE 'C' END,lpad(cast(c_custkey AS $S),9,'0')) AS sample,
+          CASE WHEN c_mktsegment='MACHINERY' THEN '' ELSE r.r_name END AS q_order,
+          CASE WHEN c_mktsegment='MACHINERY' THEN '-' ELSE n.n_name END AS q_family,
+          CASE WHEN c_mktsegment='MACHINERY' THEN '' ELSE replace(p.p_brand,'#','') END AS q_genus,
+          CASE WHEN c_mktsegment='MACHINERY' THEN 'NA' ELSE concat(replace(p.p_brand,'#',''),' ',lower(p.p_type)) END AS q_organism
+        FROM @customer c JOIN @nation n ON c.c_nationkey=n.n_nationkey JOIN @region r ON n.n_regionkey=r.r_regionkey
+        JOIN @part p ON p.p_partkey=c.c_custkey""",
+    # The hits of each candidate.
+    "fx_chits": """
+        SELECT c.file, c.header AS query_name, h.hit_rank, h.acc, h.p_identity, h.alignment_length, h.gap_opens, h.num_mismatches,
+          h.bit_score, h.s_order, h.s_family, h.s_genus, h.s_organism
+        FROM @fx_cands c JOIN (SELECT *, cast(substr(query_name,2,9) AS bigint) AS orderkey,
+            row_number() OVER (PARTITION BY query_name ORDER BY bit_score DESC, p_identity DESC, acc) AS hit_rank FROM @fx_hits) h
+          ON h.orderkey=c.orderkey""",
 }
 
 _REF = re.compile(r"@(\w+)")
