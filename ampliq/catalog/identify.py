@@ -161,7 +161,7 @@ def _dims(fx):
 @query(
     "j15_enrich_hits",
     """WITH l AS (SELECT DISTINCT p_name AS organism FROM part WHERE p_size>10)
-    SELECT query_name, partkey, suppkey, h.acc, coalesce(p.p_name,'-') AS organism, CASE WHEN l.organism IS NULL THEN 'unresolved' ELSE 'Viridiplantae' END AS kingdom,
+    SELECT query_name, partkey, suppkey, h.acc, coalesce(p.p_name,'-') AS organism, CASE WHEN l.organism IS NULL THEN 'Not_found_in_Taxonomy' ELSE 'Viridiplantae' END AS kingdom,
       CASE WHEN l.organism IS NULL THEN '-' ELSE split_part(p_name,' ',1) END AS "order", CASE WHEN l.organism IS NULL THEN '-' ELSE split_part(p_name,' ',-1) END AS genus,
       l.organism IS NOT NULL AS resolved
     FROM (SELECT query_name, partkey, suppkey, concat('AC',partkey) AS acc FROM fx_hits) h LEFT JOIN part p ON p.p_partkey=h.partkey LEFT JOIN l ON l.organism=p.p_name""",

@@ -90,7 +90,7 @@ def level_depth(c) -> Column:
     return out.otherwise(0)
 
 
-def lineage_fields(lineage: Column, marker: str = "unresolved") -> dict[str, Column]:
+def lineage_fields(lineage: Column, marker: str = "Not_found_in_Taxonomy") -> dict[str, Column]:
     """The five ranks of a lineage struct, with defaults when it is unknown."""
     ranks = ["kingdom", "class", "order", "family", "genus"]
     return {

@@ -128,7 +128,7 @@ def reference_layout(ref: DataFrame) -> DataFrame:
     return ranks.agg(F.count(F.lit(1)).alias("names"), F.round(share, 6).alias("digit_share"), F.coalesce(share > 0.5, F.lit(True)).alias("suspicious"))
 
 
-def enrich_hits(hits: DataFrame, organisms: DataFrame, lineages: DataFrame, marker: str = "unresolved") -> DataFrame:
+def enrich_hits(hits: DataFrame, organisms: DataFrame, lineages: DataFrame, marker: str = "Not_found_in_Taxonomy") -> DataFrame:
     """Accession to organism to lineage; ``resolved`` is false where a dimension has no entry."""
     both = hits.join(organisms.select("acc", "organism"), "acc", "left").join(
         lineages.select("organism", F.struct("kingdom", "class", "order", "family", "genus").alias("_l")), "organism", "left"
