@@ -177,9 +177,15 @@ def with_fixtures(sql: str) -> str:
 class Fixtures:
     """The base tables and fixture views of one data folder as DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, **given: DataFrame):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
-        self._made: dict[str, DataFrame] = {}
+        self._made: dict[str, DataFrame] = dict(given)
+
+    def stream(self, table: str) -> "Fixtures":
+        """The same views with one base table read as a stream."""
+        schema = getattr(self, table).schema
+        source = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(self.sf_dir)
+        return Fixtures(self.spark, self.sf_dir, **{table: source})
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -1,0 +1,324 @@
+"""Consensus of aligned reads (sample, read_id, aln), mixtures of haplotypes and barcode checks."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.align import place_on, spread
+from ..functions.iupac import divergence, edit_iupac
+from ..functions.seq import count_char, hamming, orf_trim, ungap
+from ..session import cut
+from .ordering import top_n_per
+
+LETTERS = {"A": "A", "C": "C", "G": "G", "T": "T", "-": "gap", "N": "N"}
+ORF_COVERAGE = 0.95
+
+
+# -- columns and calls ---------------------------------------------------------------------
+
+
+def column_counts(aln: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """Letters per alignment column: keys, pos, one count per letter and their total ``n``.
+
+    Counting is spread over positions and combined on the map side, so a
+    sample with very many reads is no single task.
+    """
+    rows = aln.select(*keys, F.posexplode(F.split(F.upper("aln"), "")).alias("pos", "base")).filter("base <> ''")
+    counts = rows.groupBy(*keys, "pos").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("base") == b).alias(f"n_{name}") for b, name in LETTERS.items()]
+    )
+    return counts
+
+
+def call(threshold, strict: bool = False) -> Column:
+    """Base call of a column: the letters above the threshold share; gaps give way when another letter is left."""
+    over = F.array_compact(F.array(*[F.when(F.col(f"n_{name}") / F.col("n") > threshold, b) for b, name in LETTERS.items()]))
+    solid = F.array_remove(over, "-")
+    many = F.lit("N") if strict else F.when(F.size(solid) == 1, F.get(solid, F.lit(0))).otherwise("N")
+    return F.when(F.size(over) == 0, "N").when(F.size(over) == 1, F.get(over, F.lit(0))).otherwise(many)
+
+
+def _assemble(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join the calls of each key in column order; a key holds one row per alignment column."""
+    row = F.array_sort(F.collect_list(F.struct("pos", "call")))
+    return calls.groupBy(*keys).agg(F.array_join(F.transform(row, lambda x: x["call"]), "").alias("aligned"), F.max("n").alias("reads"))
+
+
+def consensus(aln: DataFrame, threshold: float = 0.3, min_reads: int = 5, strict: bool = False, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """Column-majority consensus per key; NULL below ``min_reads``."""
+    return call_columns(column_counts(aln, keys), threshold, min_reads, strict, keys)
+
+
+def call_columns(counts: DataFrame, threshold: float, min_reads: int, strict: bool = False, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """Consensus from column counts made before."""
+    out = _assemble(counts.withColumn("call", call(threshold, strict)), keys)
+    enough = F.col("reads") >= min_reads
+    return out.select(
+        *keys, "reads", F.when(enough, F.col("aligned")).alias("aligned"), F.when(enough, ungap("aligned")).alias("seq")
+    )
+
+
+def sweep_steps(low: float, high: float, step: float, fixed: float) -> list[float]:
+    """Thresholds from high to low in whole steps, without the fixed one."""
+    steps = round((high - low) / step) if step > 0 else 0
+    tried = [round(high - k * step, 6) for k in range(steps + 1)]
+    return [t for t in tried if t >= low - 1e-9 and abs(t - fixed) > 1e-9]
+
+
+def passes_qc(seq: Column, code: int, plen: int, tol: int) -> Column:
+    """struct(ok, seq): coding barcodes must be of length, clean and one long ORF; others only clean."""
+    clean = count_char(seq, "N") == 0
+    if code == 0:
+        return F.struct(((seq != "") & clean).alias("ok"), seq.alias("seq"))
+    orf = orf_trim(seq, code)
+    ok = clean & (F.abs(F.length(seq) - plen) <= tol) & (orf["aa"] * 3 >= F.length(seq) * ORF_COVERAGE) & (seq != "")
+    return F.struct(ok.alias("ok"), F.when(ok, orf["seq"]).otherwise(seq).alias("seq"))
+
+
+def pick_call(k: int):
+    """Call number ``k`` of a column that carries one letter per threshold."""
+    return lambda x: F.substr(x["call"], F.lit(k + 1), F.lit(1))
+
+
+def consensus_sweep(counts: DataFrame, thresholds: Sequence[float], code: int, plen: int, tol: int) -> DataFrame:
+    """Sequence of each sample when all passing thresholds agree on exactly one.
+
+    Columns are counted once; each column carries its call at every threshold
+    as one text, so the thresholds add no rows.
+    """
+    calls = counts.withColumn("call", F.concat(*[call(t) for t in thresholds]))
+    row = F.array_sort(F.collect_list(F.struct("pos", "call")))
+    per = calls.groupBy("sample").agg(row.alias("_c"), F.max("n").alias("reads")).filter("reads >= 5")
+    seqs = F.array(
+        *[
+            F.translate(F.array_join(F.transform("_c", pick_call(k)), ""), "-", "")
+            for k in range(len(thresholds))
+        ]
+    ) if thresholds else F.array().cast("array<string>")
+    tried = per.select("sample", F.explode(F.array_distinct(seqs)).alias("_s"))
+    good = tried.select("sample", passes_qc(F.col("_s"), code, plen, tol).alias("q")).filter("q.ok")
+    one = good.groupBy("sample").agg(F.min("q.seq").alias("seq"), F.max("q.seq").alias("_hi"))
+    return one.filter("seq = _hi").select("sample", "seq")
+
+
+# -- mixtures --------------------------------------------------------------------------------
+
+
+def polymorphic_columns(counts: DataFrame, minor: float = 0.2) -> DataFrame:
+    """Columns whose second base reaches ``minor`` of all reads, in samples with 4 reads and 2 such columns."""
+    second = F.get(F.sort_array(F.array("n_A", "n_C", "n_G", "n_T"), asc=False), F.lit(1))
+    cols = counts.filter((F.col("n") >= 4) & (second > 0) & (second / F.col("n") >= minor)).select("sample", "pos", second.alias("second"), "n")
+    enough = cols.groupBy("sample").agg(F.count(F.lit(1)).alias("_k")).filter("_k >= 2").select("sample")
+    return cols.join(enough, "sample")
+
+
+def signatures(aln: DataFrame, poly: DataFrame) -> DataFrame:
+    """Letters of each read at its sample's polymorphic columns, as ``sig``."""
+    spots = poly.groupBy("sample").agg(F.array_sort(F.collect_list("pos")).alias("_p"))
+    both = aln.join(spots, "sample")
+    sig = F.array_join(F.transform("_p", lambda p: F.substr(F.upper("aln"), p + 1, F.lit(1))), "")
+    return both.withColumn("sig", sig).drop("_p")
+
+
+def _cluster(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """Greedy clusters of one sample's distinct signatures with their read counts."""
+    pdf = pdf.sort_values(["n", "sig"], ascending=[False, True], ignore_index=True)
+    letters = np.array([list(s.encode()) for s in pdf["sig"]], dtype=np.uint8)
+    weight = pdf["n"].to_numpy()
+    wild = np.array([ord("-"), ord("N")], dtype=np.uint8)
+    reach = int(round(max(0.0, tolerance) * letters.shape[1]))
+    free = np.ones(len(pdf), dtype=bool)
+    label = np.full(len(pdf), -1)
+
+    def near(center: np.ndarray) -> np.ndarray:
+        differs = (letters != center) & ~np.isin(letters, wild) & ~np.isin(center, wild)
+        return free & (differs.sum(axis=1) <= reach)
+
+    def majority(members: np.ndarray) -> np.ndarray:
+        total = weight[members].sum()
+        center = np.full(letters.shape[1], ord("N"), dtype=np.uint8)
+        for ch in np.unique(letters[members]):
+            share = ((letters[members] == ch) * weight[members, None]).sum(axis=0) / total
+            center[share > 0.5] = ch
+        return center
+
+    for seed in range(len(pdf)):
+        if not free[seed]:
+            continue
+        members = near(letters[seed])
+        free &= ~members
+        more = near(majority(members))
+        free &= ~more
+        label[members | more] = seed
+    return pd.DataFrame({"sample": pdf["sample"], "sig": pdf["sig"], "cluster": label})
+
+
+def haplotypes(
+    aln: DataFrame, minor: float = 0.2, min_frac: float = 0.2, tolerance: float = 0.10, min_reads: int = 3, counts: DataFrame | None = None
+) -> DataFrame:
+    """Real haplotype clusters of mixed-looking samples: rank, size, frac, aligned consensus, role.
+
+    Signatures and consensus are counted by Spark. Only the distinct signatures
+    of a sample with their counts, which are no more than its reads and those
+    are limited by ``subset_by_length``, meet in one task for the greedy walk.
+    """
+    poly = cut(polymorphic_columns(column_counts(aln) if counts is None else counts, minor))
+    sigs = signatures(aln, poly)
+    distinct = sigs.groupBy("sample", "sig").agg(F.count(F.lit(1)).alias("n"))
+    sample_type = dict(aln.dtypes)["sample"]
+    labels = distinct.groupBy("sample").applyInPandas(
+        lambda pdf: _cluster(pdf, tolerance), f"sample {sample_type}, sig string, cluster int"
+    )
+    members = cut(sigs.join(labels, ["sample", "sig"]))
+    found = consensus(members, 0.5, 0, keys=["sample", "cluster"])
+    total = members.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+    poly_n = poly.groupBy("sample").agg(F.count(F.lit(1)).alias("n_poly"))
+    sized = found.join(total, "sample").join(poly_n, "sample").withColumn("frac", F.col("reads") / F.col("n"))
+    # Clusters of one sample: a handful of rows.
+    order = Window.partitionBy("sample").orderBy(F.col("reads").desc(), "aligned", "cluster")
+    ranked = sized.withColumn("rank", F.row_number().over(order))
+    real = (F.col("frac") >= min_frac) & (F.col("reads") >= max(3, int(min_reads)))
+    ranked = ranked.withColumn("_real", real).withColumn("_any", F.max(real.cast("int")).over(Window.partitionBy("sample")))
+    kept = ranked.filter(F.col("_real") | ((F.col("_any") == 0) & (F.col("rank") == 1)))
+    noise = F.when(F.col("_any") == 1, F.col("n") - F.sum("reads").over(Window.partitionBy("sample"))).otherwise(0)
+    return kept.select(
+        "sample", F.row_number().over(order).alias("rank"), F.col("reads").alias("size"), "frac", "aligned", ungap("aligned").alias("seq"), "n_poly", noise.alias("n_noise"),
+        F.count(F.lit(1)).over(Window.partitionBy("sample")).alias("n_clusters"),
+    ).withColumn("role", F.when(F.col("rank") == 1, "dominant").otherwise("secondary"))
+
+
+def choose_haplotype(
+    clusters: DataFrame, code: int, plen: int, tol: int, alert: float = 0.03, pass_div: float = 0.01, max_variants: int = 3, max_ns: int = 5
+) -> DataFrame:
+    """Clusters of mixed samples with the chosen one, divergences from it and the review flags."""
+    mixed = clusters.filter("n_clusters >= 2").withColumn("len", F.length("seq")).withColumn("n_n", count_char(F.col("seq"), "N"))
+    if code:
+        mixed = mixed.withColumn("_orf", orf_trim("seq", code))
+        good = (F.col("seq") != "") & (F.col("_orf.aa") * 3 >= F.col("len") * ORF_COVERAGE)
+        mixed = mixed.withColumn("translates", good).drop("_orf")
+        # Without any translating cluster the largest one stands.
+        key = F.struct(
+            (~F.col("translates")).alias("t"),
+            F.when(F.col("translates"), F.col("n_n")).otherwise(0).alias("a"),
+            F.when(F.col("translates"), F.abs(F.col("len") - plen)).otherwise(0).alias("b"),
+            F.when(F.col("translates"), -F.col("size")).otherwise(0).alias("c"),
+            F.col("rank"),
+        )
+        qc = F.col("translates") & (F.col("n_n") == 0) & (F.abs(F.col("len") - plen) <= tol)
+    else:
+        mixed = mixed.withColumn("translates", F.lit(None).cast("boolean"))
+        key = F.struct("n_n", (-F.col("size")).alias("s"), "rank")
+        qc = F.col("n_n") == 0
+    mixed = mixed.withColumn("passes", qc)
+    best = mixed.groupBy("sample").agg(F.min_by(F.struct("rank", "seq"), key).alias("_b"))
+    both = mixed.join(best, "sample").withColumn("chosen", F.col("rank") == F.col("_b.rank"))
+    both = both.withColumn("divergence", F.when(F.col("chosen"), 0.0).otherwise(divergence("_b.seq", "seq")))
+    per = Window.partitionBy("sample")
+    eligible = F.sum((~F.col("chosen") & (F.col("n_n") < max_ns)).cast("int")).over(per)
+    return both.select(
+        "sample", "rank", "size", "frac", "seq", "len", "n_n", "translates", "passes", "divergence", "chosen",
+        F.when(F.col("chosen"), "dominant").otherwise("secondary").alias("role"),
+        (F.max(F.when(F.col("chosen"), F.col("rank"))).over(per) > 1).alias("not_largest"),
+        (F.max("divergence").over(per) >= alert).alias("divergent"),
+        F.max((~F.col("chosen") & F.col("passes") & (F.col("divergence") >= pass_div)).cast("int")).over(per).cast("boolean").alias("several_pass"),
+        F.greatest(eligible - max_variants, F.lit(0)).alias("n_extra"),
+    ).withColumn("needs_review", F.col("not_largest") | F.col("divergent") | F.col("several_pass"))
+
+
+def variant_tiers(
+    variants: DataFrame, coding: bool, min_reads: int = 10, alert: float = 0.03, max_variants: int = 3
+) -> DataFrame:
+    """Export tier of each secondary variant (sample, rank, size, frac, n_n, divergence, translates).
+
+    quality: well supported and clean, the best ``max_variants`` of a sample;
+    alert: divergent enough to mean contamination, never limited; trace:
+    divergent but weak; counted: the rest.
+    """
+    sound = (F.col("frac") >= 0.2) & (F.col("size") >= min_reads) & (F.col("n_n") == 0)
+    if coding:
+        sound = sound & F.coalesce("translates", F.lit(False))
+    far = F.col("divergence") >= alert
+    alarm = far & (F.col("frac") >= 0.1) & (F.col("size") >= 5) & (F.col("n_n") <= 2)
+    marked = variants.withColumn("_ok", F.coalesce(sound, F.lit(False)))
+    best = top_n_per(marked.filter("_ok").select("sample", "rank", "size"), ["sample"], [F.col("size").desc(), F.col("rank")], max_variants)
+    both = marked.join(best.select("sample", "rank", F.lit(True).alias("_top")), ["sample", "rank"], "left")
+    tier = F.when(F.col("_top"), "quality").when(alarm, "alert").when(far, "trace").otherwise("counted")
+    return both.withColumn("tier", tier).withColumn("needs_review", F.col("tier") == "alert").drop("_ok", "_top")
+
+
+# -- choosing reads ---------------------------------------------------------------------------
+
+
+def subset_by_length(reads: DataFrame, plen: int, window: int, n: int) -> DataFrame:
+    """The ``n`` reads of each sample closest to the expected length, with their ``rn``."""
+    dev = F.abs(F.length("seq") - plen)
+    near = reads.withColumn("_dev", dev).filter(F.col("_dev") <= window)
+    return top_n_per(near, ["sample"], [F.col("_dev"), F.col("read_id").cast("string"), F.md5("seq")], n).drop("_dev")
+
+
+def length_modes(reads: DataFrame) -> DataFrame:
+    """Samples with a second length mode at least 3 bins of 10 away holding 20% of the reads."""
+    bins = reads.groupBy("sample", F.floor(F.length("seq") / 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    key = F.struct("n", -F.col("bin"))
+    top = bins.groupBy("sample").agg(F.sum("n").alias("reads"), F.max_by("bin", key).alias("b1")).filter("reads >= 10")
+    far = bins.join(top, "sample").filter("abs(bin - b1) >= 3")
+    second = far.groupBy("sample", "reads", "b1").agg(F.max_by("bin", key).alias("b2"), F.max("n").alias("_n2"))
+    return second.filter(F.col("_n2") / F.col("reads") >= 0.2).select(
+        "sample", "reads", (F.col("b1") * 10).alias("mode1"), (F.col("b2") * 10).alias("mode2"), (F.col("_n2") / F.col("reads")).alias("share2")
+    )
+
+
+def estimate_gaps(aln: DataFrame, keys: Sequence[str] = ("set",)) -> DataFrame:
+    """Columns in which exactly one of an aligned barcode and its set's consensus is a gap; sets of 3 and more."""
+    cons = consensus(aln, 0.5, 3, strict=True, keys=keys).select(*keys, F.col("aligned").alias("_c")).filter("_c is not null")
+
+    def shape(c: str) -> Column:
+        return F.regexp_replace(F.col(c), "[^-]", "x")
+
+    both = aln.join(cons, list(keys))
+    gaps = hamming(shape("aln"), shape("_c"))
+    return both.select(*[c for c in aln.columns], gaps.alias("estgaps"), (gaps == 0).alias("good"))
+
+
+def qc_barcode(df: DataFrame, code: int, plen: int, tol: int) -> DataFrame:
+    """Add ``ok`` and the barcode to write (the trimmed ORF of a coding marker)."""
+    return df.withColumn("_q", passes_qc(F.col("seq"), code, plen, tol)).select(
+        *[c for c in df.columns if c != "seq"], F.col("_q.seq").alias("seq"), F.col("_q.ok").alias("ok")
+    )
+
+
+def with_genetic_code(samples: DataFrame, codes: DataFrame, default: int) -> DataFrame:
+    """Genetic code of each sample, its own where one is given."""
+    return samples.join(codes.select("sample", F.col("code").alias("_c")), "sample", "left").withColumn("code", F.coalesce("_c", F.lit(default))).drop("_c")
+
+
+# -- alignment and similarity ---------------------------------------------------------------------
+
+
+def align_to_template(reads: DataFrame) -> DataFrame:
+    """Align the reads of each sample (sample, read_id, seq, rn) to the one with ``rn`` 1.
+
+    Every read is aligned on its own. What reads insert between two template
+    positions becomes extra columns, as many as the longest insert there.
+    """
+    template = reads.filter("rn = 1").select("sample", F.col("seq").alias("_t"))
+    placed = reads.join(template, "sample").withColumn("_p", place_on("seq", "_t")).select("sample", "read_id", "_p.*")
+    placed = cut(placed)
+    entry = F.explode(F.arrays_zip("at", F.transform("inserts", lambda t: F.length(t)).alias("w")))
+    wide = placed.select("sample", entry.alias("e")).select("sample", F.col("e.at").alias("at"), F.col("e.w").alias("w")).groupBy("sample", "at").agg(F.max("w").alias("w"))
+    # At most one entry per template position.
+    widths = wide.groupBy("sample").agg(F.collect_list(F.struct("at", "w")).alias("_w"))
+    both = placed.join(widths, "sample", "left")
+    return both.select("sample", "read_id", spread("bases", "at", "inserts", F.col("_w.at"), F.col("_w.w")).alias("aln"))
+
+
+def similar_reads(reads: DataFrame, cands: DataFrame, plen: int, n: int) -> DataFrame:
+    """Reads of each sample within a tenth of ``plen`` of its candidate barcode, the nearest ``n``."""
+    both = reads.join(cands.select("sample", F.upper(ungap("seq")).alias("_c")), "sample")
+    near = both.withColumn("dist", edit_iupac("seq", "_c", "base")["iupac"]).filter(F.col("dist") < 0.1 * plen).drop("_c")
+    return top_n_per(near, ["sample"], [F.col("dist"), F.col("seq"), F.col("read_id")], n)

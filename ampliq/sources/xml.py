@@ -19,10 +19,13 @@ RECORD = (
 
 def parse_lineages(taxa: DataFrame) -> DataFrame:
     """(taxid, five ranks) from parsed taxa: the first name of each rank, also under merged ids."""
-    own = F.array(F.struct(F.col("ScientificName").alias("n"), F.col("Rank").alias("r")))
-    above = F.transform(F.coalesce("LineageEx.Taxon", F.array()), lambda t: F.struct(t["ScientificName"].alias("n"), t["Rank"].alias("r")))
-    names = F.transform(F.concat(own, above), lambda t: F.struct(F.trim(t["n"]).alias("n"), F.lower(F.trim(t["r"])).alias("r")))
-    ids = F.filter(F.concat(F.array("TaxId"), F.coalesce("AkaTaxIds.TaxId", F.array())), lambda i: F.trim(i) != "")
+    def named(name, rank):
+        return F.named_struct(F.lit("n"), F.trim(name), F.lit("r"), F.lower(F.trim(rank)))
+
+    own = F.array(named(F.col("ScientificName"), F.col("Rank")))
+    above = F.transform(F.col("LineageEx.Taxon"), lambda t: named(t["ScientificName"], t["Rank"]))
+    names = F.when(above.isNull(), own).otherwise(F.concat(own, above))
+    ids = F.filter(F.concat(F.array("TaxId"), F.coalesce("AkaTaxIds.TaxId", F.array().cast("array<string>"))), lambda i: F.trim(i) != "")
     rows = taxa.filter(F.trim("TaxId") != "").select(F.explode(ids).alias("taxid"), names.alias("_n"))
 
     def first(rank: str):
