@@ -45,8 +45,41 @@ def match_masks(pattern: str, equal: dict[str, str]) -> dict[str, int]:
     return masks
 
 
+def trim_common(a: str, b: str) -> tuple[str, str]:
+    """Both strings without their common beginning and end, which never change a global distance."""
+
+    def shared(x: str, y: str) -> int:
+        lo, hi = 0, min(len(x), len(y))
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if x[lo:mid] == y[lo:mid]:
+                lo = mid
+            else:
+                hi = mid - 1
+        return lo
+
+    n = shared(a, b)
+    a, b = a[n:], b[n:]
+    m = shared(a[::-1], b[::-1])
+    return (a[: len(a) - m], b[: len(b) - m]) if m else (a, b)
+
+
+def compatible(a: str, b: str, equal: dict[str, str]) -> bool:
+    """True when the global distance is 0: equal length, and letters equal position by position."""
+    return len(a) == len(b) and all(x == y or x in equal.get(y, "") for x, y in zip(*trim_common(a, b)))
+
+
+def composition_bound(a: str, b: str) -> int:
+    """A lower bound of the distance from letter counts; ambiguity codes may stand for anything."""
+    wild = sum(len(s) - sum(s.count(x) for x in "ACGT") for s in (a, b))
+    gaps = [a.count(x) - b.count(x) for x in "ACGT"]
+    return max(sum(g for g in gaps if g > 0), -sum(g for g in gaps if g < 0)) - wild
+
+
 def distance(a: str, b: str, equal: dict[str, str], infix: bool = False) -> int:
     """Global distance of ``a`` and ``b``; with ``infix`` the ends of ``b`` are free."""
+    if not infix:
+        a, b = trim_common(a, b)
     if not a:
         return 0 if infix else len(b)
     if not b:

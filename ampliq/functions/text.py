@@ -55,13 +55,10 @@ def display_taxon(c) -> Column:
 
 def species_key(c) -> Column:
     """``genus epithet`` in lower case, or "" when the name is no species."""
-    words = F.filter(
-        F.split(F.lower(strip(F.coalesce(_col(c), F.lit("")))), r"\s+"),
-        lambda w: ~w.isin(QUALIFIERS) & (w != ""),
-    )
-    epithet = F.get(words, F.lit(1))
-    named = epithet.isNotNull() & ~F.rlike(epithet, F.lit(r"^spp?\.?\d*$"))
-    return F.when(named, F.concat_ws(" ", F.get(words, F.lit(0)), epithet)).otherwise("")
+    words = "|".join(q.replace(".", r"\.") for q in QUALIFIERS)
+    name = F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), rf"(?<!\S)(?:{words})(?!\S)", "")
+    key = F.regexp_extract(name, r"^\s*(\S+\s+(?!spp?\.?\d*(?:\s|$))\S+)", 1)
+    return F.regexp_replace(key, r"\s+", " ")
 
 
 def concordance(hit: dict[str, Column], query: dict[str, Column]) -> Column:

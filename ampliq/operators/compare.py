@@ -16,9 +16,9 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions.headers import extract_sample_id, header_metrics, normalize_id
-from ..functions.iupac import distance, equal_letters
+from ..functions.iupac import compatible, composition_bound, distance, equal_letters
 from ..functions.seq import COMPLEMENT_FROM, COMPLEMENT_TO, revcomp
-from ..session import cut
+from ..session import balance, cut
 from .ordering import first_per
 
 VERDICT = StructType(
@@ -65,10 +65,19 @@ def compare_sequences(a, b, ignore_ends: bool = False) -> Column:
         return plain, distance(x, y, equal, ignore_ends) if ambiguous else plain
 
     def verdict(x: str, y: str) -> tuple:
+        turned = x.translate(flip)[::-1]
+        if not ignore_ends:
+            # Zero distances need no alignment to be seen, and most pairs have one.
+            for text, rc in ((x, False), (turned, True)):
+                if compatible(text, y, equal):
+                    plain = distance(text, y, {})
+                    return ("compatible" if plain else "identical"), 0, plain, rc
         plain, d = pair(x, y)
         if d == 0:
             return ("compatible" if plain else "identical"), 0, plain, False
-        plain_rc, d_rc = pair(x.translate(flip)[::-1], y)
+        if not ignore_ends and composition_bound(turned, y) >= d:
+            return "different", d, plain, False
+        plain_rc, d_rc = pair(turned, y)
         if d_rc == 0:
             return ("compatible" if plain_rc else "identical"), 0, plain_rc, True
         return ("different", d_rc, plain_rc, True) if d_rc < d else ("different", d, plain, False)
@@ -87,7 +96,7 @@ def distinct_pairs(df: DataFrame, ignore_ends: bool = False) -> DataFrame:
     """Verdict on each unordered pair of distinct sequences of an id."""
     seqs = df.select("id", "seq").distinct()
     both = seqs.join(seqs.withColumnRenamed("seq", "seq_b"), "id").filter("seq < seq_b")
-    return both.withColumn("v", compare_sequences("seq", "seq_b", ignore_ends)).select("id", "seq", "seq_b", "v.*")
+    return balance(both).withColumn("v", compare_sequences("seq", "seq_b", ignore_ends)).select("id", "seq", "seq_b", "v.*")
 
 
 def compare_all(df: DataFrame, ignore_ends: bool = False) -> DataFrame:
@@ -209,7 +218,7 @@ def compare_ref(df: DataFrame, ref_run, ignore_ends: bool = False) -> DataFrame:
     rest = df.filter(F.col("run") != F.lit(ref_run)).select("id", "run", "seq")
     both = ref.join(rest, "id", "full")
     distinct = both.filter("_ref <> seq").select("id", F.least("_ref", "seq").alias("_a"), F.greatest("_ref", "seq").alias("_b")).distinct()
-    verdicts = distinct.withColumn("v", compare_sequences("_a", "_b", ignore_ends)).select("id", "_a", "_b", "v.*")
+    verdicts = balance(distinct).withColumn("v", compare_sequences("_a", "_b", ignore_ends)).select("id", "_a", "_b", "v.*")
     keyed = both.withColumn("_a", F.least("_ref", "seq")).withColumn("_b", F.greatest("_ref", "seq"))
     out = keyed.join(verdicts, ["id", "_a", "_b"], "left")
     state = (

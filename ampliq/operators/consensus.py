@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.align import place_on, spread
 from ..functions.iupac import divergence, edit_iupac
 from ..functions.seq import count_char, hamming, orf_trim, ungap
-from ..session import cut
+from ..session import balance, cut
 from .ordering import top_n_per
 
 LETTERS = {"A": "A", "C": "C", "G": "G", "T": "T", "-": "gap", "N": "N"}
@@ -307,7 +307,7 @@ def align_to_template(reads: DataFrame) -> DataFrame:
     positions becomes extra columns, as many as the longest insert there.
     """
     template = reads.filter("rn = 1").select("sample", F.col("seq").alias("_t"))
-    placed = reads.join(template, "sample").withColumn("_p", place_on("seq", "_t")).select("sample", "read_id", "_p.*")
+    placed = balance(reads.join(template, "sample")).withColumn("_p", place_on("seq", "_t")).select("sample", "read_id", "_p.*")
     placed = cut(placed)
     entry = F.explode(F.arrays_zip("at", F.transform("inserts", lambda t: F.length(t)).alias("w")))
     wide = placed.select("sample", entry.alias("e")).select("sample", F.col("e.at").alias("at"), F.col("e.w").alias("w")).groupBy("sample", "at").agg(F.max("w").alias("w"))
@@ -320,5 +320,5 @@ def align_to_template(reads: DataFrame) -> DataFrame:
 def similar_reads(reads: DataFrame, cands: DataFrame, plen: int, n: int) -> DataFrame:
     """Reads of each sample within a tenth of ``plen`` of its candidate barcode, the nearest ``n``."""
     both = reads.join(cands.select("sample", F.upper(ungap("seq")).alias("_c")), "sample")
-    near = both.withColumn("dist", edit_iupac("seq", "_c", "base")["iupac"]).filter(F.col("dist") < 0.1 * plen).drop("_c")
+    near = balance(both).withColumn("dist", edit_iupac("seq", "_c", "base")["iupac"]).filter(F.col("dist") < 0.1 * plen).drop("_c")
     return top_n_per(near, ["sample"], [F.col("dist"), F.col("seq"), F.col("read_id")], n)

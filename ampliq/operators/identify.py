@@ -79,13 +79,18 @@ def reference_table(ref: DataFrame, order: list[str] | None = None) -> DataFrame
 
 
 def lookup_taxonomy(samples: DataFrame, ref: DataFrame) -> DataFrame:
-    """Add the expected taxonomy by exact sample id, else by lower-case id; ``known`` tells whether found."""
-    packed = ref.select("sample", F.struct(*QUERY_TAX).alias("_tax"))
-    lower = first_per(packed.select(F.lower("sample").alias("_low"), "sample", F.col("_tax").alias("_tax_low")), ["_low"], ["sample"])
-    exact = samples.join(packed.withColumnRenamed("_tax", "_exact"), "sample", "left")
-    both = exact.withColumn("_low", F.lower("sample")).join(lower.drop("sample"), "_low", "left")
-    tax = F.coalesce("_exact", "_tax_low")
-    return both.select(*samples.columns, *[F.coalesce(tax[c], F.lit("")).alias(c) for c in QUERY_TAX], tax.isNotNull().alias("known"))
+    """Add the expected taxonomy by exact sample id, else by lower-case id; ``known`` tells whether found.
+
+    One join does both: the reference is keyed by lower-case id, and each key
+    holds the few spellings that share it.
+    """
+    tax = F.struct(*QUERY_TAX)
+    keyed = ref.groupBy(F.lower("sample").alias("_low")).agg(
+        F.map_from_entries(F.collect_list(F.struct("sample", tax))).alias("_exact"), F.min_by(tax, "sample").alias("_any")
+    )
+    both = samples.withColumn("_low", F.lower("sample")).join(keyed, "_low", "left")
+    found = both.withColumn("_tax", F.coalesce(F.try_element_at("_exact", "sample"), "_any"))
+    return found.select(*samples.columns, *[F.coalesce(F.col(f"_tax.{c}"), F.lit("")).alias(c) for c in QUERY_TAX], F.col("_tax").isNotNull().alias("known"))
 
 
 def level_of() -> Column:
@@ -180,6 +185,7 @@ def best_concordant_hit(hits: DataFrame, keys: list[str], min_aln: float = 100)
     return rows.groupBy(*keys, "query_name").agg(
         F.count(F.lit(1)).alias("n_hits_raw"),
         F.count_if(long).alias("n_hits"),
+        F.first(F.struct(*QUERY_TAX)).alias("query_tax"),
         F.max_by(F.when(long, hit), F.when(long, by_level)).alias("best_hit"),
         F.max_by(F.when(long, F.col("level")), F.when(long, by_bit)).alias("top_level"),
     )
@@ -207,18 +213,20 @@ def score_candidates(cands: DataFrame) -> DataFrame:
 def candidates(fasta: DataFrame, hits: DataFrame, ref: DataFrame, min_aln: float = 100, suffix: str = "") -> DataFrame:
     """One row per record (file, header, seq) with its metrics, taxonomy and best hit."""
     metrics = fasta.withColumn("_m", header_metrics("header", "seq")).select(*fasta.drop("sample").columns, "_m.*")
-    keyed = attach_key(metrics, hits, ["file"])
     tagged = lookup_taxonomy(hits.withColumn("sample", sample_of_header("query_name", suffix)), ref)
-    best = best_concordant_hit(tagged, ["file"], min_aln)
-    tax = lookup_taxonomy(keyed, ref)
-    out = tax.join(best, ["file", "query_name"], "left")
-    seen = F.col("n_hits_raw").isNotNull()
+    # One row per query from here on; it is joined by two spellings of the header.
+    best = cut(best_concordant_hit(tagged, ["file"], min_aln).withColumn("_h", F.struct("n_hits", "n_hits_raw", "query_tax", "best_hit", "top_level")))
+    exact = best.select("file", F.col("query_name").alias("header"), F.col("_h").alias("_e"))
+    spaced = best.select("file", F.col("query_name").alias("_k"), F.col("_h").alias("_s"))
+    key = F.when(F.contains("header", F.lit(" ")), query_key("header"))
+    out = metrics.withColumn("_k", key).join(exact, ["file", "header"], "left").join(spaced, ["file", "_k"], "left")
+    out = out.withColumn("_h", F.coalesce("_e", "_s")).select(*metrics.columns, "_h.*")
     return out.select(
         "file", "header", "seq", "sample", "length", "coverage", "ambs", "estgaps",
         F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
         F.coalesce("n_hits_raw", F.lit(0)).alias("n_hits_raw"),
         # The expected taxonomy travels with the hit table: no row, no taxonomy.
-        *[F.when(seen, F.col(c)).otherwise("").alias(c) for c in QUERY_TAX],
+        *[F.coalesce(F.col(f"query_tax.{c}"), F.lit("")).alias(c) for c in QUERY_TAX],
         "best_hit",
         F.coalesce(F.col("best_hit.level"), F.lit("none")).alias("level"),
         F.coalesce("top_level", F.lit("none")).alias("top_level"),

@@ -45,3 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage, so later steps see one fixed copy of it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def balance(df: DataFrame) -> DataFrame:
+    """Spread rows evenly before a step that costs far more per row than moving the row.
+
+    Adaptive execution sizes partitions by bytes and would leave a few tasks
+    with all the work; this also takes hot keys apart.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

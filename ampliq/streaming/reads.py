@@ -59,7 +59,8 @@ def stream_coverage(reads: DataFrame, sheet: DataFrame, p: R.ReadParams) -> Data
 
 def stream_yield(events: DataFrame, time: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Rows per time window, with a watermark so that old windows close and leave the state."""
-    per = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"))
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    per = timed.withWatermark(time, late).groupBy(F.window(time, width).alias("w"))
     return per.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
