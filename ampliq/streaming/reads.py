@@ -28,6 +28,7 @@ BUCKETS = 64
 def stream_files(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """New FASTQ files of a folder tree: path, modificationTime, length; contents are not loaded."""
     source = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{fastq,fq,fastq.gz,fq.gz}")
+    source = source.schema("path string, modificationTime timestamp, length long, content binary")
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     return source.load(folder).select("path", "modificationTime", "length")
