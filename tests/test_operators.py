@@ -158,7 +158,7 @@ def test_minimal_runs(spark):
 
 def test_typed_parameters(spark):
     one = spark.createDataFrame([("35", "yes")], "a string, b string")
-    row = one.select(runs.typed_parameter("resolve_mixed.tolerance", F.col("a")), runs.typed_parameter("run_phase1" if False else "resolve_mixed.enabled", F.col("b"))).first()
+    row = one.select(runs.typed_parameter("resolve_mixed.tolerance", F.col("a")), runs.typed_parameter("resolve_mixed.enabled", F.col("b"))).first()
     assert tuple(row) == (0.35, 1.0)
     with pytest.raises(Exception, match="unusable"):
         one.select(runs.typed_parameter("minq", F.lit("999"))).collect()
@@ -263,3 +263,11 @@ def test_sequence_rules(spark):
 def test_blank_queries_dropped(spark):
     df = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "i int, query_name string")
     assert identify.fix_blank_query(df, ["i"], "drop").count() == 1
+
+
+def test_sql_functions(spark):
+    from ampliq.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT revcomp('ACR'), gc_pct('GGAT'), sample_of_header('s_var2;x'), sample_of_header('t_all.fa;1'), parse_number('99,5 %'), max_homopolymer('AA-AT'), normalize_cell(' Á. b, ')").first()
+    assert tuple(row) == ("YGT", 50.0, "s", "t", 99.5, 3, "A_b")
