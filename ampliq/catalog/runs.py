@@ -310,3 +310,14 @@ def _(fx):
 
     combos = running(_grid(fx), ["place"], number="run").drop("place")
     return R.phase1_reuse(combos, ["minq"])
+
+
+@query(
+    "set5_apply_overrides",
+    """SELECT p_size/100.0 AS frac, CAST(5 AS double) AS minq, least(0.2, p_size/100.0) AS minor_thresh FROM (SELECT DISTINCT cast(p_size AS double) AS p_size FROM part WHERE p_size>=10) t""",
+)
+def _(fx):
+    key = "resolve_mixed.min_secondary_frac"
+    sizes = fx.part.filter("p_size >= 10").select(F.lit(key).alias("key"), F.col("p_size").cast("string").alias("value"), F.col("p_size").alias("pos")).distinct()
+    combos = R.apply_overrides(R.expand_grid(sizes, [key]), {"minq": 5})
+    return combos.select(F.col(f"`{key}`").alias("frac"), "minq", F.col("`resolve_mixed.minor_thresh`").alias("minor_thresh"))

@@ -14,7 +14,7 @@ from ..functions.iupac import equal_letters, locate
 from ..functions.seq import COMPLEMENT_FROM, COMPLEMENT_TO, gc_pct, mean_error
 from ..functions.text import natural_key
 from ..session import cut
-from .records import length_ranks
+from .records import ranks_of_counts
 
 
 @dataclass(frozen=True)
@@ -137,12 +137,12 @@ def fastq_stats(df: DataFrame) -> DataFrame:
     """Summary of all reads; ranks of lengths come from the table of distinct lengths."""
     values = read_values(df)
     sums = values.agg(*_sums())
-    counts = values.groupBy("length").agg(F.count(F.lit(1)).alias("_n"))
     # Distinct read lengths: a bounded table, so one window over it is fine.
+    counts = cut(values.groupBy("length").agg(F.count(F.lit(1)).alias("_n")))
     ranked = counts.withColumn("_rank", F.sum("_n").over(Window.orderBy("length"))).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
     p = ranked.agg(_rank_of(ranked, 0.01, "len_p01"), _rank_of(ranked, 0.99, "len_p99"))
-    mid = length_ranks(values.select(F.lit(1).alias("run"), "length")).drop("run", "l50")
-    span = values.agg(F.min("length").alias("min_length"), F.max("length").alias("max_length"))
+    mid = ranks_of_counts(counts.withColumn("run", F.lit(1)), "run", "length").drop("run", "l50")
+    span = counts.agg(F.min("length").alias("min_length"), F.max("length").alias("max_length"))
     one = [x.withColumn("_one", F.lit(1)) for x in (sums, p, mid, span)]
     out = one[0]
     for other in one[1:]:

@@ -312,7 +312,11 @@ def fasta_stats(df: DataFrame, code: int | None = None) -> DataFrame:
 
 def length_ranks(rows: DataFrame, key: str = "run", length: str = "length") -> DataFrame:
     """Median, N50 and L50 per key, from the table of distinct lengths instead of the rows."""
-    counts = rows.groupBy(key, length).agg(F.count(F.lit(1)).alias("_n"))
+    return ranks_of_counts(rows.groupBy(key, length).agg(F.count(F.lit(1)).alias("_n")), key, length)
+
+
+def ranks_of_counts(counts: DataFrame, key: str, length: str) -> DataFrame:
+    """``length_ranks`` from a table (key, length, _n) made before; it holds one row per distinct length."""
     down = Window.partitionBy(key).orderBy(F.col(length).desc())
     whole = Window.partitionBy(key)
     acc = counts.withColumn("_acc", F.sum(F.col(length) * F.col("_n")).over(down)).withColumn(
