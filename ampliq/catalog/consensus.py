@@ -8,6 +8,7 @@ from ..operators.nearest import nearest_refs
 from ..plans import phases as P
 from .reads import PARAMS
 from .registry import query
+from .scalars import _FRAMES5
 
 _COLS = """p AS (SELECT sample, i AS pos, substr(aln,cast(i AS int),1) AS b FROM (SELECT sample, aln, unnest(range(1,length(aln)+1)) AS i FROM fx_aln) u),
   c AS (SELECT sample, pos, b, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY sample, pos) AS tot FROM c)"""
@@ -103,7 +104,12 @@ def _(fx):
     return C.qc_barcode(fx.runs, 0, 0, 0).select("ord", "ok")
 
 
-@query("f11_qc_coding")
+@query(
+    "f11_qc_coding",
+    f"""WITH {_FRAMES5}, best AS (SELECT ord, arg_max(f, aa*10-frame) AS f, max(aa) AS aa, any_value(seq) AS seq FROM orfs GROUP BY ord),
+     q AS (SELECT ord, seq, CASE WHEN aa*3>=length(seq)-2 THEN seq ELSE left(f,aa*3) END AS orf, seq<>'' AND NOT contains(seq,'N') AND abs(length(seq)-60)<=60 AND aa*3>=length(seq)*0.95 AS ok FROM best)
+    SELECT ord, CASE WHEN ok THEN orf ELSE seq END AS seq, ok FROM q""",
+)
 def _(fx):
     return C.qc_barcode(fx.runs, 5, 60, 60).select("ord", "seq", "ok")
 

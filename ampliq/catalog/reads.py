@@ -106,7 +106,14 @@ def _(fx):
     return R.sample_reads(fx.reads, 10000)
 
 
-@query("j01_tag_variants")
+@query(
+    "j01_tag_variants",
+    """WITH t AS (SELECT DISTINCT tag FROM (SELECT tag_f AS tag FROM fx_sheet UNION ALL SELECT tag_r FROM fx_sheet) u), x AS (SELECT tag, unnest(range(1,14)) AS i FROM t),
+     y AS (SELECT tag, cast(i AS int) AS i, unnest(['A','C','G','T']) AS b FROM x),
+     m AS (SELECT tag, concat(substr(tag,1,i-1),b,substr(tag,i+1)) AS v FROM y UNION ALL SELECT tag, concat(b,substr(tag,1,i-1),substr(tag,i+1)) FROM y WHERE i>1
+       UNION ALL SELECT tag, CASE WHEN i<13 THEN concat(substr(tag,2,i-2),b,substr(tag,i)) ELSE concat(substr(tag,2),b) END FROM y WHERE i>1)
+    SELECT tag AS variant, tag, 0 AS depth FROM t UNION ALL SELECT v, min(tag), 1 FROM m WHERE v NOT IN (SELECT tag FROM t) GROUP BY v HAVING min(tag)=max(tag)""",
+)
 def _(fx):
     return R.tag_variants(fx.sheet, 1)
 
