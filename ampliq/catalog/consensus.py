@@ -30,15 +30,19 @@ def _(fx):
     return C.consensus(fx.aln, 0.08, 5, strict=True).select("sample", "aligned")
 
 
-_SWEEP = " UNION ALL ".join(
-    f"SELECT sample, replace(string_agg(CASE WHEN k=0 THEN 'N' WHEN k=1 THEN ba WHEN kk=1 THEN bb ELSE 'N' END,'' ORDER BY pos),'-','') AS seq FROM (SELECT sample, pos, count(*) FILTER (n/tot>{t}) AS k, count(*) FILTER (n/tot>{t} AND b<>'-') AS kk, max(b) FILTER (n/tot>{t} AND b<>'-') AS bb, max(b) FILTER (n/tot>{t}) AS ba FROM t GROUP BY 1,2) f GROUP BY sample"
-    for t in (0.5, 0.4, 0.2)
-)
+
+
+def _sweep(thresholds):
+    """Consensus of each sample at each threshold."""
+    return " UNION ALL ".join(
+        f"SELECT cast({t} AS double) AS threshold, sample, replace(string_agg(CASE WHEN k=0 THEN 'N' WHEN k=1 THEN ba WHEN kk=1 THEN bb ELSE 'N' END,'' ORDER BY pos),'-','') AS seq FROM (SELECT sample, pos, count(*) FILTER (n/tot>{t}) AS k, count(*) FILTER (n/tot>{t} AND b<>'-') AS kk, max(b) FILTER (n/tot>{t} AND b<>'-') AS bb, max(b) FILTER (n/tot>{t}) AS ba FROM t GROUP BY 1,2) f GROUP BY sample"
+        for t in thresholds
+    )
 
 
 @query(
     "a05_consensus_sweep",
-    f"WITH {_COLS}, s AS ({_SWEEP}) SELECT sample, min(seq) AS seq FROM (SELECT DISTINCT sample, seq FROM s WHERE NOT contains(seq,'N') AND seq<>'') d GROUP BY sample HAVING count(*)=1",
+    f"WITH {_COLS}, s AS ({_sweep((0.5, 0.4, 0.2))}) SELECT sample, min(seq) AS seq FROM (SELECT DISTINCT sample, seq FROM s WHERE NOT contains(seq,'N') AND seq<>'') d GROUP BY sample HAVING count(*)=1",
 )
 def _(fx):
     return C.consensus_sweep(C.column_counts(fx.aln), C.sweep_steps(0.2, 0.5, 0.1, 0.3), 0, 0, 0)
@@ -212,9 +216,9 @@ def _(fx):
 
 @query(
     "ph9_sweep_thresholds",
-    f"""WITH {_COLS}, s AS ({_SWEEP.replace("SELECT sample, replace(string_agg", "SELECT cast(@T@ AS double) AS threshold, sample, replace(string_agg")}) SELECT threshold, sample, seq, NOT contains(seq,'N') AS ok FROM s WHERE seq<>''""".replace("@T@", "0.5", 1).replace("@T@", "0.4", 1).replace("@T@", "0.2", 1),
+    f"WITH {_COLS}, s AS ({_sweep((0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7))}) SELECT threshold, sample, seq, NOT contains(seq,'N') AS ok FROM s WHERE seq<>''",
 )
 def _(fx):
-    combos = fx.lineitem.filter("l_linenumber in (2, 4, 5)").select((F.col("l_linenumber") / 10).alias("threshold")).distinct()
+    combos = fx.lineitem.select((F.col("l_linenumber") / 10).alias("threshold")).distinct()
     swept = P.sweep_thresholds(C.column_counts(fx.aln), combos, 0, 0, 0)
     return swept.select("threshold", "sample", "seq", "ok").filter("seq <> ''")
