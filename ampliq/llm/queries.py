@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding
+from . import bpe, decontaminate, sharding
 from .common import table
 
 
@@ -16,6 +16,20 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.bounded_ring(rows, "doc_id", 16).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded with a public byte-level vocabulary and decoded again."""
+    path = tokenizer_path()
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return bpe.decode(ids, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside windows of ten words that also stand in benchmark items."""
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -46,6 +60,7 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 QUERIES = {
+    "op7_bpe": op7_bpe,
     "op8_decontaminate": op8_decontaminate,
     "op3_sharding": op3_sharding,
 }
