@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, sharding
+from . import bpe, decontaminate, secret_scan, sharding
 from .common import table
 
 
@@ -16,6 +16,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.bounded_ring(rows, "doc_id", 16).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents and in what is encoded in them."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("secrets", lambda s: s["via"] == "")
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -60,6 +72,7 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 QUERIES = {
+    "op5_secrets": op5_secrets,
     "op7_bpe": op7_bpe,
     "op8_decontaminate": op8_decontaminate,
     "op3_sharding": op3_sharding,
