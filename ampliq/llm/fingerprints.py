@@ -111,7 +111,7 @@ def _compare(rows: list[tuple[int, str | None]], k: int, words: int) -> pa.Recor
     changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
     own, new = sketches(texts, k, words), sketches(changed, k, words)
     n = len(changed)
-    columns = [
+    columns: list[pa.Array] = [
         pa.array([i for i, _ in rows[:n]], pa.int64()),
         pa.array([len(t) for t in texts[:n]], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
@@ -128,14 +128,47 @@ def edits(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, w
 
     Neighbours meet because ids are cut into ranges at ids that exist: the row at a cut belongs to its own range and closes the one before, and the
     first row closes the last range. Inside a range rows stream past in order. Null texts are empty; rows with one id follow each other by their
-    text; a table with one row compares it with itself; an empty table gives no rows. Rows without an id are an error of the caller and come out last.
+    text; rows without an id come before all others; a table with one row compares it with itself; an empty table gives no rows. Other columns of
+    ``docs`` are not carried along, so their names can't clash.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
     n, low = docs.select(F.count("*"), F.min(F.col(f"`{id}`").cast("long"))).first()
     buckets = max(1, min(10_000, n // BUCKET_ROWS))
     cuts = rows.agg(F.percentile_approx("_id", [q / buckets for q in range(1, buckets)], 20 * buckets)).first()[0] if buckets > 1 else []
+    # At most ten thousand numbers, whatever the data.
     cuts = sorted(set(cuts or []) - {low})
-    # The cuts are as many as buckets: at most ten thousand numbers.
-    shared = spark.sparkContext.broadcast(np.array(cuts, np.int64))
-    return _edits(rows, shared, low, id, k, words)
+    held = F.array(*[F.lit(c) for c in cuts]) if cuts else F.lit(None).cast("array<long>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))] or [F.lit(0)])
+    bucket = F.reduce(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= F.col("_id"), at + step).otherwise(at))
+    closes = F.col("_id").eqNullSafe(F.lit(low).cast("long"))
+    rows = rows.withColumn("_bucket", bucket)
+    at_cut = (F.col("_bucket") > 0) & (F.get(held, F.col("_bucket") - 1) == F.col("_id"))
+    own = F.struct(F.col("_bucket").alias("bucket"), F.lit(False).alias("closing"))
+    before = F.when(closes, F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(True).alias("closing"))).when(at_cut, F.struct((F.col("_bucket") - 1).alias("bucket"), F.lit(True).alias("closing")))
+    placed = rows.select("_id", "_text", F.explode(F.array_compact(F.array(own, before))).alias("_at")).select("_at.bucket", "_at.closing", "_id", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: tuple[int, int, str | None] | None = None  # bucket, id and text of a row whose next one is still to come
+        for batch in batches:
+            for piece in pieces(batch, "_text"):
+                line: list[tuple[int, str | None]] = []
+                for bucket, closing, i, text in zip(*(piece.column(c).to_pylist() for c in ("bucket", "closing", "_id", "_text"))):
+                    if waiting is None or waiting[0] != bucket:
+                        if len(line) > 1:
+                            yield _compare(line, k, words)
+                        line = []
+                    elif not line:
+                        line = [waiting[1:]]
+                    if waiting is not None and waiting[0] == bucket or not closing:
+                        line.append((i, text))
+                    waiting = None if closing else (bucket, i, text)
+                    if closing:
+                        if len(line) > 1:
+                            yield _compare(line, k, words)
+                        line = []
+                if len(line) > 1:
+                    yield _compare(line, k, words)
+
+    schema = T.StructType([T.StructField("_id", T.LongType())] + [T.StructField(c, t) for c, t in _OUT])
+    dealt = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "closing", "_id", "_text")
+    return dealt.mapInArrow(run, schema).withColumnRenamed("_id", id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secret_scan, sharding
+from . import bpe, decontaminate, fingerprints, secret_scan, sharding
 from .common import table
 
 
@@ -16,6 +16,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.bounded_ring(rows, "doc_id", 16).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' fingerprints against those of their edited texts and of the next documents."""
+    made = fingerprints.edits(table(spark, sf_dir, "documents"))
+
+    def line(c: str):
+        return F.translate(F.base64(c), "\r\n", "").alias(c)
+
+    return made.select("doc_id", "n_chars", "edited_sha256", line("fingerprint"), line("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents and in what is encoded in them."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -72,6 +82,7 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 QUERIES = {
+    "op4_fingerprints": op4_fingerprints,
     "op5_secrets": op5_secrets,
     "op7_bpe": op7_bpe,
     "op8_decontaminate": op8_decontaminate,
