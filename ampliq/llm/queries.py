@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, secret_scan, sharding
+from . import bpe, decontaminate, fingerprints, secret_scan, sharding, warc
 from .common import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives with revisits of equal payloads, and the archives read back."""
+    manifest = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents on a ring of 16 shards whose row counts differ by at most one."""
     docs = table(spark, sf_dir, "documents")
@@ -82,6 +88,7 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op4_fingerprints": op4_fingerprints,
     "op5_secrets": op5_secrets,
     "op7_bpe": op7_bpe,
