@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, secret_scan, sharding, warc
+from . import bpe, decontaminate, fingerprints, html_text, secret_scan, sharding, warc
 from .common import table
 
 
@@ -66,6 +66,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 OP8_SQL = """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
@@ -93,6 +98,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op7_bpe": op7_bpe,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_text": op9_html_text,
     "op3_sharding": op3_sharding,
 }
 
