@@ -169,7 +169,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast(build([tuple(r) for r in own.orderBy("item", "text").collect()], window))
+        shared = spark.sparkContext.broadcast([vars(p) for p in build([tuple(r) for r in own.orderBy("item", "text").collect()], window)])
         carried = [*keep, *(["_text"] if k < blocks - 1 else [])]
         rows = rows.mapInArrow(_scan(shared, carried, k > 0), T.StructType([rows.schema[c] for c in carried] + _ADDED.fields))
     return rows
@@ -179,9 +179,10 @@ def _scan(shared, carried: list[str], again: bool):
     """The search for one block of the benchmark; ``again``: results of blocks before are there already."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = [Patterns(**p) for p in shared.value]
         for batch in batches:
             for piece in pieces(batch, "_text"):
-                n, runs, ids = search(piece.column("_text"), shared.value)
+                n, runs, ids = search(piece.column("_text"), patterns)
                 if again:
                     earlier = [[(r["first"], r["last"]) for r in x] for x in piece.column("hit_runs").to_pylist()]
                     runs = [_runs(*np.array([*a, *b]).T) if a or b else [] for a, b in zip(runs, earlier)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, html_text, secret_scan, sharding, warc
+from . import bpe, decontaminate, fingerprints, html_text, quality, secret_scan, sharding, warc
 from .common import table
 
 
@@ -71,6 +71,13 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of good quality, from two views trained on each other's labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=["doc_id"]).withColumn("keep", F.col("score") >= quality.KEEP_AT)
+
+
 OP8_SQL = """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
@@ -99,6 +106,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_decontaminate": op8_decontaminate,
     "op9_html_text": op9_html_text,
+    "op10_quality": op10_quality,
     "op3_sharding": op3_sharding,
 }
 
