@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, html_text, quality, secret_scan, sharding, warc
+from . import bpe, decontaminate, fingerprints, html_text, ngram_join, quality, secret_scan, sharding, warc
 from .common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by a Jaccard similarity of 0.9 or more of their shingles of three words."""
+    return ngram_join.groups(table(spark, sf_dir, "documents"), width=3, p=90, q=100)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives with revisits of equal payloads, and the archives read back."""
     manifest = warc.archive(table(spark, sf_dir, "pages"))
@@ -100,6 +105,7 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op4_fingerprints": op4_fingerprints,
     "op5_secrets": op5_secrets,
