@@ -125,9 +125,9 @@ class Dense:
         return (r.astype(np.float32) @ self.x).astype(float)
 
 
-def fit_logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 120) -> np.ndarray:
+def fit_logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1, steps: int = 200, start: np.ndarray | None = None) -> np.ndarray:
     """Weights and, last, the bias of a logistic regression with an L2 penalty, by gradient steps scaled for each weight."""
-    w, squares = np.zeros(x.shape[1] + 1), np.full(x.shape[1] + 1, 1e-8)
+    w, squares = np.zeros(x.shape[1] + 1) if start is None else start.copy(), np.full(x.shape[1] + 1, 1e-8)
     total = weight.sum() or 1.0
     for _ in range(steps):
         r = weight * (_sigmoid(x.dot(w[:-1]) + w[-1]) - y)
@@ -163,8 +163,10 @@ def co_train(text: Sparse, page: Dense, label: np.ndarray, held: np.ndarray, rou
     y = [start.copy(), start.copy()]
     weight = [known.astype(float), known.astype(float)]
     views: list[Sparse | Dense] = [text, page]
+    fitted: list[np.ndarray] = []
     for step in range(rounds + 1):
-        fitted = [fit_logistic(x, y[k], weight[k]) for k, x in enumerate(views)]
+        # Later rounds go on from where the first one ended.
+        fitted = [fit_logistic(x, y[k], weight[k], steps=60 if step else 200, start=fitted[k] if step else None) for k, x in enumerate(views)]
         raw = [x.dot(w[:-1]) + w[-1] for x, w in zip(views, fitted)]
         if step == rounds or not (label < 0).any():
             break
