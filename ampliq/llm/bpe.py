@@ -27,7 +27,7 @@ from .words import pieces
 #: The word pattern of byte-level BPE (a fixed value of the public tokenizer).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks of text a worker remembers; after that it starts to remember anew, which changes nothing but time.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Words up to this many bytes are merged together as arrays, longer ones by a heap.
 SHORT = 24
 _NONE = -1
@@ -46,8 +46,8 @@ def byte_letters() -> dict[str, int]:
 class Bpe:
     """A byte-level BPE tokenizer from a tokenizer file; without normaliser, prefix space or dropout."""
 
-    def __init__(self, spec: str):
-        spec = json.loads(spec)
+    def __init__(self, text: str):
+        spec = json.loads(text)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError("only plain byte-level BPE is read")
@@ -55,12 +55,7 @@ class Bpe:
         raw = {token: bytes(letters[c] for c in token) for token in model["vocab"]}
         self.ids = {raw[token]: i for token, i in model["vocab"].items()}
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
-        self.bytes: list[bytes] = [b""] * (1 + max([*self.ids.values(), *self.added.values()]))
-        for token, i in self.ids.items():
-            self.bytes[i] = token
-        for token, i in self.added.items():
-            self.bytes[i] = token.encode()
-        self.longest = max(map(len, self.ids))
+        self.bytes = token_bytes(text)
         self.pattern = regex.compile(WORDS)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
@@ -304,8 +299,12 @@ class Bpe:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return joined(self.bytes, ids)
+
+
+def joined(table: list[bytes], ids: np.ndarray) -> str:
+    """The text of ids; bytes that are no UTF-8 become replacement characters."""
+    return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(1)
@@ -313,6 +312,15 @@ def tokenizer(spec: str) -> Bpe:
     return Bpe(spec)
 
 
+@lru_cache(1)
+def token_bytes(spec: str) -> list[bytes]:
+    """The bytes of each id."""
+    read = json.loads(spec)
+    letters = byte_letters()
+    ids = {i: bytes(letters[c] for c in token) for token, i in read["model"]["vocab"].items()} | {a["id"]: a["content"].encode() for a in read.get("added_tokens", [])}
+    return [ids.get(i, b"") for i in range(1 + max(ids))]
+
+
 def _shared(df: DataFrame, path: str):
     """The file's text: one vocabulary, of a fixed size."""
     with open(path, encoding="utf-8") as f:
@@ -346,14 +354,14 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     keep = [c for c in rows.columns if c != to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(spec.value)
+        table = token_bytes(spec.value)
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 piece = batch.slice(low, 500)
                 column = piece.column(ids)
                 flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
                 null = column.is_null().to_pylist()
-                made = pa.array([None if null[k] else bpe.decode(flat[at[k] : at[k + 1]]) for k in range(len(column))], pa.string())
+                made = pa.array([None if null[k] else joined(table, flat[at[k] : at[k + 1]]) for k in range(len(column))], pa.string())
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), made], [*keep, to])
 
     return rows.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, T.StructType([rows.schema[c] for c in keep] + [T.StructField(to, T.StringType())]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, html_text, ngram_join, quality, secret_scan, sharding, warc
+from . import bpe, decontaminate, fingerprints, html_text, ngram_join, quality, secret_scan, sharding, suffix_dedup, warc
 from .common import table
 
 
@@ -49,6 +49,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents under strings of 100 bytes that stand earlier too."""
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    n = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return done.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -105,6 +112,7 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 QUERIES = {
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op4_fingerprints": op4_fingerprints,
