@@ -1,5 +1,7 @@
 """Consensus, mixtures, barcode checks and whole phases."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.headers import header_field, sample_of_header
@@ -153,14 +155,18 @@ def _copies(fx):
     return fx.aln.select("sample", "read_id", F.translate("aln", "-", "").alias("seq"), (F.col("read_id") % 10 + 1).cast("int").alias("rn"))
 
 
-@query("ph1_demultiplex", "SELECT cast(regexp_extract(cast(read_id AS varchar),'[0-9]+') AS bigint) AS read, truth AS sample FROM fx_reads WHERE length(seq)>139")
+@query(
+    "ph1_demultiplex",
+    """SELECT cast(read_id AS varchar) AS read, truth AS sample FROM fx_reads WHERE length(seq)<422
+    UNION ALL SELECT concat(read_id,'d',h), truth FROM fx_reads, (SELECT unnest(['p1','p2']) AS h) x WHERE length(seq) BETWEEN 361 AND 383""",
+)
 def _(fx):
-    from dataclasses import replace
-
-    # Documents are no amplicons of one length: every read counts as a single product here.
-    p = replace(PARAMS, explen=10_000_000, tagmm=1, minlen=139)
-    done = P.demultiplex(fx.reads, fx.sheet, p)
-    return done.select(F.substring_index("read_id", "_", 1).cast("bigint").alias("read"), "sample")
+    # Beside the reads as they are, products near the expected length ligated to themselves; a half then holds one of the two.
+    one = fx.reads.withColumn("read_id", F.col("read_id").cast("string"))
+    two = one.filter(F.length("seq").between(361, 383)).withColumn("read_id", F.concat("read_id", F.lit("d")))
+    two = two.withColumn("seq", F.concat("seq", "seq")).withColumn("qual", F.concat("qual", "qual"))
+    done = P.demultiplex(one.unionByName(two), fx.sheet, replace(PARAMS, tagmm=1, minlen=0, demlen=50, primermm=2))
+    return done.select(F.substring_index("read_id", "_", 1).alias("read"), "sample")
 
 
 @query("ph2_align_to_template", "SELECT sample, read_id, CASE WHEN length(aln)>0 THEN replace(aln,'-','') ELSE '' END AS letters FROM fx_aln")
@@ -216,9 +222,9 @@ def _(fx):
 
 @query(
     "ph9_sweep_thresholds",
-    f"WITH {_COLS}, s AS ({_sweep((0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7))}) SELECT threshold, sample, seq, NOT contains(seq,'N') AS ok FROM s WHERE seq<>''",
+    f"WITH {_COLS}, s AS ({_sweep((0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7))}) SELECT threshold, sample, seq, NOT contains(seq,'N') AS ok FROM s",
 )
 def _(fx):
     combos = fx.lineitem.select((F.col("l_linenumber") / 10).alias("threshold")).distinct()
     swept = P.sweep_thresholds(C.column_counts(fx.aln), combos, 0, 0, 0)
-    return swept.select("threshold", "sample", "seq", "ok").filter("seq <> ''")
+    return swept.select("threshold", "sample", "seq", "ok")

@@ -192,10 +192,8 @@ class Fixtures:
     def _base(self, key: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{key}.parquet")
         if key == "documents":
-            # Long texts in too few row groups would leave most cores idle; a table of real size is not moved.
-            cores = self.spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
+            # Long texts in few row groups would leave most cores idle.
+            df = df.repartition(self.spark.sparkContext.defaultParallelism)
         return df
 
     def __getattr__(self, name: str) -> DataFrame:

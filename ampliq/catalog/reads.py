@@ -24,7 +24,11 @@ def _(fx):
 _QCTE = f"q AS (SELECT read_id, {_Q} AS q FROM (SELECT read_id, unnest(string_split(qual,'')) AS c FROM fx_reads) u GROUP BY 1)"
 
 
-@query("f02_min_quality", f"WITH {_QCTE} SELECT r.read_id FROM fx_reads r JOIN q ON q.read_id=r.read_id WHERE length(seq)>250 AND q>=12.5")
+@query(
+    "f02_min_quality",
+    f"""WITH long AS MATERIALIZED (SELECT read_id, qual FROM fx_reads WHERE length(seq)>250), q AS (SELECT read_id, {_Q} AS q FROM (SELECT read_id, unnest(string_split(qual,'')) AS c FROM long) u GROUP BY 1)
+    SELECT read_id FROM q WHERE q>=12.5""",
+)
 def _(fx):
     return R.filter_reads(fx.reads, 250, 12.5).select("read_id")
 
@@ -120,28 +124,22 @@ def _(fx):
 
 @query(
     "j02_locate_primers",
-    """WITH o AS (SELECT read_id, CASE WHEN read_id%2=1 THEN reverse(translate(seq,'ACGTRY','TGCAYR')) ELSE seq END AS s FROM fx_reads),
-     t AS (SELECT read_id, substr(s,40) AS tail, length(s)-39 AS n FROM o)
-    SELECT read_id, reverse(translate(CASE WHEN n>=100 THEN right(tail,13) ELSE substr(tail,cast(2*n-112 AS int),13) END,'ACGTRY','TGCAYR')) AS tag_r,
-      CASE WHEN read_id%2=1 THEN '-' ELSE '+' END AS strand, 0 AS primer_dist FROM t WHERE n>=67""",
+    """WITH o AS (SELECT read_id, CASE WHEN read_id%2=1 THEN reverse(translate(seq,'ACGTRY','TGCAYR')) ELSE seq END AS s FROM fx_reads)
+    SELECT read_id, left(s,13) AS tag_f, reverse(translate(right(s,13),'ACGTRY','TGCAYR')) AS tag_r, substr(s,40,length(s)-72) AS insert,
+      CASE WHEN read_id%2=1 THEN '-' ELSE '+' END AS strand, 0 AS primer_dist FROM o""",
 )
 def _(fx):
-    # A tail shorter than the search window shifts the tag by what is missing, as the offsets count from a full window.
-    return R.locate_primers(fx.reads, PARAMS).select("read_id", "tag_r", "strand", "primer_dist")
-
-
-# One letter short of a full window shifts the reverse tag by one, which is still a variant of it.
-_DEMUX = "WITH d AS (SELECT * FROM fx_reads WHERE length(seq)-39>=99)"
+    return R.locate_primers(fx.reads, PARAMS).select("read_id", "tag_f", "tag_r", "insert", "strand", "primer_dist")
 
 
-@query("j03_assign_samples", f"{_DEMUX} SELECT regexp_extract(cast(read_id AS varchar),'[0-9]+') AS read, truth AS sample FROM d")
+@query("j03_assign_samples", "SELECT regexp_extract(cast(read_id AS varchar),'[0-9]+') AS read, truth AS sample FROM fx_reads")
 def _(fx):
     located = R.locate_primers(fx.reads, PARAMS)
     assigned = R.assign_samples(located, R.tag_variants(fx.sheet, 1), fx.sheet)
     return assigned.select(F.substring_index("read_id", "_", 1).alias("read"), "sample")
 
 
-@query("a02_sample_coverage", f"{_DEMUX} SELECT truth AS sample, count(*) AS reads FROM d GROUP BY 1")
+@query("a02_sample_coverage", "SELECT truth AS sample, count(*) AS reads FROM fx_reads GROUP BY 1")
 def _(fx):
     located = R.locate_primers(fx.reads, PARAMS)
     return R.sample_coverage(R.assign_samples(located, R.tag_variants(fx.sheet, 1), fx.sheet))
@@ -188,16 +186,16 @@ def _(fx):
 @query("src16_patterns", "SELECT DISTINCT trim(p) AS pattern FROM (SELECT unnest(string_split(text, chr(10))) AS p FROM documents) t WHERE trim(p)<>''")
 def _(fx):
     lines = fx.documents.select(F.explode(F.split("text", "\n")).alias("value"))
-    return lines.select(F.trim("value").alias("pattern")).filter("pattern <> ''").distinct()
+    return T.parse_patterns(lines).distinct()
 
 
 @query(
     "src17_lookup",
-    """SELECT replace(p_name,' ','_') AS id, concat(arg_max(p_brand,p_partkey),'|',arg_max(p_type,p_partkey),'|',arg_max(replace(cast(p_retailprice AS varchar),'.','_'),p_partkey)) AS fields FROM part WHERE p_retailprice<>floor(p_retailprice) GROUP BY 1""",
+    """SELECT replace(p_name,' ','_') AS id, concat(arg_max(p_brand,p_partkey),'|',arg_max(p_type,p_partkey),'|',arg_max(replace(regexp_replace(cast(p_retailprice AS varchar),'\\.0$',''),'.','_'),p_partkey)) AS fields  FROM part GROUP BY 1""",
 )
 def _(fx):
     price = F.col("p_retailprice")
-    rows = fx.part.filter(price != F.floor(price)).select(
+    rows = fx.part.select(
         F.col("p_partkey").alias("ord"), F.array("p_name", F.lit(" "), "p_brand", F.lit(" ., "), "p_type", price.cast("string")).alias("cells")
     )
     return T.parse_lookup(rows).select("id", F.array_join("fields", "|").alias("fields"))

@@ -361,10 +361,10 @@ def _(fx):
     f"""SELECT a.sample, a.run AS run_a, b.run AS run_b,
      CASE WHEN length(a.seq)=length(b.seq) THEN list_sum(list_transform(list_zip(string_split(a.seq,''),string_split(b.seq,'')), lambda p: CASE WHEN p[1]=p[2] THEN 0 ELSE 1 END)) END AS d,
      length(a.seq)=length(b.seq) AND list_sum(list_transform(list_zip(string_split(a.seq,''),string_split(b.seq,'')), lambda p: CASE WHEN p[1]=p[2] OR p[1]='N' OR p[2]='N' THEN 0 ELSE 1 END))=0 AS compatible {_TWINS}
-     AND a.seq<>'' AND b.seq<>''""",
+""",
 )
 def _(fx):
-    return _twins(fx).filter("a <> '' and b <> ''").select(
+    return _twins(fx).select(
         "sample", "run_a", "run_b", S.hamming("a", "b").cast("bigint").alias("d"), S.iupac_compatible("a", "b").alias("compatible")
     )
 

@@ -14,10 +14,10 @@ def _run(stream):
     return S.run_to_table(stream, f"t_{uuid.uuid4().hex}")
 
 
-@query("st03_stream_coverage", "SELECT truth AS sample, count(*) AS reads FROM fx_reads WHERE length(seq)>139 GROUP BY 1")
+@query("st03_stream_coverage", f"SELECT truth AS sample, count(*) AS reads FROM fx_reads WHERE length(seq)<{PARAMS.product + PARAMS.demlen} GROUP BY 1")
 def _(fx):
     live = fx.stream("documents")
-    p = replace(PARAMS, explen=10_000_000, tagmm=1, minlen=139)
+    p = replace(PARAMS, tagmm=1, minlen=0, primermm=2)
     return _run(S.stream_coverage(live.reads, fx.sheet, p))
 
 

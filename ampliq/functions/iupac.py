@@ -152,7 +152,7 @@ def divergence(a, b) -> Column:
 
 
 def locate(pattern: str, text: np.ndarray, size: np.ndarray, equal: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best infix match of one short pattern (at most 63 letters) in many texts at once.
+    """Best infix match of one pattern in many texts at once.
 
     ``text`` is a byte matrix padded with zeros and ``size`` the length of each
     row. Returns distance, start and end (inclusive) of the first best match;
@@ -169,8 +169,10 @@ def locate(pattern: str, text: np.ndarray, size: np.ndarray, equal: dict[str, st
 
 def _scan(pattern, text, size, equal, infix, last):
     m = len(pattern)
-    if not 0 < m <= 63:
-        raise ValueError("patterns hold 1 to 63 letters")
+    if not m:
+        raise ValueError("patterns hold letters")
+    if m > 63:
+        return _scan_long(pattern, text, equal, size, infix, last)
     table = np.zeros(256, dtype=np.uint64)
     for ch, bits in match_masks(pattern, equal).items():
         table[ord(ch)] = bits
@@ -197,3 +199,25 @@ def _scan(pattern, text, size, equal, infix, last):
         best = np.where(better, score, best)
         where = np.where(better, j, where)
     return best, where
+
+
+def _scan_long(pattern, text, equal, size, infix, last):
+    """The same for patterns longer than a machine word: one column of distances for each text, a letter of all texts at a time."""
+    n, width = text.shape
+    m = len(pattern)
+    differs = np.ones((m, 256), dtype=np.int64)
+    for ch, bits in match_masks(pattern, equal).items():
+        for i in range(m):
+            differs[i, ord(ch)] = 1 - (bits >> i & 1)
+    rows = np.arange(m + 1)[:, None]
+    column = np.repeat(rows, n, axis=1)
+    best, where = column[m].copy(), np.full(n, -1, dtype=np.int64)
+    for j in range(width):
+        step = np.minimum(column[:-1] + differs[:, text[:, j]], column[1:] + 1)
+        start = np.full((1, n), 0 if infix else j + 1)
+        column = np.minimum.accumulate(np.concatenate([start, step]) - rows, axis=0) + rows
+        score = column[m]
+        better = ((score <= best) if last else (score < best)) & (j < size)
+        best = np.where(better, score, best)
+        where = np.where(better, j, where)
+    return best, where

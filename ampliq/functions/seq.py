@@ -23,8 +23,23 @@ COMPLEMENT_TO = "TGCAYRSWMKVHDBNtgcayrswmkvhdbn"
 STOPS = {
     1: ["TAA", "TAG", "TGA"],
     2: ["TAA", "TAG", "AGA", "AGG"],
+    3: ["TAA", "TAG"],
+    4: ["TAA", "TAG"],
     5: ["TAA", "TAG"],
+    6: ["TGA"],
+    9: ["TAA", "TAG"],
+    10: ["TAA", "TAG"],
     11: ["TAA", "TAG", "TGA"],
+    12: ["TAA", "TAG", "TGA"],
+    13: ["TAA", "TAG"],
+    14: ["TAG"],
+    16: ["TAA", "TGA"],
+    21: ["TAA", "TAG"],
+    22: ["TCA", "TAA", "TGA"],
+    23: ["TTA", "TAA", "TAG", "TGA"],
+    24: ["TAA", "TAG"],
+    25: ["TAA", "TAG"],
+    26: ["TAA", "TAG", "TGA"],
 }
 # Letters that mark a base read from the reverse strand.
 STRAND_FROM, STRAND_TO = "EFQP", "AGCT"

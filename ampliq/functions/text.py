@@ -97,15 +97,16 @@ def lineage_fields(lineage: Column, marker: str = "Not_found_in_Taxonomy") -> di
 
 
 def natural_key(c) -> Column:
-    """Sort key that reads digit runs as numbers and ignores case."""
+    """Sort key that reads digit runs as numbers, of any length, and ignores case."""
     chunks = F.regexp_extract_all(F.lower(_col(c)), F.lit("([^0-9]+[0-9]*|[0-9]+)"), F.lit(1))
-    return F.transform(
-        chunks,
-        lambda p: F.struct(
-            F.regexp_replace(p, "[0-9]+$", "").alias("t"),
-            F.coalesce(F.regexp_extract(p, "([0-9]+)$", 1).try_cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")).alias("n"),
-        ),
-    )
+
+    def key(p: Column) -> Column:
+        # Numbers compare by their length without leading zeros, then digit by digit; no number comes first.
+        digits = F.regexp_extract(p, "([0-9]+)$", 1)
+        number = F.regexp_replace(digits, "^0+(?=.)", "")
+        return F.struct(F.regexp_replace(p, "[0-9]+$", "").alias("t"), F.length(number).alias("size"), number.alias("n"))
+
+    return F.transform(chunks, key)
 
 
 def compress_ranges(numbers) -> Column:

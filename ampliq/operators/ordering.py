@@ -79,6 +79,10 @@ def running(
     return joined.select(*cols)
 
 
+#: Parts in which a key's rows are limited before they meet.
+TOP_PARTS = 64
+
+
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """First row per key, by partial aggregation (a hot key costs one row per task).
 
@@ -93,6 +97,14 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
 
 
 def top_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, number: str = "rn") -> DataFrame:
-    """First ``n`` rows per key; Spark limits each task's share before the shuffle."""
+    """First ``n`` rows per key.
+
+    Up to 1000 rows Spark limits each task's share before the shuffle (``spark.sql.optimizer.windowGroupLimitThreshold``); for more, a key's rows are
+    first limited in parts, so that a hot key sends no task more than its parts' shares.
+    """
+    if n > 1000:
+        part = F.pmod(F.xxhash64(*order), F.lit(TOP_PARTS))
+        parts = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_rn", F.row_number().over(parts)).filter(F.col("_rn") <= n).drop("_part", "_rn")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(number, F.row_number().over(w)).filter(F.col(number) <= n)

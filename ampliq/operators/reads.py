@@ -286,16 +286,15 @@ def locate_primers(reads: DataFrame, p: ReadParams) -> DataFrame:
             live, tails = live[keep], [tails[k] for k in keep]
             if not tails:
                 continue
-            ends = matrix([t[-width:] for t in tails])
+            # Where each tail's searched part begins: a short tail is searched from its first letter on.
+            begin = [max(len(t) - width, 0) for t in tails]
+            ends = matrix([t[a:] for t, a in zip(tails, begin)])
             for primer_r in back:
                 d_r, s_r, e_r = locate(primer_r, *ends, equal)
                 for k in np.flatnonzero(d_r <= most):
                     i, tail = live[k], tails[k]
-                    # Positions count from the start of a full window; on a shorter tail the
-                    # offset is negative and the candidate stands only when nothing wraps.
-                    shift = len(tail) - width
-                    tag_at, insert_end = shift + e_r[k] + 1, shift + s_r[k]
-                    if tag_at < 0 or insert_end < 0 or tag_at + taglen > len(tail):
+                    insert_end, tag_at = begin[k] + s_r[k], begin[k] + e_r[k] + 1
+                    if tag_at + taglen > len(tail):
                         continue
                     total = d_f[i] + d_r[k]
                     if total < best[i]:

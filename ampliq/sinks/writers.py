@@ -12,12 +12,12 @@ from ..operators.records import wrap
 
 def fasta_lines(df: DataFrame, cols: int | None = None) -> DataFrame:
     seq = wrap("seq", cols) if cols else F.col("seq")
-    return df.filter("seq <> ''").select(F.concat(F.lit(">"), "header", F.lit("\n"), seq).alias("value"))
+    return df.select(F.concat(F.lit(">"), "header", F.lit("\n"), F.coalesce(seq, F.lit(""))).alias("value"))
 
 
 def write_fasta(df: DataFrame, path: str, cols: int | None = None, sort: bool = False) -> bool:
-    """Write records as FASTA parts; with ``sort`` in the order of ``ord``. Nothing is written when empty."""
-    if df.filter("seq <> ''").isEmpty():
+    """Write records as FASTA parts; with ``sort`` in the order of ``ord``. Nothing is written when there is no record."""
+    if df.isEmpty():
         return False
     rows = df.orderBy("ord") if sort else df
     fasta_lines(rows, cols).write.mode("overwrite").text(path)

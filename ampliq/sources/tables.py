@@ -184,7 +184,7 @@ def parse_lookup(rows: DataFrame) -> DataFrame:
     """Lookup fields by id from (ord, cells): the later row wins, empty fields left out."""
     named = rows.filter(F.get("cells", F.lit(0)).isNotNull() & (F.trim(F.get("cells", F.lit(0))) != ""))
     fields = F.filter(
-        F.transform(F.filter(F.slice("cells", 2, 1000), lambda c: F.trim(c) != ""), normalize_cell),
+        F.transform(F.filter(F.slice("cells", F.lit(2), F.greatest(F.size("cells"), F.lit(1))), lambda c: F.trim(c) != ""), normalize_cell),
         lambda c: F.rlike(c, F.lit(r"(?U)\p{Alnum}")),
     )
     keyed = named.select(normalize_cell(F.get("cells", F.lit(0))).alias("id"), "ord", fields.alias("fields"))
@@ -197,8 +197,13 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     return parse_lookup(cells.select(F.struct("path", "no").alias("ord"), "cells"))
 
 
+def parse_patterns(lines: DataFrame) -> DataFrame:
+    """Patterns from lines (a column value): trimmed, empty ones left out."""
+    return lines.select(F.trim("value").alias("pattern")).filter("pattern <> ''")
+
+
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    patterns = spark.read.text(path).select(F.trim("value").alias("pattern")).filter("pattern <> ''")
+    patterns = parse_patterns(spark.read.text(path))
     if patterns.isEmpty():
         raise ValueError("the pattern file is empty")
     return patterns
