@@ -86,23 +86,29 @@ def lookup_taxonomy(samples: DataFrame, ref: DataFrame) -> DataFrame:
     """
     tax = F.struct(*QUERY_TAX)
     keyed = ref.groupBy(F.lower("sample").alias("_low")).agg(
-        F.map_from_entries(F.collect_list(F.struct("sample", tax))).alias("_exact"), F.min_by(tax, "sample").alias("_any")
+        F.collect_list(F.struct("sample", tax.alias("tax"))).alias("_exact"), F.min_by(tax, "sample").alias("_any")
     )
     both = samples.withColumn("_low", F.lower("sample")).join(keyed, "_low", "left")
-    found = both.withColumn("_tax", F.coalesce(F.try_element_at("_exact", "sample"), "_any"))
+    own = F.get(F.filter("_exact", lambda e: e["sample"] == F.col("sample")), F.lit(0))["tax"]
+    found = both.withColumn("_tax", F.coalesce(own, "_any"))
     return found.select(*samples.columns, *[F.coalesce(F.col(f"_tax.{c}"), F.lit("")).alias(c) for c in QUERY_TAX], F.col("_tax").isNotNull().alias("known"))
 
 
-def level_of() -> Column:
-    """Concordance of the hit and query taxonomy columns of a row."""
-    return concordance({r: display_taxon(f"s_{r}") for r in RANKS}, {r: display_taxon(f"q_{r}") for r in RANKS})
+def with_level(rows: DataFrame, name: str) -> DataFrame:
+    """Add the concordance of the hit and query taxonomy of each row.
+
+    The cleaned names are columns first, so that each is worked out once for a row.
+    """
+    shown = {f"_{side}_{r}": display_taxon(f"{side}_{r}") for side in "sq" for r in RANKS}
+    level = concordance({r: F.col(f"_s_{r}") for r in RANKS}, {r: F.col(f"_q_{r}") for r in RANKS})
+    return rows.withColumns(shown).withColumn(name, level).drop(*shown)
 
 
 def apply_taxonomy(hits: DataFrame, ref: DataFrame, suffix: str = "") -> DataFrame:
     """Fill the expected taxonomy of each hit's sample and the rank at which they agree."""
     bare = hits.drop(*[c for c in (*QUERY_TAX, "tax_level_match", "known") if c in hits.columns])
     keyed = bare.withColumn("sample", sample_of_header("query_name", suffix))
-    return lookup_taxonomy(keyed, ref).withColumn("tax_level_match", level_of())
+    return with_level(lookup_taxonomy(keyed, ref), "tax_level_match")
 
 
 def taxonomy_counts(applied: DataFrame) -> DataFrame:
@@ -178,7 +184,7 @@ def best_concordant_hit(hits: DataFrame, keys: list[str], min_aln: float = 100)
     score, then rank.
     """
     long = F.col("alignment_length") >= min_aln
-    rows = hits.withColumn("level", level_of())
+    rows = with_level(hits, "level")
     hit = F.struct("acc", "hit_rank", "p_identity", "alignment_length", "bit_score", *[display_taxon(c).alias(c) for c in HIT_TAX], "level")
     by_level = F.struct(level_depth("level"), F.col("bit_score"), -F.col("hit_rank"))
     by_bit = F.struct(F.col("bit_score"), -F.col("hit_rank"))
@@ -203,24 +209,27 @@ def best_hits(hits: DataFrame) -> DataFrame:
 
 def score_candidates(cands: DataFrame) -> DataFrame:
     """Taxonomic bonus, bit score relative to the sample's best, minus the penalties."""
-    top = cands.groupBy("sample").agg(F.max("bit").alias("_top"))
-    both = cands.join(top, "sample")
+    top = F.max("bit").over(Window.partitionBy("sample"))
     relative = F.when(F.col("_top") > 0, F.col("bit") / F.col("_top")).otherwise(F.lit(0.0))
     score = 100.0 * level_depth("level") + BIT_WEIGHT * relative - AMB_PENALTY * F.col("ambs") - GAP_PENALTY * F.col("estgaps")
-    return both.withColumn("score", score).drop("_top")
+    return cands.withColumn("_top", top).withColumn("score", score).drop("_top")
 
 
 def candidates(fasta: DataFrame, hits: DataFrame, ref: DataFrame, min_aln: float = 100, suffix: str = "") -> DataFrame:
     """One row per record (file, header, seq) with its metrics, taxonomy and best hit."""
     metrics = fasta.withColumn("_m", header_metrics("header", "seq")).select(*fasta.drop("sample").columns, "_m.*")
     tagged = lookup_taxonomy(hits.withColumn("sample", sample_of_header("query_name", suffix)), ref)
-    # One row per query from here on; it is joined by two spellings of the header.
-    best = cut(best_concordant_hit(tagged, ["file"], min_aln).withColumn("_h", F.struct("n_hits", "n_hits_raw", "query_tax", "best_hit", "top_level")))
-    exact = best.select("file", F.col("query_name").alias("header"), F.col("_h").alias("_e"))
-    spaced = best.select("file", F.col("query_name").alias("_k"), F.col("_h").alias("_s"))
-    key = F.when(F.contains("header", F.lit(" ")), query_key("header"))
-    out = metrics.withColumn("_k", key).join(exact, ["file", "header"], "left").join(spaced, ["file", "_k"], "left")
-    out = out.withColumn("_h", F.coalesce("_e", "_s")).select(*metrics.columns, "_h.*")
+    # A record meets its query under the header, else under the header with ``_`` for spaces: one key does both, the few spellings that share it
+    # travel together.
+    best = best_concordant_hit(tagged, ["file"], min_aln)
+    hit = F.struct("query_name", "n_hits", "n_hits_raw", "query_tax", "best_hit", "top_level")
+    keyed = best.groupBy("file", query_key("query_name").alias("_k")).agg(F.collect_list(hit).alias("_hits"))
+    out = metrics.withColumn("_k", query_key("header")).join(keyed, ["file", "_k"], "left")
+
+    def named(name: Column) -> Column:
+        return F.get(F.filter("_hits", lambda h: h["query_name"] == name), F.lit(0))
+
+    out = out.withColumn("_h", F.coalesce(named(F.col("header")), named(F.col("_k")))).select(*metrics.columns, *[F.col(f"_h.{c}") for c in ("n_hits", "n_hits_raw", "query_tax", "best_hit", "top_level")])
     return out.select(
         "file", "header", "seq", "sample", "length", "coverage", "ambs", "estgaps",
         F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
@@ -237,21 +246,19 @@ def candidates(fasta: DataFrame, hits: DataFrame, ref: DataFrame, min_aln: float
 
 def best_sequence(cands: DataFrame, n_files: int) -> DataFrame:
     """The candidate kept for each sample, how it was decided and what to look at."""
-    scored = cut(score_candidates(cands))
+    # One shuffle by sample serves the best bit score, the ranks and the aggregates.
+    scored = score_candidates(cands)
     order = [F.col("score").desc(), F.coalesce("length", F.lit(0)).desc(), F.coalesce("coverage", F.lit(0)).desc(), F.col("file"), F.col("header")]
     row = F.struct(*[c for c in scored.columns if c != "sample"])
-    top = _top_two(scored, order)
-    barcode = first_per(
-        scored.filter(~F.col("variant")).select("sample", row.alias("_bc")),
-        ["sample"],
-        [-F.col("_bc.score"), -F.coalesce("_bc.length", F.lit(0)), -F.coalesce("_bc.coverage", F.lit(0)), F.col("_bc.file"), F.col("_bc.header")],
-    )
-    facts = scored.groupBy("sample").agg(
+    rn = F.col("_rn")
+    both = scored.withColumn("_rn", F.row_number().over(Window.partitionBy("sample").orderBy(*order))).groupBy("sample").agg(
+        F.min_by(row, rn).alias("_a"),
+        F.max_by(F.when(rn == 2, row), F.when(rn == 2, 1)).alias("_b"),
+        F.min_by(F.when(~F.col("variant"), row), F.when(~F.col("variant"), rn)).alias("_bc"),
         F.count(F.lit(1)).alias("n_candidates"),
         F.size(F.collect_set("file")).alias("n_files"),
         (F.min(F.upper("seq")) == F.max(F.upper("seq"))).alias("identical"),
     )
-    both = top.join(barcode, "sample", "left").join(facts, "sample")
     overruled = F.col("_a.variant") & F.col("_bc").isNotNull() & (level_depth(F.col("_a.top_level")) <= level_depth(F.col("_bc.top_level")))
     chosen = both.withColumn("overruled", F.coalesce(overruled, F.lit(False)))
     chosen = chosen.withColumn("best", F.when(F.col("overruled"), F.col("_bc")).otherwise(F.col("_a")))
@@ -292,16 +299,6 @@ def best_sequence(cands: DataFrame, n_files: int) -> DataFrame:
     )
 
 
-def _top_two(scored: DataFrame, order: list[Column]) -> DataFrame:
-    """The two best rows per sample side by side, as structs ``_a`` and ``_b``."""
-    two = top_n_per(scored, ["sample"], order, 2)
-    rest = [c for c in scored.columns if c != "sample"]
-    return two.groupBy("sample").agg(
-        F.max_by(F.struct(*rest), -F.col("rn")).alias("_a"),
-        F.max_by(F.when(F.col("rn") == 2, F.struct(*rest)), F.when(F.col("rn") == 2, 1)).alias("_b"),
-    )
-
-
 def flag_counts(best: DataFrame) -> DataFrame:
     """How many samples carry each flag; counts of ambiguities are put together."""
     flag = best.filter("flags <> ''").select(F.explode(F.split("flags", ";")).alias("flag"))
