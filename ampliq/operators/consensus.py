@@ -274,13 +274,16 @@ def length_modes(reads: DataFrame) -> DataFrame:
 
 
 def estimate_gaps(aln: DataFrame, keys: Sequence[str] = ("set",)) -> DataFrame:
-    """Columns in which exactly one of an aligned barcode and its set's consensus is a gap; sets of 3 and more."""
+    """Columns in which exactly one of an aligned barcode and its set's consensus is a gap; sets of 3 and more.
+
+    Without keys all rows are one set, whose consensus is a single value.
+    """
     cons = consensus(aln, 0.5, 3, strict=True, keys=keys).select(*keys, F.col("aligned").alias("_c")).filter("_c is not null")
 
     def shape(c: str) -> Column:
         return F.regexp_replace(F.col(c), "[^-]", "x")
 
-    both = aln.join(cons, list(keys))
+    both = aln.join(cons, list(keys)) if keys else aln.withColumn("_c", cons.scalar()).filter("_c is not null")
     gaps = hamming(shape("aln"), shape("_c"))
     return both.select(*[c for c in aln.columns], gaps.alias("estgaps"), (gaps == 0).alias("good"))
 
@@ -317,6 +320,22 @@ def align_to_template(reads: DataFrame) -> DataFrame:
     return both.select("sample", "read_id", spread("bases", "at", "inserts", F.col("_w.at"), F.col("_w.w")).alias("aln"))
 
 
+def align_set(reads: DataFrame) -> DataFrame:
+    """Align all reads (read_id, seq) as one set to the first read of the commonest length.
+
+    The template and the widths of inserts are single values, so nothing is joined.
+    """
+    size = reads.groupBy(F.length("seq").alias("_n")).agg(F.count(F.lit(1)).alias("_k"), F.min("read_id").alias("_first"))
+    first = size.agg(F.max_by("_first", F.struct("_k", "_n"))).scalar()
+    template = reads.filter(F.col("read_id") == first).agg(F.min("seq")).scalar()
+    placed = cut(balance(reads).withColumn("_t", template).withColumn("_p", place_on("seq", "_t")).select("read_id", "_p.*"))
+    entry = F.explode(F.arrays_zip("at", F.transform("inserts", lambda t: F.length(t)).alias("w")))
+    wide = placed.select(entry.alias("e")).groupBy(F.col("e.at").alias("at")).agg(F.max("e.w").alias("w"))
+    widths = wide.agg(F.collect_list(F.struct("at", "w"))).scalar()
+    both = placed.withColumn("_w", widths)
+    return both.select("read_id", spread("bases", "at", "inserts", F.col("_w.at"), F.col("_w.w")).alias("aln"))
+
+
 def similar_reads(reads: DataFrame, cands: DataFrame, plen: int, n: int) -> DataFrame:
     """Reads of each sample within a tenth of ``plen`` of its candidate barcode, the nearest ``n``."""
     both = reads.join(cands.select("sample", F.upper(ungap("seq")).alias("_c")), "sample")

@@ -91,13 +91,9 @@ def samples_for_level(coverage: DataFrame, level: int) -> DataFrame:
 
 def check_set(barcodes: DataFrame) -> DataFrame:
     """Phase 2 check: good barcodes aligned together and their gaps against the set's consensus."""
-    good = barcodes.filter("ok").select(F.lit("set").alias("sample"), F.col("sample").alias("read_id"), "seq")
-    # The template is the first barcode of the commonest length; both tables below have one row.
-    size = good.groupBy("sample", F.length("seq").alias("_n")).agg(F.count(F.lit(1)).alias("_k"), F.min("read_id").alias("_first"))
-    first = size.groupBy("sample").agg(F.max_by("_first", F.struct("_k", "_n")).alias("_t"))
-    ranked = good.join(first, "sample").withColumn("rn", F.when(F.col("read_id") == F.col("_t"), 1).otherwise(2)).drop("_t")
-    aln = C.align_to_template(ranked).select(F.lit(1).alias("set"), F.col("read_id").alias("sample"), "aln")
-    return C.estimate_gaps(aln).select("sample", "estgaps", F.col("good").alias("predicted_good"))
+    good = barcodes.filter("ok").select(F.col("sample").alias("read_id"), "seq")
+    aln = C.align_set(good).select(F.col("read_id").alias("sample"), "aln")
+    return C.estimate_gaps(aln, keys=()).select("sample", "estgaps", F.col("good").alias("predicted_good"))
 
 
 def consensus_by_similarity(assigned: DataFrame, failed: DataFrame, p: CallParams) -> DataFrame:
