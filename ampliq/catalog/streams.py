@@ -1,6 +1,5 @@
 """Streams over the given tables, run over all there is; each must equal its batch twin."""
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from .registry import query
 
 
 def _run(stream):
-    return S.run_to_table(stream, f"t_{uuid.uuid4().hex}")
+    return S.run_to_table(stream)
 
 
 @query("st03_stream_coverage", f"SELECT truth AS sample, count(*) AS reads FROM fx_reads WHERE length(seq)<{PARAMS.product + PARAMS.demlen} GROUP BY 1")

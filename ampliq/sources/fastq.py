@@ -25,7 +25,7 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def list_files(paths: list[str], recursive: bool = True) -> list[tuple[str, int]]:
+def list_files(paths: list[str], recursive: bool = True, suffixes: tuple[str, ...] = SUFFIXES) -> list[tuple[str, int]]:
     """FASTQ files of folders and single paths with their sizes, each once, in order."""
     found: dict[str, int] = {}
     for path in paths:
@@ -37,7 +37,7 @@ def list_files(paths: list[str], recursive: bool = True) -> list[tuple[str, int]
         else:
             infos = [info] if info.type == pafs.FileType.File else []
         for one in infos:
-            if one.type == pafs.FileType.File and one.path.lower().endswith(SUFFIXES):
+            if one.type == pafs.FileType.File and one.path.lower().endswith(suffixes):
                 found.setdefault(prefix + one.path, one.size)
     return sorted(found.items(), key=lambda kv: kv[0].lower())
 
@@ -206,11 +206,12 @@ class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split("\n") if p]
         self.recursive = options.get("recursive", "true").lower() != "false"
+        self.suffixes = tuple(options["suffixes"].split("\n")) if options.get("suffixes") else SUFFIXES
         self.split = int(options.get("splitbytes", options.get("splitBytes", 128 << 20)))
 
     def partitions(self):
         parts = []
-        for path, size in list_files(self.paths, self.recursive):
+        for path, size in list_files(self.paths, self.recursive, self.suffixes):
             if path.lower().endswith(".gz"):
                 parts.append(FileRange(path, 0, None))
             else:
@@ -222,12 +223,15 @@ class FastqReader(DataSourceReader):
             yield from batches(partition.path, partition.start, partition.end)
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str], recursive: bool = True, split_bytes: int = 128 << 20) -> DataFrame:
+def read_fastq(
+    spark: SparkSession, paths: str | list[str], recursive: bool = True, split_bytes: int = 128 << 20, suffixes: str | tuple[str, ...] = SUFFIXES
+) -> DataFrame:
     """Records and read issues of FASTQ files and folders (see ``reads`` and ``read_issues``)."""
     spark.dataSource.register(FastqSource)
     paths = [paths] if isinstance(paths, str) else list(paths)
     return (
-        spark.read.format("fastq").option("paths", "\n".join(paths)).option("recursive", str(recursive)).option("splitBytes", str(split_bytes)).load()
+        spark.read.format("fastq").option("paths", "\n".join(paths)).option("recursive", str(recursive)).option("splitBytes", str(split_bytes))
+        .option("suffixes", "\n".join([suffixes] if isinstance(suffixes, str) else suffixes)).load()
     )
 
 

@@ -8,35 +8,38 @@ twice, and a failed batch is run again over the same files.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import reads as R
 from ..operators.ordering import first_per
 from ..plans.phases import CallParams, consensus_by_length
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 from ..sources.fastq import SCHEMA, batches
 
 BUCKETS = 64
 
 
-def stream_files(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+PATTERN = "*.{fastq,fq,fastq.gz,fq.gz}"
+
+
+def stream_files(spark: SparkSession, folder: str, files_per_batch: int | None = None, pattern: str = PATTERN) -> DataFrame:
     """New FASTQ files of a folder tree: path, modificationTime, length; contents are not loaded."""
-    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{fastq,fq,fastq.gz,fq.gz}")
+    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     source = source.schema("path string, modificationTime timestamp, length long, content binary")
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     return source.load(folder).select("path", "modificationTime", "length")
 
 
-def stream_fastq(spark: SparkSession, folder: str, files_per_batch: int | None = None, split_bytes: int = 64 << 20) -> DataFrame:
+def stream_fastq(spark: SparkSession, folder: str, files_per_batch: int | None = None, split_bytes: int = 64 << 20, pattern: str = PATTERN) -> DataFrame:
     """Records of new files, read range by range; a truncated last record is left out."""
-    files = stream_files(spark, folder, files_per_batch)
+    files = stream_files(spark, folder, files_per_batch, pattern)
     whole = F.endswith(F.lower("path"), F.lit(".gz"))
     starts = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(
         F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))
@@ -118,13 +121,23 @@ def latest_consensus(spark: SparkSession, path: str) -> DataFrame:
     return first_per(calls, ["sample"], [-F.col("batch")])
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is now into a table in memory, for results of one row per group."""
+def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over what there is now; its result lies as Parquet in the shared folder, a part for each batch.
+
+    In mode ``complete`` the last batch holds everything, else all batches together do. A batch that runs twice replaces its own part.
+    """
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    where = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).start()
-    )
+    path = scratch_folder(spark, "stream")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    try:
+        out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/out")
+    except AnalysisException:  # no batch ran
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        out = out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out.drop("batch")

@@ -1,7 +1,5 @@
 """Files dropped in turns must give what a batch over all of them gives."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ampliq.catalog.fixtures import Fixtures
@@ -27,7 +25,6 @@ def test_drops_equal_batch_and_restart_adds_nothing(spark, tmp_path):
     rows = fx.reads.select("read_id", "seq", "qual").orderBy("read_id").collect()
     variants_of = dict(sheet=fx.sheet, p=R.ReadParams(**{**PARAMS.__dict__, "tagmm": 1, "minlen": 139, "explen": 10_000_000}))
     calls = CallParams(plen=300, window=100000, code=0, coverage=3)
-    name = f"cov_{uuid.uuid4().hex}"
     for i in range(3):
         drop(folder, f"f{i}.fastq", rows[i::3], cut=i == 1)
         live = reads(S.stream_fastq(spark, str(folder), split_bytes=50_000))
@@ -48,11 +45,11 @@ def test_drops_equal_batch_and_restart_adds_nothing(spark, tmp_path):
     kept = spark.createDataFrame(first.collect(), first.schema)
     step(kept, 0)
     assert {r.sample: r.reads for r in R.sample_coverage(spark.read.parquet(f"{store}/reads")).collect()} == want
-    out = S.run_to_table(R.sample_coverage(demultiplex(reads(S.stream_fastq(spark, str(folder))), **variants_of)), name)
+    out = S.run_to_table(R.sample_coverage(demultiplex(reads(S.stream_fastq(spark, str(folder))), **variants_of)))
     assert {r.sample: r.reads for r in out.collect()} == want
 
 
 def test_yield_closes_old_windows(spark):
     events = Fixtures(spark, SF).stream("events").events
-    out = S.run_to_table(S.stream_yield(events, "ts"), f"y_{uuid.uuid4().hex}", "append")
+    out = S.run_to_table(S.stream_yield(events, "ts"), "append")
     assert 0 < out.agg(F.sum("n")).first()[0] <= 1000
