@@ -90,7 +90,11 @@ def _(fx):
     return R.fastq_histograms(fx.reads).filter("value <> 'q'")
 
 
-@query("a14_quality_histogram")
+@query(
+    "a14_quality_histogram",
+    f"""WITH {_VALUES}, b AS (SELECT min(q) AS lo, max(q) AS hi FROM v)
+    SELECT 'q' AS value, cast(least(floor((q-lo)/(hi-lo)*60),59) AS int) AS bin, count(*) AS n FROM v, b GROUP BY 2""",
+)
 def _(fx):
     return R.fastq_histograms(fx.reads).filter("value = 'q'")
 
@@ -105,9 +109,9 @@ def _(fx):
     return R.fastq_by_group(fx.reads.withColumn("file", F.col("read_id") % 7))
 
 
-@query("a16_sample_reads")
+@query("a16_sample_reads", f"WITH {_VALUES} SELECT read_id, length, round(q,4) AS q FROM v ORDER BY md5(cast(read_id AS varchar)), read_id LIMIT 10000")
 def _(fx):
-    return R.sample_reads(fx.reads, 10000)
+    return R.sample_reads(fx.reads, 10000).withColumn("q", F.round("q", 4))
 
 
 @query(

@@ -250,7 +250,16 @@ def _order_coverage(fx):
 _COV = "WITH c AS (SELECT DISTINCT l_orderkey AS label, cast(s_nationkey AS bigint) AS run FROM lineitem JOIN supplier ON l_suppkey=s_suppkey)"
 
 
-@query("a41_minimal_runs")
+@query(
+    "a41_minimal_runs",
+    """WITH RECURSIVE c AS (SELECT DISTINCT l_orderkey AS label, cast(s_nationkey AS bigint) AS run FROM lineitem JOIN supplier ON l_suppkey=s_suppkey),
+     sets AS (SELECT runs, count(*) AS n FROM (SELECT label, list_sort(list(run)) AS runs FROM c GROUP BY label) x GROUP BY runs),
+     g AS (SELECT 0 AS step, cast(NULL AS bigint) AS run, cast(0 AS bigint) AS gain, cast(0 AS bigint) AS covered, cast([] AS bigint[]) AS chosen
+       UNION ALL SELECT step+1, best.run, best.gain, covered+best.gain, list_append(chosen,best.run)
+       FROM (SELECT g.step, g.covered, g.chosen, (SELECT arg_max({'run':run,'gain':gain},gain*1000-run) FROM (SELECT run, cast(sum(n) AS bigint) AS gain FROM (SELECT unnest(runs) AS run, n FROM sets WHERE NOT list_has_any(runs,g.chosen)) u GROUP BY run) v) AS best FROM g) w
+       WHERE best IS NOT NULL)
+    SELECT cast(step AS int) AS step, run, gain, covered, round(100.0*covered/(SELECT sum(n) FROM sets),1) AS covered_pct FROM g WHERE step>0""",
+)
 def _(fx):
     return R.minimal_runs(_order_coverage(fx))
 
