@@ -22,7 +22,7 @@ from .common import stored
 from .words import LOWER, U64, buffers, mix, pieces
 
 #: Labelled rows of each class, and unlabelled rows, that the classifiers are fitted on at most; chosen by the hash of their ids.
-LABELLED, POOL = 20_000, 20_000
+LABELLED, POOL = 10_000, 10_000
 #: Places for hashed runs of bytes, runs that are kept, least score of a kept run, bytes in a run.
 PLACES_BITS, FEATURES, LEAST_Z, GRAM = 19, 4_096, 4.0, 5
 ROUNDS, SURE = 3, 0.98
@@ -102,16 +102,30 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Sparse:
-    """0/1 rows as sorted (row, column) pairs."""
+    """0/1 rows: the columns of the ones, and where each row's begin. Worked on some rows at a time, so that nothing grows but the ones themselves."""
 
-    def __init__(self, row: np.ndarray, column: np.ndarray, shape: tuple[int, int]):
-        self.row, self.column, self.shape = row, column, shape
+    ROWS = 2_048
+
+    def __init__(self, at: np.ndarray, column: np.ndarray, shape: tuple[int, int]):
+        self.at, self.column, self.shape = at, column.astype(np.int32), shape
+
+    def _parts(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        for low in range(0, self.shape[0], self.ROWS):
+            at = self.at[low : low + self.ROWS + 1]
+            yield slice(low, low + len(at) - 1), at - at[0], self.column[at[0] : at[-1]]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.column], self.shape[0])
+        out = np.zeros(self.shape[0])
+        for rows, at, column in self._parts():
+            total = np.append(0.0, np.cumsum(w[column]))
+            out[rows] = total[at[1:]] - total[at[:-1]]
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, r[self.row], self.shape[1])
+        out = np.zeros(self.shape[1])
+        for rows, at, column in self._parts():
+            out += np.bincount(column, np.repeat(r[rows], np.diff(at)), self.shape[1])
+        return out
 
 
 class Dense:
@@ -274,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     got = sample.mapInArrow(views, schema).orderBy(F.xxhash64("id"), "id").toArrow()
     label = got.column("label").to_numpy()
     found = [np.frombuffer(x, np.int16) for x in got.column("found").to_pylist()]
-    sparse = Sparse(np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found).astype(np.int64), (len(found), FEATURES))
+    sparse = Sparse(np.append(0, np.cumsum([len(f) for f in found])), np.concatenate(found), (len(found), FEATURES))
     page = Dense(np.stack([np.frombuffer(x, np.float16) for x in got.column("page").to_pylist()]))
     held = np.arange(len(label)) % 5 == 0
     model = co_train(sparse, page, label, held, rounds)
