@@ -21,8 +21,8 @@ AMB_PENALTY, GAP_PENALTY, BIT_WEIGHT = 2.0, 2.0, 100.0
 
 
 def rank_hits(hits: DataFrame, order: list[Column | str], query: str = "query_name") -> DataFrame:
-    """Number the hits of each query in source order; one query may hold any number of them."""
-    return running(hits, order, keys=[query], number="hit_rank")
+    """Number the hits of each query in source order; a search returns a bounded number of hits for one query."""
+    return hits.withColumn("hit_rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)).cast("bigint"))
 
 
 def top_hits(hits: DataFrame, n: int, order: list[Column | str], query: str = "query_name") -> DataFrame:

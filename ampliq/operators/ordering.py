@@ -32,6 +32,8 @@ def running(
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if number and not keys and not sums:
+        return _numbered(df, order, number, parts)
     placed = cut(
         df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
     )
@@ -79,6 +81,18 @@ def running(
     return joined.select(*cols)
 
 
+def _numbered(df: DataFrame, order: list[Column], number: str, parts: int) -> DataFrame:
+    """Running numbers over the whole table with one shuffle: an id tells the partition and the place in it."""
+    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    totals = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"))
+    # One row per partition.
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"))
+    joined = placed.join(F.broadcast(shift), part == F.col("_part"))
+    return joined.select(*[placed[c] for c in df.columns], (place + 1 + F.col("_c0")).cast("bigint").alias(number))
+
+
 #: Parts in which a key's rows are limited before they meet.
 TOP_PARTS = 64
 

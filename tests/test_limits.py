@@ -78,3 +78,16 @@ def test_first_rows_of_hot_keys(spark):
     for k in (0, 1, 2):
         own = [r.v for r in rows.filter(F.col("k") == k).orderBy("v").collect()][:1500]
         assert [r.v for r in got.filter(F.col("k") == k).orderBy("rn").collect()] == own
+
+
+@pytest.mark.parametrize("parts", [1, 7, 32])
+def test_running_numbers_for_any_number_of_partitions(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"), (F.col("id") * 7919 % 500 % 3).alias("k"), F.lit(2).alias("w"))
+        assert {r.v: r.rn for r in ordering.running(rows, ["v"]).collect()} == {v: v + 1 for v in range(500)}
+        got = ordering.running(rows, ["v"], keys=["k"], sums={"s": "w"}).collect()
+        assert {r.v: (r.rn, r.s) for r in got} == {v: (v // 3 + 1, 2 * (v // 3 + 1)) for v in range(500)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
