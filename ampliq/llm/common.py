@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,46 @@ def components(edges: DataFrame) -> DataFrame:
         parent = new
         if not changed:
             return parent
+
+
+# -- tables of bits: which hashes may occur, of a size that is given; cells may be shared, which lets more through and never less
+
+
+def by_range(h: np.ndarray, top: int) -> pa.RecordBatch:
+    """Sorted 64-bit hashes cut by their upper ``top`` bits: (range, hashes)."""
+    cut = np.searchsorted(h >> np.uint64(64 - top), np.arange((1 << top) + 1))
+    used = np.flatnonzero(np.diff(cut))
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([h[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary())], ["range", "hashes"])
+
+
+BY_RANGE = "range long, hashes binary"
+
+
+def bit_tables(parts: DataFrame, top: int, wanted: list[tuple[int, int]]) -> list[bytes]:
+    """For each (bits, least) a table of 2^bits bits that marks the cells of hashes coming ``least`` times or more in the rows of ``by_range``.
+
+    A range of hashes is counted by one task; the ranges' parts of the tables, of a fixed size together, are put in order on the driver.
+    """
+
+    def marked(group: pa.Table) -> pa.Table:
+        own = group.column("range")[0].as_py()
+        h, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]), return_counts=True)
+        out = []
+        for bits, least in wanted:
+            block = np.zeros(1 << (bits - top), bool)
+            block[(h[n >= least] >> np.uint64(64 - bits)).astype(np.int64) - (own << (bits - top))] = True
+            out.append(np.packbits(block).tobytes())
+        return pa.table([pa.array([own]), pa.array([out], pa.list_(pa.binary()))], ["range", "blocks"])
+
+    tables = [bytearray(1 << (bits - 3)) for bits, _ in wanted]
+    for r in parts.groupBy("range").applyInArrow(marked, "range long, blocks array<binary>").collect():
+        for table, block in zip(tables, r.blocks):
+            table[r.range * len(block) : (r.range + 1) * len(block)] = block
+    return [bytes(t) for t in tables]
+
+
+def may_hold(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes lie in marked cells of a table (as numpy bytes)."""
+    bits = len(table).bit_length() + 2
+    cell = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1

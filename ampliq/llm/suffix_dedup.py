@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BY_RANGE, bit_tables, by_range, may_hold, stored
 from .words import U64, buffers, hash_slices, mix, pieces
 
 #: Bytes of a string that counts as repeated, and of the anchors that bring equal strings together.
 LENGTH, ANCHOR = 100, 32
 #: An anchor that turns up so often, counting twice at most among texts handled together, has its strings dealt out one by one.
-HOT = 256
+HOT = 4_096
 #: Anchors meant for one shard, most bits of the table of repeated anchors (64 MB), stretches a task combines before it passes them on.
 SHARD_ANCHORS, MOST_BITS, COMBINED = 250_000, 29, 150_000
 _TABLE = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64) << U64(1) | U64(1)
@@ -67,9 +67,12 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     for end in at[1:-1]:
         own[max(0, end - LENGTH + 1) : end] = False
     start, place = start[own], place[own]
-    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)])) if len(start) else none
+    if not len(start):
+        return none.astype(np.uint64), none, none, none
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]))
     last = np.append(new[1:], len(start)) - 1
-    return h[place[new]], place[new], start[new], start[last]
+    # Least hashes are small: spread them anew.
+    return mix(h[place[new]] + U64(1)), place[new], start[new], start[last]
 
 
 # -- suffix arrays
@@ -218,44 +221,30 @@ def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + LENGTH) for p in np.split(starts, cuts) if len(p)]
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal ranges under those given."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
 # -- Spark
 
 
-def _bits(rows: DataFrame, ranges: int, bits: int, hot_bits: int) -> tuple[bytes, bytes]:
-    """Tables of repeated and of hot anchors, a bit for each cell of upper hash bits. Cells may be shared: that sends more than needed and loses nothing."""
-    top = ranges.bit_length() - 1
+def _tables(rows: DataFrame, top: int, bits: int, hot_bits: int) -> list[bytes]:
+    """Tables of repeated and of hot anchors; anchors that share a cell send more than needed and lose nothing."""
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                h, *_ = anchors(*buffers(piece.column("text")))
-                h, n = np.unique(h, return_counts=True)
-                h = np.repeat(h, np.minimum(n, 2))
-                cut = np.searchsorted(h >> U64(64 - top) if top else np.zeros(len(h), np.uint64), np.arange(ranges + 1))
-                used = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([h[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary())], ["range", "hashes"])
-
-    def marked(group: pa.Table) -> pa.Table:
-        own = group.column("range")[0].as_py()
-        h, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]), return_counts=True)
-        out = []
-        for size, least in ((bits, 2), (hot_bits, HOT)):
-            block = np.zeros(1 << (size - top), bool)
-            block[(h[n >= least] >> U64(64 - size)).astype(np.int64) - (own << (size - top))] = True
-            out.append(np.packbits(block).tobytes())
-        return pa.table([pa.array([own]), *(pa.array([x], pa.binary()) for x in out)], ["range", "repeated", "hot"])
-
-    tables = [bytearray(1 << (size - 3)) for size in (bits, hot_bits)]
-    for r in rows.select("text").mapInArrow(passed, "range long, hashes binary").groupBy("range").applyInArrow(marked, "range long, repeated binary, hot binary").collect():
-        for table, part in zip(tables, (r.repeated, r.hot)):
-            table[r.range * len(part) : (r.range + 1) * len(part)] = part
-    return bytes(tables[0]), bytes(tables[1])
-
-
-def _held(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bits = len(table).bit_length() + 2
-    cell = (h >> U64(64 - bits)).astype(np.int64)
-    return (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+                h, n = np.unique(anchors(*buffers(piece.column("text")))[0], return_counts=True)
+                yield by_range(np.repeat(h, np.minimum(n, 2)), top)
+
+    return bit_tables(rows.select("text").mapInArrow(passed, BY_RANGE), top, [(bits, 2), (hot_bits, HOT)])
 
 
 _ROW = "shard int, hash long, doc long, start long, stop long, segment binary"
@@ -263,19 +252,20 @@ _NAMES = ["shard", "hash", "doc", "start", "stop", "segment"]
 _KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
-def _stretches(rows: DataFrame, repeated: bytes, hot: bytes, shards: int) -> DataFrame:
+def _stretches(rows: DataFrame, marks: list[bytes], shards: int) -> DataFrame:
     """Stretches around repeated anchors for the shards, equal ones of a task combined; and ranges (without a segment) that are repeated within a task."""
-    shared = rows.sparkSession.sparkContext.broadcast((repeated, hot))
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(x, np.uint8) for x in shared.value]
         first: dict[bytes, tuple[int, int, int]] = {}  # hash, document, start
-        done: dict[int, list[int]] = {}  # document: starts of strings seen to be repeated
+        done: dict[int, list[tuple[int, int]]] = {}  # document: ranges seen to be repeated
 
         def packed() -> Iterator[pa.RecordBatch]:
-            made = [(int(mix(np.array([h], np.int64).view(np.uint64))[0] % U64(shards)), h, d, a, a + len(s), s) for s, (h, d, a) in first.items()]
-            for d, starts in done.items():
-                made += [(d % shards, 0, d, a, b, None) for a, b in _ranges(np.unique(starts))]
+            dealt = mix(np.fromiter((v[0] for v in first.values()), np.int64, len(first)).view(np.uint64)) % U64(shards)
+            made = [(k, h, d, a, a + len(s), s) for k, (s, (h, d, a)) in zip(dealt.tolist(), first.items())]
+            for d, ranges in done.items():
+                made += [(d % shards, 0, d, a, b, None) for a, b in merged(ranges)]
             for low in range(0, len(made), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made[low : low + 20_000]), _KINDS)], _NAMES)
             first.clear()
@@ -285,9 +275,9 @@ def _stretches(rows: DataFrame, repeated: bytes, hot: bytes, shards: int) -> Dat
             for piece in pieces(batch, "text"):
                 data, at = buffers(piece.column("text"))
                 h, place, low, high = anchors(data, at)
-                keep = _held(tables[0], h)
+                keep = may_hold(tables[0], h)
                 h, low, high = h[keep], low[keep], high[keep]
-                single = _held(tables[1], h)
+                single = may_hold(tables[1], h)
                 # Strings of hot anchors go one by one, by their own hash.
                 n = high[single] - low[single] + 1
                 starts = np.repeat(low[single], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -303,8 +293,8 @@ def _stretches(rows: DataFrame, repeated: bytes, hot: bytes, shards: int) -> Dat
                         if new[1:] < old[1:]:
                             first[segment], old, new = new, new, old
                         if new[1:] != old[1:]:
-                            done.setdefault(new[1], []).extend(range(new[2], new[2] + len(segment) - LENGTH + 1))
-                if len(first) > COMBINED:
+                            done.setdefault(new[1], []).append((new[2], new[2] + len(segment)))
+                if len(first) > COMBINED or len(done) > COMBINED:
                     yield from packed()
         yield from packed()
 
@@ -352,12 +342,12 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = max(1, total // 32)
-    ranges = 1 << max(4, math.ceil(math.log2(max(1, expected / 1_000_000))))
-    bits = min(MOST_BITS, max(16, ranges.bit_length() + 2, math.ceil(math.log2(4 * expected))))
-    repeated, hot = _bits(rows, ranges, bits, max(ranges.bit_length() + 2, bits - 4))
+    top = max(4, math.ceil(math.log2(max(1, expected / 1_000_000))))
+    bits = min(MOST_BITS, max(16, top + 3, math.ceil(math.log2(4 * expected))))
+    marks = _tables(rows, top, bits, max(top + 3, bits - 4))
     shards = max(8, -(-expected // SHARD_ANCHORS))
     # Keyed repartitioning and grouping share one exchange.
-    sent = _stretches(rows, repeated, hot, shards).repartition(shards, "shard")
+    sent = _stretches(rows, marks, shards).repartition(shards, "shard")
     found = sent.groupBy("shard").applyInArrow(_resolve, "doc long, start long, stop long")
     cut = stored(found.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
 
@@ -369,12 +359,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
                 raw = data.tobytes()
                 removed, kept = [], []
                 for own, a, b in zip(piece.column("ranges").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                    runs: list[list[int]] = []
-                    for low, high in sorted((r["start"], r["stop"]) for r in own or ()):
-                        if runs and low <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], high)
-                        else:
-                            runs.append([low, high])
+                    runs = merged([(r["start"], r["stop"]) for r in own or ()])
                     removed.append([{"start": x, "stop": y} for x, y in runs])
                     ends = [0, *(v for r in runs for v in r), b - a]
                     kept.append(b"".join([raw[a + x : a + y] for x, y in zip(ends[::2], ends[1::2])]))
