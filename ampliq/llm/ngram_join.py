@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, stored
+from .common import BY_RANGE, bit_tables, by_range, components, may_hold, stored
 from .words import NOT_SPACE, U64, mix, pieces, shingle_sets, word_hashes
 
 #: Matches that a document may demand at most.
@@ -33,6 +33,8 @@ CHECK_COST = 8
 CELL_BITS, LEVELS = 23, (24, 192, 1_536, 12_288, 98_304)
 #: Elements counted together before their repeated ones are passed on.
 COUNTED = 4_000_000
+#: Bits of the tables of repeated prefix elements and of ids whose sets are needed, 16 MB each; ranges in which hashes are counted.
+TABLE_BITS, RANGE_BITS = 27, 8
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -117,24 +119,47 @@ def prefixes(docs: DataFrame, width: int, p: int, q: int, table: bytes) -> DataF
     return docs.mapInArrow(run, "id long, n long, tokens array<long>")
 
 
+def repeated(prefixes: DataFrame) -> bytes:
+    """A table of the prefix elements that more than one document holds, of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(batch.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_counts=True)
+            if len(h):
+                yield by_range(np.repeat(h, np.minimum(n, 2)), RANGE_BITS)
+
+    return bit_tables(prefixes.select("tokens").mapInArrow(run, BY_RANGE), RANGE_BITS, [(TABLE_BITS, 2)])[0]
+
+
 def postings(prefixes: DataFrame, p: int, q: int) -> DataFrame:
-    """(token, id, n, most, m): the entries of the lists of elements that several prefixes hold, down to the prefix each document chose.
+    """(token, id, n, pos, most, m): the entries of the lists of elements that several prefixes hold, down to the prefix each document chose.
 
-    ``most`` bounds the elements that a document can share with one that it meets here first: elements before it that no other prefix holds are not shared.
+    ``most`` bounds the elements a document can share at all: those before this one that no other prefix holds are not shared.
     """
-    one = prefixes.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
+    shared = prefixes.sparkSession.sparkContext.broadcast(repeated(prefixes))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat, at = tokens.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))])
+            keep = np.flatnonzero(may_hold(table, flat.view(np.uint64)))
+            row = np.searchsorted(at, keep, "right") - 1
+            columns = [batch.column(c).to_numpy()[row] for c in ("id", "n")] + [keep - at[row], flat[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["id", "n", "pos", "token"])
+
+    one = prefixes.mapInArrow(held, "id long, n long, pos long, token long")
     often = one.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     met = one.join(often, "token")
     own, before = W.partitionBy("id"), W.partitionBy("id").orderBy("pos")
-    least = f"({p} * n + {q - 1}) div {q}"
-    met = met.withColumn("least", F.expr(least)).withColumn("most", F.expr("n - pos - 1") + F.row_number().over(before))
+    met = met.withColumn("least", F.expr(f"({p} * n + {q - 1}) div {q}")).withColumn("most", F.expr("n - pos - 1") + F.row_number().over(before))
     cost = [
         F.sum(F.when(F.col("pos") <= F.col("n") - F.col("least") + (m - 1), F.col("df") - 1).otherwise(0)).over(own) * (1 + CHECK_COST / m) + F.when(F.col("least") < m, F.lit(float("inf"))).otherwise(0.0)
         for m in range(1, MOST_MATCHES + 1)
     ]
-    chosen = F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int")
+    chosen = F.array_position(F.array(*cost), F.array_min(F.array(*cost)))
     met = met.withColumn("m", chosen).where("pos <= n - least + m - 1 and most >= least")
-    return met.select("token", "id", "n", "most", "m")
+    return met.select("token", "id", "n", "pos", "most", "m")
 
 
 def _similar(p: int, q: int) -> Column:
@@ -142,6 +167,12 @@ def _similar(p: int, q: int) -> Column:
     return F.expr(f"{q} * least(x.n, y.n) >= {p} * greatest(x.n, y.n) and {p + q} * least(x.most, y.most) >= {p} * (x.n + y.n)")
 
 
+def _within(p: int, q: int) -> Column:
+    """Whether the element stands in the prefixes that x and y need for each other, which follow from what both must share."""
+    shared = f"(({p} * (x.n + y.n) + {p + q - 1}) div {p + q})"
+    return F.expr(f"x.pos < x.n - {shared} + least(x.m, y.m) and y.pos < y.n - {shared} + least(x.m, y.m)")
+
+
 def meeting_points(entries: DataFrame, p: int, q: int) -> DataFrame:
     """(a, b): each document with the one it meets most often among the first documents of its lists, by size class."""
     size = F.floor(F.log("n") / float(np.log(q / p)) + 1e-9).alias("size")
@@ -149,38 +180,55 @@ def meeting_points(entries: DataFrame, p: int, q: int) -> DataFrame:
     # The first document of a list is combined before the shuffle, however long the list.
     first = keyed.groupBy("token", "size").agg(F.min(F.struct("id", "n", "most")).alias("x"), F.count("*").alias("k")).where("k > 1").select("token", "size", "x")
     pairs = keyed.alias("y").join(first, ["token", "size"]).where(F.col("x.id") < F.col("y.id")).where(_similar(p, q))
-    met = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("k"))
+    # Real neighbours share much of their prefixes; others are left to the exact search.
+    met = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("k"), F.min(F.expr(f"y.n - ({p} * y.n + {q - 1}) div {q} + 1")).alias("prefix")).where("4 * k >= prefix")
     return met.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b")
 
 
 def candidates(entries: DataFrame, groups: DataFrame, p: int, q: int) -> DataFrame:
     """(a, b): pairs of documents not yet in one group that share enough prefix elements.
 
-    Lists are joined by group first, so a group never meets itself.
+    Lists are joined by group and size first, so a group never meets itself.
     """
     e = entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     e = stored(e.join(e.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("token"), "token", "left_semi"), "entries")
-    g = e.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most"))
-    meets = F.expr(f"x.component < y.component and {q} * y.high >= {p} * x.low and {q} * x.high >= {p} * y.low and {p + q} * least(x.most, y.most) >= {p} * (x.low + y.low)")
-    both = g.alias("x").join(g.alias("y"), (F.col("x.token") == F.col("y.token")) & meets).select("x.token", F.col("x.component").alias("_x"), F.col("y.component").alias("_y"))
-    left = both.join(e.withColumnRenamed("component", "_x"), ["token", "_x"]).select("token", "_y", F.struct("id", "n", "most", "m").alias("x"))
-    pairs = left.join(e.select("token", F.col("component").alias("_y"), F.struct("id", "n", "most", "m").alias("y")), ["token", "_y"]).where(_similar(p, q))
+    key = ["token", "component", "n"]
+    g = e.groupBy(*key).agg(F.min("pos").alias("pos"), F.max("most").alias("most"), F.max("m").alias("m"))
+    meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & _similar(p, q) & _within(p, q)
+    both = g.alias("x").join(g.alias("y"), meets).select("x.token", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("component", "n")])
+    entry = F.struct("id", "n", "pos", "most", "m")
+    for s in "xy":
+        side = e.select("token", F.col("component").alias(f"{s}_component"), F.col("n").alias(f"{s}_n"), entry.alias(s))
+        both = both.join(side, ["token", f"{s}_component", f"{s}_n"])
     a, b = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
-    return pairs.groupBy(a, b).agg(F.count("*").alias("k"), F.min(F.least("x.m", "y.m")).alias("m")).where("k >= m").select("a", "b")
+    met = both.where(_similar(p, q) & _within(p, q)).groupBy(a, b).agg(F.count("*").alias("k"), F.min(F.least("x.m", "y.m")).alias("m"))
+    return met.where("k >= m").select("a", "b")
+
+
+def full_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(id, tokens): all elements of the documents in pairs (a, b), and perhaps of a few others.
+
+    Which documents those are is told by a table of bits of a fixed size, so that no text is shuffled.
+    """
 
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield by_range(np.unique(mix(np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")]).view(np.uint64))), RANGE_BITS)
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, tokens): all elements of the documents with those ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_tables(pairs.select("a", "b").mapInArrow(told, BY_RANGE), RANGE_BITS, [(TABLE_BITS, 1)])[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
+            batch = batch.filter(pa.array(may_hold(table, mix(batch.column("id").to_numpy().view(np.uint64)))))
             for piece in pieces(batch, "text"):
                 sets = list(_sets(piece.column("text"), width))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([piece.column("id"), tokens], ["id", "tokens"])
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, tokens array<long>")
+    return docs.mapInArrow(run, "id long, tokens array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -192,6 +240,11 @@ def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return sized.where(f"{q} * o >= {p} * (n - o)").select("a", "b", "o")
 
 
+def linked_pairs(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """The similar ones of stored pairs (a, b), stored."""
+    return stored(verified(pairs, stored(full_sets(docs, pairs, width), "sets"), p, q), "links")
+
+
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the size of its shingle set and the smallest id it is linked with over any number of links.
 
@@ -207,10 +260,9 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
     table = levels(first.where("token is not null").select("token", "count"))
     heads = classes.select(F.col("class").alias("id"))
     entries = stored(postings(stored(prefixes(rows, width, p, q, table).join(heads, "id", "left_semi"), "prefixes"), p, q), "entries")
-    sets = stored(full_sets(rows, entries.select("id").distinct(), width), "sets")
-    star = stored(verified(meeting_points(entries, p, q), sets, p, q), "links")
+    star = linked_pairs(rows, stored(meeting_points(entries, p, q), "pairs"), width, p, q)
     near = components(star)
-    rest = stored(verified(candidates(entries, near.select("id", "component"), p, q), sets, p, q), "links")
+    rest = linked_pairs(rows, stored(candidates(entries, near, p, q), "pairs"), width, p, q)
     linked = components(star.select("a", "b").union(rest.select("a", "b")))
     named = classes.join(linked.withColumnRenamed("id", "class"), "class", "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("component_id"))
     empty = own.where("n = 0").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
