@@ -27,7 +27,9 @@ from .words import pieces
 #: The word pattern of byte-level BPE (a fixed value of the public tokenizer).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks of text a worker remembers; after that it starts to remember anew, which changes nothing but time.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+#: Bytes of text that are cut into words at once.
+PIECE = 1 << 20
 #: Words up to this many bytes are merged together as arrays, longer ones by a heap.
 SHORT = 24
 _NONE = -1
@@ -43,6 +45,43 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+class Table:
+    """Numbers by number: a hash table with open addresses, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        keys, first = np.unique(keys, return_index=True)
+        self.bits, self.missing = max(4, int(4 * len(keys)).bit_length()), missing
+        self.keys = np.full(1 << self.bits, _NONE)
+        self.values = np.full(len(self.keys), missing, np.int32)
+        todo, at = np.arange(len(keys)), self._place(keys)
+        while len(todo):
+            free = self.keys[at] == _NONE
+            _, once = np.unique(at[free], return_index=True)
+            put = np.flatnonzero(free)[once]
+            self.keys[at[put]], self.values[at[put]] = keys[todo[put]], values[first[todo[put]]]
+            left = np.ones(len(todo), bool)
+            left[put] = False
+            todo, at = todo[left], (at[left] + 1) & (len(self.keys) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], self.missing)
+        todo = np.flatnonzero((held != keys) & (held != _NONE))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & (len(self.keys) - 1)
+            held = self.keys[at]
+            same = held == keys[todo]
+            out[todo[same]] = self.values[at[same]]
+            more = ~same & (held != _NONE)
+            todo, at = todo[more], at[more]
+        return out
+
+
 class Bpe:
     """A byte-level BPE tokenizer from a tokenizer file; without normaliser, prefix space or dropout."""
 
@@ -59,7 +98,7 @@ class Bpe:
         self.pattern = regex.compile(WORDS)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
-        # A token's own merge tells its halves and rank; merges are found by pair in a hash table with open addresses.
+        # A token's own merge tells its halves and rank; merges are found by pair.
         n = len(self.bytes)
         self.left, self.right, self.when = np.full(n, _NONE), np.full(n, _NONE), np.full(n, _NONE)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -67,25 +106,12 @@ class Bpe:
         self.made = np.array([self.ids[raw[a] + raw[b]] for a, b in merges], np.int64)
         ranks = np.arange(len(pairs))[::-1]
         self.left[self.made[::-1]], self.right[self.made[::-1]], self.when[self.made[::-1]] = pairs[::-1, 0], pairs[::-1, 1], ranks
-        keys, first = np.unique(pairs[:, 0] << 32 | pairs[:, 1], return_index=True)
-        self.table_bits = max(4, int(4 * len(keys)).bit_length())
-        self.table = np.full((1 << self.table_bits) + 1, _NONE)
-        self.table_rank = np.full(len(self.table), _NEVER)
-        todo, at = np.arange(len(keys)), self._place(keys)
-        while len(todo):
-            free = self.table[at] == _NONE
-            _, once = np.unique(at[free], return_index=True)
-            put = np.flatnonzero(free)[once]
-            self.table[at[put]], self.table_rank[at[put]] = keys[todo[put]], first[todo[put]]
-            left = np.ones(len(todo), bool)
-            left[put] = False
-            todo, at = todo[left], (at[left] + 1) & ((1 << self.table_bits) - 1)
-
+        self.merges = Table(pairs[:, 0] << 32 | pairs[:, 1], np.arange(len(pairs)), _NEVER)
         self.byte_ids = np.array([self.ids[bytes([k])] for k in range(256)])
         #: Tokens that their own bytes do not merge to can't be proposed.
         tokens = [t for t in self.ids if len(t) == 1 or self.when[self.ids[t]] != _NONE]
         sound = [t for t, got in zip(tokens, self.merge(tokens)) if got == [self.ids[t]]]
-        # The trie of sound tokens: a row of 256 next nodes for each node with children, the token that ends at each node.
+        # The trie of sound tokens: the next node by node and byte, the token that ends at each node.
         nodes: dict[bytes, int] = {b"": 0}
         ends = [_NONE]
         links: list[tuple[int, int, int]] = []
@@ -97,32 +123,15 @@ class Bpe:
                     ends.append(_NONE)
             ends[nodes[t]] = self.ids[t]
         self.ends = np.array(ends, np.int32)
-        parents = sorted({a for a, _, _ in links})
-        self.row = np.zeros(len(ends), np.int32)
-        self.row[parents] = np.arange(1, len(parents) + 1)
-        self.next = np.full((len(parents) + 1, 256), _NONE, np.int32)
         f, c, to = np.array(links, np.int64).T
-        self.next[self.row[f], c] = to
+        self.next = Table(f << 8 | c, to, _NONE)
         #: Ids, as the bytes of 32-bit integers, of text from a space to before the next one; and of texts' beginnings.
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.table_bits)).astype(np.int64)
-
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge."""
-        keys = a.astype(np.int64) << 32 | b
-        at = self._place(keys)
-        out = np.full(len(keys), _NEVER)
-        todo = np.arange(len(keys))
-        while len(todo):
-            held = self.table[at]
-            same = held == keys[todo]
-            out[todo[same]] = self.table_rank[at[same]]
-            more = ~same & (held != _NONE)
-            todo, at = todo[more], (at[more] + 1) & ((1 << self.table_bits) - 1)
-        return out
+        return self.merges.get(a.astype(np.int64) << 32 | b)
 
     # -- exact merging
 
@@ -169,6 +178,8 @@ class Bpe:
         """The same with a heap and links, for words of any length."""
         ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
+        if n < 2:
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         start = self.ranks(np.array(ids[:-1]), np.array(ids[1:])).tolist()
         heap = [(r, k, ids[k], ids[k + 1]) for k, r in enumerate(start) if r < _NEVER]
@@ -200,7 +211,7 @@ class Bpe:
         best, best_end = np.full(len(starts), _NONE), starts.copy()
         while len(live):
             inside = at[live] < ends[live]
-            to = np.where(inside, self.next[self.row[node[live]], data[np.minimum(at[live], len(data) - 1)]], _NONE)
+            to = np.where(inside, self.next.get(node[live] << 8 | data[np.minimum(at[live], len(data) - 1)]), _NONE)
             on = live[to != _NONE]
             node[on] = to[to != _NONE]
             at[on] += 1
@@ -327,25 +338,30 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (by default all) with ``ids`` (array of int) of the whole text.
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """The columns ``keep`` (by default all) with ``ids`` (array of int) of the whole text and, if a name is given, the text decoded from them.
 
-    ``path`` is a tokenizer file the driver can read. Null and empty texts have no ids; repeated rows each get theirs; a column named ids is replaced.
+    ``path`` is a tokenizer file the driver can read. Null and empty texts have no ids; repeated rows each get theirs; columns with the names of the
+    results are replaced.
     """
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != "ids"]
+    made = ["ids", *([decoded] if decoded else [])]
+    keep = [c for c in (keep if keep is not None else docs.columns) if c not in made]
     spec = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(spec.value)
         for batch in batches:
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, "_text", PIECE):
                 ids = bpe.encode(piece.column("_text").to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), made], [*keep, "ids"])
+                out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
+                if decoded:
+                    out.append(pa.array([bpe.decode(np.frombuffer(i, np.int32)) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *out], [*keep, *made])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    kinds = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in keep] + kinds))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:

@@ -66,10 +66,9 @@ def tokenizer_path() -> str:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded with a public byte-level vocabulary and decoded again."""
-    path = tokenizer_path()
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
+    ids = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"], decoded="decoded")
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return bpe.decode(ids, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,12 +45,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``PIECE_BYTES`` of text each, so that work arrays stay small."""
+def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text each, so that work arrays stay small."""
     _, at = buffers(batch.column(column))
     low = 0
     while low < batch.num_rows:
-        high = max(low + 1, int(np.searchsorted(at, at[low] + PIECE_BYTES, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1)
         yield batch.slice(low, high - low)
         low = high
 
