@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder, stored
+from .common import first_by_hash, shared_folder, stored
 from .words import pieces
 
 #: First bytes of the skippable frame that holds the dictionary (fixed values of the format).
@@ -191,7 +191,7 @@ def read_archive(path: str) -> Iterator[dict]:
 def train_dictionary(pages: DataFrame, payload: str = "html") -> bytes:
     """A dictionary from a bounded sample of payloads, by order of their hash; none if there is too little to train on."""
     text = F.substring(F.col(f"`{payload}`").cast("string"), 1, DICTIONARY_CHARS)
-    rows = pages.select(text.alias("t")).where("length(t) > 0").orderBy(F.xxhash64("t")).limit(DICTIONARY_ROWS).collect()
+    rows = first_by_hash(pages.select(text.alias("t")).where("length(t) > 0"), "t", DICTIONARY_ROWS).collect()
     samples = [record(k, None, r.t.encode(), None) for k, r in enumerate(rows)]
     if sum(map(len, samples)) < 20 * 1024 or len(samples) < 10:
         return b""
