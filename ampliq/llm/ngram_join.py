@@ -32,7 +32,7 @@ CHECK_COST = 8
 #: Cells of the table of levels, and the counts from which an element is on each level.
 CELL_BITS, LEVELS = 23, (24, 192, 1_536, 12_288, 98_304)
 #: Elements counted together before their repeated ones are passed on.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Bits of the tables of repeated prefix elements and of ids whose sets are needed, 16 MB each; ranges in which hashes are counted.
 TABLE_BITS, RANGE_BITS = 27, 8
 

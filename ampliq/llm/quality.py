@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import first_by_hash, stored
 from .words import LOWER, U64, buffers, mix, pieces
 
 #: Labelled rows of each class, and unlabelled rows, that the classifiers are fitted on at most; chosen by the hash of their ids.
@@ -29,6 +29,8 @@ ROUNDS, SURE = 3, 0.98
 #: Probability of good quality at and above which a document is kept.
 KEEP_AT = 0.5
 _LINES, _HASHED = 10, 64
+#: Bytes of text whose runs are held at once: each takes a few numbers of eight bytes.
+PIECE = 1 << 20
 
 
 # -- views
@@ -209,12 +211,11 @@ def co_train(text: Sparse, page: Dense, label: np.ndarray, held: np.ndarray, rou
 
 def _sample(docs: DataFrame, labels: DataFrame, id: str, good: str) -> DataFrame:
     """Bounded rows of ``docs`` with ``_label``: for each class and the unlabelled the first by the hash of the id."""
-    order = F.xxhash64("_id")
     named = labels.select(F.col(f"`{id}`").alias("_id"), F.expr(good).cast("int").alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.min("_label").alias("_label"))
     ids = docs.select(F.col(f"`{id}`").alias("_id")).where("_id is not null")
     known = named.join(ids.distinct(), "_id", "left_semi")
     rest = ids.join(named, "_id", "left_anti").distinct().withColumn("_label", F.lit(-1))
-    parts = [known.where(F.col("_label") == k).orderBy(order).limit(LABELLED) for k in (0, 1)] + [rest.orderBy(order).limit(POOL)]
+    parts = [first_by_hash(known.where(F.col("_label") == k), "_id", LABELLED) for k in (0, 1)] + [first_by_hash(rest, "_id", POOL)]
     chosen = stored(parts[0].union(parts[1]).union(parts[2]), "sample-ids")
     # At most 2 x LABELLED + POOL ids.
     return docs.join(F.broadcast(chosen), F.col(f"`{id}`") == F.col("_id"))
@@ -227,7 +228,7 @@ def _places(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size), np.int32)
         for batch in batches:
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, "_text", PIECE):
                 label = piece.column("_label").to_numpy()
                 text, place = grams(piece.column("_text"))
                 pairs = np.unique(text * size + place)
@@ -277,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, "_text", PIECE):
                 row, feature = occurring(piece.column("_text"), shared.value)
                 at = np.searchsorted(row, np.arange(piece.num_rows + 1))
                 found = [feature[a:b].astype(np.int16).tobytes() for a, b in zip(at[:-1], at[1:])]
@@ -310,7 +311,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", source: str = "sour
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
         for batch in batches:
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, "_text", PIECE):
                 row, feature = occurring(piece.column("_text"), m.chosen)
                 a = np.bincount(row, m.text[feature], piece.num_rows) + m.text[-1]
                 b = layout(piece, "_text", "_source", "_lang") @ m.page[:-1] + m.page[-1] if len(m.page) > 1 else np.zeros(piece.num_rows)
