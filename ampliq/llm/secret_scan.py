@@ -2,7 +2,7 @@
 
 A text is the first layer. Every layer is searched for the base patterns and for encodings: percent codes and character escapes give a layer of the
 whole text with those decoded, base64 runs give a layer each, and compressed bytes inside base64 are unpacked. New layers go onto the worklist until
-none is left; a layer seen before is not taken up again, so cycles end. Each layer knows for every character the stretch of the original text it came
+none is left; a layer seen before at the same place is not taken up again, so cycles end. Each layer knows for every character the stretch of the original text it came
 from, and what is found in it is reported there.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import html
 import lzma
 import re
@@ -51,6 +52,11 @@ class Layer:
     def span(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.low is None else (int(self.low[start:end].min()), int(self.high[start:end].max()))
 
+    def key(self) -> tuple[bytes, int, int]:
+        """What tells layers apart: the text (as a digest) and the stretch it came from, for equal texts at two places are two layers."""
+        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        return digest, *self.span(0, len(self.text))
+
     def child(self, text: str, start: np.ndarray, end: np.ndarray, new: np.ndarray | None, how: str) -> Layer:
         """A layer whose characters came from the stretches start..end of this one."""
         low = start if self.low is None else self.low[start]
@@ -181,7 +187,8 @@ def _from_base64(layer: Layer, low: int, high: int, most: int) -> Layer | None:
 def scan_text(text: str, most: int = LAYER_BYTES) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, via): base spans with via = "" first found, then those of decoded layers, by start, kind and end; code points, end exclusive."""
     found: dict[tuple[int, int, int], str] = {}
-    todo, seen = [Layer(text)], {text}
+    root = Layer(text)
+    todo, seen = [root], {root.key()}
     while todo:
         layer = todo.pop()
         for kind, a, b in matches(layer.text):
@@ -197,8 +204,8 @@ def scan_text(text: str, most: int = LAYER_BYTES) -> list[tuple[str, int, int, s
             if layer.new is None or layer.new[m.start() : m.end()].any():
                 made.append(_from_base64(layer, m.start(), m.end(), most))
         for x in made:
-            if x is not None and x.text not in seen:
-                seen.add(x.text)
+            if x is not None and (key := x.key()) not in seen:
+                seen.add(key)
                 todo.append(x)
     kinds = list(KINDS)
     return [(kinds[k], a, b, via) for (a, k, b), via in sorted(found.items())]

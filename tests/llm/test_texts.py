@@ -129,6 +129,19 @@ def test_cycles_end_and_redaction():
     assert secret_scan.redact_text(text, [s[1:3] for s in secret_scan.scan_text(text)], "#") == "a # # z"
 
 
+def test_equal_encodings_are_each_found(spark):
+    plain = base64.b64encode(b"here is password=hunter2hunter2").decode()
+    packed = base64.b64encode(gzip.compress(b"here is password=hunter2hunter2")).decode()
+    for run in (plain, packed):
+        text = f"a {run} b {run} c"
+        spans = secret_scan.scan_text(text)
+        assert [s[0] for s in spans] == ["assign", "assign"] and spans[1][1] - spans[0][1] == len(run) + 3
+        twice = base64.b64encode(text.encode()).decode()
+        assert len(secret_scan.scan_text(f"{twice} {twice}")) == 4
+        (row,) = secret_scan.scan(spark.createDataFrame([(text,)], "text string"), redact="#").collect()
+        assert row.text.count("#") == 2 and run[-20:] not in row.text
+
+
 def test_secret_edges(spark):
     docs = edge_docs(spark)
     rows = secret_scan.scan(docs, redact="[X]").collect()
