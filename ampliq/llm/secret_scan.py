@@ -36,7 +36,9 @@ KINDS = {
 }
 _ORDER = {kind: k for k, kind in enumerate(KINDS)}
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_RUN = re.compile(r"(?:[A-Za-z0-9+/]{76}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64 letters one right under the other, or one line of 16 or more.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{4,}+\r?\n)+[A-Za-z0-9+/_-]++={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE = re.compile(r"([A-Za-z0-9+/_-]+)(=*)(?:\r?\n)?")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|apos|amp|lt|gt|colon|equals|lowbar|nbsp|sol|period|hyphen|plus);")
 #: Bytes to which one layer may unpack; more is a bomb, whose beginning up to here is scanned and reported as cut.
@@ -153,12 +155,33 @@ def _readable(text: str) -> bool:
     return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text[:4096]) >= 0.95 * min(len(text), 4096)
 
 
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of 16 or more base64 letters: lines of one length, any multiple of four, and a last one that may be shorter."""
+    for m in _LINES.finditer(text):
+        low = high = width = letters = 0
+        joins, plain, safe = False, False, False  # whether a next line can follow; + or / so far, - or _ so far
+        for x in _LINE.finditer(text, m.start(), m.end()):
+            n = len(x[1])
+            own_plain, own_safe = "+" in x[1] or "/" in x[1], "-" in x[1] or "_" in x[1]
+            if joins and n <= width and not ((plain or own_plain) and (safe or own_safe)):
+                high, letters = x.end(2), letters + n
+                joins = n == width and not x[2]
+                plain, safe = plain or own_plain, safe or own_safe
+                continue
+            if letters >= 16:
+                yield low, high
+            low, high, width, letters, joins = x.start(), x.end(2), n, n, n % 4 == 0 and not x[2]
+            plain, safe = own_plain, own_safe
+        if letters >= 16:
+            yield low, high
+
+
 def _from_base64(layer: Layer, low: int, high: int, most: int) -> Layer | None:
     """The text inside one run of base64 letters, unpacked if it is compressed."""
-    at = np.array([k for k in range(low, high) if layer.text[k] not in "\r\n="], np.int64)
     letters = layer.text[low:high].translate({10: None, 13: None, 61: None}).translate({45: 43, 95: 47})
-    if len(letters) % 4 == 1:
-        return None
+    if len(letters) % 4 == 1:  # the last letter alone holds no byte
+        letters = letters[:-1]
+    at = low + np.flatnonzero(~np.isin(np.frombuffer(layer.text[low:high].encode(), np.uint8), (10, 13, 61)))[: len(letters)]
     try:
         raw = base64.b64decode(letters + "=" * (-len(letters) % 4))
     except (binascii.Error, ValueError):
@@ -200,9 +223,9 @@ def scan_text(text: str, most: int = LAYER_BYTES) -> list[tuple[str, int, int, s
             made.append(_replaced(layer, _PERCENT, _from_percent, "url"))
         if "\\" in layer.text or "&" in layer.text:
             made.append(_replaced(layer, _ESCAPE, _from_escape, "unicode"))
-        for m in _RUN.finditer(layer.text):
-            if layer.new is None or layer.new[m.start() : m.end()].any():
-                made.append(_from_base64(layer, m.start(), m.end(), most))
+        for low, high in runs(layer.text):
+            if layer.new is None or layer.new[low:high].any():
+                made.append(_from_base64(layer, low, high, most))
         for x in made:
             if x is not None and (key := x.key()) not in seen:
                 seen.add(key)

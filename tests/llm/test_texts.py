@@ -142,6 +142,21 @@ def test_equal_encodings_are_each_found(spark):
         assert row.text.count("#") == 2 and run[-20:] not in row.text
 
 
+def wrapped(raw, width, end="\n"):
+    run = base64.b64encode(raw).decode()
+    return end.join(run[k : k + width] for k in range(0, len(run), width))
+
+
+@pytest.mark.parametrize("width", [4, 20, 64, 76, 100])
+def test_wrapped_base64(width):
+    blob = gzip.compress(b"".join(b"line %d of many, %d\n" % (k, k * k) for k in range(300)) + b"password=hunter2", mtime=0)
+    for size in range(40, 90):  # every place of the secret in its line, every length of the last line
+        for end in ("\n", "\r\n"):
+            assert [s[0] for s in secret_scan.scan_text(f"see: {wrapped(b'x' * size + b' password=hunter2', width, end)}")] == ["assign"]
+    assert [(k, v) for k, _, _, v in secret_scan.scan_text("-----BEGIN X-----\n" + wrapped(blob, width) + "\n-----END X-----\n")] == [("assign", "base64>gzip")]
+    assert list(secret_scan.runs("ab\ncdef\n" + "A" * 64 + "\n" + "B" * 64 + "\nCC== dddd\neeee")) == [(8, 142)]
+
+
 def test_secret_edges(spark):
     docs = edge_docs(spark)
     rows = secret_scan.scan(docs, redact="[X]").collect()
