@@ -41,8 +41,12 @@ _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{4,}+\r?\n)+[A-Za-z0
 _LINE = re.compile(r"([A-Za-z0-9+/_-]+)(=*)(?:\r?\n)?")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|apos|amp|lt|gt|colon|equals|lowbar|nbsp|sol|period|hyphen|plus);")
-#: Bytes to which one layer may unpack; more is a bomb, whose beginning up to here is scanned and reported as cut.
-LAYER_BYTES = 64 << 20
+#: What compressed bytes are unpacked to at once, and what is looked at to tell a stream that holds itself.
+CHUNK, HEAD = 1 << 20, 1 << 16
+#: Bytes of one layer at most: what is unpacked comes in parts, and those without a place to cut overlap.
+LAYER_BYTES = 16 << 20
+#: Characters that are in no pattern and no encoding, and are left as they are by every decoding; a line that is empty ends what is before it too.
+_BREAK = re.compile(rb"[,()<>!?@$*\[\]|~^`\t]\0?|\n\n")
 
 
 class Layer:
@@ -79,11 +83,8 @@ def matches(text: str) -> Iterator[tuple[str, int, int]]:
                 yield kind, m.start(), m.end()
 
 
-def _from_percent(code: str) -> str | None:
-    try:
-        return bytes.fromhex(code.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _from_percent(code: str) -> str:
+    return _bytes_text(bytes.fromhex(code.replace("%", "")))
 
 
 def _from_escape(code: str) -> str | None:
@@ -93,7 +94,7 @@ def _from_escape(code: str) -> str | None:
         if code.startswith("\\u{"):
             return chr(int(code[3:-1], 16)).encode().decode()
         if code.startswith("\\u"):
-            return bytes.fromhex(code.replace("\\u", "")).decode("utf-16-be")
+            return bytes.fromhex(code.replace("\\u", "")).decode("utf-16-be", "replace")
         return html.unescape(code)
     except (ValueError, UnicodeError):
         return None
@@ -116,7 +117,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, how: str) -> Layer | No
         kept = np.arange(at, m.start())
         text += [layer.text[at : m.start()], made]
         # Codes of one size each give one character; else all share the run.
-        if (m.end() - m.start()) % len(made) == 0 and max(made) < ("\x80" if how == "url" else "\U00010000"):
+        if m.end() - m.start() == 3 * len(made) if how == "url" else (m.end() - m.start()) % len(made) == 0 and max(made) < "\U00010000":
             step = (m.end() - m.start()) // len(made)
             low = m.start() + step * np.arange(len(made))
             high = low + step
@@ -132,27 +133,130 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, how: str) -> Layer | No
     return layer.child("".join([*text, layer.text[at:]]), np.concatenate([*start, kept]), np.concatenate([*end, kept + 1]), np.concatenate([*new, np.zeros(len(kept), bool)]), how)
 
 
-def unpack(raw: bytes, most: int = LAYER_BYTES) -> tuple[bytes, str] | None:
-    """(bytes, format) of compressed bytes by their first bytes; at most ``most`` bytes, and damaged streams as far as they go."""
+class _Source:
+    """Bytes that come in chunks, with a look at the next ones and a way to give some back."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held, self.at, self.refused = chunks, b"", 0, False
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and (more := next(self.chunks, None)) is not None:
+            self.held, self.at = self.held[self.at :] + more, 0
+        return self.held[self.at : self.at + n]
+
+    def read(self, n: int) -> bytes:
+        got = self.peek(1) and self.held[self.at : self.at + n]
+        self.at += len(got)
+        return got
+
+    def back(self, raw: bytes) -> None:
+        self.held, self.at = raw + self.held[self.at :], 0
+
+
+def _opener(head: bytes) -> str | None:
+    """The format of compressed bytes by their first ones."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if head[:4] == b"\x28\xb5\x2f\xfd" or head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5:  # a frame, or one to be skipped
+        return "zstd"
+    if head[:3] == b"BZh":
+        return "bz2"
+    if head[:6] == b"\xfd7zXZ\0":
+        return "xz"
+    return "zlib" if len(head) > 2 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0 else None
+
+
+def _member(source: _Source, form: str) -> Iterator[bytes]:
+    """The bytes of one compressed stream, in chunks; ``source`` then stands behind it. A damaged stream ends where the damage is.
+
+    What opens like a stream but is none is put back whole, and ``source.refused`` is set.
+    """
+    source.refused = False
+    one = {
+        "gzip": lambda: zlib.decompressobj(31),
+        "zlib": zlib.decompressobj,
+        "bz2": bz2.BZ2Decompressor,
+        "xz": lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ),
+        "zstd": lambda: zstandard.ZstdDecompressor().decompressobj(),
+    }[form]()
+    given, read = False, b""
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, most), "gzip"
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().stream_reader(raw).read(most), "zstd"
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, most), "bz2"
-        if raw[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(raw, most), "xz"
-        if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, most), "zlib"
+        while not one.eof and (raw := source.read(256 if form == "zstd" else CHUNK)):  # zstd has no limit to what it gives for its input
+            if not given:
+                read += raw
+            while True:
+                out = one.decompress(raw) if form == "zstd" else one.decompress(raw, CHUNK)
+                if out:
+                    given = True
+                    yield out
+                raw = getattr(one, "unconsumed_tail", b"")
+                if one.eof or not (raw or len(out) == CHUNK and form != "zstd" or form in ("bz2", "xz") and not one.needs_input):
+                    break
+        if one.eof:
+            source.back(one.unused_data)
+            return
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
         pass
-    return None
+    if not given:
+        source.back(read)
+        source.refused = True
+
+
+def _cuts(source: _Source, most: int) -> Iterator[bytes]:
+    """The rest of the bytes in parts, cut where nothing that is searched for can go on; without such a place in ``most`` bytes, parts overlap by a quarter."""
+    held = b""
+    while more := source.read(CHUNK):
+        held += more
+        while len(held) >= min(2 * CHUNK, most):
+            at = max((m.end() for m in _BREAK.finditer(held, max(0, len(held) - CHUNK))), default=0)
+            if at:
+                yield held[:at]
+                held = held[at:]
+            elif len(held) >= most:
+                yield held[:most]
+                held = held[most - most // 4 :]
+            else:
+                break
+    if held:
+        yield held
+
+
+def unpack(raw: bytes, most: int = LAYER_BYTES) -> Iterator[tuple[str, bytes]]:
+    """(way, bytes) of all that is in ``raw``: streams one after the other and inside each other unpacked to their ends, and what is around them.
+
+    The way is empty for bytes that are not compressed, else such as >gzip>xz.
+    """
+
+    def inside(source: _Source, way: str, heads: tuple[bytes, ...]) -> Iterator[tuple[str, bytes]]:
+        while head := source.peek(HEAD):
+            form = _opener(head[:6])
+            # A stream that holds itself is not followed on.
+            if form is not None and head not in heads and len(heads) < 100:
+                yield from inside(_Source(_member(source, form)), f"{way}>{form}", (*heads, head))
+                if not source.refused:
+                    while (zeros := source.peek(HEAD)) and zeros[:1] == b"\0":  # padding
+                        source.read(len(zeros) - len(zeros.lstrip(b"\0")))
+                    continue
+            yield from ((way, part) for part in _cuts(source, most))
 
+    return inside(_Source(iter((raw,))), "", ())
 
-def _readable(text: str) -> bool:
-    """Whether decoded bytes look like text: few control characters."""
-    return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text[:4096]) >= 0.95 * min(len(text), 4096)
+
+def _views(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, offset, bytes a character) of bytes as text: UTF-8 (0: by character) or else Latin-1, and UTF-16 if there are NULs.
+
+    Only ASCII is searched for, so UTF-16 units beyond it all become one character; both places of a unit's first byte, hence both byte orders, are tried.
+    """
+    try:
+        text = raw.decode()
+        yield text, 0, 1 if text.isascii() else 0
+    except UnicodeDecodeError:
+        yield raw.decode("latin-1"), 0, 1
+    if b"\0" in raw:
+        for offset in (0, 1):
+            units = np.frombuffer(raw, "<u2", (len(raw) - offset) // 2, offset)
+            if (units < 128).any():
+                yield np.where(units < 128, units, 0xFFFD).astype("<u2").tobytes().decode("utf-16-le"), offset, 2
 
 
 def runs(text: str) -> Iterator[tuple[int, int]]:
@@ -176,44 +280,58 @@ def runs(text: str) -> Iterator[tuple[int, int]]:
             yield low, high
 
 
-def _from_base64(layer: Layer, low: int, high: int, most: int) -> Layer | None:
-    """The text inside one run of base64 letters, unpacked if it is compressed."""
-    letters = layer.text[low:high].translate({10: None, 13: None, 61: None}).translate({45: 43, 95: 47})
+def _from_base64(layer: Layer, low: int, high: int, most: int) -> Iterator[Layer]:
+    """The texts inside one run of base64 letters, unpacked if it is compressed."""
+    run = layer.text[low:high]
+    letters = run.translate({10: None, 13: None, 61: None}).translate({45: 43, 95: 47})
     if len(letters) % 4 == 1:  # the last letter alone holds no byte
         letters = letters[:-1]
-    at = low + np.flatnonzero(~np.isin(np.frombuffer(layer.text[low:high].encode(), np.uint8), (10, 13, 61)))[: len(letters)]
     try:
         raw = base64.b64decode(letters + "=" * (-len(letters) % 4))
     except (binascii.Error, ValueError):
-        return None
-    how, packed = "base64", None
-    while (packed := unpack(raw, most)) is not None:  # layers of compression one inside the other
-        raw, form = packed
-        how += f">{form}"
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if not _readable(text):
-        return None
-    if ">" in how:
-        start, end = np.full(len(text), low), np.full(len(text), high)
-    else:
+        return
+    # Lines of one length may be values of their own: a stream can begin with any line that no stream before it has taken.
+    line = run.find("\n")
+    width = len(run[:line].rstrip("\r")) if line >= 0 else len(letters)
+    at = low + np.flatnonzero(~np.isin(np.frombuffer(run.encode(), np.uint8), (10, 13, 61)))[: len(letters)]
+    begins, done = False, 0
+    for k in range(0, len(letters), width):
+        place = k // 4 * 3
+        if place < done or _opener(raw[place : place + 6]) is None:
+            continue
+        found, left = False, 0
+        for way, part in unpack(raw[place:], most):
+            if not way and not found:  # no stream after all
+                break
+            found, begins = True, begins or not place
+            left += 0 if way else len(part)
+            if way or begins:
+                a, b = layer.span(int(at[k]), high)
+                for text, _, _ in _views(part):
+                    yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)), None, f"{layer.via}>base64{way}" if layer.via else f"base64{way}")
+        done = len(raw) - left if found else done
+    for text, offset, width in _views(raw) if not begins else ():
         # Three bytes come from four letters; a character begins with its first byte.
-        size = np.array([len(c.encode()) for c in text], np.int64) if not text.isascii() else np.ones(len(text), np.int64)
-        first = np.cumsum(size) - size
+        size = np.full(len(text), width) if width else np.array([len(c.encode()) for c in text], np.int64)
+        first = offset + np.cumsum(size) - size
         start = at[np.minimum(first * 8 // 6, len(at) - 1)]
         end = at[np.minimum(((first + size) * 8 - 1) // 6, len(at) - 1)] + 1
-    return layer.child(text, start, end, None, how)
+        yield layer.child(text, start, end, None, "base64")
 
 
 def scan_text(text: str, most: int = LAYER_BYTES) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, via): base spans with via = "" first found, then those of decoded layers, by start, kind and end; code points, end exclusive."""
     found: dict[tuple[int, int, int], str] = {}
     root = Layer(text)
-    todo, seen = [root], {root.key()}
+    todo, seen = [iter((root,))], set()
     while todo:
-        layer = todo.pop()
+        # Layers are made one at a time: many may come out of one run.
+        if (layer := next(todo[-1], None)) is None:
+            todo.pop()
+            continue
+        if not layer.text or (key := layer.key()) in seen:
+            continue
+        seen.add(key)
         for kind, a, b in matches(layer.text):
             if layer.new is None or layer.new[a:b].any():
                 start, end = layer.span(a, b)
@@ -223,13 +341,10 @@ def scan_text(text: str, most: int = LAYER_BYTES) -> list[tuple[str, int, int, s
             made.append(_replaced(layer, _PERCENT, _from_percent, "url"))
         if "\\" in layer.text or "&" in layer.text:
             made.append(_replaced(layer, _ESCAPE, _from_escape, "unicode"))
+        todo += [iter((x,)) for x in made if x is not None]
         for low, high in runs(layer.text):
             if layer.new is None or layer.new[low:high].any():
-                made.append(_from_base64(layer, low, high, most))
-        for x in made:
-            if x is not None and (key := x.key()) not in seen:
-                seen.add(key)
-                todo.append(x)
+                todo.append(_from_base64(layer, low, high, most))
     kinds = list(KINDS)
     return [(kinds[k], a, b, via) for (a, k, b), via in sorted(found.items())]
 

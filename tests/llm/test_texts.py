@@ -1,16 +1,20 @@
 """Operators that work text by text: benchmark search, secrets, tokens, fingerprints, HTML."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
+import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -157,6 +161,53 @@ def test_wrapped_base64(width):
     assert list(secret_scan.runs("ab\ncdef\n" + "A" * 64 + "\n" + "B" * 64 + "\nCC== dddd\neeee")) == [(8, 142)]
 
 
+PACKED = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}
+
+
+def ways(raw):
+    return [(kind, via) for kind, _, _, via in secret_scan.scan_text("q " + base64.b64encode(raw).decode())]
+
+
+@pytest.mark.parametrize("form", PACKED)
+def test_all_that_is_packed_is_scanned(form, monkeypatch):
+    pack, other = PACKED[form], PACKED["xz" if form == "gzip" else "gzip"]
+    monkeypatch.setattr(secret_scan, "CHUNK", 1000, raising=False)
+    found = [("assign", f"base64>{form}")]
+    assert ways(pack(b"x" * 50) + pack(b"") + pack(b"y password=hunter2")) == found
+    assert ways(other(b"nothing") + pack(b"password=hunter2")) == found
+    assert ways(pack(b"nothing") + b"\0" * 8 + pack(b"password=hunter2")) == found
+    assert ways(pack(b"nothing") + b" password=hunter2") == [("assign", "base64")]
+    assert ways(pack(other(b"nothing") + pack(b"password=hunter2"))) == [("assign", f"base64>{form}>{form}")]
+    # Past what is held at once: with places to cut, in letters of two bytes, and without any place.
+    for filler in (b"some words, and some more\n" * 900, "日本é".encode() * 3000, b"g" * 20_000):
+        for most in (5_000, 16 << 20):
+            text = base64.b64encode(pack(filler + b" password=hunter2 " + filler)).decode()
+            assert [(s[0], s[3]) for s in secret_scan.scan_text(text, most)] == found
+    # A secret or an encoded one at every place of a cut.
+    coded = base64.b64encode(b"the password=hunter2").decode()
+    for size in range(1940, 2010, 3):
+        for inner, kinds in ((b"password=hunter2", found), (coded.encode(), [("assign", f"base64>{form}>base64")])):
+            assert ways(pack(b"words and, " + b"w " * (size // 2) + b"(" + inner + b") " + b", more" * 1000)) == kinds
+
+
+def test_decoded_bytes_in_any_encoding():
+    assert secret_scan.scan_text("x " + base64.b64encode("$x; password=hunter2 é".encode("utf-16-le")).decode())[0][0] == "assign"
+    for raw in ("$x; password=hunter2 日本".encode("utf-16"), "x password=hunter2 é".encode("utf-16-be"), "é password=hunter2 ü".encode("latin-1"), bytes(range(256)) * 3 + b"password=hunter2", b"x = 1; password=hunter2"):
+        text = "q " + base64.b64encode(raw).decode()
+        ((kind, a, b, via),) = secret_scan.scan_text(text)
+        assert (kind, via) == ("assign", "base64") and b - a <= 2 * 16 * 4 / 3 + 8
+        own = base64.b64decode(text[a - (a - 2) % 4 : b + -(b - 2) % 4])
+        assert b"hunter2" in own.replace(b"\0", b"")
+    assert found("see %FFpassword%3Dhunter2%FF now") == [("assign", "password%3Dhunter2", "url")]
+    assert found("%FF" + "".join(f"%{c:02x}" for c in b" token=abcdefgh")) == [("assign", "".join(f"%{c:02x}" for c in b"token=abcdefgh"), "url")]
+    assert found("\\ud800" + "".join(f"\\u{c:04x}" for c in b" token=abcdefgh")) == [("assign", "".join(f"\\u{c:04x}" for c in b"token=abcdefgh"), "unicode")]
+    blob = gzip.compress(b"password=hunter2", mtime=0)
+    while len(blob) % 3:
+        blob += b"\0"
+    lines = base64.b64encode(b"q" * len(blob)).decode() + "\n" + base64.b64encode(blob).decode()
+    assert secret_scan.scan_text(lines) == [("assign", len(blob) // 3 * 4 + 1, len(lines), "base64>gzip")]
+
+
 def test_secret_edges(spark):
     docs = edge_docs(spark)
     rows = secret_scan.scan(docs, redact="[X]").collect()
