@@ -4,12 +4,13 @@ One classifier sees the text's content (which runs of five bytes occur), the oth
 shares of kinds of characters). Both start from the labelled rows; over rounds each labels the unlabelled rows it is sure of for the other. Held-out
 labels calibrate both views and the weights with which they are combined, and the combination scores every document.
 
-Fitting uses a bounded sample of labelled and of unlabelled rows (``LABELLED``, ``POOL``); scoring covers all rows.
+Only the labelled rows are sampled (``LABELLED``). Every round labels all unlabelled rows in Spark tasks, which return sums of loss and gradient, so the
+driver holds weights only; scoring covers all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,11 +22,13 @@ from pyspark.sql import types as T
 from .common import first_by_hash, stored
 from .words import LOWER, U64, buffers, mix, pieces
 
-#: Labelled rows of each class, and unlabelled rows, that the classifiers are fitted on at most; chosen by the hash of their ids.
-LABELLED, POOL = 10_000, 10_000
+#: Labelled rows of each class that the classifiers are fitted on at most; chosen by the hash of their ids.
+LABELLED = 20_000
 #: Places for hashed runs of bytes, runs that are kept, least score of a kept run, bytes in a run.
 PLACES_BITS, FEATURES, LEAST_Z, GRAM = 19, 4_096, 4.0, 5
 ROUNDS, SURE = 3, 0.98
+#: Passes over the unlabelled rows in a round, at most.
+PASSES = 8
 #: Probability of good quality at and above which a document is kept.
 KEEP_AT = 0.5
 _LINES, _HASHED = 10, 64
@@ -153,6 +156,49 @@ def fit_logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, penalty:
     return w
 
 
+def descend(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, passes: int) -> np.ndarray:
+    """The best point found from ``start`` by a quasi-Newton method (L-BFGS) with so many calls of ``loss`` (value, gradient)."""
+    value, g = loss(start)
+    w, steps, step = start, [], 1.0
+    for _ in range(passes - 1):
+        d, back = g.copy(), []
+        for s, y in reversed(steps):
+            back.append((s @ d) / (s @ y))
+            d -= back[-1] * y
+        if steps:
+            s, y = steps[-1]
+            d *= (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(back)):
+            d += (a - (y @ d) / (s @ y)) * s
+        size = step if steps else step / max(1.0, float(np.linalg.norm(g)))
+        at = w - size * d
+        new, new_g = loss(at)
+        if new > value - 1e-4 * size * (g @ d):
+            step /= 4  # too far: try nearer
+            continue
+        if (at - w) @ (new_g - g) > 1e-12:
+            steps.append((at - w, new_g - g))
+        w, value, g, step = at, new, new_g, 1.0
+    return w
+
+
+def sums(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic loss and its gradient over weighted rows."""
+    z = x.dot(w[:-1]) + w[-1]
+    r = weight * (_sigmoid(z) - y)
+    return float(weight @ (np.logaddexp(0, z) - y * z)), np.append(x.back(r), r.sum())
+
+
+def taught(raw: np.ndarray, sure: float = SURE) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a view is sure of each row, the label it gives)."""
+    p = _sigmoid(raw)
+    return (p >= sure) | (p <= 1 - sure), (p >= 0.5).astype(float)
+
+
+#: By the weights that label and the present ones of both views: for each view loss, gradient and number of the rows that the other one is sure of.
+Far = Callable[[list[np.ndarray], list[np.ndarray]], list[tuple[float, np.ndarray, int]]]
+
+
 @dataclass
 class Model:
     """What scoring needs: the chosen runs, both views' weights, their calibration and combination."""
@@ -171,8 +217,11 @@ class Model:
         return _sigmoid(wa * a + wb * b + bias), _sigmoid(a), _sigmoid(b)
 
 
-def co_train(text: Sparse, page: Dense, label: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> Model:
-    """Fit both views. ``label``: 1 good, 0 bad, -1 unlabelled; ``held``: labelled rows kept back for calibration."""
+def co_train(text: Sparse, page: Dense, label: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, sure: float = SURE, far: Far | None = None) -> Model:
+    """Fit both views. ``label``: 1 good, 0 bad, -1 unlabelled; ``held``: labelled rows kept back for calibration.
+
+    With ``far`` the unlabelled rows are elsewhere and only their sums come here.
+    """
     model = Model()
     known = (label >= 0) & ~held
     start = np.where(known, label, 0).astype(float)
@@ -180,7 +229,13 @@ def co_train(text: Sparse, page: Dense, label: np.ndarray, held: np.ndarray, rou
     weight = [known.astype(float), known.astype(float)]
     views: list[Sparse | Dense] = [text, page]
     fitted: list[np.ndarray] = []
-    for step in range(rounds + 1):
+    if far is not None:
+        fitted = [fit_logistic(x, y[k], weight[k]) for k, x in enumerate(views)]
+        for _ in range(rounds):
+            fitted, told = _taught_by_far(views, start, known.astype(float), fitted, far)
+            model.pseudo_labels.append((told[1], told[0]))
+        raw = [x.dot(w[:-1]) + w[-1] for x, w in zip(views, fitted)]
+    for step in range(rounds + 1 if far is None else 0):
         # Later rounds go on from where the first one ended.
         fitted = [fit_logistic(x, y[k], weight[k], steps=60 if step else 200, start=fitted[k] if step else None) for k, x in enumerate(views)]
         raw = [x.dot(w[:-1]) + w[-1] for x, w in zip(views, fitted)]
@@ -188,9 +243,9 @@ def co_train(text: Sparse, page: Dense, label: np.ndarray, held: np.ndarray, rou
             break
         # Each view labels for the other what it is sure of; a label counts half as much as a given one.
         for k, other in ((0, 1), (1, 0)):
-            p = _sigmoid(raw[k])
-            told = (label < 0) & ((p >= sure) | (p <= 1 - sure))
-            y[other] = np.where(told, (p >= 0.5).astype(float), y[other])
+            certain, given = taught(raw[k], sure)
+            told = (label < 0) & certain
+            y[other] = np.where(told, given, y[other])
             weight[other] = np.where(label < 0, 0.5 * told, weight[other])
         model.pseudo_labels.append((int((weight[1][label < 0] > 0).sum()), int((weight[0][label < 0] > 0).sum())))
     model.text, model.page = fitted
@@ -206,21 +261,89 @@ def co_train(text: Sparse, page: Dense, label: np.ndarray, held: np.ndarray, rou
     return model
 
 
+def _taught_by_far(views: list[Sparse | Dense], y: np.ndarray, weight: np.ndarray, fitted: list[np.ndarray], far: Far, penalty: float = 0.1) -> tuple[list[np.ndarray], list[int]]:
+    """One round over all unlabelled rows: (weights of both views, numbers of rows each was taught).
+
+    A told label counts half as much as a given one, and all of them together at most half as much as all given ones, however many they are.
+    """
+    cut, told = len(fitted[0]), [0, 0]
+
+    def loss(joint: np.ndarray) -> tuple[float, np.ndarray]:
+        value, gradient = 0.0, []
+        now = [joint[:cut], joint[cut:]]
+        for k, (own, own_g, n) in enumerate(far(fitted, now)):
+            told[k] = n
+            share = 0.5 * min(1.0, weight.sum() / max(n, 1))
+            given, given_g = sums(views[k], y, weight, now[k])
+            plain = np.append(now[k][:-1], 0.0)
+            total = weight.sum() + share * n or 1.0
+            value += (given + share * own + penalty / 2 * float(plain @ plain)) / total
+            gradient.append((given_g + share * own_g + penalty * plain) / total)
+        return value, np.concatenate(gradient)
+
+    joint = descend(loss, np.concatenate(fitted), PASSES)
+    return [joint[:cut], joint[cut:]], told
+
+
 # -- Spark
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id: str, good: str) -> DataFrame:
-    """Bounded rows of ``docs`` with ``_label``: for each class and the unlabelled the first by the hash of the id."""
-    named = labels.select(F.col(f"`{id}`").alias("_id"), F.expr(good).cast("int").alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.min("_label").alias("_label"))
+def _named(labels: DataFrame, id: str, good: str) -> DataFrame:
+    """One ``_label`` for each labelled ``_id``."""
+    return labels.select(F.col(f"`{id}`").alias("_id"), F.expr(good).cast("int").alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.min("_label").alias("_label"))
+
+
+def _sample(docs: DataFrame, named: DataFrame, id: str) -> DataFrame:
+    """Bounded rows of ``docs`` with ``_label``: for each class the first by the hash of the id."""
     ids = docs.select(F.col(f"`{id}`").alias("_id")).where("_id is not null")
     known = named.join(ids.distinct(), "_id", "left_semi")
-    rest = ids.join(named, "_id", "left_anti").distinct().withColumn("_label", F.lit(-1))
-    parts = [first_by_hash(known.where(F.col("_label") == k), "_id", LABELLED) for k in (0, 1)] + [first_by_hash(rest, "_id", POOL)]
-    chosen = stored(parts[0].union(parts[1]).union(parts[2]), "sample-ids")
-    # At most 2 x LABELLED + POOL ids.
+    parts = [first_by_hash(known.where(F.col("_label") == k), "_id", LABELLED) for k in (0, 1)]
+    chosen = stored(parts[0].union(parts[1]), "sample-ids")
+    # At most 2 x LABELLED ids.
     return docs.join(F.broadcast(chosen), F.col(f"`{id}`") == F.col("_id"))
 
 
+def _far(rows: DataFrame) -> Far:
+    """Sums over stored rows of (bits: one for each chosen run, page: layout)."""
+    spark, size = rows.sparkSession, 512
+
+    def far(frozen: list[np.ndarray], now: list[np.ndarray]) -> list[tuple[float, np.ndarray, int]]:
+        pairs = [np.column_stack([a, b]).astype(np.float32) for a, b in zip(frozen, now)]
+        shared = spark.sparkContext.broadcast(pairs)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w = shared.value
+            # For each view: gradient, then loss and number.
+            total = [np.zeros(len(x) + 2) for x in w]
+            for batch in batches:
+                for low in range(0, batch.num_rows, size):
+                    part = batch.slice(low, size)
+                    bits, page = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind).reshape(part.num_rows, -1) for c, kind in (("bits", np.uint8), ("page", np.float16)))
+                    x = [np.unpackbits(bits, axis=1).astype(np.float32), page.astype(np.float32)]
+                    z = [a @ b[:-1] + b[-1] for a, b in zip(x, w)]
+                    for k in (0, 1):
+                        certain, y = taught(z[1 - k][:, 0].astype(float))
+                        own = z[k][:, 1].astype(float)
+                        r = certain * (_sigmoid(own) - y)
+                        total[k] += np.concatenate([r.astype(np.float32) @ x[k], [r.sum(), certain @ (np.logaddexp(0, own) - y * own), certain.sum()]])
+            joint = np.concatenate(total)
+            cuts = range(0, len(joint), 512)
+            yield pa.RecordBatch.from_arrays([pa.array([c // 512 for c in cuts], pa.int32()), pa.array([joint[c : c + 512].tobytes() for c in cuts], pa.binary())], ["block", "sums"])
+
+        def merge(group: pa.Table) -> pa.Table:
+            total = np.sum([np.frombuffer(x) for x in group.column("sums").to_pylist()], axis=0)
+            return pa.table([group.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
+
+        schema = T.StructType().add("block", T.IntegerType()).add("sums", T.BinaryType())
+        got = sorted((r.block, r.sums) for r in rows.mapInArrow(add, schema).groupBy("block").applyInArrow(merge, schema).collect())
+        shared.unpersist()
+        joint = np.frombuffer(b"".join(x for _, x in got)) if got else np.zeros(sum(len(x) + 2 for x in now))
+        cut = len(now[0]) + 2
+        return [(float(x[-2]), x[:-2], int(x[-1])) for x in (joint[:cut], joint[cut:])]
+
+    return far
+
+
 def _places(rows: DataFrame) -> np.ndarray:
     """For every place the number of bad and of good documents in which it occurs; a fixed number of counters."""
     size = 1 << PLACES_BITS
@@ -262,37 +385,52 @@ def choose(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", good: str = "quality = 1 and toxic = 0", rounds: int = ROUNDS) -> Model:
-    """Fit on bounded samples of ``docs``; ``good`` is the SQL condition on ``labels`` for good quality.
+    """Fit on a bounded sample of the labelled ``docs`` and on all unlabelled ones; ``good`` is the SQL condition on ``labels`` for good quality.
 
     A row labelled twice is bad if either label says so; labels without a document, or with null in them, don't count. Without labels of both
     classes nothing can be learned: the model then finds every document good.
     """
     spark = docs.sparkSession
     rows = docs.select(id, F.col(f"`{text}`").alias("_text"), F.col(f"`{source}`").cast("string").alias("_source"), F.col(f"`{lang}`").cast("string").alias("_lang"))
-    sample = stored(_sample(rows, labels, id, good).select("_id", "_label", "_text", "_source", "_lang").repartition(24), "sample")
+    named = _named(labels, id, good)
+    sample = stored(_sample(rows, named, id).select("_id", "_label", "_text", "_source", "_lang").repartition(24), "sample")
     totals = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return Model(combine=(0.0, 0.0, 9.0), page=np.zeros(0))
     chosen = choose(_places(sample), np.array([totals[0], totals[1]]))
     shared = spark.sparkContext.broadcast(chosen)
 
-    def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, "_text", PIECE):
-                row, feature = occurring(piece.column("_text"), shared.value)
-                at = np.searchsorted(row, np.arange(piece.num_rows + 1))
-                found = [feature[a:b].astype(np.int16).tobytes() for a, b in zip(at[:-1], at[1:])]
-                page = [x.astype(np.float16).tobytes() for x in layout(piece, "_text", "_source", "_lang")]
-                yield pa.RecordBatch.from_arrays([piece.column("_label"), pa.array(piece.column("_id").cast(pa.string())), pa.array(found, pa.binary()), pa.array(page, pa.binary())], ["label", "id", "found", "page"])
-
-    schema = T.StructType().add("label", T.IntegerType()).add("id", T.StringType()).add("found", T.BinaryType()).add("page", T.BinaryType())
-    got = sample.mapInArrow(views, schema).orderBy(F.xxhash64("id"), "id").toArrow()
+    def views(packed: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in pieces(batch, "_text", PIECE):
+                    row, feature = occurring(piece.column("_text"), shared.value)
+                    page = [x.astype(np.float16).tobytes() for x in layout(piece, "_text", "_source", "_lang")]
+                    if packed:
+                        ones = np.zeros((piece.num_rows, FEATURES), bool)
+                        ones[row, feature] = True
+                        found = [x.tobytes() for x in np.packbits(ones, axis=1)]
+                    else:
+                        at = np.searchsorted(row, np.arange(piece.num_rows + 1))
+                        found = [feature[a:b].astype(np.int16).tobytes() for a, b in zip(at[:-1], at[1:])]
+                    own = [] if packed else [piece.column("_label")]
+                    yield pa.RecordBatch.from_arrays([*own, piece.column("_id"), pa.array(found, pa.binary()), pa.array(page, pa.binary())], [*(["label"] if own else []), "_id", "bits" if packed else "found", "page"])
+
+        return run
+
+    kind = rows.schema[id]
+    schema = T.StructType().add("label", T.IntegerType()).add("_id", kind.dataType).add("found", T.BinaryType()).add("page", T.BinaryType())
+    got = sample.mapInArrow(views(False), schema).orderBy(F.xxhash64(F.col("_id").cast("string")), F.col("_id").cast("string")).toArrow()
+    # Rows with any label are told apart by their views, which are far smaller than the texts.
+    schema = T.StructType().add("_id", kind.dataType).add("bits", T.BinaryType()).add("page", T.BinaryType())
+    made = rows.withColumnRenamed(id, "_id").mapInArrow(views(True), schema)
+    rest = stored(made.join(named.select("_id"), "_id", "left_anti").select("bits", "page"), "unlabelled") if rounds else None
     label = got.column("label").to_numpy()
     found = [np.frombuffer(x, np.int16) for x in got.column("found").to_pylist()]
     sparse = Sparse(np.append(0, np.cumsum([len(f) for f in found])), np.concatenate(found), (len(found), FEATURES))
     page = Dense(np.stack([np.frombuffer(x, np.float16) for x in got.column("page").to_pylist()]))
     held = np.arange(len(label)) % 5 == 0
-    model = co_train(sparse, page, label, held, rounds)
+    model = co_train(sparse, page, label, held, rounds, far=_far(rest) if rounds else None)
     model.chosen = chosen
     return model
 

@@ -229,6 +229,22 @@ def test_views_teach_each_other():
     assert right(taught) > right(alone)
 
 
+def test_every_unlabelled_row_teaches(spark):
+    rng = np.random.default_rng(13)
+    # Rows in one task or many, more than any bound on rows: sums equal those over the whole.
+    n = 25_000
+    bits, page = rng.integers(0, 256, (n, 4), np.uint8), rng.random((n, 5)).astype(np.float16)
+    frozen, now = [[rng.normal(0, 2, k + 1) for k in (32, 5)] for _ in range(2)]
+    rows = spark.createDataFrame([(a.tobytes(), b.tobytes()) for a, b in zip(bits, page)], "bits binary, page binary")
+    x = [quality.Dense(np.unpackbits(bits, axis=1)), quality.Dense(page)]
+    for parts in (1, 7):
+        for k, (loss, gradient, told) in enumerate(quality._far(rows.repartition(parts))(frozen, now)):
+            sure, y = quality.taught(x[1 - k].dot(frozen[1 - k][:-1]) + frozen[1 - k][-1])
+            want, slope = quality.sums(x[k], y, sure.astype(float), now[k])
+            assert told == sure.sum() > 0 and abs(loss - want) < 1e-3 * want and np.allclose(gradient, slope, rtol=1e-2, atol=0.5)
+    assert quality.LABELLED == 20_000 and not hasattr(quality, "POOL")
+
+
 def test_quality_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(3, 1, 0), (3, 1, 0), (5, 1, None), (9, 0, 0), (9, 1, 0), (None, 1, 1), (77, 0, 0)], "doc_id long, quality int, toxic int")
