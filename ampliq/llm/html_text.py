@@ -22,7 +22,7 @@ from .words import pieces
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _SPACE = re.compile(r"\s+")
-_LABEL = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_LABEL = re.compile(r"""(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -50,6 +50,9 @@ NOISE_TAGS = frozenset("nav aside footer form button dialog menu input label fie
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside complementary contentinfo footer masthead comment comments commentlist reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay dialog widget toolbar pager pagination search copyright disclaimer skip teaser outbrain taboola".split()
 )
+#: Words of labels that an article's own parts have too: inside an article they only tell with a low density.
+AMBIGUOUS = frozenset("related search social alert notice notification copyright reply replies comment comments promotion banner skip menu share sharing disclaimer respond recommended aside footer".split())
+_TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _HOLDS = frozenset(("article", "main", "h1"))
 
 
@@ -57,7 +60,7 @@ class Tree:
     """The elements of a page in page order; node 0 stands for the page itself."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.noise = ["#page"], [-1], [0]  # noise: 1 by label, 2 by what it is
+        self.tag, self.parent, self.noise = ["#page"], [-1], [0]  # noise: 1 by label, 2 by what it is, 3 by a label that may be an article's own
         self.chars, self.link_chars, self.tags, self.link_tags = [0], [0], [0], [0]
         self.text: list[tuple[int, int, str]] = []  # node, block number, text
         self.body = 0
@@ -71,13 +74,18 @@ class Tree:
 def _noise(tag: str, attributes: str, in_article: bool) -> int:
     if tag in NOISE_TAGS or tag == "header" and not in_article:
         return 2
-    if attributes and tag not in ("body", "html", "article", "main", "h1"):
+    if attributes and tag not in ("body", "html", "article", "main"):
         if _HIDDEN.search(attributes):
             return 2
-        for m in _LABEL.finditer(attributes):
-            words = {w.lower() for w in _PARTS.findall(m[1] or m[2] or m[3] or "")}
-            if words & NOISE_WORDS or "header" in words and not in_article or "banner" in words:
+        for m in _LABEL.finditer(attributes) if tag not in _TEXT_TAGS else ():
+            label = m[2] or m[3] or m[4] or ""
+            # Ids are often made from headings: only a whole one tells.
+            words = {label.strip().lower()} if m[1].lower() == "id" else {w.lower() for w in _PARTS.findall(label)}
+            found = words & NOISE_WORDS
+            if found - AMBIGUOUS or "header" in words and not in_article:
                 return 1
+            if found:
+                return 3 if in_article else 1
     return 0
 
 
@@ -231,11 +239,14 @@ def extract(page: str) -> str:
             top = k
             break
         k = parent[k]
+    # An ambiguous label in it tells if the density is below the threshold too.
+    for k in range(1, n):
+        out[k] = out[k] or out[parent[k]] or tree.noise[k] == 3 and not holds[k] and density[k] < threshold
     blocks: dict[int, list[str]] = {}
     under = [k == top for k in range(n)]
     for k in range(1, n):
-        # Outside articles a block that is little but links is a menu.
-        menu = tag[top] not in ("article", "main") and link_tags[k] > 2 and links[k] > 0.7 * chars[k] and tag[k] in BLOCK and tag[k] != "p"
+        # Outside articles a block that is little but short links is a menu; references have long ones.
+        menu = tag[top] not in ("article", "main") and link_tags[k] > 2 and 0.7 * chars[k] < links[k] < 20 * link_tags[k] and density[k] < threshold and tag[k] in BLOCK and tag[k] != "p"
         under[k] = under[k] or under[parent[k]] and not out[k] and not menu
     for node, block, text in tree.text:
         if under[node] and not out[node]:

@@ -331,6 +331,22 @@ def test_article_without_the_rest(page):
     assert html_text.extract(page) == WANT
 
 
+LONG = "This part has much text of its own, long enough to count, with nothing but words in it. " * 4
+
+
+@pytest.mark.parametrize("part", ["<section id='related-work'>{}</section>", "<section id='search-results-explained'>{}</section>", "<h2 id='social-effects'>{}</h2>", "<p class='alert'>{}</p>", "<div class='related'><p>{}</p></div>"])
+def test_labels_of_an_article_s_own_parts(part):
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>T</h1><p>{LONG}</p>{part.format(LONG)}<p>{LONG}</p></article></body>"
+    assert html_text.extract(page).count("much text") == 12
+    links = "<div class='related'>" + "<a href=1>One more of these</a> " * 9 + "</div>"
+    assert "One more" not in html_text.extract(page.replace("</article>", links + "</article>"))
+
+
+def test_references_without_an_article():
+    refs = "".join(f"<li><a href=/{k}>Author {k}, A long title of a paper that is cited here, Journal {k}</a></li>" for k in range(5))
+    assert html_text.extract(f"<div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p><ul>{refs}</ul></div>").count("A long title") == 5
+
+
 def test_broken_pages():
     for page, want in [("", ""), ("plain", "plain"), ("<p>only text", "only text"), ("<a href='b'>c</a><b", "c<b"), ("<script>x", ""), ("</div></p>x<br>y", "x y"), ("<p>a<!-- never ends", "a"), ("<p>a &lt; b &#x41;</p>", "a < b A")]:
         assert html_text.extract(page) == want
