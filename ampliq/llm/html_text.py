@@ -232,8 +232,8 @@ def extract(page: str) -> str:
     top = best
     while top != body and not all(_under(parent, k, top) for k in content):
         top = parent[top]
-    # An article or main part around the densest element is the article as a whole.
-    k = best
+    # The nearest article or main part around all content is the article as a whole.
+    k = top
     while k > 0:
         if tag[k] in ("article", "main"):
             top = k

@@ -347,6 +347,12 @@ def test_references_without_an_article():
     assert html_text.extract(f"<div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p><ul>{refs}</ul></div>").count("A long title") == 5
 
 
+def test_text_in_several_articles():
+    parts = "".join(f"<article><h2>Part {k}</h2>{f'<p>{LONG}</p>' * (6 - k)}</article>" for k in range(2))
+    for page in (f"<body><nav><a href=/>Home</a></nav><main>{parts}</main></body>", f"<body><nav><a href=/>Home</a></nav><div>{parts}</div></body>"):
+        assert html_text.extract(page).count("much text") == 44
+
+
 def test_broken_pages():
     for page, want in [("", ""), ("plain", "plain"), ("<p>only text", "only text"), ("<a href='b'>c</a><b", "c<b"), ("<script>x", ""), ("</div></p>x<br>y", "x y"), ("<p>a<!-- never ends", "a"), ("<p>a &lt; b &#x41;</p>", "a < b A")]:
         assert html_text.extract(page) == want
