@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, html_text, ngram_join, quality, secret_scan, sharding, suffix_dedup, warc
-from .common import table
+from . import bpe, decontaminate, fingerprints, html_text, ngram_join, prefix_trie, quality, secret_scan, sharding, suffix_dedup, warc
+from .common import stored, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).withColumn("keep", F.col("score") >= quality.KEEP_AT)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the conversations, each of which begins with the first turns of another one."""
+    own = stored(prefix_trie.turns(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.nodes(*prefix_trie.branched(own)).drop("key")
+
+
 OP8_SQL = """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
@@ -111,6 +117,36 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, c
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+#: CRC-32 bit by bit, as DuckDB has no function for it; 3988292384 is its polynomial.
+OP11_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY t.conv_id <> c.base OR t.place > c.h, t.place) AS depth, t.role, t.text
+  FROM convs c JOIN turns t ON (t.conv_id = c.base AND t.place <= c.h) OR (t.conv_id = c.conv_id AND t.place > c.h)),
+paths AS (
+  SELECT conv_id, depth, text, string_agg(md5(strlen(role)::VARCHAR || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', '' FROM convs),
+ending AS (SELECT conv_id, arg_max(key, depth) AS key FROM paths GROUP BY conv_id),
+ended AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM ending GROUP BY key),
+nodes AS (
+  SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM paths GROUP BY key),
+kids AS (SELECT key[:-33] AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+facts AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+sums AS (
+  SELECT a.key, sum((f.n_children = 0)::INT) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved
+  FROM facts f JOIN paths a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY a.key)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM facts f JOIN sums s USING (key) LEFT JOIN ended e USING (key) LEFT JOIN nodes p ON f.depth > 0 AND p.key = f.key[:-33]
+"""
+
 
 QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -123,8 +159,10 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
     "op3_sharding": op3_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op8_decontaminate": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
