@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, html_text, ngram_join, prefix_trie, quality, secret_scan, sharding, suffix_dedup, warc
+from . import bpe, decontaminate, fingerprints, html_text, lexical_search, ngram_join, prefix_trie, quality, secret_scan, sharding, suffix_dedup, topk_search, warc
 from .common import stored, table
 
 
@@ -97,6 +97,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(*prefix_trie.branched(own)).drop("key")
 
 
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every 50th vector with all others."""
+    rows = topk_search.whole(table(spark, sf_dir, "embeddings"))
+    return topk_search.search(topk_search.build(rows), rows.where("id % 50 = 0"), k=5)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's twenty documents with the highest scores."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 OP8_SQL = """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
@@ -147,6 +158,36 @@ SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
 FROM facts f JOIN sums s USING (key) LEFT JOIN ended e USING (key) LEFT JOIN nodes p ON f.depth > 0 AND p.key = f.key[:-33]
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.row, a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.row <> b.row AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM pairs) WHERE rank <= 5
+"""
+
+OP13_SQL = """
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, row_number() OVER () AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+asked AS (SELECT item, t, count(*) AS times FROM (SELECT item, unnest(w) AS t FROM items) GROUP BY ALL),
+totals AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs WHERE len(w) > 0),
+tfs AS (SELECT row, t, count(*) AS tf FROM (SELECT row, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY t, n_docs),
+m AS (SELECT row, doc_id, 75 + ((25 * len(w) * n_docs)::BIGINT // n_terms) AS m FROM docs, totals),
+scores AS (
+  SELECT item, doc_id, row, sum(times * weights.w * ((1000000000 * tf)::BIGINT // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN tfs USING (t) JOIN m USING (row) WHERE doc_id IS NOT NULL GROUP BY item, doc_id, row)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0) JOIN items USING (item) WHERE rank <= 20
+"""
+
 
 QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -160,9 +201,13 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op3_sharding": op3_sharding,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_topk": op12_topk,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLES: dict[str, str] = {
     "op8_decontaminate": OP8_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_topk": OP12_SQL,
+    "op13_lexical": OP13_SQL,
 }

@@ -1,14 +1,17 @@
 """Prefix tries, exact top-k search and ranked lexical search against brute force."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ampliq.llm import prefix_trie, queries
+from ampliq.llm import lexical_search, prefix_trie, queries, topk_search
 from tests.conftest import SF
 from tests.check import compare, duck
 
@@ -106,6 +109,120 @@ def test_z_fast_trie_finds_exit_nodes():
     assert [prefix_trie.two_fattest(a, b) for a, b in [(0, 7), (4, 7), (5, 6), (3, 9), (0, 1)]] == [4, 6, 6, 8, 1]
 
 
+# -- exact top-k search
+
+
+def brute_topk(vectors, every, k):
+    """Ranks of every ``every``-th id's row among all other rows with as many components."""
+    good = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (i, q) in enumerate(good):
+        if i % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for o, (j, v) in enumerate(good) if o != n and len(v) == len(q))
+            out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def vectors():
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(9)]
+    rows = [(i, [c + rng.gauss(0, 0.3) for c in centres[i % 9 if i % 3 else 0]]) for i in range(1200)]
+    rows += [(2000 + i, rows[i % 7][1]) for i in range(90)] + [rows[50], rows[50], rows[100]]
+    rows += [(None, rows[0][1]), (3000, None), (3050, [1.0, None]), (3100, [float("nan")] * 12), (3150, [float("inf")] * 12), (3200, []), (3201, []), (3250, [1.5, -2.5, 0.0]), (3251, [-1.0, 4.0, 9.0]), (3300, [7.0])]
+    # So large that doubles cannot hold the products.
+    rows += [(4000 + i, [4e6 + i, 1.0 / 256, -4e6 + 2 * i, 5.0]) for i in range(60)]
+    return rows
+
+
+def test_topk_equals_brute_force(spark):
+    rows = vectors()
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, block string").repartition(6)
+    made = topk_search.whole(df)
+    index = topk_search.build(made)
+    assert index.agg(F.sum(F.octet_length("ids") / 8)).first()[0] == made.count()
+    got = topk_search.search(index, made.where("id % 50 = 0"), 5)
+    assert sorted(tuple(r) for r in got.collect()) == brute_topk(rows, 50, 5)
+
+
+def test_topk_in_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", 2_000)
+    rows = vectors()[:400]
+    made = topk_search.whole(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = topk_search.search(topk_search.build(made), made.where("id % 10 = 0"), 3)
+    rounded = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert sorted(tuple(r) for r in got.collect()) == brute_topk(rounded, 10, 3)
+
+
+def test_topk_of_few_rows(spark):
+    for rows in ([], [(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (1, [0.5, -1.0])]):
+        made = topk_search.whole(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        got = topk_search.search(topk_search.build(made), made.where("id % 50 = 0"), 5)
+        assert [tuple(r) for r in got.collect()] == brute_topk(rows, 50, 5)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(1)
+    queries, block = rng.integers(-300, 300, (20, 16)), rng.integers(-300, 300, (50, 16))
+    bound = topk_search.bounds(queries, block.min(axis=0)[None], block.max(axis=0)[None])[:, 0]
+    assert (bound >= (queries @ block.T).max(axis=1)).all()
+    assert (topk_search.bounds(queries, block[:1], block[:1])[:, 0] == queries @ block[0]).all()
+
+
+# -- ranked lexical search
+
+TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute_ranks(docs, items, k):
+    counted = [(i, Counter(terms(t)), len(terms(t))) for i, t in docs]
+    n_docs, n_terms = sum(n > 0 for _, _, n in counted), sum(n for _, _, n in counted)
+    df = Counter(t for _, c, _ in counted for t in c)
+    out = []
+    for i, text in items:
+        scored = []
+        for doc, c, n in counted:
+            if n and doc is not None:
+                m = 75 + 25 * n * n_docs // n_terms
+                score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 12 * m)) for t in terms(text) if t in c)
+                if score > 0:
+                    scored.append((-score, doc))
+        out += [(i, rank + 1, doc, -s) for rank, (s, doc) in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=str)
+
+
+def test_lexical_search_equals_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(40)] + ["café", "日本", "X9"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([1, 2, 3, 3, 3, 40, 400])))) for i in range(300)]
+    docs += [(i + 500, docs[7][1]) for i in range(60)] + [docs[3], docs[3], (None, "w1 w2 w3")] + [(i, t) for i, t in ((r.doc_id, r.text) for r in edge_docs(spark).collect())]
+    items = [(1, "w1 W2 w2 café"), (2, "X9 x9 nothing"), (2, "w5"), (3, None), (4, ""), (5, "unheard of"), (6, "the quick brown fox"), (7, " ".join(words)), (8, docs[7][1]), (None, "w1")]
+    got = lexical_search.search(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, m int").repartition(5), spark.createDataFrame(items, "item_id long, text string"), k=20)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_ranks(docs, items, 20)
+
+
+def test_lexical_search_in_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(lexical_search, "ITEM_BYTES", 40)
+    monkeypatch.setattr(lexical_search, "PART_POSTINGS", 20)
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=5))) for i in range(200)]
+    items = [(i, " ".join(rng.choices("abcdefgh", k=4))) for i in range(12)]
+    got = lexical_search.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), k=7)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_ranks(docs, items, 7)
+
+
+def test_lexical_search_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    item = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert lexical_search.search(none, item).count() == 0
+    assert lexical_search.search(some, item.limit(0)).count() == 0
+    assert [tuple(r) for r in lexical_search.search(some, item).collect()] == brute_ranks([(1, "a b")], [(1, "a")], 20)
+
+
 # -- queries against SQL
 
 SQL = [n for n in ("op11_prefix_trie", "op12_topk", "op13_lexical") if n in queries.QUERIES]
