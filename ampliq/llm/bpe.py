@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import json
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -26,8 +25,9 @@ from .words import pieces
 
 #: The word pattern of byte-level BPE (a fixed value of the public tokenizer).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks of text a worker remembers; after that it starts to remember anew, which changes nothing but time.
-REMEMBERED = 150_000
+#: Chunks of text in each of the two generations that a worker remembers: when the younger one is full the older one is forgotten, which changes nothing
+#: but time.
+REMEMBERED = 120_000
 #: Bytes of text that are cut into words at once.
 PIECE = 1 << 20
 #: Words up to this many bytes are merged together as arrays, longer ones by a heap.
@@ -126,8 +126,8 @@ class Bpe:
         f, c, to = np.array(links, np.int64).T
         self.next = Table(f << 8 | c, to, _NONE)
         #: Ids, as the bytes of 32-bit integers, of text from a space to before the next one; and of texts' beginnings.
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.heads: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge."""
@@ -252,8 +252,8 @@ class Bpe:
             limit[two], y[two] = wy[wx <= wy] + 1, self.left[y[two]]
         return ok
 
-    def tokenize(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of words, none of them empty."""
+    def tokenize(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): the ids of all words, none of them empty, in order, and where each word's ids begin (one more at the end)."""
         ends = np.cumsum([len(w) for w in words])
         starts = np.concatenate([[0], ends[:-1]])
         word, token = self.greedy(np.frombuffer(b"".join(words), np.uint8), starts, ends)
@@ -261,12 +261,18 @@ class Bpe:
         keys, back = np.unique(token[inner].astype(np.int64) << 32 | token[inner + 1], return_inverse=True)
         good = self.compatible(keys >> 32, keys & 0xFFFFFFFF)
         failed = np.unique(word[inner[~good[back]]])
-        bounds = np.searchsorted(word, np.arange(len(words) + 1))
-        flat = token.tolist()
-        out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        for k, ids in zip(failed.tolist(), self.merge([words[k] for k in failed.tolist()])):
-            out[k] = ids
-        return out
+        if not len(failed):
+            return token.astype(np.int32), np.searchsorted(word, np.arange(len(words) + 1))
+        merged = self.merge([words[k] for k in failed.tolist()])
+        size = np.bincount(word, minlength=len(words))
+        size[failed] = [len(ids) for ids in merged]
+        first = np.concatenate([[0], np.cumsum(size)])
+        again = np.zeros(len(words), bool)
+        again[failed] = True
+        out = np.empty(first[-1], np.int32)
+        out[np.repeat(~again, size)] = token[~again[word]]
+        out[np.repeat(again, size)] = np.fromiter(chain.from_iterable(merged), np.int32)
+        return out, first
 
     # -- texts
 
@@ -281,12 +287,46 @@ class Bpe:
             k = m.end()
         return out + self.pattern.findall(text[k:])
 
-    def learn(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk as the bytes of 32-bit integers."""
-        cut = [self.parts(c) for c in chunks]
-        words = list({w for c in cut for w in c if isinstance(w, str)})
-        ids = dict(zip(words, self.tokenize([w.encode() for w in words]))) if words else {}
-        return [array("i", [i for w in c for i in (ids[w] if isinstance(w, str) else (w,))]).tobytes() for c in cut]
+    def learn(self, chunks: list[str], put: str = "") -> list[bytes]:
+        """The ids of each chunk after ``put`` as the bytes of 32-bit integers.
+
+        After a space, chunks with no white space at either end are cut side by
+        side: a word ends before the space of the next one. Others are cut one
+        by one.
+        """
+        joint = [put and c and not c[0].isspace() and not c[-1].isspace() for c in chunks]
+        side = [c for c, j in zip(chunks, joint) if j]
+        cut = self.pattern.findall("".join([put + c for c in side]))
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        counts = np.diff(np.searchsorted(ends, np.cumsum([len(c) + len(put) for c in side]), "right"), prepend=0).tolist()
+        own = [self.parts(put + c) for c, j in zip(chunks, joint) if not j]
+        counts += map(len, own)
+        cut += chain.from_iterable(own)
+        words = [w for w in dict.fromkeys(cut) if isinstance(w, str)]
+        ids, first = self.tokenize([w.encode() for w in words]) if words else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        # Added tokens stand behind the words as words of one id.
+        extra = [w for w in dict.fromkeys(cut) if not isinstance(w, str)]
+        ids, first = np.append(ids, np.array(extra, np.int32)), np.append(first, first[-1] + 1 + np.arange(len(extra)))
+        place = {w: k for k, w in enumerate([*words, *extra])}
+        which = np.fromiter(map(place.__getitem__, cut), np.int64, len(cut))
+        size = first[which + 1] - first[which]
+        till = np.concatenate([[0], np.cumsum(size)])
+        raw = ids[np.arange(till[-1]) + np.repeat(first[which] - till[:-1], size)].tobytes()
+        bounds = (4 * till[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]).tolist()
+        made = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        together, alone = iter(made[: len(side)]), iter(made[len(side) :])
+        return [next(together) if j else next(alone) for j in joint]
+
+    def _remember(self, young: dict[str, bytes], old: dict[str, bytes], chunks: set[str], put: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Both generations of known chunks, with all of ``chunks`` in the younger one."""
+        new = chunks.difference(young)
+        if len(young) + len(new) > REMEMBERED:
+            young, old, new = {}, young, chunks
+        found = new.intersection(old)
+        young.update((c, old[c]) for c in found)
+        unknown = list(new.difference(found))
+        young.update(zip(unknown, self.learn(unknown, put)))
+        return young, old
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as the bytes of 32-bit integers; a null is an empty text.
@@ -298,16 +338,12 @@ class Bpe:
         texts = [t or "" for t in texts]
         whole = {t for t in texts if _CROWDED.search(t) or self.split and self.split.search(t)}
         cut = [[] if t in whole else t.split(" ") for t in texts]
-        for known, chunks, put in ((self.heads, {c[0] for c in cut if c} | whole, ""), (self.known, set(chain.from_iterable([c[1:] for c in cut])), " ")):
-            if len(known) + len(chunks) > REMEMBERED:
-                known.clear()
-            new = list(chunks.difference(known))
-            known.update(zip(new, self.learn([put + c for c in new])))
-        known = self.known.__getitem__
-        out = [b"".join([self.heads[c[0] if c else t], *map(known, c[1:])]) for t, c in zip(texts, cut)]
-        for t in whole:
-            self.heads.pop(t, None)
-        return out
+        self.heads = self._remember(*self.heads, {c[0] for c in cut if c}, "")
+        self.known = self._remember(*self.known, set(chain.from_iterable([c[1:] for c in cut])), " ")
+        alone = list(whole)
+        own = dict(zip(alone, self.learn(alone)))
+        known, heads = self.known[0].__getitem__, self.heads[0]
+        return [b"".join([heads[c[0]], *map(known, c[1:])]) if c else own[t] for t, c in zip(texts, cut)]
 
     def decode(self, ids: np.ndarray) -> str:
         return joined(self.bytes, ids)
