@@ -126,9 +126,10 @@ class Index:
             self.weights[term] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
         m = F.expr(f"75L + (25L * n * {n_docs}L) div {max(1, n_terms or 0)}L")
         named = counted.where("id is not null and size(terms) > 0").withColumn("m", m)
-        sizes = named.groupBy("m").agg(F.ceil(F.sum(F.size("terms")) / PART_POSTINGS).alias("parts"))
+        # Stored, so that Spark knows its size and joins it without dealing documents by m; a stratum's parts are then dealt apart.
+        sizes = stored(named.groupBy("m").agg(F.ceil(F.sum(F.size("terms")) / PART_POSTINGS).alias("parts")), "strata-sizes")
         dealt = named.join(sizes, "m").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-        self.parts = stored(dealt.select("m", "part", "id", "terms", "tfs").groupBy("m", "part").applyInArrow(_stratum, _PART), "strata")
+        self.parts = stored(dealt.select("m", "part", "id", "terms", "tfs").repartition("m", "part").groupBy("m", "part").applyInArrow(_stratum, _PART), "strata")
 
 
 # -- the search
