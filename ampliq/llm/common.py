@@ -48,7 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks every node's parent under the smallest parent seen next to
     it and then follows parents (pointer jumping), so the number of rounds grows
     with the logarithm of a path's length. A hub's minimum is combined before
-    the shuffle; the result of each round is stored.
+    the shuffle; the result of each round is stored. Parents are followed by way
+    of the distinct ones that moved: those are stored too, so Spark knows their
+    size and does not bring the members of a large group to its root.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     parent = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "parents")
@@ -59,8 +61,10 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = seen.select("id", F.least("component", "_c").alias("_c")).union(seen.select(F.col("component"), "_c"))
         low = hooks.groupBy("id").agg(F.min("_c").alias("_c"))
         hooked = parent.join(low, "id", "left").select("id", F.least("component", F.coalesce("_c", "component")).alias("component"))
-        up = hooked.select(F.col("id").alias("component"), F.col("component").alias("_up"))
-        new = stored(hooked.join(up, "component", "left").select("id", F.least("component", F.coalesce("_up", "component")).alias("component")), "parents")
+        hooked = stored(hooked, "hooked")
+        up = hooked.select(F.col("id").alias("component"), F.col("component").alias("_up")).where("component <> _up")
+        moved = stored(up.join(hooked.select("component").distinct(), "component"), "moved")
+        new = stored(hooked.join(moved, "component", "left").select("id", F.least("component", F.coalesce("_up", "component")).alias("component")), "parents")
         changed = new.join(parent.withColumnRenamed("component", "_old"), "id").where("component <> _old").limit(1).count()
         parent = new
         if not changed:
