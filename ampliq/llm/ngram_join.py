@@ -245,14 +245,10 @@ def linked_pairs(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int)
     return stored(verified(pairs, stored(full_sets(docs, pairs, width), "sets"), p, q), "links")
 
 
-def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id) for every row: the size of its shingle set and the smallest id it is linked with over any number of links.
-
-    Two documents are linked if the Jaccard similarity of their sets is at least p/q. Words are lower-cased (A-Z) runs of anything but ASCII white
-    space; a document with fewer words than ``width`` has them all as its one shingle; null and empty texts have no shingles, link with nothing and are
-    their own component. Ids must not be null; an id that comes twice with different texts joins what either text links with. Other columns are ignored.
+def linked(rows: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """(id, n, group) for stored ``rows`` (id long, text string): the size of each shingle set and the smallest id that the row is linked with over any
+    number of links. Ids must be distinct and not null; rows without shingles are groups of their own.
     """
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     first = stored(signatures(rows, width), "signatures")
     own = first.where("n is not null").select("id", "n", "s1", "s2")
     # Equal sets make a class, named by its smallest id.
@@ -263,7 +259,28 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
     star = linked_pairs(rows, stored(meeting_points(entries, p, q), "pairs"), width, p, q)
     near = components(star)
     rest = linked_pairs(rows, stored(candidates(entries, near, p, q), "pairs"), width, p, q)
-    linked = components(star.select("a", "b").union(rest.select("a", "b")))
-    named = classes.join(linked.withColumnRenamed("id", "class"), "class", "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("component_id"))
-    empty = own.where("n = 0").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return own.where("n > 0").join(stored(named, "named"), ["n", "s1", "s2"]).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id").union(empty)
+    found = components(star.select("a", "b").union(rest.select("a", "b")))
+    named = classes.join(found.withColumnRenamed("id", "class"), "class", "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("group"))
+    empty = own.where("n = 0").select("id", "n", F.col("id").alias("group"))
+    return own.where("n > 0").join(stored(named, "named"), ["n", "s1", "s2"]).select("id", "n", "group").union(empty)
+
+
+def numbered(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
+    """A number ``id`` of its own, ``text`` and ``columns`` for every row, written once so that the numbers stay."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("id"), F.col(f"`{text}`").cast("string").alias("text"), *columns), "numbered")
+
+
+def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """(id, n_shingles, component_id) for every row: the size of its shingle set and the smallest id it is linked with over any number of links.
+
+    Two documents are linked if the Jaccard similarity of their sets is at least p/q. Words are lower-cased (A-Z) runs of anything but ASCII white
+    space; a document with fewer words than ``width`` has them all as its one shingle; null and empty texts have no shingles, link with nothing and are
+    their own component. Every row is a document of its own, also where ids repeat or are null (or, as longs, no numbers): a component is named by its
+    smallest id, and has none only if no row of it has. Other columns are ignored.
+    """
+    rows = numbered(docs, text, F.col(f"`{id}`").try_cast("long").alias("name"))
+    found = stored(linked(rows.select("id", "text"), width, p, q).join(rows.select("id", "name"), "id"), "linked")
+    # Groups of one need no other row's name.
+    least = found.groupBy("group").agg(F.min("name").alias("component_id"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    named = found.join(stored(least, "components"), "group", "left")
+    return named.select(F.col("name").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "name").alias("component_id"))

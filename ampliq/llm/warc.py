@@ -44,11 +44,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(key: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
+def record_id(key: int | None) -> str:
+    """A key's record id; records without a key have one that nothing can refer to."""
+    return f"<urn:uuid:{uuid.uuid4() if key is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
 
 
-def record(key: int, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None, date: str = "2000-01-01T00:00:00Z") -> bytes:
+def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None, date: str = "2000-01-01T00:00:00Z") -> bytes:
     """One record: an HTTP response with its payload, or a revisit with the response's head alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = [
@@ -58,8 +59,9 @@ def record(key: int, url: str | None, payload: bytes, refers_to: int | None, ref
         ("WARC-Target-URI", " ".join((url or "about:blank").split())),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
         ("Content-Type", "application/http;msgtype=response"),
-        ("X-Page-Id", str(key)),
     ]
+    if key is not None:
+        fields.append(("X-Page-Id", str(key)))
     if refers_to is not None:
         fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]
         payload = b""
@@ -268,7 +270,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             yield pack(rows)
 
     paths = manifest.select("path")
-    return paths.repartition(max(1, min(10_000, manifest.count())), F.xxhash64("path")).mapInArrow(run, schema)
+    return paths.repartition(max(1, manifest.count()), F.xxhash64("path")).mapInArrow(run, schema)
 
 
 def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
@@ -285,8 +287,8 @@ def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", leas
 def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
     """Write ``pages`` as archives into the shared folder and return their manifest.
 
-    Of equal payloads the row with the smallest key is the response and the others are revisits of it; null payloads are empty. Keys must not be null
-    and name one row each; a key that comes twice with one payload makes two responses. An empty table makes no archive. Other columns are ignored.
+    Of equal payloads the row with the smallest key is the response and the others are revisits of it; null payloads are empty. Keys name one row each:
+    a key that comes twice with one payload makes two responses, and rows whose key is null, which nothing can refer to, are responses too. An empty table makes no archive. Other columns are ignored.
     """
     refers = revisits(pages, key, payload, least).distinct().withColumnRenamed("key", "_key")
     rows = pages.select(key, url, payload)

@@ -107,3 +107,13 @@ def test_components(spark):
                 todo += near[x]
     assert got == want
     assert components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Every row is a document of its own: rows without an id link like others, and two texts under one id are two documents."""
+    near = "the quick brown fox jumps over the lazy dog near the river bank at noon " * 3
+    rows = [(None, near + "one"), (None, near + "two"), (8, near + "three"), (4, "a text of its own entirely"), (4, "another text under that very id"), (None, "a text of its own entirely"), (None, "alone and without any id here"), (None, None), (9, "a text of its own entirely")]
+    got = ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string"), width=3, p=60, q=100).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(None, 8), (None, 8), (8, 8), (4, 4), (4, 4), (None, 4), (None, None), (None, None), (9, 4)], key=str)
+    words = ngram_join.groups(spark.createDataFrame([("x", "a b c"), ("7", "a b c")], "doc_id string, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in words), key=str) == [(7, 7), (None, 7)]

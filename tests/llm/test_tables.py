@@ -42,6 +42,12 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.archive(pages.limit(0))).count() == 0
 
 
+def test_pages_without_a_key_are_responses(spark):
+    pages = spark.createDataFrame([(None, "u", "<p>same</p>"), (None, None, "<p>same</p>"), (4, "u", "<p>same</p>"), (6, "u", "<p>same</p>"), (None, "u", None)], "page_id long, url string, html string")
+    rows = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(warc.archive(pages)).collect()]
+    assert sorted(rows, key=str) == sorted([(None, "response", None, 11)] * 2 + [(4, "response", None, 11), (6, "revisit", 4, 11), (None, "response", None, 0)], key=str)
+
+
 def test_small_payloads_are_all_responses(spark):
     assert warc.revisits(pages_of(spark), least=5).select("key").orderBy("key").collect() == [(5,), (9,)]
 
@@ -284,10 +290,12 @@ def test_stages_against_brute_force(spark):
 
 def test_pipeline_edges(spark, tmp_path):
     docs = edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    more = [(None, "nobody named this text of many words"), (None, "nor this one with its own words"), (4, "two texts under one id are no copies"), (None, None)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4, 5, 8, 9, 10]
+    assert sorted((r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str) == sorted([0, 1, 2, 3, 4, 4, 5, 8, 9, 10, None, None, None], key=str)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
