@@ -26,10 +26,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group linked by a similarity of 0.8 of shingles of five words; documents without words stay."""
-    found = ngram_join.groups(docs, width=5, p=80, q=100)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of every group linked by a similarity of 0.8 of shingles of five words: that with the smallest id, then the smallest digest of its text.
+
+    Every row is a document of its own, also where ids repeat or are null (these
+    come last in their group); documents without words link with nothing and stay.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    rows = ngram_join.numbered(docs, "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), rest)
+    found = ngram_join.linked(rows.select("id", "text"), width=5, p=80, q=100).join(rows.select("id", "rest.doc_id", "digest"), "id")
+    first = found.groupBy("group").agg(F.min_by("id", F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "id")).alias("id")).select("id")
+    kept = rows.join(stored(first, "kept"), "id", "left_semi")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
