@@ -1,16 +1,18 @@
 """Consensus, mixtures, barcode checks and whole phases."""
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ..functions.headers import header_field, sample_of_header
 from ..operators import consensus as C
+from ..operators.counts import column_counts, count_matrix
 from ..operators.nearest import nearest_refs
 from ..plans import phases as P
 from .reads import PARAMS
 from .registry import query
-from .scalars import _FRAMES5
+from .scalars import _FRAMES, _FRAMES5
 
 _COLS = """p AS (SELECT sample, i AS pos, substr(aln,cast(i AS int),1) AS b FROM (SELECT sample, aln, unnest(range(1,length(aln)+1)) AS i FROM fx_aln) u),
   c AS (SELECT sample, pos, b, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY sample, pos) AS tot FROM c)"""
@@ -47,7 +49,7 @@ def _sweep(thresholds):
     f"WITH {_COLS}, s AS ({_sweep((0.5, 0.4, 0.2))}) SELECT sample, min(seq) AS seq FROM (SELECT DISTINCT sample, seq FROM s WHERE NOT contains(seq,'N') AND seq<>'') d GROUP BY sample HAVING count(*)=1",
 )
 def _(fx):
-    return C.consensus_sweep(C.column_counts(fx.aln), C.sweep_steps(0.2, 0.5, 0.1, 0.3), 0, 0, 0)
+    return C.consensus_sweep(count_matrix(fx.aln), C.sweep_steps(0.2, 0.5, 0.1, 0.3), 0, 0, 0)
 
 
 _POLY = f"""{_COLS}, r AS (SELECT sample, pos, n, tot, row_number() OVER (PARTITION BY sample, pos ORDER BY n DESC) AS k FROM t WHERE b NOT IN ('-','N')),
@@ -56,7 +58,7 @@ _POLY = f"""{_COLS}, r AS (SELECT sample, pos, n, tot, row_number() OVER (PARTIT
 
 @query("a06_polymorphic_columns", f"WITH {_POLY} SELECT sample, pos, second, n FROM z WHERE c>=2")
 def _(fx):
-    return C.polymorphic_columns(C.column_counts(fx.aln), 0.2)
+    return C.polymorphic_columns(count_matrix(fx.aln), 0.2)
 
 
 @query("a07_haplotypes")
@@ -186,6 +188,54 @@ def _(fx):
     return P.consensus_by_length(reads, P.CallParams(plen=400, window=100000, code=0))
 
 
+# Labelled samples have ten more reads and a genetic code of their own; every sample's reads are ranked.
+_RANKED = """g AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+  r AS (SELECT a.*, 1+a.read_id%10 AS rn FROM fx_aln a UNION ALL SELECT a.*, 11+a.read_id%10 FROM fx_aln a JOIN g ON g.doc_id=a.read_id//10),
+  tot AS (SELECT sample, count(*) AS total, max(CASE quality WHEN 1 THEN 2 WHEN 0 THEN 5 ELSE 0 END) AS code FROM r LEFT JOIN g ON g.doc_id=read_id//10 GROUP BY 1),
+  lv AS (SELECT unnest([20,10,5]) AS level),
+  p AS (SELECT sample, rn, i AS pos, substr(aln,cast(i AS int),1) AS b FROM (SELECT sample, rn, aln, unnest(range(1,length(aln)+1)) AS i FROM r) u),
+  c AS (SELECT sample, level, pos, b, count(*) AS n FROM p JOIN lv ON rn<=level GROUP BY ALL),
+  t AS (SELECT *, sum(n) OVER (PARTITION BY sample, level, pos) AS tot FROM c)"""
+
+
+def _at(th):
+    return f"""SELECT sample, level, {th} AS th, max(tot) AS reads, replace(string_agg(CASE WHEN k=0 THEN 'N' WHEN k=1 THEN ba WHEN kk=1 THEN bb ELSE 'N' END,'' ORDER BY pos),'-','') AS seq
+    FROM (SELECT sample, level, pos, max(tot) AS tot, count(*) FILTER (n/tot>{th}) AS k, count(*) FILTER (n/tot>{th} AND b<>'-') AS kk, max(b) FILTER (n/tot>{th} AND b<>'-') AS bb, max(b) FILTER (n/tot>{th}) AS ba FROM t GROUP BY 1,2,3) f GROUP BY 1,2"""
+
+
+_ORFS = re.sub(r"\bord\b", "sample, level, th, code", _FRAMES.split("codons AS")[0]).replace("fx_runs", "called") + """codons AS (SELECT sample, level, th, code, seq, frame, f, regexp_extract_all(f,'[A-Z][A-Z][A-Z]') AS c FROM frames WHERE code<>0),
+  orfs AS (SELECT sample, level, th, seq, frame, f, coalesce(list_min(list_filter(list_transform(c, lambda x, i: CASE WHEN x IN ('TAA','TAG','TAR') OR code=2 AND x IN ('AGA','AGG','AGR') THEN i END), lambda x: x IS NOT NULL))-1, length(c)) AS aa FROM codons),
+  best AS (SELECT sample, level, th, arg_max(f, aa*10-frame) AS f, max(aa) AS aa FROM orfs GROUP BY ALL)"""
+
+
+@query(
+    "ph3_levels",
+    f"""WITH {_RANKED}, called AS (SELECT u.*, code FROM ({_at(0.3)} UNION ALL {_at(0.2)}) u JOIN tot USING (sample)), {_ORFS},
+  q AS (SELECT c.*, c.seq<>'' AND NOT contains(c.seq,'N') AND (code=0 OR abs(length(c.seq)-60)<=60 AND aa*3>=length(c.seq)*0.95) AS ok, CASE WHEN aa*3>=length(c.seq)-2 THEN c.seq ELSE left(f,aa*3) END AS orf FROM called c LEFT JOIN best USING (sample, level, th)),
+  w AS (SELECT *, CASE WHEN ok AND code<>0 THEN orf ELSE seq END AS barcode FROM q),
+  d AS (SELECT a.sample, a.level, a.reads, a.ok AND a.reads>=5 AS ok, b.ok AND b.reads>=5 AND NOT (a.ok AND a.reads>=5) AS swept, CASE WHEN a.reads>=5 THEN a.barcode ELSE '' END AS seq, b.barcode AS other FROM w a JOIN w b ON a.sample=b.sample AND a.level=b.level AND a.th=0.3 AND b.th=0.2),
+  tried AS (SELECT d.*, d.ok OR swept AS good, max(d.ok OR swept) OVER (PARTITION BY d.sample ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS settled FROM d JOIN tot USING (sample) WHERE level=20 OR total>level)
+  SELECT sample, level, cast(reads AS bigint) AS reads, CASE WHEN swept THEN other ELSE seq END AS seq, good AS ok, CASE WHEN swept THEN 'sweep' ELSE 'threshold' END AS how, CASE WHEN reads<5 THEN 'NA' WHEN good THEN 'good' ELSE 'failed' END AS status
+  FROM tried WHERE NOT coalesce(settled, false) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY level)=1""",
+)
+def _(fx):
+    codes = fx.labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    aln = fx.aln.withColumn("doc_id", F.floor(F.col("read_id") / 10)).withColumn("rn", (F.col("read_id") % 10 + 1).cast("int"))
+    more = aln.join(codes, "doc_id").withColumn("rn", F.col("rn") + 10)
+    aln = aln.unionByName(more.drop("quality"))
+    own = more.filter("rn = 11 and quality is not null").select("sample", F.when(F.col("quality") == 1, 2).otherwise(5).alias("code"))
+    coverage = aln.groupBy("sample").agg(F.count(F.lit(1)).alias("reads"))
+    p = P.CallParams(plen=60, tol=60, code=0, levels=(20, 10, 5), low=0.2, high=0.2, resolve=False)
+    return P.call_levels(aln, coverage, p, own).select("sample", "level", "reads", "seq", "ok", "how", "status")
+
+
+@query("ph3_levels_mixed")
+def _(fx):
+    reads = _copies(fx).drop("rn")
+    codes = fx.labels.select(F.concat(F.lit("S"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("sample"), F.when(F.col("quality") == 1, 2).otherwise(5).alias("code")).distinct()
+    return P.consensus_by_length(reads, P.CallParams(plen=400, window=100000, code=0, tol=400, levels=(10, 7, 5)), codes.dropDuplicates(["sample"]))
+
+
 @query("ph4_check_set")
 def _(fx):
     reads = fx.runs.select(F.concat_ws("_", "sample", F.col("run").cast("string")).alias("sample"), "seq", (~F.contains("seq", F.lit("N")) & (F.length("seq") > 0)).alias("ok"))
@@ -226,5 +276,5 @@ def _(fx):
 )
 def _(fx):
     combos = fx.lineitem.select((F.col("l_linenumber") / 10).alias("threshold")).distinct()
-    swept = P.sweep_thresholds(C.column_counts(fx.aln), combos, 0, 0, 0)
+    swept = P.sweep_thresholds(count_matrix(fx.aln), combos, 0, 0, 0)
     return swept.select("threshold", "sample", "seq", "ok")

@@ -149,11 +149,20 @@ def frames(seq) -> list[Column]:
     return [s, F.substr(s, F.lit(2)), F.substr(s, F.lit(3)), revcomp(s), revcomp(tail1), revcomp(tail2)]
 
 
-def _clean_prefixes(seq, code: int) -> Column:
-    """Leading codons of each frame before its first stop."""
-    stops = "|".join(stop_codons(code))
-    pattern = f"^(?:(?!{stops})[A-Z]{{3}})*+"
-    return F.transform(F.array(*frames(seq)), lambda f: F.regexp_extract(f, pattern, 0))
+def _prefix_pattern(code: int) -> str:
+    return f"^(?:(?!{'|'.join(stop_codons(code))})[A-Z]{{3}})*+"
+
+
+def _clean_prefixes(seq, code: int | Column) -> Column:
+    """Leading codons of each frame before its first stop.
+
+    For a column of codes the patterns of all codes are one map literal, so rows
+    of different codes share the expression; an unknown code is an error.
+    """
+    if isinstance(code, int):
+        return F.transform(F.array(*frames(seq)), lambda f: F.regexp_extract(f, _prefix_pattern(code), 0))
+    known = F.create_map(*[F.lit(x) for c in STOPS for x in (c, _prefix_pattern(c))])
+    return F.transform(F.array(*frames(seq)), lambda f: F.call_function("regexp_extract", f, known[code], F.lit(0)))
 
 
 def _let(value: Column, body) -> Column:
@@ -161,12 +170,12 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def orf_lengths(seq, code: int) -> Column:
+def orf_lengths(seq, code: int | Column) -> Column:
     """Amino acids before the first stop, for each of the six frames."""
     return F.transform(_clean_prefixes(seq, code), lambda p: (F.length(p) / 3).cast("int"))
 
 
-def best_orf(seq, code: int) -> Column:
+def best_orf(seq, code: int | Column) -> Column:
     """Longest clean frame as struct(aa, rank, orf), rank = -frame; the earliest frame wins ties."""
     return F.array_max(
         F.transform(
@@ -176,7 +185,7 @@ def best_orf(seq, code: int) -> Column:
     )
 
 
-def translates(seq, code: int) -> Column:
+def translates(seq, code: int | Column) -> Column:
     """True when the best frame has no stop at all."""
     s = ungap(seq)
     size = F.length(s)
@@ -189,7 +198,7 @@ def translates(seq, code: int) -> Column:
     return _let(best_orf(s, code), clean)
 
 
-def orf_trim(seq, code: int) -> Column:
+def orf_trim(seq, code: int | Column) -> Column:
     """struct(seq, aa): the sequence itself when it reads through, else its longest clean ORF."""
     s = ungap(seq)
     return _let(

@@ -13,54 +13,41 @@ from ..functions.align import place_on, spread
 from ..functions.iupac import divergence, edit_iupac
 from ..functions.seq import count_char, hamming, orf_trim, ungap
 from ..session import balance, cut
+from .counts import LETTERS, count_matrix
 from .ordering import top_n_per
 
-LETTERS = {"A": "A", "C": "C", "G": "G", "T": "T", "-": "gap", "N": "N"}
 ORF_COVERAGE = 0.95
 
 
 # -- columns and calls ---------------------------------------------------------------------
 
 
-def column_counts(aln: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
-    """Letters per alignment column: keys, pos, one count per letter and their total ``n``.
-
-    Counting is spread over positions and combined on the map side, so a
-    sample with very many reads is no single task.
-    """
-    rows = aln.select(*keys, F.posexplode(F.split(F.upper("aln"), "")).alias("pos", "base")).filter("base <> ''")
-    counts = rows.groupBy(*keys, "pos").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("base") == b).alias(f"n_{name}") for b, name in LETTERS.items()]
-    )
-    return counts
-
-
-def call(threshold, strict: bool = False) -> Column:
-    """Base call of a column: the letters above the threshold share; gaps give way when another letter is left."""
-    over = F.array_compact(F.array(*[F.when(F.col(f"n_{name}") / F.col("n") > threshold, b) for b, name in LETTERS.items()]))
+def call(column: Column, threshold, strict: bool = False) -> Column:
+    """Base call of a column (a struct of counts): the letters above the threshold share; gaps give way when another letter is left."""
+    over = F.array_compact(F.array(*[F.when(column[f"n_{name}"] / column["n"] > threshold, b) for b, name in LETTERS.items()]))
     solid = F.array_remove(over, "-")
     many = F.lit("N") if strict else F.when(F.size(solid) == 1, F.get(solid, F.lit(0))).otherwise("N")
-    return F.when(F.size(over) == 0, "N").when(F.size(over) == 1, F.get(over, F.lit(0))).otherwise(many)
+    out = F.when(F.size(over) == 0, "N").when(F.size(over) == 1, F.get(over, F.lit(0))).otherwise(many)
+    # Most columns have one letter only.
+    for b, name in LETTERS.items() if threshold < 1 else ():
+        out = F.when(column[f"n_{name}"] == column["n"], b).otherwise(out)
+    return out
 
 
-def _assemble(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join the calls of each key in column order; a key holds one row per alignment column."""
-    row = F.array_sort(F.collect_list(F.struct("pos", "call")))
-    return calls.groupBy(*keys).agg(F.array_join(F.transform(row, lambda x: x["call"]), "").alias("aligned"), F.max("n").alias("reads"))
+def called(threshold, strict: bool = False) -> Column:
+    """The aligned consensus of a row's columns."""
+    return F.array_join(F.transform("cols", lambda c: call(c, threshold, strict)), "")
 
 
 def consensus(aln: DataFrame, threshold: float = 0.3, min_reads: int = 5, strict: bool = False, keys: Sequence[str] = ("sample",)) -> DataFrame:
     """Column-majority consensus per key; NULL below ``min_reads``."""
-    return call_columns(column_counts(aln, keys), threshold, min_reads, strict, keys)
+    return call_columns(count_matrix(aln, keys), threshold, min_reads, strict)
 
 
-def call_columns(counts: DataFrame, threshold: float, min_reads: int, strict: bool = False, keys: Sequence[str] = ("sample",)) -> DataFrame:
-    """Consensus from column counts made before."""
-    out = _assemble(counts.withColumn("call", call(threshold, strict)), keys)
-    enough = F.col("reads") >= min_reads
-    return out.select(
-        *keys, "reads", F.when(enough, F.col("aligned")).alias("aligned"), F.when(enough, ungap("aligned")).alias("seq")
-    )
+def call_columns(matrix: DataFrame, threshold: float, min_reads: int, strict: bool = False) -> DataFrame:
+    """Consensus from counts made before; no row moves."""
+    aligned = F.when(F.col("reads") >= min_reads, called(threshold, strict))
+    return matrix.withColumn("aligned", aligned).drop("cols").withColumn("seq", ungap("aligned"))
 
 
 def sweep_steps(low: float, high: float, step: float, fixed: float) -> list[float]:
@@ -70,51 +57,41 @@ def sweep_steps(low: float, high: float, step: float, fixed: float) -> list[floa
     return [t for t in tried if t >= low - 1e-9 and abs(t - fixed) > 1e-9]
 
 
-def passes_qc(seq: Column, code: int, plen: int, tol: int) -> Column:
-    """struct(ok, seq): coding barcodes must be of length, clean and one long ORF; others only clean."""
+def passes_qc(seq: Column, code: int | Column, plen: int, tol: int) -> Column:
+    """struct(ok, seq): coding barcodes must be of length, clean and one long ORF; others (code 0) only clean.
+
+    A column of codes gives every row its own.
+    """
     clean = count_char(seq, "N") == 0
-    if code == 0:
-        return F.struct(((seq != "") & clean).alias("ok"), seq.alias("seq"))
+    free = F.struct(((seq != "") & clean).alias("ok"), seq.alias("seq"))
+    if isinstance(code, int) and code == 0:
+        return free
     orf = orf_trim(seq, code)
     ok = clean & (F.abs(F.length(seq) - plen) <= tol) & (orf["aa"] * 3 >= F.length(seq) * ORF_COVERAGE) & (seq != "")
-    return F.struct(ok.alias("ok"), F.when(ok, orf["seq"]).otherwise(seq).alias("seq"))
+    coding = F.struct(ok.alias("ok"), F.when(ok, orf["seq"]).otherwise(seq).alias("seq"))
+    return coding if isinstance(code, int) else F.when(code == 0, free).otherwise(coding)
 
 
-def pick_call(k: int):
-    """Call number ``k`` of a column that carries one letter per threshold."""
-    return lambda x: F.substr(x["call"], F.lit(k + 1), F.lit(1))
-
-
-def consensus_sweep(counts: DataFrame, thresholds: Sequence[float], code: int, plen: int, tol: int) -> DataFrame:
-    """Sequence of each sample when all passing thresholds agree on exactly one.
-
-    Columns are counted once; each column carries its call at every threshold
-    as one text, so the thresholds add no rows.
-    """
-    calls = counts.withColumn("call", F.concat(*[call(t) for t in thresholds]))
-    row = F.array_sort(F.collect_list(F.struct("pos", "call")))
-    per = calls.groupBy("sample").agg(row.alias("_c"), F.max("n").alias("reads")).filter("reads >= 5")
-    seqs = F.array(
-        *[
-            F.translate(F.array_join(F.transform("_c", pick_call(k)), ""), "-", "")
-            for k in range(len(thresholds))
-        ]
-    ) if thresholds else F.array().cast("array<string>")
-    tried = per.select("sample", F.explode(F.array_distinct(seqs)).alias("_s"))
-    good = tried.select("sample", passes_qc(F.col("_s"), code, plen, tol).alias("q")).filter("q.ok")
-    one = good.groupBy("sample").agg(F.min("q.seq").alias("seq"), F.max("q.seq").alias("_hi"))
-    return one.filter("seq = _hi").select("sample", "seq")
+def consensus_sweep(matrix: DataFrame, thresholds: Sequence[float], code: int | Column, plen: int, tol: int) -> DataFrame:
+    """Sequence of each sample when all passing thresholds agree on exactly one; every sample stays a row of its own."""
+    enough = matrix.filter("reads >= 5")
+    tried = F.array_distinct(F.array(*[ungap(called(t)) for t in thresholds])) if thresholds else F.array().cast("array<string>")
+    passed = F.array_distinct(F.transform(F.filter(F.transform("_t", lambda s: passes_qc(s, code, plen, tol)), lambda q: q["ok"]), lambda q: q["seq"]))
+    return enough.withColumn("_t", tried).withColumn("_p", passed).filter(F.size("_p") == 1).select("sample", F.get("_p", F.lit(0)).alias("seq"))
 
 
 # -- mixtures --------------------------------------------------------------------------------
 
 
-def polymorphic_columns(counts: DataFrame, minor: float = 0.2) -> DataFrame:
+def polymorphic_columns(matrix: DataFrame, minor: float = 0.2) -> DataFrame:
     """Columns whose second base reaches ``minor`` of all reads, in samples with 4 reads and 2 such columns."""
-    second = F.get(F.sort_array(F.array("n_A", "n_C", "n_G", "n_T"), asc=False), F.lit(1))
-    cols = counts.filter((F.col("n") >= 4) & (second > 0) & (second / F.col("n") >= minor)).select("sample", "pos", second.alias("second"), "n")
-    enough = cols.groupBy("sample").agg(F.count(F.lit(1)).alias("_k")).filter("_k >= 2").select("sample")
-    return cols.join(enough, "sample")
+
+    def seen(c: Column, at: Column) -> Column:
+        second = F.get(F.sort_array(F.array(c["n_A"], c["n_C"], c["n_G"], c["n_T"]), asc=False), F.lit(1))
+        return F.struct(at.alias("pos"), second.alias("second"), c["n"].alias("n"))
+
+    good = F.filter(F.transform("cols", seen), lambda c: (c["n"] >= 4) & (c["second"] > 0) & (c["second"] / c["n"] >= minor))
+    return matrix.withColumn("_g", good).filter(F.size("_g") >= 2).select("sample", F.inline("_g"))
 
 
 def signatures(aln: DataFrame, poly: DataFrame) -> DataFrame:
@@ -159,7 +136,7 @@ def _cluster(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
 
 
 def haplotypes(
-    aln: DataFrame, minor: float = 0.2, min_frac: float = 0.2, tolerance: float = 0.10, min_reads: int = 3, counts: DataFrame | None = None
+    aln: DataFrame, minor: float = 0.2, min_frac: float = 0.2, tolerance: float = 0.10, min_reads: int = 3, matrix: DataFrame | None = None
 ) -> DataFrame:
     """Real haplotype clusters of mixed-looking samples: rank, size, frac, aligned consensus, role.
 
@@ -167,7 +144,7 @@ def haplotypes(
     of a sample with their counts, which are no more than its reads and those
     are limited by ``subset_by_length``, meet in one task for the greedy walk.
     """
-    poly = cut(polymorphic_columns(column_counts(aln) if counts is None else counts, minor))
+    poly = cut(polymorphic_columns(count_matrix(aln) if matrix is None else matrix, minor))
     sigs = signatures(aln, poly)
     distinct = sigs.groupBy("sample", "sig").agg(F.count(F.lit(1)).alias("n"))
     sample_type = dict(aln.dtypes)["sample"]
@@ -193,27 +170,24 @@ def haplotypes(
 
 
 def choose_haplotype(
-    clusters: DataFrame, code: int, plen: int, tol: int, alert: float = 0.03, pass_div: float = 0.01, max_variants: int = 3, max_ns: int = 5
+    clusters: DataFrame, code: int | Column, plen: int, tol: int, alert: float = 0.03, pass_div: float = 0.01, max_variants: int = 3, max_ns: int = 5
 ) -> DataFrame:
-    """Clusters of mixed samples with the chosen one, divergences from it and the review flags."""
+    """Clusters of mixed samples with the chosen one, divergences from it and the review flags; a column of codes gives every row its own."""
     mixed = clusters.filter("n_clusters >= 2").withColumn("len", F.length("seq")).withColumn("n_n", count_char(F.col("seq"), "N"))
-    if code:
-        mixed = mixed.withColumn("_orf", orf_trim("seq", code))
-        good = (F.col("seq") != "") & (F.col("_orf.aa") * 3 >= F.col("len") * ORF_COVERAGE)
-        mixed = mixed.withColumn("translates", good).drop("_orf")
-        # Without any translating cluster the largest one stands.
-        key = F.struct(
-            (~F.col("translates")).alias("t"),
-            F.when(F.col("translates"), F.col("n_n")).otherwise(0).alias("a"),
-            F.when(F.col("translates"), F.abs(F.col("len") - plen)).otherwise(0).alias("b"),
-            F.when(F.col("translates"), -F.col("size")).otherwise(0).alias("c"),
-            F.col("rank"),
-        )
-        qc = F.col("translates") & (F.col("n_n") == 0) & (F.abs(F.col("len") - plen) <= tol)
-    else:
-        mixed = mixed.withColumn("translates", F.lit(None).cast("boolean"))
-        key = F.struct("n_n", (-F.col("size")).alias("s"), "rank")
-        qc = F.col("n_n") == 0
+    code = F.lit(code) if isinstance(code, int) else code
+    aa = F.when(code != 0, orf_trim("seq", code)["aa"])
+    # Null for markers that do not code.
+    mixed = mixed.withColumn("translates", F.when(code != 0, (F.col("seq") != "") & (aa * 3 >= F.col("len") * ORF_COVERAGE)))
+    free, reads_through = F.col("translates").isNull(), F.coalesce("translates", F.lit(False))
+    # Of coding ones, without any translating cluster the largest one stands.
+    key = F.struct(
+        (~free & ~reads_through).alias("t"),
+        F.when(free | reads_through, F.col("n_n")).otherwise(0).alias("a"),
+        F.when(reads_through, F.abs(F.col("len") - plen)).otherwise(0).alias("b"),
+        F.when(free | reads_through, -F.col("size")).otherwise(0).alias("c"),
+        F.col("rank"),
+    )
+    qc = (F.col("n_n") == 0) & (free | (reads_through & (F.abs(F.col("len") - plen) <= tol)))
     mixed = mixed.withColumn("passes", qc)
     best = mixed.groupBy("sample").agg(F.min_by(F.struct("rank", "seq"), key).alias("_b"))
     both = mixed.join(best, "sample").withColumn("chosen", F.col("rank") == F.col("_b.rank"))
@@ -283,7 +257,8 @@ def estimate_gaps(aln: DataFrame, keys: Sequence[str] = ("set",)) -> DataFrame:
     def shape(c: str) -> Column:
         return F.regexp_replace(F.col(c), "[^-]", "x")
 
-    both = aln.join(cons, list(keys)) if keys else aln.withColumn("_c", cons.scalar()).filter("_c is not null")
+    # The single value is fixed first: a subquery is best a plain scan.
+    both = aln.join(cons, list(keys)) if keys else aln.withColumn("_c", cut(cons).scalar()).filter("_c is not null")
     gaps = hamming(shape("aln"), shape("_c"))
     return both.select(*[c for c in aln.columns], gaps.alias("estgaps"), (gaps == 0).alias("good"))
 
@@ -304,20 +279,20 @@ def with_genetic_code(samples: DataFrame, codes: DataFrame, default: int) -> Dat
 
 
 def align_to_template(reads: DataFrame) -> DataFrame:
-    """Align the reads of each sample (sample, read_id, seq, rn) to the one with ``rn`` 1.
+    """Align the reads of each sample (sample, read_id, seq, rn) to the one with ``rn`` 1; ``rn`` is kept.
 
     Every read is aligned on its own. What reads insert between two template
     positions becomes extra columns, as many as the longest insert there.
     """
     template = reads.filter("rn = 1").select("sample", F.col("seq").alias("_t"))
-    placed = balance(reads.join(template, "sample")).withColumn("_p", place_on("seq", "_t")).select("sample", "read_id", "_p.*")
+    placed = balance(reads.join(template, "sample")).withColumn("_p", place_on("seq", "_t")).select("sample", "read_id", "rn", "_p.*")
     placed = cut(placed)
     entry = F.explode(F.arrays_zip("at", F.transform("inserts", lambda t: F.length(t)).alias("w")))
     wide = placed.select("sample", entry.alias("e")).select("sample", F.col("e.at").alias("at"), F.col("e.w").alias("w")).groupBy("sample", "at").agg(F.max("w").alias("w"))
     # At most one entry per template position.
     widths = wide.groupBy("sample").agg(F.collect_list(F.struct("at", "w")).alias("_w"))
     both = placed.join(widths, "sample", "left")
-    return both.select("sample", "read_id", spread("bases", "at", "inserts", F.col("_w.at"), F.col("_w.w")).alias("aln"))
+    return both.select("sample", "read_id", spread("bases", "at", "inserts", F.col("_w.at"), F.col("_w.w")).alias("aln"), "rn")
 
 
 def align_set(reads: DataFrame) -> DataFrame:

@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.seq import ungap
 from ..operators import consensus as C
 from ..operators import reads as R
 from ..operators.nearest import nearest_refs
+from ..operators.ordering import first_per
 from ..session import cut
 
 
 @dataclass(frozen=True)
 class CallParams:
-    """Consensus settings. ``code`` 0 stands for a non-coding marker."""
+    """Consensus settings. ``code`` 0 stands for a non-coding marker; samples may have codes of their own."""
 
     plen: int = 658
     window: int = 100
     coverage: int = 100
+    #: Numbers of reads to call with, in turn from the highest down; empty: ``coverage`` alone.
+    levels: tuple[int, ...] = ()
     threshold: float = 0.3
     min_reads: int = 5
     low: float = 0.2
@@ -42,17 +47,27 @@ def demultiplex(reads: DataFrame, sheet: DataFrame, p: R.ReadParams) -> DataFram
     return R.assign_samples(R.locate_primers(cut_up, p), R.tag_variants(sheet, p.tagmm), sheet)
 
 
-def call_aligned(aln: DataFrame, p: CallParams) -> DataFrame:
-    """Consensus of aligned reads: mixtures first, then the main threshold, then the sweep."""
+def call_aligned(aln: DataFrame, p: CallParams, codes: DataFrame | None = None) -> DataFrame:
+    """Consensus of aligned reads: mixtures first, then the main threshold, then the sweep. ``codes``: (sample, code) of samples with their own code."""
     aln = cut(aln)
-    counts = cut(C.column_counts(aln))
-    main = C.call_columns(counts, p.threshold, p.min_reads)
-    base = C.qc_barcode(main.select("sample", "reads", F.coalesce("seq", F.lit("")).alias("seq")), p.code, p.plen, p.tol)
-    out = base.withColumn("how", F.lit("threshold"))
+    return call_counted(cut(C.count_matrix(aln)), aln, p, codes)
+
+
+def call_counted(matrix: DataFrame, aln: DataFrame, p: CallParams, codes: DataFrame | None = None) -> DataFrame:
+    """The same from counts made before; ``aln`` is only read where mixtures are resolved."""
+    code: int | Column = p.code
+    if codes is not None:
+        matrix, code = C.with_genetic_code(matrix, codes, p.code), F.col("code")
+    base = C.qc_barcode(C.call_columns(matrix, p.threshold, p.min_reads).withColumn("seq", F.coalesce("seq", F.lit(""))), code, p.plen, p.tol)
+    out = base.select("sample", "reads", "seq", "ok").withColumn("how", F.lit("threshold"))
     if p.resolve:
-        clusters = C.haplotypes(aln, p.minor, p.min_frac, p.tolerance, p.cluster_reads, counts)
-        chosen = C.choose_haplotype(clusters, p.code, p.plen, p.tol, p.alert).filter("chosen")
-        mixed = C.qc_barcode(chosen.select("sample", "seq", "needs_review"), p.code, p.plen, p.tol)
+        clusters = C.haplotypes(aln, p.minor, p.min_frac, p.tolerance, p.cluster_reads, matrix)
+        if codes is not None:
+            clusters = C.with_genetic_code(clusters, codes, p.code)
+        chosen = C.choose_haplotype(clusters, code, p.plen, p.tol, p.alert).filter("chosen")
+        if codes is not None:
+            chosen = C.with_genetic_code(chosen, codes, p.code)
+        mixed = C.qc_barcode(chosen, code, p.plen, p.tol)
         mixed = mixed.select("sample", F.col("seq").alias("_m"), F.col("ok").alias("_mok"), "needs_review")
         both = out.join(mixed, "sample", "left")
         is_mixed = F.col("_m").isNotNull() & (F.col("reads") >= p.min_reads)
@@ -65,7 +80,7 @@ def call_aligned(aln: DataFrame, p: CallParams) -> DataFrame:
     else:
         out = out.withColumn("needs_review", F.lit(False))
     steps = C.sweep_steps(p.low, p.high, p.step, p.threshold)
-    rescued = C.consensus_sweep(counts, steps, p.code, p.plen, p.tol).withColumnRenamed("seq", "_r")
+    rescued = C.consensus_sweep(matrix, steps, code, p.plen, p.tol).withColumnRenamed("seq", "_r")
     both = out.join(rescued, "sample", "left")
     use = ~F.col("ok") & (F.col("how") == "threshold") & F.col("_r").isNotNull()
     status = F.when(F.col("reads") < p.min_reads, "NA").when(F.col("ok") | use, "good").otherwise("failed")
@@ -75,31 +90,64 @@ def call_aligned(aln: DataFrame, p: CallParams) -> DataFrame:
     )
 
 
-def consensus_by_length(assigned: DataFrame, p: CallParams) -> DataFrame:
-    """Phase 2a: the reads closest to the expected length, aligned and called, with the length-mode warning."""
-    subset = C.subset_by_length(assigned.select("sample", "read_id", "seq"), p.plen, p.window, p.coverage)
-    called = call_aligned(C.align_to_template(subset), p)
+def call_levels(aln: DataFrame, coverage: DataFrame, p: CallParams, codes: DataFrame | None = None) -> DataFrame:
+    """Consensus of aligned, ranked reads (sample, read_id, aln, rn), called with fewer and fewer reads until a sample is good, and the ``level`` it came from.
+
+    The reads are counted once for all levels. A sample leaves the chain at the
+    level that settles it, and passes over a level that its reads (``coverage``:
+    sample, reads) do not exceed, as the level before had called just these; a
+    level that no sample waits for is not begun. A sample that is never good
+    keeps its last call.
+    """
+    levels = sorted(p.levels or (p.coverage,), reverse=True)
+    aln = cut(aln)
+    counts = cut(C.count_matrix(aln, rank="rn", levels=levels))
+    waiting, made = None, []
+    for level in levels:
+        own, reads = counts.filter(F.col("level") == level).drop("level"), aln.filter(F.col("rn") <= level)
+        if waiting is not None:
+            these = cut(waiting.join(samples_for_level(coverage, level), "sample", "left_semi"))
+            if these.isEmpty():
+                continue
+            own, reads = own.join(these, "sample", "left_semi"), reads.join(these, "sample", "left_semi")
+        called = cut(call_counted(own, reads, p, codes).withColumn("level", F.lit(level)))
+        made.append(called)
+        settled = called.filter("ok").select("sample")
+        waiting = (called if waiting is None else waiting).select("sample").join(settled, "sample", "left_anti")
+    return first_per(reduce(DataFrame.unionByName, made), ["sample"], ["level"])
+
+
+def consensus_by_length(assigned: DataFrame, p: CallParams, codes: DataFrame | None = None) -> DataFrame:
+    """Phase 2a: the reads closest to the expected length, aligned once and called level by level, with the length-mode warning.
+
+    Levels share the template and the alignment: columns that only reads of a
+    higher level fill are gaps throughout below it, and fall out of the barcode.
+    """
+    subset = C.subset_by_length(assigned.select("sample", "read_id", "seq"), p.plen, p.window, max(p.levels or (p.coverage,)))
+    total = cut(R.sample_coverage(assigned))
+    called = call_levels(C.align_to_template(subset), total, p, codes)
     modes = C.length_modes(assigned).select("sample", "mode1", "mode2")
-    total = R.sample_coverage(assigned).withColumnRenamed("reads", "coverage")
+    total = total.withColumnRenamed("reads", "coverage")
     return total.join(called, "sample", "left").join(modes, "sample", "left").withColumn("status", F.coalesce("status", F.lit("NA")))
 
 
 def samples_for_level(coverage: DataFrame, level: int) -> DataFrame:
-    """Samples for which a higher coverage level can change anything."""
+    """Samples with more reads than a level: for others it would call the very reads of the level before."""
     return coverage.filter(F.col("reads") > level)
 
 
 def check_set(barcodes: DataFrame) -> DataFrame:
     """Phase 2 check: good barcodes aligned together and their gaps against the set's consensus."""
-    good = barcodes.filter("ok").select(F.col("sample").alias("read_id"), "seq")
+    # The alignment asks for single values of the set, which are best scans of what is fixed.
+    good = cut(barcodes.filter("ok").select(F.col("sample").alias("read_id"), "seq"))
     aln = C.align_set(good).select(F.col("read_id").alias("sample"), "aln")
     return C.estimate_gaps(aln, keys=()).select("sample", "estgaps", F.col("good").alias("predicted_good"))
 
 
-def consensus_by_similarity(assigned: DataFrame, failed: DataFrame, p: CallParams) -> DataFrame:
+def consensus_by_similarity(assigned: DataFrame, failed: DataFrame, p: CallParams, codes: DataFrame | None = None) -> DataFrame:
     """Phase 2b: reads like each failed barcode, aligned and called again."""
     near = C.similar_reads(assigned.select("sample", "read_id", "seq"), failed, p.plen, p.coverage)
-    return call_aligned(C.align_to_template(near), p)
+    return call_aligned(C.align_to_template(near), p, codes)
 
 
 def final_lists(calls: DataFrame, checked: DataFrame) -> DataFrame:
@@ -118,26 +166,14 @@ def neighbours(failed: DataFrame, library: DataFrame, k: int = 20) -> DataFrame:
 # -- sweep ---------------------------------------------------------------------------------------
 
 
-def sweep_thresholds(counts: DataFrame, combos: DataFrame, plen: int, tol: int, code: int) -> DataFrame:
+def sweep_thresholds(matrix: DataFrame, combos: DataFrame, plen: int, tol: int, code: int) -> DataFrame:
     """Consensus of every sample under every combination (run, threshold), from one set of column counts.
 
     Columns are called once per distinct threshold, so combinations that share
-    one cost nothing, and the calls travel as one text per column.
+    one cost nothing.
     """
     distinct = [r[0] for r in combos.select("threshold").distinct().orderBy("threshold").collect()]
-    calls = counts.withColumn("call", F.concat(*[C.call(t) for t in distinct]))
-    row = F.array_sort(F.collect_list(F.struct("pos", "call")))
-    per = calls.groupBy("sample").agg(row.alias("_c"), F.max("n").alias("reads"))
-    seqs = F.array(
-        *[
-            F.struct(
-                F.lit(float(t)).alias("threshold"),
-                F.translate(F.array_join(F.transform("_c", C.pick_call(k)), ""), "-", "").alias("seq"),
-            )
-            for k, t in enumerate(distinct)
-        ]
-    )
-    tried = per.select("sample", "reads", F.explode(seqs).alias("_s")).select("sample", "reads", "_s.*")
+    seqs = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), ungap(C.called(t)).alias("seq")) for t in distinct])
+    tried = matrix.select("sample", "reads", F.explode(seqs).alias("_s")).select("sample", "reads", "_s.*")
     good = C.qc_barcode(tried.filter("reads >= 5"), code, plen, tol)
     return combos.join(good, "threshold")
-

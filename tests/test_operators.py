@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ampliq.functions import seq as S
 from ampliq.functions.iupac import distance, equal_letters
 from ampliq.operators import compare, consensus, identify, nearest, reads, records, runs
+from ampliq.operators.counts import column_counts, count_matrix
 from ampliq.operators.ordering import running
 from ampliq.plans import phases
 
@@ -243,7 +244,7 @@ def test_align_to_template_gives_equal_lengths(spark):
 
 def test_sweep_equals_single_calls(spark):
     rows = [("s", i, s) for i, s in enumerate(["ACGT", "ACGT", "ACGA", "AC-A", "ACTA", "ACGA"])]
-    counts = consensus.column_counts(spark.createDataFrame(rows, "sample string, read_id int, aln string"))
+    counts = count_matrix(spark.createDataFrame(rows, "sample string, read_id int, aln string"))
     combos = spark.createDataFrame([(1, 0.3), (2, 0.6)], "run int, threshold double")
     swept = {r.threshold: r.seq for r in phases.sweep_thresholds(counts, combos, 0, 0, 0).collect()}
     for t in (0.3, 0.6):
