@@ -9,7 +9,10 @@ from ..functions.headers import header_field, sample_of_header
 from ..operators import consensus as C
 from ..operators.counts import column_counts, count_matrix
 from ..operators.nearest import nearest_refs
+from ..operators import runs as R
 from ..plans import phases as P
+from ..plans.sweep import run_sweep
+from ..session import scratch_folder
 from .reads import PARAMS
 from .registry import query
 from .scalars import _FRAMES, _FRAMES5
@@ -278,3 +281,22 @@ def _(fx):
     combos = fx.lineitem.select((F.col("l_linenumber") / 10).alias("threshold")).distinct()
     swept = P.sweep_thresholds(count_matrix(fx.aln), combos, 0, 0, 0)
     return swept.select("threshold", "sample", "seq", "ok")
+
+
+@query(
+    "ph9_sweep",
+    """WITH v AS (SELECT minlen, freq, (row_number() OVER (ORDER BY minlen, freq)-1)::INT AS idx FROM (SELECT unnest([100,200]) AS minlen) a, (SELECT unnest([0.3::DOUBLE,0.6::DOUBLE]) AS freq) b)
+    SELECT idx, cast(minlen AS double) AS minlen, freq, truth AS sample, count(*) AS coverage FROM fx_reads JOIN v ON length(seq)>minlen WHERE length(seq)<422 GROUP BY ALL""",
+)
+def _(fx):
+    lists = [("minlen", "100", 1), ("minlen", "200", 2), ("consfreqfixed", "0.3", 1), ("consfreqfixed", "0.6", 2)]
+    grid = R.expand_grid(fx.spark.createDataFrame(lists, "key string, value string, pos int"), ["minlen", "consfreqfixed"])
+    combos = grid.select((2 * (F.col("place.p0") - 1) + F.col("place.p1") - 1).cast("int").alias("idx"), "minlen", "consfreqfixed")
+    path = scratch_folder(fx.spark, "sweep")
+    one = fx.reads.withColumn("read_id", F.col("read_id").cast("string"))
+    base = replace(PARAMS, tagmm=1, minlen=0, demlen=50, primermm=2)
+    calls = P.CallParams(plen=300, window=300, coverage=10, code=0, resolve=False)
+    # Stopped inside the first of two demultiplexings, then taken up again.
+    run_sweep(one, fx.sheet, combos, path, base, calls, most=1)
+    done = run_sweep(one, fx.sheet, combos, path, base, calls)
+    return done.join(combos, "idx").select("idx", "minlen", F.col("consfreqfixed").alias("freq"), "sample", "coverage")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.headers import parse_div, variant_host
 from ..functions.text import compress_ranges
 from ..session import cut
-from .ordering import first_per
+from .ordering import first_per, running
 
 # Sweep parameters with their type and allowed range.
 PARAMETERS: dict[str, tuple] = {
@@ -270,21 +271,28 @@ def typed_parameter(key: str, raw: Column) -> Column:
 
 
 def expand_grid(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All combinations of the values (key, value, pos) of each key, last key fastest.
+    """All combinations of the values (key, value, pos) of each key, last key fastest, with the ``place`` of each value in its list.
 
-    The lists are exploded from one row, so no join is made; the result is as
-    large as the grid itself.
+    The lists are parameters and come to the driver; the grid does not: a
+    combination's values are the digits of its number in the mixed radix of the
+    lists' lengths, so ``spark.range`` spreads a grid of any size.
     """
-    lists = values.groupBy().agg(
-        *[F.transform(F.array_sort(F.collect_list(F.when(F.col("key") == k, F.struct("pos", "value")))), lambda s: s).alias(f"_{i}") for i, k in enumerate(keys)]
-    )
-    out = lists
-    for i in range(len(keys)):
-        rest = [c for c in out.columns if c != f"_{i}"]
-        out = out.select(*rest, F.explode(f"_{i}").alias(f"_{i}"))
-    return out.select(
-        F.struct(*[F.col(f"_{i}.pos") for i in range(len(keys))]).alias("place"),
-        *[typed_parameter(k, F.col(f"_{i}.value")).alias(k) for i, k in enumerate(keys)],
+    lists: dict[str, list] = {k: [] for k in keys}
+    for r in values.filter(F.col("key").isin(list(keys))).orderBy("key", "pos", "value").collect():
+        lists[r.key].append(r)
+    size = prod(len(lists[k]) for k in keys)
+    digit, below = {}, 1
+    for k in reversed(keys):
+        digit[k] = (F.floor(F.col("id") / below) % max(1, len(lists[k]))).cast("int")
+        below *= len(lists[k])
+
+    def pick(k: str, field: str, kind: str) -> Column:
+        return F.get(F.array(*[F.lit(r[field]) for r in lists[k]]).cast(f"array<{kind}>"), digit[k])
+
+    kind = dict(values.dtypes)["pos"]
+    return values.sparkSession.range(size).select(
+        F.struct(*[pick(k, "pos", kind).alias(f"p{i}") for i, k in enumerate(keys)]).alias("place"),
+        *[typed_parameter(k, pick(k, "value", "string")).alias(k) for k in keys],
     )
 
 
@@ -301,10 +309,17 @@ def apply_overrides(combos: DataFrame, base: Mapping[str, float]) -> DataFrame:
 
 
 def phase1_reuse(combos: DataFrame, keys: Sequence[str], order: str = "run") -> DataFrame:
-    """Whether each combination can reuse the demultiplexing of the one before it."""
+    """Whether each combination can reuse the demultiplexing of the one before it, in the order of a column that names each once."""
     key = F.struct(*[F.col(f"`{k}`") for k in keys])
-    before = F.lag(key).over(Window.orderBy(order))
-    return combos.withColumn("reused", F.coalesce(before.eqNullSafe(key) & before.isNotNull(), F.lit(False)))
+    numbered = running(combos, [order], number="_n")
+    before = numbered.select((F.col("_n") + 1).alias("_n"), key.alias("_before"))
+    joined = numbered.join(before, "_n", "left").withColumn("reused", F.coalesce(F.col("_before") == key, F.lit(False)))
+    return joined.select(*combos.columns, "reused")
+
+
+def demultiplex_key(keys: Sequence[str] = tuple(DEMULTIPLEX_KEYS)) -> Column:
+    """A short name for a combination's demultiplexing parameters: combinations with the same name share their reads per sample."""
+    return F.substr(F.sha2(F.concat_ws("|", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("-"))) for k in keys]), 256), F.lit(1), F.lit(16))
 
 
 def remaining_combinations(planned: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

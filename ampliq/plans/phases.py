@@ -39,6 +39,11 @@ class CallParams:
     cluster_reads: int = 3
     alert: float = 0.03
 
+    @property
+    def reads_used(self) -> tuple[int, ...]:
+        """The levels from the highest down."""
+        return tuple(sorted(set(self.levels or (self.coverage,)), reverse=True))
+
 
 def demultiplex(reads: DataFrame, sheet: DataFrame, p: R.ReadParams) -> DataFrame:
     """Phase 1: length and quality filter, split, primers, tags; reads with their sample."""
@@ -90,18 +95,25 @@ def call_counted(matrix: DataFrame, aln: DataFrame, p: CallParams, codes: DataFr
     )
 
 
-def call_levels(aln: DataFrame, coverage: DataFrame, p: CallParams, codes: DataFrame | None = None) -> DataFrame:
+def count_levels(aln: DataFrame, p: CallParams) -> DataFrame:
+    """Column counts of aligned, ranked reads for every level."""
+    return cut(C.count_matrix(aln, rank="rn", levels=p.reads_used))
+
+
+def call_levels(aln: DataFrame, coverage: DataFrame, p: CallParams, codes: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Consensus of aligned, ranked reads (sample, read_id, aln, rn), called with fewer and fewer reads until a sample is good, and the ``level`` it came from.
 
     The reads are counted once for all levels. A sample leaves the chain at the
     level that settles it, and passes over a level that its reads (``coverage``:
     sample, reads) do not exceed, as the level before had called just these; a
     level that no sample waits for is not begun. A sample that is never good
-    keeps its last call.
+    keeps its last call. ``counts``: those of ``count_levels``, where they are
+    there already.
     """
-    levels = sorted(p.levels or (p.coverage,), reverse=True)
-    aln = cut(aln)
-    counts = cut(C.count_matrix(aln, rank="rn", levels=levels))
+    levels = p.reads_used
+    if counts is None:
+        aln = cut(aln)
+        counts = count_levels(aln, p)
     waiting, made = None, []
     for level in levels:
         own, reads = counts.filter(F.col("level") == level).drop("level"), aln.filter(F.col("rn") <= level)
@@ -123,7 +135,7 @@ def consensus_by_length(assigned: DataFrame, p: CallParams, codes: DataFrame | N
     Levels share the template and the alignment: columns that only reads of a
     higher level fill are gaps throughout below it, and fall out of the barcode.
     """
-    subset = C.subset_by_length(assigned.select("sample", "read_id", "seq"), p.plen, p.window, max(p.levels or (p.coverage,)))
+    subset = C.subset_by_length(assigned.select("sample", "read_id", "seq"), p.plen, p.window, p.reads_used[0])
     total = cut(R.sample_coverage(assigned))
     called = call_levels(C.align_to_template(subset), total, p, codes)
     modes = C.length_modes(assigned).select("sample", "mode1", "mode2")

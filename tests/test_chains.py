@@ -1,14 +1,22 @@
 """Whole chains: coverage levels, genetic codes per sample, counts that add up, sweeps that are taken up again."""
 
+import os
 import random
 from collections import Counter
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ampliq.functions import seq as S
 from ampliq.operators import consensus as C
 from ampliq.operators.counts import column_counts, count_matrix
+from ampliq.catalog.fixtures import Fixtures
+from ampliq.catalog.reads import PARAMS
+from ampliq.operators import runs as R
 from ampliq.plans import phases as P
+from ampliq.plans import sweep as W
+
+from .conftest import SF
 
 
 def test_counts_add_up(spark):
@@ -85,3 +93,36 @@ def test_codes_of_rows_equal_single_codes(spark):
         assert {r.k: r.q for r in both if r.code == code} == want
         if code:
             assert {r.k: r.t for r in both if r.code == code} == {r.k: r.t for r in own.select("k", S.translates("seq", code).alias("t")).collect()}
+
+
+def test_grid_by_mixed_radix(spark):
+    values = spark.createDataFrame([("minq", "7", 2), ("minq", "5", 1), ("tagmm", "0", 1), ("tagmm", "2", 3), ("tagmm", "1", 2), ("minlen", "10", 1), ("other", "1", 1)], "key string, value string, pos int")
+    got = [tuple(r)[1:] for r in R.expand_grid(values, ["minq", "tagmm", "minlen"]).orderBy("place").collect()]
+    assert got == [(q, float(t), 10.0) for q in (5.0, 7.0) for t in range(3)]
+    assert R.expand_grid(values, ["minq", "demlen"]).count() == 0
+    reused = R.phase1_reuse(spark.createDataFrame([(3, 1.0, None), (1, 1.0, 2.0), (2, 1.0, 2.0), (9, 1.0, None)], "run int, a double, b double"), ["a", "b"])
+    assert [r.reused for r in reused.orderBy("run").collect()] == [False, True, False, True]
+
+
+def test_sweep_is_taken_up_again_and_equals_single_runs(spark, tmp_path):
+    fx = Fixtures(spark, SF)
+    reads = fx.reads.withColumn("read_id", F.col("read_id").cast("string"))
+    base = replace(PARAMS, tagmm=1, minlen=0, demlen=50, primermm=2)
+    calls = P.CallParams(plen=300, window=300, coverage=8, code=0)
+    combos = spark.createDataFrame([(0, 90.0, 0.3), (1, 170.0, 0.6), (2, 90.0, 0.6), (3, 170.0, 0.3)], "idx int, minlen double, consfreqfixed double")
+    path = str(tmp_path / "sweep")
+    assert {r.idx for r in W.run_sweep(reads, fx.sheet, combos, path, base, calls, most=1).collect()} <= {0, 1}
+    files = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(f"{path}/reads") for f in names}
+    got = W.run_sweep(reads, fx.sheet, combos, path, base, calls).collect()
+    again = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(f"{path}/reads") for f in names}
+    assert files and all(again[f] == t for f, t in files.items()) and len(os.listdir(f"{path}/reads")) == 2
+    key = lambda r: (r.idx, r.sample)
+    assert len({key(r) for r in got}) == len(got) and {r.idx for r in got} == {0, 1, 2, 3}
+    columns = ["coverage", "reads", "seq", "ok", "how", "status"]
+    for minlen in (90, 170):
+        own = P.demultiplex(reads, fx.sheet, replace(base, minlen=minlen)).cache()
+        for idx, freq in [(c.idx, c.consfreqfixed) for c in combos.filter(F.col("minlen") == minlen).collect()]:
+            want = {r.sample: [r[c] for c in columns] for r in P.consensus_by_length(own, replace(calls, threshold=freq)).collect()}
+            assert {r.sample: [r[c] for c in columns] for r in got if r.idx == idx} == want
+    # Everything is done: nothing runs, the calls are still there.
+    assert W.run_sweep(reads.limit(0), fx.sheet, combos, path, base, calls).count() == len(got)
