@@ -246,7 +246,7 @@ def linked_pairs(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int)
 
 
 def linked(rows: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """(id, n, group) for stored ``rows`` (id long, text string): the size of each shingle set and the smallest id that the row is linked with over any
+    """(id, n, group) for ``rows`` (id long, text string): the size of each shingle set and the smallest id that the row is linked with over any
     number of links. Ids must be distinct and not null; rows without shingles are groups of their own.
     """
     first = stored(signatures(rows, width), "signatures")
@@ -265,9 +265,18 @@ def linked(rows: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFr
     return own.where("n > 0").join(stored(named, "named"), ["n", "s1", "s2"]).select("id", "n", "group").union(empty)
 
 
-def numbered(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
-    """A number ``id`` of its own, ``text`` and ``columns`` for every row, written once so that the numbers stay."""
-    return stored(docs.select(F.monotonically_increasing_id().alias("id"), F.col(f"`{text}`").cast("string").alias("text"), *columns), "numbered")
+def numbered(docs: DataFrame, key: str, text: str, *columns: Column) -> DataFrame:
+    """(id, text, name, columns): rows with an id of their own beside their ``name``, the caller's key as a long.
+
+    Where keys are distinct numbers, which a look at that column alone tells,
+    they are the ids; else every row gets a number, and the table is written
+    once so that the numbers stay.
+    """
+    rows = docs.select(F.col(f"`{key}`").try_cast("long").alias("name"), F.col(f"`{text}`").cast("string").alias("text"), *columns)
+    odd = rows.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("name is null or k > 1")
+    if odd.isEmpty():
+        return rows.withColumn("id", F.col("name"))
+    return stored(rows.withColumn("id", F.monotonically_increasing_id()), "numbered")
 
 
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -278,7 +287,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
     their own component. Every row is a document of its own, also where ids repeat or are null (or, as longs, no numbers): a component is named by its
     smallest id, and has none only if no row of it has. Other columns are ignored.
     """
-    rows = numbered(docs, text, F.col(f"`{id}`").try_cast("long").alias("name"))
+    rows = numbered(docs, id, text)
     found = stored(linked(rows.select("id", "text"), width, p, q).join(rows.select("id", "name"), "id"), "linked")
     # Groups of one need no other row's name.
     least = found.groupBy("group").agg(F.min("name").alias("component_id"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
