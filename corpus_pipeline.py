@@ -32,9 +32,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     come last in their group); documents without words link with nothing and stay.
     """
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
-    rows = ngram_join.numbered(docs, "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), rest)
-    found = ngram_join.linked(rows.select("id", "text"), width=5, p=80, q=100).join(rows.select("id", "rest.doc_id", "digest"), "id")
-    first = found.groupBy("group").agg(F.min_by("id", F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "id")).alias("id")).select("id")
+    rows = ngram_join.numbered(docs, "doc_id", "text", rest)
+    names = rows.select("id", "name", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    found = ngram_join.linked(rows.select("id", "text"), width=5, p=80, q=100).join(names, "id")
+    first = found.groupBy("group").agg(F.min_by("id", F.struct(F.col("name").isNull(), "name", "digest", "id")).alias("id")).select("id")
     kept = rows.join(stored(first, "kept"), "id", "left_semi")
     return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
