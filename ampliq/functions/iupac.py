@@ -64,16 +64,12 @@ def trim_common(a: str, b: str) -> tuple[str, str]:
     return (a[: len(a) - m], b[: len(b) - m]) if m else (a, b)
 
 
-def compatible(a: str, b: str, equal: dict[str, str]) -> bool:
-    """True when the global distance is 0: equal length, and letters equal position by position."""
-    return len(a) == len(b) and all(x == y or x in equal.get(y, "") for x, y in zip(*trim_common(a, b)))
-
-
-def composition_bound(a: str, b: str) -> int:
-    """A lower bound of the distance from letter counts; ambiguity codes may stand for anything."""
-    wild = sum(len(s) - sum(s.count(x) for x in "ACGT") for s in (a, b))
-    gaps = [a.count(x) - b.count(x) for x in "ACGT"]
-    return max(sum(g for g in gaps if g > 0), -sum(g for g in gaps if g < 0)) - wild
+def composition_bounds(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Lower bounds of the distances of pairs from letter counts; ambiguity codes may stand for anything."""
+    counts = [np.array([[t.count(c) for c in b"ACGT"] for t in texts], np.int64).reshape(-1, 4) for texts in (x, y)]
+    wild = sum(np.array([len(t) for t in texts], np.int64) - c.sum(axis=1) for texts, c in zip((x, y), counts))
+    gap = counts[0] - counts[1]
+    return np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)) - wild
 
 
 def distance(a: str, b: str, equal: dict[str, str], infix: bool = False) -> int:
@@ -109,25 +105,196 @@ def distance(a: str, b: str, equal: dict[str, str], infix: bool = False) -> int:
     return best if infix else score
 
 
-def _pairwise(a: pa.Array, b: pa.Array, rule: str, infix: bool) -> tuple[list, list]:
+# -- many pairs at once ------------------------------------------------------------------------
+
+#: Pairs with patterns of as many words go through the kernel together if there are this many of them for each word; for fewer, single big integers, which
+#: the interpreter works on a word at a time too, cost less than the kernel's calls. Results are equal.
+LANES_PER_WORD = 30
+#: Entries of the match tables (pairs x words x letters) that are held at once.
+TABLE = 1 << 21
+_ONE = np.uint64(1)
+_BASE = np.full(256, -1)
+_BASE[[ord(b) for b in "ACGT"]] = np.arange(4)
+
+
+def letter_table(equal: dict[str, str]) -> np.ndarray:
+    """Which bytes equal which."""
+    table = np.eye(256, dtype=bool)
+    for x, others in equal.items():
+        for y in others:
+            table[ord(x), ord(y)] = table[ord(y), ord(x)] = True
+    return table
+
+
+def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(t) for t in texts], np.int64)
+    width = int(size.max(initial=0))
+    return np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width), size
+
+
+def _lanes(x: list[bytes], y: list[bytes], table: np.ndarray, infix: bool, limit: np.ndarray) -> np.ndarray:
+    """Distances of pairs with patterns ``x`` of the same number of words and texts ``y``, none empty: a letter of all texts at a time.
+
+    A pair leaves when its text ends or its score, which a letter lowers by one
+    at most, can no longer come down to its limit (then limit + 1 is returned).
+    """
+    order = np.argsort([-len(t) for t in y], kind="stable")
+    pattern, m = _padded([x[k] for k in order])
+    text, n = _padded([y[k] for k in order])
+    limit = limit[order]
+    words = int(-(-m.max() // 64))
+    letters, place = np.unique(text, return_inverse=True)
+    place = place.reshape(text.shape)
+    inside = np.arange(pattern.shape[1]) < m[:, None]
+    match = np.zeros((len(letters), words, len(x)), np.uint64)
+    for k, letter in enumerate(letters):
+        bits = np.zeros((len(x), words * 64), bool)
+        bits[:, : pattern.shape[1]] = table[letter][pattern] & inside
+        match[k] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T
+    top = _ONE << ((m - 1) % 64).astype(np.uint64)
+    high = _ONE << np.uint64(63)
+    plus = np.full((words, len(x)), ~np.uint64(0))
+    minus = np.zeros((words, len(x)), np.uint64)
+    score = m.copy()
+    best = m.copy()
+    out = np.empty(len(x), np.int64)
+    lane = np.arange(len(x))
+    first = 0 if infix else 1
+    for j in range(text.shape[1]):
+        live = len(lane) if n[lane[-1]] > j else int(np.searchsorted(-n[lane], -j, "left"))
+        bounded = (score - (n[lane] - j) > limit[lane]) if not infix else None
+        if live < len(lane) or (bounded is not None and j % 16 == 0 and bounded.any()):
+            stay = np.arange(len(lane)) < live
+            out[lane[~stay]] = (best if infix else score)[~stay]
+            if bounded is not None:
+                over = stay & bounded
+                out[lane[over]] = limit[lane[over]] + 1
+                stay &= ~over
+            lane, score, best, plus, minus, match, top = lane[stay], score[stay], best[stay], plus[:, stay], minus[:, stay], match[:, :, stay], top[stay]
+            if not len(lane):
+                break
+        eqs = match[place[lane, j], :, np.arange(len(lane))]
+        up = np.full(len(lane), first, np.int64)
+        for w in range(words):
+            eq, pv, mv = eqs[:, w], plus[w], minus[w]
+            down_in, up_in = (up < 0).astype(np.uint64), (up > 0).astype(np.uint64)
+            xv = eq | mv
+            eq = eq | down_in
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | ~(xh | pv)
+            mh = pv & xh
+            if w == words - 1:
+                score = score + ((ph & top) != 0) - ((mh & top) != 0)
+            else:
+                up = ((ph & high) != 0).astype(np.int64) - ((mh & high) != 0)
+            ph, mh = (ph << _ONE) | up_in, (mh << _ONE) | down_in
+            plus[w] = mh | ~(xv | ph)
+            minus[w] = ph & xv
+        if infix:
+            best = np.minimum(best, score)
+    out[lane] = best if infix else score
+    out = np.where(out > limit, limit + 1, out)
+    back = np.empty(len(x), np.int64)
+    back[order] = out
+    return back
+
+
+def _trimmed(x: list[bytes], y: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Pairs without their common beginnings and ends."""
+    a, n = _padded(x)
+    b, m = _padded(y)
+    width = min(a.shape[1], b.shape[1])
+    differs = np.concatenate([a[:, :width] != b[:, :width], np.ones((len(x), 1), bool)], axis=1)
+    front = np.minimum(differs.argmax(axis=1), np.minimum(n, m))
+    x, y = [t[k:] for t, k in zip(x, front.tolist())], [t[k:] for t, k in zip(y, front.tolist())]
+    a, n = _padded([t[::-1] for t in x])
+    b, m = _padded([t[::-1] for t in y])
+    width = min(a.shape[1], b.shape[1])
+    differs = np.concatenate([a[:, :width] != b[:, :width], np.ones((len(x), 1), bool)], axis=1)
+    tail = np.minimum(differs.argmax(axis=1), np.minimum(n, m)).tolist()
+    return [t[: len(t) - k] for t, k in zip(x, tail)], [t[: len(t) - k] for t, k in zip(y, tail)]
+
+
+def distances(x: list[bytes], y: list[bytes], equal: dict[str, str], infix: bool = False, limit: np.ndarray | None = None) -> np.ndarray:
+    """Global distances of many pairs of texts in single-byte letters; with ``infix`` the ends of ``y`` are free.
+
+    ``limit`` (one for each pair): a larger distance may be given as limit + 1.
+    Pairs whose lengths differ by more than their limit need no alignment.
+    """
+    out = np.zeros(len(x), np.int64)
+    limit = np.full(len(x), 1 << 40) if limit is None else np.maximum(np.asarray(limit, np.int64), -1)
+    table = letter_table(equal)
+    todo = np.flatnonzero([a != b for a, b in zip(x, y)])
+    for low in range(0, len(todo), 2_000):
+        some = todo[low : low + 2_000]
+        a, b = [x[k] for k in some], [y[k] for k in some]
+        if not infix:
+            a, b = _trimmed(a, b)
+            # The distance is the same both ways, so the shorter text is the pattern.
+            a, b = by_length(a, b)
+        size, other = np.array([len(t) for t in a]), np.array([len(t) for t in b])
+        words = -(-size // 64)
+        got = np.where(size == 0, 0 if infix else other, size)
+        if not infix:
+            far = other - size > limit[some]
+            got[far] = limit[some][far] + 1
+        else:
+            far = np.zeros(len(some), bool)
+        for w in np.unique(words[(size > 0) & (other > 0) & ~far]).tolist():
+            own = np.flatnonzero((words == w) & (size > 0) & (other > 0) & ~far)
+            if len(own) < LANES_PER_WORD * w:
+                got[own] = [distance(a[k].decode("latin-1"), b[k].decode("latin-1"), equal, infix) for k in own]
+                continue
+            # Texts of like lengths go together; at most 24 different letters are counted on.
+            own = own[np.argsort(other[own], kind="stable")]
+            step = max(16, TABLE // (24 * w))
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                got[part] = _lanes([a[i] for i in part], [b[i] for i in part], table, infix, limit[some][part])
+        out[some] = np.minimum(got, limit[some] + 1)
+    return out
+
+
+def by_length(x: list[bytes], y: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Pairs with the shorter text first; of equal lengths the first one stays."""
+    pairs = [(p, q) if len(p) <= len(q) else (q, p) for p, q in zip(x, y)]
+    return [p for p, _ in pairs], [q for _, q in pairs]
+
+
+def all_equal(x: list[bytes], y: list[bytes], equal: dict[str, str]) -> np.ndarray:
+    """Which pairs have distance 0: equal lengths, and letters equal position by position."""
+    out = np.array([len(a) == len(b) for a, b in zip(x, y)], bool)
+    own = [k for k in np.flatnonzero(out).tolist() if x[k]]
+    if own:
+        flat = letter_table(equal)[np.frombuffer(b"".join([x[k] for k in own]), np.uint8), np.frombuffer(b"".join([y[k] for k in own]), np.uint8)]
+        starts = np.concatenate([[0], np.cumsum([len(x[k]) for k in own])[:-1]])
+        out[own] = np.logical_and.reduceat(flat, starts)
+    return out
+
+
+def ambiguous(texts: list[bytes]) -> np.ndarray:
+    """Which texts hold letters other than A, C, G and T."""
+    return np.array([bool(t.strip(b"ACGT")) and bool(t.translate(None, b"ACGT")) for t in texts], bool)
+
+
+def _encoded(column: pa.Array) -> list[bytes]:
+    """Texts in single-byte letters; letters beyond Latin-1 become one that equals nothing in a sequence."""
+    return [(t or "").encode("latin-1", "replace") for t in column.to_pylist()]
+
+
+def _pairwise(a: pa.Array, b: pa.Array, rule: str, infix: bool) -> tuple[pa.Array, pa.Array]:
     equal = equal_letters(rule)
-    plain, iupac = [], []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        if x is None or y is None:
-            plain.append(None)
-            iupac.append(None)
-            continue
-        if infix and len(x) > len(y):
-            x, y = y, x
-        if x == y:
-            plain.append(0)
-            iupac.append(0)
-            continue
-        d = distance(x, y, {}, infix)
-        plain.append(d)
-        ambiguous = set(x) - set("ACGT") or set(y) - set("ACGT")
-        iupac.append(distance(x, y, equal, infix) if ambiguous and d else d)
-    return plain, iupac
+    null = np.asarray(a.is_null()) | np.asarray(b.is_null())
+    x, y = _encoded(a), _encoded(b)
+    if infix:
+        x, y = by_length(x, y)
+    plain = distances(x, y, {}, infix)
+    iupac = plain.copy()
+    again = np.flatnonzero((plain > 0) & (ambiguous(x) | ambiguous(y)))
+    if len(again):
+        # Equality of codes only ever lowers the distance.
+        iupac[again] = distances([x[k] for k in again], [y[k] for k in again], equal, infix, plain[again])
+    return pa.array(plain, pa.int32(), mask=null), pa.array(iupac, pa.int32(), mask=null)
 
 
 def edit_iupac(a, b, rule: str = "overlap", infix: bool = False) -> Column:
@@ -135,14 +302,56 @@ def edit_iupac(a, b, rule: str = "overlap", infix: bool = False) -> Column:
 
     @arrow_udf(DISTANCE)
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        plain, iupac = _pairwise(x, y, rule, infix)
-        return pa.StructArray.from_arrays(
-            [pa.array(plain, pa.int32()), pa.array(iupac, pa.int32())], names=["plain", "iupac"]
-        )
+        return pa.StructArray.from_arrays(list(_pairwise(x, y, rule, infix)), names=["plain", "iupac"])
 
     return run(a, b)
 
 
+def gram_bounds(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Lower bounds of global distances from lengths and counts of three-letter words.
+
+    An edit changes at most three words of either text, and an ambiguous letter,
+    which may stand for others, spoils three of its own text and meets three.
+    """
+    sizes, profiles, unclear = [], [], 0
+    for texts in (x, y):
+        size = np.array([len(t) for t in texts], np.int64)
+        code = _BASE[np.frombuffer(b"".join(texts), np.uint8)]
+        owner = np.repeat(np.arange(len(texts)), size)
+        word = code[:-2] * 16 + code[1:-1] * 4 + code[2:] if len(code) > 2 else np.zeros(0, np.int64)
+        good = (code[:-2] >= 0) & (code[1:-1] >= 0) & (code[2:] >= 0) & (owner[:-2] == owner[2:]) if len(code) > 2 else np.zeros(0, bool)
+        profiles.append(np.bincount(owner[:-2][good] * 64 + word[good], minlength=64 * len(texts)).reshape(-1, 64) if len(code) > 2 else np.zeros((len(texts), 64), np.int64))
+        sizes.append(size)
+        unclear = unclear + np.bincount(owner[code < 0], minlength=len(texts))
+    apart = np.abs(profiles[0] - profiles[1]).sum(axis=1) - 6 * unclear
+    return np.maximum(np.abs(sizes[0] - sizes[1]), -(-apart // 6))
+
+
+def gram_bound(a, b) -> Column:
+    """The same for a pair of columns."""
+
+    @arrow_udf(IntegerType())
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        p, q = _encoded(x), _encoded(y)
+        got = [gram_bounds(p[k : k + 500], q[k : k + 500]) for k in range(0, len(p), 500)]
+        return pa.array(np.concatenate(got or [np.zeros(0, np.int64)]), pa.int32())
+
+    return run(a, b)
+
+
+def within(a, b, limit, rule: str = "base") -> Column:
+    """IUPAC distance of a pair if it is at most ``limit``, else null; pairs beyond it are left early. A null limit is none."""
+    equal = equal_letters(rule)
+
+    @arrow_udf(IntegerType())
+    def run(x: pa.Array, y: pa.Array, most: pa.Array) -> pa.Array:
+        top = np.array([1 << 30 if m is None else m for m in most.to_pylist()], np.int64)
+        d = distances(_encoded(x), _encoded(y), equal, limit=top)
+        return pa.array(d, pa.int32(), mask=(d > top) | np.asarray(x.is_null()) | np.asarray(y.is_null()))
+
+    return run(a, b, limit)
+
+
 def divergence(a, b) -> Column:
     """IUPAC distance over the longer length, gaps removed; 0 when either is empty."""
     x, y = (F.upper(F.translate(F.col(c) if isinstance(c, str) else c, "-", "")) for c in (a, b))

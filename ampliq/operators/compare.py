@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions.headers import extract_sample_id, header_metrics, normalize_id
-from ..functions.iupac import compatible, composition_bound, distance, equal_letters
+from ..functions.iupac import all_equal, ambiguous, by_length, composition_bounds, distances, equal_letters
 from ..functions.seq import COMPLEMENT_FROM, COMPLEMENT_TO, revcomp
 from ..session import balance, cut
 from .ordering import first_per
@@ -53,41 +54,46 @@ def dedupe_ids(df: DataFrame) -> DataFrame:
 def compare_sequences(a, b, ignore_ends: bool = False) -> Column:
     """struct(state, d, plain, rc) of two sequences, trying the reverse complement when they differ."""
     equal = equal_letters("overlap")
-    flip = str.maketrans(COMPLEMENT_FROM, COMPLEMENT_TO)
-
-    def pair(x: str, y: str) -> tuple[int, int]:
-        if x == y:
-            return 0, 0
-        if ignore_ends and len(x) > len(y):
-            x, y = y, x
-        plain = distance(x, y, {}, ignore_ends)
-        ambiguous = plain and (set(x) - set("ACGT") or set(y) - set("ACGT"))
-        return plain, distance(x, y, equal, ignore_ends) if ambiguous else plain
-
-    def verdict(x: str, y: str) -> tuple:
-        turned = x.translate(flip)[::-1]
+    flip = bytes.maketrans(COMPLEMENT_FROM.encode(), COMPLEMENT_TO.encode())
+
+    def both(x: list[bytes], y: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Distances without and with equality of codes."""
+        if ignore_ends:
+            x, y = by_length(x, y)
+        plain = distances(x, y, {}, ignore_ends)
+        d = plain.copy()
+        again = np.flatnonzero((plain > 0) & (ambiguous(x) | ambiguous(y)))
+        if len(again):
+            d[again] = distances([x[k] for k in again], [y[k] for k in again], equal, ignore_ends, plain[again])
+        return plain, d
+
+    def verdicts(x: list[bytes], y: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(d, plain, turned) of all pairs."""
+        turned = [t.translate(flip)[::-1] for t in x]
+        d, plain, rc = np.full(len(x), -1), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         if not ignore_ends:
             # Zero distances need no alignment to be seen, and most pairs have one.
-            for text, rc in ((x, False), (turned, True)):
-                if compatible(text, y, equal):
-                    plain = distance(text, y, {})
-                    return ("compatible" if plain else "identical"), 0, plain, rc
-        plain, d = pair(x, y)
-        if d == 0:
-            return ("compatible" if plain else "identical"), 0, plain, False
-        if not ignore_ends and composition_bound(turned, y) >= d:
-            return "different", d, plain, False
-        plain_rc, d_rc = pair(turned, y)
-        if d_rc == 0:
-            return ("compatible" if plain_rc else "identical"), 0, plain_rc, True
-        return ("different", d_rc, plain_rc, True) if d_rc < d else ("different", d, plain, False)
+            for text, back in ((x, False), (turned, True)):
+                zero = np.flatnonzero((d < 0) & all_equal(text, y, equal))
+                d[zero], rc[zero] = 0, back
+                plain[zero] = distances([text[k] for k in zero], [y[k] for k in zero], {})
+        left = np.flatnonzero(d < 0)
+        plain[left], d[left] = both([x[k] for k in left], [y[k] for k in left])
+        tried = left[d[left] > 0]
+        if not ignore_ends:
+            bound = composition_bounds([turned[k] for k in tried], [y[k] for k in tried])
+            tried = tried[bound < d[tried]]
+        plain_rc, d_rc = both([turned[k] for k in tried], [y[k] for k in tried])
+        nearer = d_rc < d[tried]
+        to = tried[nearer]
+        d[to], plain[to], rc[to] = d_rc[nearer], plain_rc[nearer], True
+        return d, plain, rc
 
     @arrow_udf(VERDICT)
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        rows = [verdict(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())]
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        types = [pa.string(), pa.int32(), pa.int32(), pa.bool_()]
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["state", "d", "plain", "rc"])
+        d, plain, rc = verdicts([t.encode("latin-1", "replace") for t in x.to_pylist()], [t.encode("latin-1", "replace") for t in y.to_pylist()])
+        state = np.where(d > 0, "different", np.where(plain > 0, "compatible", "identical"))
+        return pa.StructArray.from_arrays([pa.array(state.tolist(), pa.string()), pa.array(d, pa.int32()), pa.array(plain, pa.int32()), pa.array(rc)], names=["state", "d", "plain", "rc"])
 
     return run(a, b)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ampliq.functions.align import place
-from ampliq.functions.iupac import compatible, composition_bound, distance, equal_letters, locate
+from ampliq.functions.iupac import all_equal, composition_bounds, distance, distances, equal_letters, gram_bounds, locate
 
 RULES = ["exact", "base", "overlap"]
 
@@ -34,12 +34,49 @@ def test_distance_equals_dynamic_programming(rule):
         a, b = word(rnd), word(rnd)
         d = slow(a, b, equal)
         assert distance(a, b, equal) == d
-        assert compatible(a, b, equal) == (d == 0)
-        assert composition_bound(a, b) <= d
+        x, y = [a.encode()], [b.encode()]
+        assert all_equal(x, y, equal)[0] == (d == 0)
+        assert composition_bounds(x, y)[0] <= d
+        assert gram_bounds(x, y)[0] <= d
         if len(a) <= len(b):
             assert distance(a, b, equal, infix=True) == slow(a, b, equal, infix=True)
 
 
+@pytest.mark.parametrize("rule", RULES)
+@pytest.mark.parametrize("infix", [False, True])
+def test_many_pairs_at_once(rule, infix):
+    """Short and long pairs, near and far, on both sides of word borders, against one pair at a time and the plain recurrence."""
+    rnd, equal = random.Random(7), equal_letters(rule)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rnd.choices("ACGTNRY-", weights=[9, 9, 9, 9, 1, 1, 1, 1], k=rnd.choice([0, 1, 5, 20, 63, 64, 65, 127, 128, 130, 300])))
+        b = list(a)
+        for _ in range(rnd.choice([0, 1, 3, 40])):
+            if b:
+                b[rnd.randrange(len(b))] = rnd.choice(["", "A", "CG", "N"])
+        b = "".join(b) if rnd.random() < 0.8 else word(rnd, most=200)
+        pairs.append((a, b) if not infix or len(a) <= len(b) else (b, a))
+    x, y = [a.encode() for a, _ in pairs], [b.encode() for _, b in pairs]
+    want = [distance(a, b, equal, infix) for a, b in pairs]
+    assert want[:60] == [slow(a, b, equal, infix) for a, b in pairs[:60]]
+    assert distances(x, y, equal, infix).tolist() == want
+    limit = np.array([rnd.choice([0, 1, 2, 5, 30, 1000]) for _ in pairs])
+    got = distances(x, y, equal, infix, limit)
+    assert got.tolist() == [min(d, k + 1) for d, k in zip(want, limit.tolist())]
+    long = [(w * 700).encode() for w in ("ACGT", "ACGA")]
+    assert distances(long[:1], long[1:], {}).tolist() == [distance("ACGT" * 700, "ACGA" * 700, {})]
+    assert distances([], [], equal).tolist() == []
+
+
+def test_gram_bounds_of_many_pairs():
+    rnd, equal = random.Random(9), equal_letters("base")
+    roots = [word(rnd, "ACGT", 80) for _ in range(9)]
+    pairs = [(rnd.choice(roots), "".join(rnd.choice(["", "A", "N", c, c, c, c, c, c]) for c in rnd.choice(roots))) for _ in range(200)]
+    bound = gram_bounds([a.encode() for a, _ in pairs], [b.encode() for _, b in pairs])
+    want = [distance(a, b, equal) for a, b in pairs]
+    assert all(low <= d for low, d in zip(bound.tolist(), want)) and sum(2 * low > d for low, d in zip(bound.tolist(), want)) > 20
+
+
 def test_equality_rules():
     assert "R" in equal_letters("base")["A"] and "N" not in equal_letters("base").get("R", "")
     assert "N" in equal_letters("overlap")["R"] and "Y" not in equal_letters("overlap")["R"]
