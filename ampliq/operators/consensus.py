@@ -237,7 +237,11 @@ def subset_by_length(reads: DataFrame, plen: int, window: int, n: int) -> DataFr
 
 def length_modes(reads: DataFrame) -> DataFrame:
     """Samples with a second length mode at least 3 bins of 10 away holding 20% of the reads."""
-    bins = reads.groupBy("sample", F.floor(F.length("seq") / 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return modes_of_bins(reads.groupBy("sample", F.floor(F.length("seq") / 10).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def modes_of_bins(bins: DataFrame) -> DataFrame:
+    """The same from counts made before (sample, bin, n)."""
     key = F.struct("n", -F.col("bin"))
     top = bins.groupBy("sample").agg(F.sum("n").alias("reads"), F.max_by("bin", key).alias("b1")).filter("reads >= 10")
     far = bins.join(top, "sample").filter("abs(bin - b1) >= 3")

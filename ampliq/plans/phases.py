@@ -136,11 +136,15 @@ def consensus_by_length(assigned: DataFrame, p: CallParams, codes: DataFrame | N
     higher level fill are gaps throughout below it, and fall out of the barcode.
     """
     subset = C.subset_by_length(assigned.select("sample", "read_id", "seq"), p.plen, p.window, p.reads_used[0])
-    total = cut(R.sample_coverage(assigned))
-    called = call_levels(C.align_to_template(subset), total, p, codes)
-    modes = C.length_modes(assigned).select("sample", "mode1", "mode2")
-    total = total.withColumnRenamed("reads", "coverage")
-    return total.join(called, "sample", "left").join(modes, "sample", "left").withColumn("status", F.coalesce("status", F.lit("NA")))
+    return consensus_of_subset(subset, cut(R.sample_coverage(assigned)), C.length_modes(assigned), p, codes)
+
+
+def consensus_of_subset(subset: DataFrame, coverage: DataFrame, modes: DataFrame, p: CallParams, codes: DataFrame | None = None) -> DataFrame:
+    """Phase 2a from reads chosen before (sample, read_id, seq, rn); ``coverage`` names every sample and its reads."""
+    called = call_levels(C.align_to_template(subset), coverage, p, codes)
+    total = coverage.withColumnRenamed("reads", "coverage")
+    out = total.join(called, "sample", "left").join(modes.select("sample", "mode1", "mode2"), "sample", "left")
+    return out.withColumn("status", F.coalesce("status", F.lit("NA")))
 
 
 def samples_for_level(coverage: DataFrame, level: int) -> DataFrame:

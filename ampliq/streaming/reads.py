@@ -8,23 +8,24 @@ twice, and a failed batch is run again over the same files.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import reads as R
+from ..operators.consensus import modes_of_bins
 from ..operators.ordering import first_per
-from ..plans.phases import CallParams, consensus_by_length
-from ..session import scratch_folder
+from ..plans.phases import CallParams, consensus_of_subset
+from ..session import cut, scratch_folder
 from ..sources.fastq import SCHEMA, batches
 
-BUCKETS = 64
-
-
 PATTERN = "*.{fastq,fq,fastq.gz,fq.gz}"
 
 
@@ -79,40 +80,92 @@ def stream_fastq_stats(reads: DataFrame, group: str = "grp") -> DataFrame:
     )
 
 
-def bucket_of(sample: str) -> Column:
-    return F.pmod(F.hash(sample), F.lit(BUCKETS))
+KEPT = "sample string, total long, rn int, read_id string, seq string, bins array<int>, counts array<long>"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class ClosestReads(StatefulProcessor):
+    """What a sample's consensus needs of all its reads so far: their number, how many have each length, and the few of best length.
+
+    All three can be added to, so a batch costs its own reads and what is kept,
+    not the reads of the batches before. At most ``n`` reads are kept.
+    """
+
+    def __init__(self, plen: int, window: int, n: int):
+        self.plen, self.window, self.n = plen, window, n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "n long")
+        self.lengths = handle.getMapState("lengths", "bin int", "n long")
+        self.kept = handle.getListState("kept", "dev int, read_id string, digest string, seq string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = list(self.kept.get())
+        total = self.total.get()[0] if self.total.exists() else 0
+        new: Counter = Counter()
+        for part in rows:
+            total += len(part)
+            for read_id, seq in zip(part["read_id"], part["seq"]):
+                new[len(seq) // 10] += 1
+                dev = abs(len(seq) - self.plen)
+                if dev <= self.window:
+                    kept.append((dev, read_id, md5(seq.encode()).hexdigest(), seq))
+            kept = sorted(map(tuple, kept))[: self.n]
+        for at, n in new.items():
+            self.lengths.updateValue((at,), ((self.lengths.getValue((at,))[0] if self.lengths.containsKey((at,)) else 0) + n,))
+        self.total.update((total,))
+        if kept:
+            self.kept.put(kept)
+        bins = sorted((k[0], v[0]) for k, v in self.lengths.iterator())
+        # A sample without a read of fitting length is still told of, once.
+        rows_out = [(i + 1, r[1], r[3]) for i, r in enumerate(kept)] or [(0, None, None)]
+        yield pd.DataFrame(
+            {
+                "sample": [key[0]] * len(rows_out), "total": total, "rn": [r[0] for r in rows_out], "read_id": [r[1] for r in rows_out], "seq": [r[2] for r in rows_out],
+                "bins": [[b for b, _ in bins] if not i else None for i in range(len(rows_out))], "counts": [[n for _, n in bins] if not i else None for i in range(len(rows_out))],
+            }
+        )
+
+
+def closest_reads(assigned: DataFrame, p: CallParams) -> DataFrame:
+    """A stream of the chosen reads of every sample that grew (see ``ClosestReads``), with the state kept by Spark."""
+    reads = assigned.select(F.col("sample").cast("string").alias("sample"), F.col("read_id").cast("string").alias("read_id"), "seq").filter("sample is not null and seq is not null")
+    return reads.groupBy("sample").transformWithStateInPandas(ClosestReads(p.plen, p.window, p.reads_used[0]), KEPT, "Update", "None")
 
 
 def consensus_cycle(path: str, p: CallParams) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` step: store the batch's reads, then call the samples that grew again.
+    """``foreachBatch`` step: call the samples that grew again.
 
-    Both writes replace the batch's own folder, so a batch run twice leaves one
-    copy. Reads lie in buckets by sample; only the buckets of touched samples
-    are read back.
+    The batch's own folder is replaced, so a batch that runs twice leaves one
+    copy; Spark brings the state back to where it was before that batch.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select("sample", F.col("read_id").cast("string").alias("read_id"), "seq").withColumn("bucket", bucket_of("sample"))
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/reads/batch={batch_id}")
-        stored = spark.read.option("basePath", f"{path}/reads").parquet(f"{path}/reads")
-        stored = stored.filter(F.col("batch") <= batch_id)
-        touched = stored.filter(F.col("batch") == batch_id).select("sample", "bucket").distinct()
-        # One number per bucket, of which there are BUCKETS.
-        buckets = [r[0] for r in touched.select("bucket").distinct().collect()]
-        if not buckets:
+        batch = cut(batch)
+        if batch.isEmpty():
             return
-        grown = stored.filter(F.col("bucket").isin(buckets)).join(touched.select("sample"), "sample", "left_semi")
-        called = consensus_by_length(grown.select("sample", "read_id", "seq"), p)
+        coverage = batch.groupBy("sample").agg(F.max("total").alias("reads"))
+        bins = batch.filter("bins is not null").select("sample", F.inline(F.arrays_zip("bins", "counts"))).select("sample", F.col("bins").alias("bin"), F.col("counts").alias("n"))
+        called = consensus_of_subset(batch.filter("rn > 0").select("sample", "read_id", "seq", "rn"), coverage, modes_of_bins(bins), p)
         called.write.mode("overwrite").parquet(f"{path}/consensus/batch={batch_id}")
 
     return step
 
 
-def stream_consensus(assigned: DataFrame, path: str, p: CallParams, trigger: dict | None = None) -> StreamingQuery:
+def stream_consensus(
+    assigned: DataFrame, path: str, p: CallParams, trigger: dict | None = None, step: Callable[[DataFrame, int], None] | None = None
+) -> StreamingQuery:
     """Keep the consensus of every sample up to date; the next cycle starts when one ends."""
-    writer = assigned.writeStream.foreachBatch(consensus_cycle(path, p)).option("checkpointLocation", f"{path}/checkpoint")
-    return writer.trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+    conf = assigned.sparkSession.conf
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    # State of several kinds needs this store; a query keeps the one it began with.
+    conf.set(name, ROCKS)
+    try:
+        writer = closest_reads(assigned, p).writeStream.foreachBatch(step or consensus_cycle(path, p)).outputMode("update")
+        return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+    finally:
+        conf.set(name, before)
 
 
 def latest_consensus(spark: SparkSession, path: str) -> DataFrame:

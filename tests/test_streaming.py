@@ -1,11 +1,12 @@
 """Files dropped in turns must give what a batch over all of them gives."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ampliq.catalog.fixtures import Fixtures
 from ampliq.catalog.reads import PARAMS
 from ampliq.operators import reads as R
-from ampliq.plans.phases import CallParams, demultiplex
+from ampliq.plans.phases import CallParams, consensus_by_length, demultiplex
 from ampliq.sources.fastq import read_fastq, reads
 from ampliq.streaming import reads as S
 
@@ -30,25 +31,48 @@ def test_drops_equal_batch_and_restart_adds_nothing(spark, tmp_path):
         live = reads(S.stream_fastq(spark, str(folder), split_bytes=50_000))
         located = demultiplex(live, variants_of["sheet"], variants_of["p"])
         S.stream_consensus(located, store, calls, {"availableNow": True}).awaitTermination()
-    stored = spark.read.parquet(f"{store}/reads")
     batch = demultiplex(reads(read_fastq(spark, str(folder))), variants_of["sheet"], variants_of["p"])
-    want = {r.sample: r.reads for r in R.sample_coverage(batch).collect()}
-    assert {r.sample: r.reads for r in R.sample_coverage(stored).collect()} == want
-    latest = {r.sample: r.coverage for r in S.latest_consensus(spark, store).collect()}
-    assert latest == want
+    coverage = {r.sample: r.reads for r in R.sample_coverage(batch).collect()}
+    columns = ["coverage", "reads", "seq", "ok", "how", "status", "mode1", "mode2"]
+    want = {r.sample: [r[c] for c in columns] for r in consensus_by_length(batch, calls).collect()}
+    latest = {r.sample: [r[c] for c in columns] for r in S.latest_consensus(spark, store).collect()}
+    assert latest == want and {k: v[0] for k, v in latest.items()} == coverage
+    files = spark.read.parquet(f"{store}/consensus").count()
     again = demultiplex(reads(S.stream_fastq(spark, str(folder))), variants_of["sheet"], variants_of["p"])
     S.stream_consensus(again, store, calls, {"availableNow": True}).awaitTermination()
-    assert spark.read.parquet(f"{store}/reads").count() == stored.count()
-    # A batch that runs a second time replaces its own output.
-    step = S.consensus_cycle(store, calls)
-    first = spark.read.parquet(f"{store}/reads").filter(F.col("batch") == 0).select("sample", "read_id", "seq")
-    kept = spark.createDataFrame(first.collect(), first.schema)
-    step(kept, 0)
-    assert {r.sample: r.reads for r in R.sample_coverage(spark.read.parquet(f"{store}/reads")).collect()} == want
+    assert spark.read.parquet(f"{store}/consensus").count() == files
+    want = coverage
     out = S.run_to_table(R.sample_coverage(demultiplex(reads(S.stream_fastq(spark, str(folder))), **variants_of)))
     assert {r.sample: r.reads for r in out.collect()} == want
 
 
+def test_failed_batch_runs_again_and_counts_once(spark, tmp_path):
+    """The second batch fails after its state was changed and its calls were half written; taken up again everything equals a batch."""
+    rows = [(f"s{k % 3}", f"r{k}", "ACGTACGTAC" * (3 + k % 2)) for k in range(60)]
+    source, store = tmp_path / "in", str(tmp_path / "out")
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], "sample string, read_id string, seq string").coalesce(1).write.mode("append").parquet(str(source))
+    calls = CallParams(plen=30, window=20, code=0, coverage=7)
+    live = lambda: spark.readStream.schema("sample string, read_id string, seq string").option("maxFilesPerTrigger", 1).parquet(str(source))
+    step, tried = S.consensus_cycle(store, calls), []
+
+    def failing(batch, batch_id):
+        tried.append(batch_id)
+        step(batch, batch_id)
+        if batch_id == 1:
+            raise RuntimeError("lost")
+
+    query = S.stream_consensus(live(), store, calls, {"availableNow": True}, failing)
+    with pytest.raises(Exception, match="lost"):
+        query.awaitTermination()
+    S.stream_consensus(live(), store, calls, {"availableNow": True}).awaitTermination()
+    assert tried == [0, 1]
+    columns = ["coverage", "reads", "seq", "ok", "status"]
+    want = {r.sample: [r[c] for c in columns] for r in consensus_by_length(spark.createDataFrame(rows, "sample string, read_id string, seq string"), calls).collect()}
+    assert {r.sample: [r[c] for c in columns] for r in S.latest_consensus(spark, store).collect()} == want
+    assert {v[0] for v in want.values()} == {20}
+
+
 def test_yield_closes_old_windows(spark):
     events = Fixtures(spark, SF).stream("events").events
     out = S.run_to_table(S.stream_yield(events, "ts"), "append")
