@@ -1,6 +1,11 @@
 """File round trips: views written with the sinks into the shared folder and read back with the sources."""
 
+import gzip
+
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..session import scratch_folder
 from ..sinks import writers as K
@@ -45,16 +50,71 @@ def _(fx):
     return fastq.with_path_group(fastq.reads(scan), path).select("read_id", "seq", "qual", "grp")
 
 
-@query("src04_damaged_fastq", "SELECT cast(read_id AS varchar) AS read_id FROM fx_reads WHERE seq<>'' UNION ALL SELECT 'issue'")
+def _write_files(rows, root):
+    """A file for each ``name`` of rows (name, at, data), its bytes in the order of ``at``; a file's rows pass through one task one by one."""
+
+    def write(batches):
+        name, out = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["name"] != name:
+                    if out is not None:
+                        out.close()
+                    name = row["name"]
+                    system, inside = fastq.open_fs(f"{root}/{name}")
+                    system.create_dir(inside.rpartition("/")[0], recursive=True)
+                    out = system.open_output_stream(inside, compression=None)
+                out.write(row["data"])
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["name"])
+
+    rows.repartition("name").sortWithinPartitions("name", "at").mapInArrow(write, "name string").count()
+
+
+@arrow_udf(T.BinaryType())
+def _member(text):
+    """Each text as a gzip stream of its own; such streams can follow each other in a file."""
+    return pa.array([gzip.compress(t.encode(), 1, mtime=0) for t in text.to_pylist()], pa.binary())
+
+
+def _write_damaged(fx, root):
+    """A whole file, one whose last record is cut short, one that breaks in mid-stream and one that ends inside a stream.
+
+    Of the third the reads of every other group of four stand before the damage
+    and the others behind it.
+    """
+    kind = F.get(F.array(*[F.lit(n) for n in ("whole.fastq.gz", "short.fastq", "broken.fastq.gz", "cut.fastq.gz")]), (F.col("read_id") % 4).cast("int"))
+    lines = F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual", F.lit("\n"))
+    behind = ((F.col("read_id") % 4 == 2) & (F.floor(F.col("read_id") / 4) % 2 == 1)).cast("int")
+    text = fx.reads.select(kind.alias("name"), F.struct(behind.alias("a"), F.col("read_id").alias("b")).alias("at"), lines.alias("t"))
+    data = F.when(F.col("name") == "short.fastq", F.col("t").cast("binary")).otherwise(_member("t"))
+    last, middle = (1 << 62), -1
+    odd = [("short.fastq", (2, last), b"@half\nACG"), ("broken.fastq.gz", (1, middle), b"these bytes are no gzip stream"), ("cut.fastq.gz", (2, last), gzip.compress(b"@late\n" + b"ACGT" * 900 + b"\n+\n" + b"I" * 3600 + b"\n")[:30])]
+    extra = fx.spark.createDataFrame(odd, "name string, at struct<a: int, b: bigint>, data binary")
+    _write_files(text.select("name", "at", data.alias("data")).unionByName(extra), root)
+
+
+_GOOD = "SELECT cast(read_id AS varchar) AS item, 'read' AS kind FROM fx_reads WHERE NOT (read_id%4=2 AND (read_id//4)%2=1)"
+
+
+@query("src04_damaged_fastq", f"{_GOOD} UNION ALL SELECT 'broken.fastq.gz', 'damaged' UNION ALL SELECT 'cut.fastq.gz', 'early end'")
 def _(fx):
-    path = _folder(fx, "fastq")
-    _write_fastq(fx, path)
-    # A file that is no gzip although its name says so.
-    fx.spark.range(1).select(F.lit("@x\nA\n+\nI").alias("value")).write.text(f"{path}/g=bad")
-    scan = fastq.read_fastq(fx.spark, path, suffixes=(".txt.gz", ".txt"))
-    good = fastq.reads(scan).filter("read_id <> 'x'").select("read_id")
-    bad = fastq.reads(scan).filter("read_id = 'x'").select(F.lit("issue").alias("read_id"))
-    return good.unionByName(bad)
+    path = _folder(fx, "damaged")
+    _write_damaged(fx, path)
+    scan = fastq.read_fastq(fx.spark, path, split_bytes=100_000)
+    issues = fastq.read_issues(scan).select(
+        F.substring_index("file", "/", -1).alias("item"), F.when(F.contains("issue", F.lit("ends early")), "early end").when(F.contains("issue", F.lit("damaged")), "damaged").otherwise(F.col("issue")).alias("kind")
+    )
+    return fastq.reads(scan).select(F.col("read_id").alias("item"), F.lit("read").alias("kind")).unionByName(issues)
+
+
+@query("st02_stream_damaged", _GOOD)
+def _(fx):
+    path = _folder(fx, "damaged-stream")
+    _write_damaged(fx, path)
+    live = fastq.reads(S.stream_fastq(fx.spark, path, files_per_batch=1, split_bytes=100_000))
+    return S.run_to_table(live.select(F.col("read_id").alias("item"), F.lit("read").alias("kind")), "append")
 
 
 @query(
@@ -90,12 +150,26 @@ def _(fx):
     return tables.read_taxonomy(fx.spark, path).select("sample", "q_order", "q_organism")
 
 
-@query("src14_runs", "SELECT concat('run=', run) AS run, header, seq FROM fx_runs")
+@query("src13_id_table", "SELECT query_name AS query, p_identity AS identity, s_organism AS organism FROM fx_hits")
+def _(fx):
+    path = _folder(fx, "ids")
+    row = F.concat_ws("\t", "query_name", F.concat(F.col("p_identity").cast("string"), F.lit("%")), "s_organism")
+    head = [("ids.tsv", (0, str(k)), t.encode() + b"\r\n") for k, t in enumerate(["Results of a search", "", "Query ID\tID%\tOrganism\t"])]
+    rows = fx.hits.select(F.lit("ids.tsv").alias("name"), F.struct(F.lit(1).alias("a"), F.col("acc").alias("b")).alias("at"), F.concat(row, F.lit("\r\n")).cast("binary").alias("data"))
+    _write_files(rows.unionByName(fx.spark.createDataFrame(head, "name string, at struct<a: int, b: string>, data binary")), path)
+    return tables.read_id_table(fx.spark, path).select(F.col("Query ID").alias("query"), F.col("ID%").alias("identity"), F.col("Organism").alias("organism"))
+
+
+@query("src14_runs", "SELECT concat('run_', run) AS run, header, seq FROM fx_runs WHERE run<3")
 def _(fx):
     path = _folder(fx, "runs")
-    lines = fx.runs.select("run", F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value"))
-    lines.write.partitionBy("run").text(path)
-    return fasta.read_fasta(fx.spark, path, r"([^/]+)/[^/]+$").select("run", "header", "seq")
+    record = F.concat(F.lit(">"), "header", F.lit("\r\n"), "seq", F.lit("\r\n")).cast("binary")
+    # Run 3 lies a level too deep, and every run has a file of another name.
+    at = F.concat(F.when(F.col("run") == 3, "deep/").otherwise(""), F.lit("run_"), F.col("run").cast("string"), F.lit("/"))
+    rows = fx.runs.select(F.concat(at, F.lit("consensus_filtered.fa")).alias("name"), F.col("ord").alias("at"), record.alias("data"))
+    other = fx.runs.select(F.concat(at, F.lit("consensus_all.fa")).alias("name"), F.col("ord").alias("at"), record.alias("data"))
+    _write_files(rows.unionByName(other), path)
+    return fasta.read_runs(fx.spark, path).select("run", "header", "seq")
 
 
 @query("src16_pattern_file", "SELECT DISTINCT trim(p) AS pattern FROM (SELECT unnest(string_split(text, chr(10))) AS p FROM documents) t WHERE trim(p)<>''")
