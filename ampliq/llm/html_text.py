@@ -50,8 +50,10 @@ NOISE_TAGS = frozenset("nav aside footer form button dialog menu input label fie
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside complementary contentinfo footer masthead comment comments commentlist reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay dialog widget toolbar pager pagination search copyright disclaimer skip teaser outbrain taboola".split()
 )
+#: Words of labels that mean reader comments wherever they stand: whole, or as a part of a label of few words.
+COMMENT_WORDS = frozenset("comment comments commentlist commentform commentarea respond disqus".split())
 #: Words of labels that an article's own parts have too: inside an article they only tell with a low density.
-AMBIGUOUS = frozenset("related search social alert notice notification copyright reply replies comment comments promotion banner skip menu share sharing disclaimer respond recommended aside footer".split())
+AMBIGUOUS = frozenset("related search social alert notice notification copyright reply replies promotion banner skip menu share sharing disclaimer recommended aside footer".split())
 _TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _HOLDS = frozenset(("article", "main", "h1"))
 
@@ -60,7 +62,7 @@ class Tree:
     """The elements of a page in page order; node 0 stands for the page itself."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.noise = ["#page"], [-1], [0]  # noise: 1 by label, 2 by what it is, 3 by a label that may be an article's own
+        self.tag, self.parent, self.noise = ["#page"], [-1], [0]  # noise: 1 by label, 2 by what it is, 3 by a label that may be an article's own, 4 reader comments, 5 a header
         self.chars, self.link_chars, self.tags, self.link_tags = [0], [0], [0], [0]
         self.text: list[tuple[int, int, str]] = []  # node, block number, text
         self.body = 0
@@ -72,8 +74,16 @@ class Tree:
 
 
 def _noise(tag: str, attributes: str, in_article: bool) -> int:
-    if tag in NOISE_TAGS or tag == "header" and not in_article:
+    if tag in NOISE_TAGS:
         return 2
+    if tag == "header" and not in_article:
+        return 5
+    if attributes and tag not in _TEXT_TAGS and tag not in ("body", "html", "main"):
+        for m in _LABEL.finditer(attributes):
+            for label in (m[2] or m[3] or m[4] or "").split() if m[1].lower() in ("class", "id") else ():
+                words = [w.lower() for w in _PARTS.findall(label) if not w.isdigit()]
+                if len(words) <= 3 and COMMENT_WORDS & set(words):
+                    return 4
     if attributes and tag not in ("body", "html", "article", "main"):
         if _HIDDEN.search(attributes):
             return 2
@@ -95,6 +105,7 @@ def parse(page: str) -> Tree:
     stack, names = [0], ["#page"]
     block, at = 0, 0
     links = articles = 0
+    unended: set[str] = set()  # plain-text elements that no end tag follows any more
 
     def close(depth: int) -> None:
         nonlocal links, articles
@@ -155,7 +166,9 @@ def parse(page: str) -> Tree:
         if name == "a" or links:
             tree.link_tags[parent] += 1
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            end = None if name in unended else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end is None:
+                unended.add(name)
             if not attributes.endswith("/"):
                 at = end.end() if end else (len(page) if name in ("script", "style", "textarea", "title") else at)
             continue
@@ -186,14 +199,25 @@ def extract(page: str) -> str:
     """The article's blocks in page order, joined by an empty line; an empty string if there is no text."""
     tree = parse(page)
     n, parent, tag = len(tree.tag), tree.parent, tree.tag
-    holds = [False] * n  # an article, a main part or a first heading inside
+    holds, leads = [False] * n, [False] * n  # an article, a main part or a first heading inside; the latter two alone
+    last = list(range(n))  # elements lie in page order, so those from k to last[k] are k and what is in it
     for k in range(n - 1, 0, -1):
-        if (holds[k] or tag[k] in _HOLDS) and parent[k] >= 0:
-            holds[parent[k]] = True
+        p = parent[k]
+        holds[p] = holds[p] or holds[k] or tag[k] in _HOLDS
+        leads[p] = leads[p] or leads[k] or tag[k] in ("main", "h1")
+        last[p] = max(last[p], last[k])
+    # Comments may be articles each, so these don't speak for what holds them; where a page has no text else, it is about them.
+    said = {k for k in range(1, n) if tree.noise[k] == 4 and not leads[k]}
+    if said:
+        of = [False] * n
+        for k in range(1, n):
+            of[k] = of[parent[k]] or k in said
+        if not any(c for k, c in enumerate(tree.chars) if not of[k] and not tree.noise[k]):
+            said = set()
     # What a label calls noise but holds the article is not; nor is a form around the whole page.
     out = [False] * n
     for k in range(1, n):
-        out[k] = out[parent[k]] or tree.noise[k] == 2 and not (holds[k] and tag[k] in ("form", "fieldset")) or tree.noise[k] == 1 and not holds[k]
+        out[k] = out[parent[k]] or k in said or tree.noise[k] == 5 or tree.noise[k] == 2 and not (holds[k] and tag[k] in ("form", "fieldset")) or tree.noise[k] == 1 and not holds[k]
     chars, links, tags, link_tags = (list(x) for x in (tree.chars, tree.link_chars, tree.tags, tree.link_tags))
     for k in range(n - 1, 0, -1):
         if not out[k]:
@@ -230,7 +254,8 @@ def extract(page: str) -> str:
     if len(content) > 1:
         content.discard(body)
     top = best
-    while top != body and not all(_under(parent, k, top) for k in content):
+    first, final = min(content), max(content)
+    while top != body and not (top <= first and final <= last[top]):
         top = parent[top]
     # The nearest article or main part around all content is the article as a whole.
     k = top
@@ -242,12 +267,19 @@ def extract(page: str) -> str:
     # An ambiguous label in it tells if the density is below the threshold too.
     for k in range(1, n):
         out[k] = out[k] or out[parent[k]] or tree.noise[k] == 3 and not holds[k] and density[k] < threshold
+    # An article without a first heading has that of the page's header.
+    heading = -1
+    if not any(tag[k] == "h1" and not out[k] for k in range(top, last[top] + 1)):
+        headers = [k for k in range(1, top) if tree.noise[k] == 5]
+        heading = next((k for h in headers for k in range(h, last[h] + 1) if tag[k] == "h1"), -1)
     blocks: dict[int, list[str]] = {}
     under = [k == top for k in range(n)]
     for k in range(1, n):
         # Outside articles a block that is little but short links is a menu; references have long ones.
         menu = tag[top] not in ("article", "main") and link_tags[k] > 2 and 0.7 * chars[k] < links[k] < 20 * link_tags[k] and density[k] < threshold and tag[k] in BLOCK and tag[k] != "p"
         under[k] = under[k] or under[parent[k]] and not out[k] and not menu
+        if heading >= 0 and heading <= k <= last[heading]:
+            under[k], out[k] = True, False
     for node, block, text in tree.text:
         if under[node] and not out[node]:
             blocks.setdefault(block, []).append(text)
@@ -255,12 +287,6 @@ def extract(page: str) -> str:
     return "\n\n".join(b for b in done if b)
 
 
-def _under(parent: list[int], k: int, top: int) -> bool:
-    while k > top:
-        k = parent[k]
-    return k == top
-
-
 def main_text(pages: DataFrame, payload: str = "html", to: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (by default all but the page) with the article's text in ``to``.
 

@@ -372,3 +372,21 @@ def test_articles_of_given_pages(spark):
         own = re.sub(r"<br\s*/?>", " ", page[page.index("<article>") + 9 : page.index("</article>")])
         blocks = (re.sub(r"\s+", " ", re.sub(r"</?b>", "", b)).strip() for b in re.split(r"</?(?:p|h1)>", own))
         assert html_text.html.unescape("\n\n".join(b for b in blocks if b)) == got[page_id]
+
+
+def test_comments_go_and_a_header_gives_the_title():
+    own = "<p>" + "This is the text of the article, with many words in it. " * 8 + "</p>"
+    said = "<p>" + "I think that this is a comment with many words too. " * 8 + "</p>"
+    for page in (
+        f"<main><article><h1>T</h1>{own}{own}</article><section id='comments'>{said}{said}</section></main>",
+        f"<body><article>{own}{own}</article><div id='user-comments'>{said}{said}</div></body>",
+        f"<article>{own}<div id='reader-comments'>{said}</div>{own}</article>",
+        f"<article>{own}</article><div class='comments-area'><article class='comment'>{said}</article><article class='comment even'>{said}</article></div>",
+    ):
+        text = html_text.extract(page)
+        assert "comment" not in text and text.count("This is the text") == 8 * page.count("This is the text") // 8
+    assert html_text.extract(f"<header><a>Home</a><h1>Title</h1></header><div>{own}{own}</div>").startswith("Title\n\nThis is")
+    assert html_text.extract(f"<header><a>Home</a><h1>Site</h1></header><main><h1>Title</h1>{own}</main>").startswith("Title\n\nThis is")
+    # A section named after a heading, and a page that is nothing but a comment, are text.
+    assert "This is" in html_text.extract(f"<article><section id='comments-on-the-theory'>{own}</section></article>")
+    assert "This is" in html_text.extract(f"<div class='comment'>{own}</div>")
