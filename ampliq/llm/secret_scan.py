@@ -1,7 +1,8 @@
 """Secret scans with a worklist of decoded layers.
 
 A text is the first layer. Every layer is searched for the base patterns and for encodings: percent codes and character escapes give a layer of the
-whole text with those decoded, base64 runs give a layer each, and compressed bytes inside base64 are unpacked. New layers go onto the worklist until
+whole text with those decoded, base64 runs give a layer each, also where they begin after other letters, and compressed bytes in base64, percent codes
+or escapes are unpacked. New layers go onto the worklist until
 none is left; a layer seen before at the same place is not taken up again, so cycles end. Each layer knows for every character the stretch of the original text it came
 from, and what is found in it is reported there.
 """
@@ -18,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,16 @@ _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{4,}+\r?\n)+[A-Za-z0
 _LINE = re.compile(r"([A-Za-z0-9+/_-]+)(=*)(?:\r?\n)?")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|apos|amp|lt|gt|colon|equals|lowbar|nbsp|sol|period|hyphen|plus);")
+_BETWEEN = re.compile(r"[/+_-]+")
+#: How streams open in percent codes and in escapes, and what can follow.
+_CODED_URL = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)%(?:01|5[Ee]|9[Cc]|[Dd][Aa])|(?:x|%78)\^|(?:BZh|%42%5[Aa]%68)(?=[1-9%])|%[Ff][Dd](?:7zXZ|%37%7[Aa]%58%5[Aa])%00|(?:\(|%28)%[Bb]5(?:/|%2[Ff])%[Ff][Dd])(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~()!*'+/-])*")
+_CODED_HEX = re.compile(r"""(?:\\x1[Ff]\\x8[Bb]|(?:x|\\x78)\\x(?:01|5[Ee]|9[Cc]|[Dd][Aa])|(?:BZh|\\x42\\x5[Aa]\\x68)|\\x[Ff][Dd](?:7zXZ|\\x37\\x7[Aa]\\x58\\x5[Aa])\\x00|(?:\(|\\x28)\\x[Bb]5(?:/|\\x2[Ff])\\x[Ff][Dd])(?:\\x[0-9A-Fa-f]{2}|\\[nrt0\\'"]|[^\\"'\x00-\x1f])*""")
+_HEX_ESCAPE = re.compile(rb"\\x([0-9A-Fa-f]{2})|\\([nrt0\\'\"])")
+_LETTER_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"0": b"\0"}
 #: What compressed bytes are unpacked to at once, and what is looked at to tell a stream that holds itself.
 CHUNK, HEAD = 1 << 20, 1 << 16
+#: Streams inside each other that are read as one; what is deeper is unpacked whole and read on from there, to any depth.
+DEEP = 50
 #: Bytes of one layer at most: what is unpacked comes in parts, and those without a place to cut overlap.
 LAYER_BYTES = 16 << 20
 #: Characters that are in no pattern and no encoding, and are left as they are by every decoding; a line that is empty ends what is before it too.
@@ -227,19 +237,27 @@ def unpack(raw: bytes, most: int = LAYER_BYTES) -> Iterator[tuple[str, bytes]]:
     The way is empty for bytes that are not compressed, else such as >gzip>xz.
     """
 
+    later: list[tuple[bytes, str, tuple[bytes, ...]]] = [(raw, "", ())]
+
     def inside(source: _Source, way: str, heads: tuple[bytes, ...]) -> Iterator[tuple[str, bytes]]:
         while head := source.peek(HEAD):
             form = _opener(head[:6])
             # A stream that holds itself is not followed on.
-            if form is not None and head not in heads and len(heads) < 100:
-                yield from inside(_Source(_member(source, form)), f"{way}>{form}", (*heads, head))
+            if form is not None and head not in heads:
+                member = _member(source, form)
+                if len(heads) % DEEP < DEEP - 1:
+                    yield from inside(_Source(member), f"{way}>{form}", (*heads, head))
+                elif whole := b"".join(member):
+                    later.append((whole, f"{way}>{form}", (*heads, head)))
                 if not source.refused:
                     while (zeros := source.peek(HEAD)) and zeros[:1] == b"\0":  # padding
                         source.read(len(zeros) - len(zeros.lstrip(b"\0")))
                     continue
             yield from ((way, part) for part in _cuts(source, most))
 
-    return inside(_Source(iter((raw,))), "", ())
+    while later:
+        whole, way, heads = later.pop()
+        yield from inside(_Source(iter((whole,))), way, heads)
 
 
 def _views(raw: bytes) -> Iterator[tuple[str, int, int]]:
@@ -319,6 +337,50 @@ def _from_base64(layer: Layer, low: int, high: int, most: int) -> Iterator[Layer
         yield layer.child(text, start, end, None, "base64")
 
 
+def _bytes_of(letters: str) -> bytes:
+    """The bytes of base64 letters, of whole groups of four."""
+    n = len(letters) // 4 * 4
+    return base64.b64decode(letters[:n].translate({45: 43, 95: 47}))
+
+
+def _shifted(layer: Layer, low: int, high: int, most: int) -> Iterator[Layer]:
+    """The texts inside a run that begins after letters of something else: from the second to the fourth letter on, and after each of ``/ + - _``.
+
+    Only a beginning from which the end of the run reads as text, or that opens
+    a compressed stream, is followed.
+    """
+    run = layer.text[low:high].rstrip("=")
+    line = run.split("\n", 1)[0].rstrip("\r")
+    starts = {m.end() for m in _BETWEEN.finditer(line)} | {1, 2, 3}
+    for k in sorted(starts):
+        if len(run) - k < 16 or k >= len(line):
+            continue
+        n = (len(line) - k) // 4 * 4
+        tail = _bytes_of(line[max(k, k + n - 64) : k + n]) if k < 4 else b""
+        plain = sum(32 <= c < 127 or c in (9, 10, 13) for c in tail)
+        if tail and plain >= 0.9 * len(tail) or _opener(_bytes_of(line[k : k + 8])) is not None:
+            yield from _from_base64(layer, low + k, high, most)
+
+
+def _from_coded(layer: Layer, most: int) -> Iterator[Layer]:
+    """The texts of compressed bytes that are written in percent codes or as escapes, the letters among them as they are."""
+    for pattern, decode, how in ((_CODED_URL, unquote_to_bytes, "url"), (_CODED_HEX, _unescaped, "unicode")):
+        for m in pattern.finditer(layer.text):
+            raw = decode(m.group())
+            if _opener(raw[:6]) is None:
+                continue
+            for way, part in unpack(raw, most):
+                if way:
+                    a, b = layer.span(m.start(), m.end())
+                    for text, _, _ in _views(part):
+                        yield Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)), None, f"{layer.via}>{how}{way}" if layer.via else f"{how}{way}")
+
+
+def _unescaped(code: str) -> bytes:
+    """The bytes of a text with hexadecimal and the usual one-letter escapes."""
+    return _HEX_ESCAPE.sub(lambda m: bytes.fromhex(m[1].decode()) if m[1] else _LETTER_ESCAPES.get(m[2], m[2]), code.encode("latin-1", "replace"))
+
+
 def scan_text(text: str, most: int = LAYER_BYTES) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, via): base spans with via = "" first found, then those of decoded layers, by start, kind and end; code points, end exclusive."""
     found: dict[tuple[int, int, int], str] = {}
@@ -342,9 +404,12 @@ def scan_text(text: str, most: int = LAYER_BYTES) -> list[tuple[str, int, int, s
         if "\\" in layer.text or "&" in layer.text:
             made.append(_replaced(layer, _ESCAPE, _from_escape, "unicode"))
         todo += [iter((x,)) for x in made if x is not None]
+        if "%" in layer.text or "\\x" in layer.text:
+            todo.append(_from_coded(layer, most))
         for low, high in runs(layer.text):
             if layer.new is None or layer.new[low:high].any():
                 todo.append(_from_base64(layer, low, high, most))
+                todo.append(_shifted(layer, low, high, most))
     kinds = list(KINDS)
     return [(kinds[k], a, b, via) for (a, k, b), via in sorted(found.items())]
 

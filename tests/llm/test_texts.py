@@ -390,3 +390,22 @@ def test_comments_go_and_a_header_gives_the_title():
     # A section named after a heading, and a page that is nothing but a comment, are text.
     assert "This is" in html_text.extract(f"<article><section id='comments-on-the-theory'>{own}</section></article>")
     assert "This is" in html_text.extract(f"<div class='comment'>{own}</div>")
+
+
+def test_secrets_behind_other_letters_and_in_coded_bytes():
+    """Base64 that begins after letters of something else, compressed bytes in percent codes and escapes, and streams nested to any depth."""
+    raw = b"some words before password=hunter2secret and words after it"
+    run = base64.b64encode(raw).decode()
+    packed = gzip.compress(raw, mtime=0)
+    again = packed
+    for _ in range(230):
+        again = gzip.compress(again, mtime=0)
+    for text in (
+        f"see https://x/y/{run}", f"-----{run}", f"id_{run}", f"a+{run}", f"x/{base64.b64encode(packed).decode()} end", f"id_{base64.b64encode(packed).decode()}",
+        "q=" + urllib.parse.quote(packed), "".join(f"%{c:02x}" for c in packed), "".join(f"\\x{c:02x}" for c in packed), repr(packed), urllib.parse.quote(zlib.compress(raw)), repr(zlib.compress(raw)), urllib.parse.quote(bz2.compress(raw)),
+        base64.b64encode(again).decode(),
+    ):
+        found = secret_scan.scan_text(text)
+        assert any(kind == "assign" and via for kind, _, _, via in found), text[:60]
+        assert all(0 <= a < b <= len(text) for _, a, b, _ in found)
+    assert not secret_scan.scan_text("https://example.org/abcdefghijkl/mnopqrstuvwxyz_0123456789-ABCDEFGH and %1F%8B%08 and \\x1f\\x8b")
