@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +63,9 @@ def occurring(column: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _fold(values: list) -> np.ndarray:
-    """A place in ``_HASHED`` for each value."""
-    raw = np.array([int.from_bytes((v or "").encode()[:64], "little") % ((1 << 61) - 1) for v in values], np.uint64)
-    return (mix(raw) % U64(_HASHED)).astype(np.int64)
+    """A place in ``_HASHED`` for each value, by a digest of the whole of it."""
+    place = {v: int.from_bytes(blake2b((v or "").encode(), digest_size=8).digest(), "little") % _HASHED for v in set(values)}
+    return np.fromiter(map(place.__getitem__, values), np.int64, len(values))
 
 
 def layout(batch: pa.RecordBatch, text: str, source: str, lang: str) -> np.ndarray:
@@ -393,11 +394,14 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     rows = docs.select(id, F.col(f"`{text}`").alias("_text"), F.col(f"`{source}`").cast("string").alias("_source"), F.col(f"`{lang}`").cast("string").alias("_lang"))
     named = _named(labels, id, good)
-    sample = stored(_sample(rows, named, id).select("_id", "_label", "_text", "_source", "_lang").repartition(24), "sample")
-    totals = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
+    # A fifth of the labelled rows is kept back for calibration; features, too, are chosen without them.
+    back = (F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(5)) == 0).alias("_held")
+    sample = stored(_sample(rows, named, id).select("_id", "_label", "_text", "_source", "_lang", back).repartition(24), "sample")
+    taught = sample.where("not _held")
+    totals = {r[0]: r[1] for r in taught.groupBy("_label").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return Model(combine=(0.0, 0.0, 9.0), page=np.zeros(0))
-    chosen = choose(_places(sample), np.array([totals[0], totals[1]]))
+    chosen = choose(_places(taught), np.array([totals[0], totals[1]]))
     shared = spark.sparkContext.broadcast(chosen)
 
     def views(packed: bool):
@@ -413,13 +417,13 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
                     else:
                         at = np.searchsorted(row, np.arange(piece.num_rows + 1))
                         found = [feature[a:b].astype(np.int16).tobytes() for a, b in zip(at[:-1], at[1:])]
-                    own = [] if packed else [piece.column("_label")]
-                    yield pa.RecordBatch.from_arrays([*own, piece.column("_id"), pa.array(found, pa.binary()), pa.array(page, pa.binary())], [*(["label"] if own else []), "_id", "bits" if packed else "found", "page"])
+                    own = [] if packed else [piece.column("_label"), piece.column("_held")]
+                    yield pa.RecordBatch.from_arrays([*own, piece.column("_id"), pa.array(found, pa.binary()), pa.array(page, pa.binary())], [*(["label", "held"] if own else []), "_id", "bits" if packed else "found", "page"])
 
         return run
 
     kind = rows.schema[id]
-    schema = T.StructType().add("label", T.IntegerType()).add("_id", kind.dataType).add("found", T.BinaryType()).add("page", T.BinaryType())
+    schema = T.StructType().add("label", T.IntegerType()).add("held", T.BooleanType()).add("_id", kind.dataType).add("found", T.BinaryType()).add("page", T.BinaryType())
     got = sample.mapInArrow(views(False), schema).orderBy(F.xxhash64(F.col("_id").cast("string")), F.col("_id").cast("string")).toArrow()
     # Rows with any label are told apart by their views, which are far smaller than the texts.
     schema = T.StructType().add("_id", kind.dataType).add("bits", T.BinaryType()).add("page", T.BinaryType())
@@ -429,7 +433,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     found = [np.frombuffer(x, np.int16) for x in got.column("found").to_pylist()]
     sparse = Sparse(np.append(0, np.cumsum([len(f) for f in found])), np.concatenate(found), (len(found), FEATURES))
     page = Dense(np.stack([np.frombuffer(x, np.float16) for x in got.column("page").to_pylist()]))
-    held = np.arange(len(label)) % 5 == 0
+    held = got.column("held").to_numpy().astype(bool)
     model = co_train(sparse, page, label, held, rounds, far=_far(rest) if rounds else None)
     model.chosen = chosen
     return model
