@@ -24,6 +24,24 @@ def test_fasta(spark, tmp_path):
     assert recs(fasta.read_fasta(spark, str(tmp_path / "y.fa.gz"))) == [("z", "AACC")]
 
 
+def test_fasta_ranges_give_each_record_once(spark, tmp_path):
+    """Cut anywhere, also between a line end and the next record, inside headers and inside long sequences."""
+    want = [(f"r{k} >x", "ACGT" * (k % 40)) for k in range(60)] + [("", ""), (">twice", "A"), ("last", "")]
+    text = "before\n > no record\n" + "".join(f">{h}\r\n" + "".join(s[i : i + 30] + "\r\n" for i in range(0, len(s), 30)) for h, s in want)
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.fa").write_bytes(text.encode())
+    (tmp_path / "in" / "_SUCCESS").write_bytes(b">no\nA\n")
+    (tmp_path / "in" / "empty.fa").write_bytes(b"")
+    for step in (1, 2, 7, 64, len(text) - 1, len(text) + 9):
+        ranges = [(a, min(a + step, len(text))) for a in range(0, len(text), step)]
+        assert [(h, s) for a, b in ranges for _, h, s in fasta.records(str(tmp_path / "in" / "a.fa"), a, b)] == want, step
+    with gzip.open(tmp_path / "in" / "deep" / "b.fa.gz", "wb") as f:
+        f.write(b">z\nAA\n>y")
+    got = fasta.read_fasta(spark, str(tmp_path / "in"), split_bytes=100)
+    assert recs(got) == want + [("z", "AA"), ("y", "")]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_alignment_and_runs(spark, tmp_path):
     for run in ("r1", "r2"):
         (tmp_path / run).mkdir()
