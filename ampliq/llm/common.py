@@ -42,6 +42,17 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once what was made of them is stored and nothing else reads them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        root = sc.getCheckpointDir()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            if root and path.toUri().getPath().startswith(sc._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that can be reached over the edges (a, b), for every id with an edge.
 
@@ -66,8 +77,10 @@ def components(edges: DataFrame) -> DataFrame:
         moved = stored(up.join(hooked.select("component").distinct(), "component"), "moved")
         new = stored(hooked.join(moved, "component", "left").select("id", F.least("component", F.coalesce("_up", "component")).alias("component")), "parents")
         changed = new.join(parent.withColumnRenamed("component", "_old"), "id").where("component <> _old").limit(1).count()
+        forget(parent, hooked, moved)
         parent = new
         if not changed:
+            forget(both)
             return parent
 
 

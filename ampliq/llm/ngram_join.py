@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BY_RANGE, bit_tables, by_range, components, may_hold, stored
+from .common import BY_RANGE, bit_tables, by_range, components, forget, may_hold, stored
 from .words import NOT_SPACE, U64, mix, pieces, shingle_sets, word_hashes
 
 #: Matches that a document may demand at most.
@@ -231,18 +231,41 @@ def full_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, tokens array<long>")
 
 
+def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of both sides' sets, as _a_ and _b_ ones."""
+    out = pairs.select("a", "b")
+    for s in "ab":
+        out = out.join(sets.select(F.col("id").alias(s), *[F.col(c).alias(f"_{s}_{c}") for c in sets.columns if c != "id"]), s)
+    return out
+
+
+def promising(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) that a quarter of their elements doesn't rule out.
+
+    Of the elements whose hash lies in one quarter the shared ones are counted;
+    of the others at most as many are shared as the side with fewer has. A pair
+    that would not be similar even then is none.
+    """
+    some = F.filter("tokens", lambda t: F.shiftrightunsigned(t, 62) == 0)
+    both = _joined(pairs, sets.select("id", F.size("tokens").cast("long").alias("n"), some.alias("some")))
+    most = F.size(F.array_intersect("_a_some", "_b_some")) + F.least(F.col("_a_n") - F.size("_a_some"), F.col("_b_n") - F.size("_b_some"))
+    return both.withColumn("_most", most).where(f"{q} * _most >= {p} * (_a_n + _b_n - _most)").select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, with the number of shared elements ``o``."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("_x")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("_y")), "b")
-    o = F.size(F.array_intersect("_x", "_y")).cast("long")
-    sized = two.select("a", "b", o.alias("o"), (F.size("_x") + F.size("_y")).cast("long").alias("n"))
+    o = F.size(F.array_intersect("_a_tokens", "_b_tokens")).cast("long")
+    sized = _joined(pairs, sets).select("a", "b", o.alias("o"), (F.size("_a_tokens") + F.size("_b_tokens")).cast("long").alias("n"))
     return sized.where(f"{q} * o >= {p} * (n - o)").select("a", "b", "o")
 
 
 def linked_pairs(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """The similar ones of stored pairs (a, b), stored."""
-    return stored(verified(pairs, stored(full_sets(docs, pairs, width), "sets"), p, q), "links")
+    """The similar ones of stored pairs (a, b), stored; the pairs are deleted then."""
+    sets = stored(full_sets(docs, pairs, width), "sets")
+    near = stored(promising(pairs, sets, p, q), "promising")
+    links = stored(verified(near, sets, p, q), "links")
+    forget(pairs, sets, near)
+    return links
 
 
 def linked(rows: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -255,10 +278,13 @@ def linked(rows: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFr
     classes = stored(own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("class")), "classes")
     table = levels(first.where("token is not null").select("token", "count"))
     heads = classes.select(F.col("class").alias("id"))
-    entries = stored(postings(stored(prefixes(rows, width, p, q, table).join(heads, "id", "left_semi"), "prefixes"), p, q), "entries")
+    first_ones = stored(prefixes(rows, width, p, q, table).join(heads, "id", "left_semi"), "prefixes")
+    entries = stored(postings(first_ones, p, q), "entries")
+    forget(first_ones)
     star = linked_pairs(rows, stored(meeting_points(entries, p, q), "pairs"), width, p, q)
     near = components(star)
     rest = linked_pairs(rows, stored(candidates(entries, near, p, q), "pairs"), width, p, q)
+    forget(entries)
     found = components(star.select("a", "b").union(rest.select("a", "b")))
     named = classes.join(found.withColumnRenamed("id", "class"), "class", "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("group"))
     empty = own.where("n = 0").select("id", "n", F.col("id").alias("group"))
