@@ -63,6 +63,20 @@ def _(fx):
     return R.read_funnel(fx.reads, replace(PARAMS, minq=11.5))
 
 
+@query(
+    "a01_assigned_reads",
+    f"""SELECT count(*) AS total, count(*) FILTER (n<{_L + 50}) AS single, count(*) FILTER (n<{_L + 50})+2*count(*) FILTER (n>{2 * _L - 50} AND n<{2 * (_L + 50)}) AS after_split, count(*) FILTER (n<{_L + 50}) AS assigned
+    FROM (SELECT length(seq) AS n FROM fx_reads) t""",
+)
+def _(fx):
+    from dataclasses import replace
+
+    from ..plans.phases import demultiplex
+
+    p = replace(PARAMS, tagmm=1, minlen=0, demlen=50, primermm=2)
+    return R.read_funnel(fx.reads, p, demultiplex(fx.reads, fx.sheet, p)).select("total", "single", "after_split", "assigned")
+
+
 _VALUES = f"""{_QCTE}, v AS (SELECT r.read_id, grp, length(seq) AS length, q.q, 100.0*length(regexp_replace(seq,'[^GC]','','g'))/length(seq) AS gc FROM fx_reads r JOIN q ON q.read_id=r.read_id)"""
 
 

@@ -119,9 +119,9 @@ def compare_all(df: DataFrame, ignore_ends: bool = False) -> DataFrame:
     )
 
 
-def id_states(df: DataFrame, ignore_ends: bool = False) -> DataFrame:
-    """Worst state of each id over its runs, and its largest distances."""
-    pairs = distinct_pairs(df, ignore_ends).groupBy("id").agg(
+def id_states(df: DataFrame, ignore_ends: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """Worst state of each id over its runs, and its largest distances; ``pairs``: the verdicts, where they are there already."""
+    pairs = (distinct_pairs(df, ignore_ends) if pairs is None else pairs).groupBy("id").agg(
         F.max(F.when(F.col("state") == "different", 2).when(F.col("state") == "compatible", 1).otherwise(0)).alias("_worst"),
         F.max(F.when(F.col("state") == "different", F.col("d"))).alias("diff_bases"),
         F.max(F.when(F.col("state") == "compatible", F.col("plain"))).alias("iupac_pos"),
@@ -145,7 +145,7 @@ def best_barcode(df: DataFrame) -> DataFrame:
     return best.select("id", F.col("run").alias("best_run"), (F.col("_n") > 1).alias("tie"), "ambs", "gaps", "cov")
 
 
-def variant_groups(df: DataFrame, ignore_ends: bool = False) -> DataFrame:
+def variant_groups(df: DataFrame, ignore_ends: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """Number the distinct variants of an id in run order; equal and reverse-complemented records share one.
 
     With ``ignore_ends`` a record contained in another counts as equal, and the
@@ -154,15 +154,15 @@ def variant_groups(df: DataFrame, ignore_ends: bool = False) -> DataFrame:
     if not ignore_ends:
         keyed = df.withColumn("_k", F.least("seq", revcomp("seq")))
     else:
-        keyed = _components(df)
+        keyed = _components(df, distinct_pairs(df, True) if pairs is None else pairs)
     first = keyed.groupBy("id", "_k").agg(F.min("run").alias("_first"))
     # At most one row per run for an id, so this window stays small.
     numbered = first.withColumn("variant", F.row_number().over(Window.partitionBy("id").orderBy("_first")))
     return keyed.join(numbered, ["id", "_k"]).select("id", "run", "variant")
 
 
-def _components(df: DataFrame) -> DataFrame:
-    pairs = distinct_pairs(df, True).filter("state = 'identical'").select("id", "seq", "seq_b")
+def _components(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    pairs = pairs.filter("state = 'identical'").select("id", "seq", "seq_b")
     edges = cut(pairs.unionByName(pairs.select("id", F.col("seq_b").alias("seq"), F.col("seq").alias("seq_b"))))
     labels = cut(df.select("id", "seq").distinct().withColumn("_k", F.col("seq")))
     while True:
@@ -177,15 +177,21 @@ def _components(df: DataFrame) -> DataFrame:
 
 
 def compare_report(df: DataFrame, runs: Sequence, ignore_ends: bool = False) -> DataFrame:
-    """One row per id: state, variants and their pattern over ``runs``, best run, distances, absent runs, metrics by run."""
+    """One row per id: state, variants and their pattern over ``runs``, best run, distances, absent runs, metrics by run.
+
+    Sequences are compared once for all of it. Of a run with several records of
+    an id the pattern has the first variant.
+    """
     runs = list(runs)
-    groups = variant_groups(df, ignore_ends).groupBy("id").agg(
+    pairs = cut(distinct_pairs(df, ignore_ends))
+    variants = variant_groups(df, ignore_ends, pairs).groupBy("id", "run").agg(F.min("variant").alias("variant"))
+    groups = variants.groupBy("id").agg(
         F.max("variant").alias("vars"), F.map_from_entries(F.collect_list(F.struct("run", "variant"))).alias("_g")
     )
     pattern = F.concat(*[F.coalesce(F.col("_g")[F.lit(r)].cast("string"), F.lit(".")) for r in runs])
     absent = F.concat_ws(",", *[F.when(F.col("_g")[F.lit(r)].isNull(), F.lit(str(r))) for r in runs])
     lengths = df.groupBy("id").agg(F.min(F.length("seq")).alias("_lo"), F.max(F.length("seq")).alias("_hi"))
-    out = id_states(df, ignore_ends).join(groups, "id").join(best_barcode(df).select("id", "best_run", "tie"), "id").join(lengths, "id")
+    out = id_states(df, ignore_ends, pairs).join(groups, "id").join(best_barcode(df).select("id", "best_run", "tie"), "id").join(lengths, "id")
     best = (
         F.when(F.col("state") == "unique", F.col("only_in").cast("string"))
         .when(F.col("state") == "different", F.when(F.col("tie"), "Tie").otherwise(F.col("best_run").cast("string")))

@@ -82,8 +82,8 @@ def split_ligated(df: DataFrame, p: ReadParams) -> DataFrame:
     return cut_up.select(*rest, F.col("_p.id").alias("read_id"), F.col("_p.s").alias("seq"))
 
 
-def read_funnel(df: DataFrame, p: ReadParams) -> DataFrame:
-    """Reads at each step before demultiplexing, in one pass."""
+def read_funnel(df: DataFrame, p: ReadParams, assigned: DataFrame | None = None) -> DataFrame:
+    """Reads at each step before demultiplexing, in one pass, and how many of ``assigned`` (reads with their sample) there are."""
     size = F.length("seq")
     long = size > p.minlen
     good = (F.when(long, _quality(99.0)) >= p.minq) if p.minq > 0 else F.lit(True)
@@ -91,7 +91,7 @@ def read_funnel(df: DataFrame, p: ReadParams) -> DataFrame:
         F.when(~long, "short").when(~good, "low_q").otherwise(F.col("kind")).alias("status")
     )
     count = {s: F.count_if(F.col("status") == s) for s in ("short", "low_q", "single", "double", "wrong")}
-    return rows.agg(
+    funnel = rows.agg(
         F.count(F.lit(1)).alias("total"),
         count["short"].alias("too_short"),
         count["low_q"].alias("low_quality"),
@@ -99,6 +99,7 @@ def read_funnel(df: DataFrame, p: ReadParams) -> DataFrame:
         count["wrong"].alias("wrong_length"),
         (count["single"] + 2 * count["double"]).alias("after_split"),
     )
+    return funnel if assigned is None else funnel.withColumn("assigned", F.lit(assigned.count()))
 
 
 # -- FASTQ statistics -----------------------------------------------------------------------
