@@ -18,6 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import reads as R
 from ..operators.consensus import modes_of_bins
@@ -188,7 +189,7 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     query = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     try:
-        out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/out")
+        out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
     except AnalysisException:  # no batch ran
         return spark.createDataFrame([], stream.schema)
     if mode == "complete":

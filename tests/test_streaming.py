@@ -77,3 +77,15 @@ def test_yield_closes_old_windows(spark):
     events = Fixtures(spark, SF).stream("events").events
     out = S.run_to_table(S.stream_yield(events, "ts"), "append")
     assert 0 < out.agg(F.sum("n")).first()[0] <= 1000
+
+
+def test_a_streamed_table_may_be_a_folder_of_parts(spark, tmp_path):
+    spark.range(20).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts")).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    live = Fixtures(spark, str(tmp_path)).stream("events").events
+    assert sorted(r.event_id for r in S.run_to_table(live, "append").collect()) == list(range(20))
+
+
+def test_a_stream_without_rows_keeps_its_columns(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    live = spark.readStream.schema("a int").parquet(str(tmp_path / "none"))
+    assert S.run_to_table(live, "append").columns == ["a"]
