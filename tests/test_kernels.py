@@ -1,9 +1,10 @@
 import random
+import time
 
 import numpy as np
 import pytest
 
-from ampliq.functions.align import place
+from ampliq.functions.align import _place_far, _place_near, _reaches, place
 from ampliq.functions.iupac import all_equal, composition_bounds, distance, distances, equal_letters, gram_bounds, locate
 
 RULES = ["exact", "base", "overlap"]
@@ -110,3 +111,24 @@ def test_place_is_an_optimal_alignment():
         assert cost == slow(a, b, {})
         back = "".join(inserts.get(i, "") + (bases[i] if i < len(b) else "") for i in range(len(b) + 1)).replace("-", "")
         assert back == a
+
+
+def test_place_of_texts_that_are_alike_takes_the_same_path():
+    rnd, near = random.Random(4), 0
+    for _ in range(3000):
+        a = word(rnd, rnd.choice(["A", "AC", "ACGT"]), 60)
+        b = "".join(rnd.choice(["", "A", "CG"]) if rnd.random() < 0.1 else c for c in a)
+        reaches = _reaches(b, a, 30) if a else None
+        if reaches is not None:
+            near += 1
+            assert _place_near(b, a, reaches) == _place_far(b, a)
+    assert near > 2000
+
+
+def test_long_texts_that_are_alike_are_placed_at_once():
+    a = "".join(random.Random(5).choices("ACGT", k=200_000))
+    b = a[:70_000] + "T" + a[70_001:150_000] + a[150_001:]
+    start = time.perf_counter()
+    bases, inserts = place(b, a)
+    # All columns as bits would take gigabytes and minutes.
+    assert time.perf_counter() - start < 5 and len(bases) == len(a) and not inserts and bases.count("-") == 1
