@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.align import place_on, spread
+from ..functions.align import gaps_on, place_on, spread
 from ..functions.iupac import divergence, edit_iupac
 from ..functions.seq import count_char, hamming, orf_trim, ungap
 from ..session import balance, cut
@@ -304,10 +304,7 @@ def align_set(reads: DataFrame) -> DataFrame:
 
     The template and the widths of inserts are single values, so nothing is joined.
     """
-    size = reads.groupBy(F.length("seq").alias("_n")).agg(F.count(F.lit(1)).alias("_k"), F.min("read_id").alias("_first"))
-    first = size.agg(F.max_by("_first", F.struct("_k", "_n"))).scalar()
-    template = reads.filter(F.col("read_id") == first).agg(F.min("seq")).scalar()
-    placed = cut(balance(reads).withColumn("_t", template).withColumn("_p", place_on("seq", "_t")).select("read_id", "_p.*"))
+    placed = cut(balance(reads).withColumn("_t", _set_template(reads)).withColumn("_p", place_on("seq", "_t")).select("read_id", "_p.*"))
     entry = F.explode(F.arrays_zip("at", F.transform("inserts", lambda t: F.length(t)).alias("w")))
     wide = placed.select(entry.alias("e")).groupBy(F.col("e.at").alias("at")).agg(F.max("e.w").alias("w"))
     widths = wide.agg(F.collect_list(F.struct("at", "w"))).scalar()
@@ -315,6 +312,49 @@ def align_set(reads: DataFrame) -> DataFrame:
     return both.select("read_id", spread("bases", "at", "inserts", F.col("_w.at"), F.col("_w.w")).alias("aln"))
 
 
+def _set_template(reads: DataFrame) -> Column:
+    """The first read of the commonest length, as a single value."""
+    size = reads.groupBy(F.length("seq").alias("_n")).agg(F.count(F.lit(1)).alias("_k"), F.min("read_id").alias("_first"))
+    first = size.agg(F.max_by("_first", F.struct("_k", "_n"))).scalar()
+    return reads.filter(F.col("read_id") == first).agg(F.min("seq")).scalar()
+
+
+def set_gaps(reads: DataFrame) -> DataFrame:
+    """(read_id, estgaps, good): what ``estimate_gaps`` finds over the rows of ``align_set``, without these rows.
+
+    Every insert widens all rows, so rows are wider than their reads by far; a
+    read's own gaps and inserts are no longer than the read and its template.
+    Of an insert column the consensus is a letter as long as half of the reads
+    have one, and reads that insert more have all that shorter ones have: the
+    consensus at a template position is an insert of one width. What reads have
+    where the consensus is a gap, and the other way round, then adds up.
+    """
+    placed = cut(balance(reads).withColumn("_t", _set_template(reads)).select("read_id", F.length("_t").alias("_m"), gaps_on("seq", "_t").alias("_p")))
+    n = placed.agg(F.count(F.lit(1))).scalar()
+
+    def few(gaps: Column) -> Column:
+        return gaps / F.col("_n") <= 0.5
+
+    spots = placed.select(F.explode("_p.gaps").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("_g")).withColumn("_n", n)
+    lost = cut(spots.filter(~few(F.col("_g"))).agg(F.array_sort(F.collect_list("at")).alias("_c")))
+    entry = F.explode(F.arrays_zip(F.col("_p.at").alias("at"), F.col("_p.widths").alias("w"))).alias("e")
+    widths = placed.select(entry).groupBy("e.at", "e.w").agg(F.count(F.lit(1)).alias("_k"))
+    # Widths at one position: no more than the longest read has letters.
+    longer = Window.partitionBy("at").orderBy(F.col("w").desc())
+    held = widths.withColumn("_h", F.sum("_k").over(longer)).withColumn("_n", n).filter(few(F.col("_n") - F.col("_h")))
+    kept = cut(held.groupBy("at").agg(F.max("w").alias("w")).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("_w")))
+    both = placed.withColumn("_n", n).withColumn("_c", lost.scalar()).withColumn("_w", kept.scalar())
+    own = F.size("_p.gaps") + F.size("_c") - 2 * F.size(F.array_intersect("_p.gaps", "_c"))
+    # The consensus inserts at few positions; a read pays for each of them unless it inserts there too.
+    total = F.aggregate(F.map_values("_w"), F.lit(0), lambda a, w: a + w)
+    inserts = F.aggregate(
+        F.arrays_zip(F.col("_p.at").alias("at"), F.col("_p.widths").alias("w")), total,
+        lambda a, e: a + F.abs(e["w"] - F.coalesce(F.try_element_at(F.col("_w"), e["at"]), F.lit(0))) - F.coalesce(F.try_element_at(F.col("_w"), e["at"]), F.lit(0)),
+    )
+    gaps = own + inserts
+    return both.filter("_n >= 3").select("read_id", gaps.alias("estgaps"), (gaps == 0).alias("good"))
+
+
 def similar_reads(reads: DataFrame, cands: DataFrame, plen: int, n: int) -> DataFrame:
     """Reads of each sample within a tenth of ``plen`` of its candidate barcode, the nearest ``n``."""
     both = reads.join(cands.select("sample", F.upper(ungap("seq")).alias("_c")), "sample")

@@ -126,3 +126,28 @@ def test_sweep_is_taken_up_again_and_equals_single_runs(spark, tmp_path):
             assert {r.sample: [r[c] for c in columns] for r in got if r.idx == idx} == want
     # Everything is done: nothing runs, the calls are still there.
     assert W.run_sweep(reads.limit(0), fx.sheet, combos, path, base, calls).count() == len(got)
+
+
+def test_gaps_of_a_set_equal_those_of_its_rows(spark):
+    rnd = random.Random(6)
+    root = "".join(rnd.choices("ACGT", k=60))
+    for n in (2, 3, 40):
+        rows = []
+        for i in range(n):
+            seq = "".join(rnd.choice(["", "A", "CGT"]) if rnd.random() < 0.08 else c for c in (root if rnd.random() < 0.8 else rnd.choice([root[:20] + "GG" * 9 + root[20:], root[::-1], "AC"])))
+            rows.append((f"r{i:02d}", seq))
+        # Most insert at one place, so the set's consensus has letters there.
+        rows += [(f"s{i:02d}", root[:30] + "T" * (3 + i % 4) + root[30:]) for i in range(n)] if n > 3 else []
+        df = spark.createDataFrame(rows, "read_id string, seq string")
+        want = {(r.read_id, r.estgaps, r.good) for r in C.estimate_gaps(C.align_set(df), keys=()).collect()}
+        got = {(r.read_id, r.estgaps, r.good) for r in C.set_gaps(df).collect()}
+        assert got == want and len(got) == (len(rows) if n > 2 else 0)
+
+
+def test_one_long_barcode_widens_no_other(spark):
+    """Rows of one width would hold 400 x 4 million letters."""
+    rnd = random.Random(8)
+    rows = [(f"r{i:03d}", "".join(rnd.choices("ACGT", k=40)), True) for i in range(400)] + [("long", "".join(rnd.choices("ACGT", k=400_000)), True)]
+    df = spark.createDataFrame(rows, "sample string, seq string, ok boolean")
+    out = {r.sample: r.estgaps for r in P.check_set(df).collect()}
+    assert len(out) == 401 and out["long"] >= 399_900
