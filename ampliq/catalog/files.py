@@ -1,6 +1,7 @@
 """File round trips: views written with the sinks into the shared folder and read back with the sources."""
 
 import gzip
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from ..sources import fasta, fastq, tables
 from ..streaming import reads as S
 from .registry import query
 
+#: Rows, about, of a file of identifications.
+ID_ROWS = 100_000
+
 
 def _folder(fx, name):
     return scratch_folder(fx.spark, name)
@@ -56,15 +60,16 @@ def _write_files(rows, root):
     def write(batches):
         name, out = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["name"] != name:
+            rows = zip(batch.column("name").to_pylist(), batch.column("data").to_pylist())
+            for own, part in groupby(rows, lambda row: row[0]):
+                if own != name:
                     if out is not None:
                         out.close()
-                    name = row["name"]
+                    name = own
                     system, inside = fastq.open_fs(f"{root}/{name}")
                     system.create_dir(inside.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(inside, compression=None)
-                out.write(row["data"])
+                out.write(b"".join(data for _, data in part))
         if out is not None:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["name"])
@@ -154,9 +159,14 @@ def _(fx):
 def _(fx):
     path = _folder(fx, "ids")
     row = F.concat_ws("\t", "query_name", F.concat(F.col("p_identity").cast("string"), F.lit("%")), "s_organism")
-    head = [("ids.tsv", (0, str(k)), t.encode() + b"\r\n") for k, t in enumerate(["Results of a search", "", "Query ID\tID%\tOrganism\t"])]
-    rows = fx.hits.select(F.lit("ids.tsv").alias("name"), F.struct(F.lit(1).alias("a"), F.col("acc").alias("b")).alias("at"), F.concat(row, F.lit("\r\n")).cast("binary").alias("data"))
-    _write_files(rows.unionByName(fx.spark.createDataFrame(head, "name string, at struct<a: int, b: string>, data binary")), path)
+    # The search gives its results in several files, each with the title and header of its own.
+    n_files = 1 + fx.lineitem.count() // ID_ROWS
+    head = [((0, str(k)), t.encode() + b"\r\n") for k, t in enumerate(["Results of a search", "", "Query ID\tID%\tOrganism\t"])]
+    heads = fx.spark.range(n_files).crossJoin(fx.spark.createDataFrame(head, "at struct<a: int, b: string>, data binary"))
+    at = F.struct(F.lit(1).alias("a"), F.col("acc").alias("b")).alias("at")
+    rows = fx.hits.select(F.pmod(F.xxhash64("query_name", "acc"), F.lit(n_files)).alias("id"), at, F.concat(row, F.lit("\r\n")).cast("binary").alias("data"))
+    name = F.format_string("ids%s.tsv", F.col("id").cast("string")).alias("name")
+    _write_files(rows.unionByName(heads).select(name, "at", "data"), path)
     return tables.read_id_table(fx.spark, path).select(F.col("Query ID").alias("query"), F.col("ID%").alias("identity"), F.col("Organism").alias("organism"))
 
 
