@@ -39,11 +39,11 @@ def _(fx):
 
 
 def _write_fastq(fx, path):
-    """One file for each of four groups, in a folder for each pair of groups."""
+    """Files of four groups, in a folder for each pair of groups; as a compressed file is read by one task, a group has as many as its bytes ask for."""
     group = F.col("read_id") % 4
-    line = F.array(F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit(" x")), "seq", F.lit("+"), "qual")
-    lines = fx.reads.filter("seq <> ''").select(F.concat(F.lit("g"), F.floor(group / 2).cast("string")).alias("g"), group.alias("part"), F.explode(line).alias("value"))
-    lines.repartition(4, "part").select("value", "g").write.partitionBy("g").option("compression", "gzip").text(path)
+    record = F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit(" x")), "seq", F.lit("+"), "qual")
+    records = fx.reads.filter("seq <> ''").select(F.concat(F.lit("g"), F.floor(group / 2).cast("string")).alias("g"), group.alias("part"), record.alias("value"))
+    records.hint("rebalance", "part").select("value", "g").write.partitionBy("g").option("compression", "gzip").text(path)
 
 
 @query("src03_fastq", "SELECT cast(read_id AS varchar) AS read_id, seq, qual, concat('g=g', cast(floor((read_id%4)/2) AS int)) AS grp FROM fx_reads WHERE seq<>''")

@@ -1,12 +1,18 @@
 import gzip
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from ampliq.catalog import QUERIES, files
+from ampliq.catalog.fixtures import Fixtures
 from ampliq.operators.runs import remaining_combinations
+from ampliq.session import scratch_folder
 from ampliq.sinks import writers as K
 from ampliq.sources import fasta, fastq, tables, xml
 
+from .conftest import SF
+
 FASTA = b"junk before\nmore\n>a 1\r\nACGT\r\nAC\r\n>b\n>empty\n>c;x=1\nGG\xff\nTT\n"
 
 
@@ -163,3 +169,27 @@ def test_sinks(spark, tmp_path):
         K.append_dim(spark.createDataFrame([("k", value), ("n", "-")], "key string, value string"), dim, negative="-")
     assert [(r.key, r.value) for r in spark.read.parquet(dim).collect()] == [("k", "x")]
     K.write_report(df.select("header", F.lit(None).cast("string").alias("e")), str(tmp_path / "r"))
+
+
+def test_written_reads_are_in_more_files_the_more_they_are(spark, tmp_path):
+    fx = Fixtures(spark, SF)
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16k")
+    try:
+        files._write_fastq(fx, str(tmp_path / "out"))
+    finally:
+        spark.conf.set(name, before)
+    assert len(list((tmp_path / "out").rglob("*.gz"))) > 4
+    scan = fastq.read_fastq(spark, str(tmp_path / "out"), suffixes=".txt.gz")
+    assert fastq.reads(scan).count() == fx.reads.filter("seq <> ''").count()
+
+
+def test_an_identification_table_of_several_files(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(files, "ID_ROWS", 1000)
+    monkeypatch.setattr(files, "_folder", lambda fx, name: made.append(scratch_folder(spark, name)) or made[0])
+    out = QUERIES["src13_id_table"](spark, SF)
+    want = Fixtures(spark, SF).hits.select("query_name", "p_identity", "s_organism")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert len(list(Path(made[0].removeprefix("file:")).glob("*.tsv"))) > 3
