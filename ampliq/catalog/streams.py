@@ -51,11 +51,10 @@ _GROWN = """WITH b AS (SELECT truth AS sample, length(seq)//10 AS bin, count(*)
 
 
 def _grown(fx, fail):
-    """Reads that arrive in three files, a file a batch; with ``fail`` the second batch is lost after its calls are written, and taken up again."""
+    """Reads that arrive in twelve files, four a batch; with ``fail`` the second batch is lost after its calls are written, and taken up again."""
     source, store = scratch_folder(fx.spark, "arriving"), scratch_folder(fx.spark, "called")
     arriving = fx.reads.select(F.col("truth").alias("sample"), F.col("read_id").cast("string").alias("read_id"), "seq")
-    for k in range(3):
-        arriving.filter(F.pmod(F.xxhash64("read_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(source)
+    arriving.repartition(12).write.parquet(source)
     p = CallParams(plen=300, window=200, coverage=7, code=0, resolve=False)
     step = S.consensus_cycle(store, p)
 
@@ -65,7 +64,7 @@ def _grown(fx, fail):
             raise RuntimeError("this batch is run again")
 
     for again in ([lost, step] if fail else [step]):
-        live = fx.spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        live = fx.spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 4).parquet(source)
         query = S.stream_consensus(live, store, p, {"availableNow": True}, again)
         try:
             query.awaitTermination()

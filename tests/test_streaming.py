@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ampliq.catalog import streams
 from ampliq.catalog.fixtures import Fixtures
 from ampliq.catalog.reads import PARAMS
 from ampliq.operators import reads as R
 from ampliq.plans.phases import CallParams, consensus_by_length, demultiplex
+from ampliq.session import scratch_folder
 from ampliq.sources.fastq import read_fastq, reads
 from ampliq.streaming import reads as S
 
@@ -89,3 +91,11 @@ def test_a_stream_without_rows_keeps_its_columns(spark, tmp_path):
     (tmp_path / "none").mkdir()
     live = spark.readStream.schema("a int").parquet(str(tmp_path / "none"))
     assert S.run_to_table(live, "append").columns == ["a"]
+
+
+def test_arriving_reads_are_not_written_by_one_task(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(streams, "scratch_folder", lambda spark, name: made.append(scratch_folder(spark, name)) or made[-1])
+    streams._grown(Fixtures(spark, SF), False)
+    source = next(p for p in made if "arriving" in p)
+    assert len(spark.read.parquet(source).inputFiles()) == 12
