@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ampliq.functions import seq
 from ampliq.functions import text as X
 from ampliq.functions.iupac import _scan, _scan_long, equal_letters
 from ampliq.functions.seq import STOPS
@@ -91,3 +92,27 @@ def test_running_numbers_for_any_number_of_partitions(spark, parts):
         assert {r.v: (r.rn, r.s) for r in got} == {v: (v // 3 + 1, 2 * (v // 3 + 1)) for v in range(500)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_stops_of_long_and_unusual_texts(spark):
+    """All frames of a batch are looked up as arrays; texts with other characters, gaps or none at all give what codons from left to right give."""
+    rnd = random.Random(8)
+    texts = ["", "TA", "TAATAGTGA", "ta-a.taguga", "TAA*TAG7TGA", None, "".join(rnd.choices("ACGT", k=200_000))]
+    seq_rows = spark.createDataFrame(list(enumerate(texts)), "k int, s string").coalesce(1)
+    got = {r.k: r.v for r in seq_rows.select("k", seq.scan_stops("s", 1).alias("v")).collect()}
+    assert got[5].n is None and got[5].positions is None
+    for k, text in enumerate(texts):
+        if text is not None:
+            clean = text.upper().replace("-", "").replace(".", "").replace("U", "T")
+            n, rank, positions = seq._stops_in(clean, seq.stop_codons(1))
+            assert (got[k].n, got[k].frame, got[k].positions) == (n, seq.FRAMES[rank], positions), text[:20]
+    assert got[2].n == 0 and got[6].n > 1000
+
+
+def test_stop_kernel_takes_whole_batches():
+    """Fails where texts are read codon by codon in expressions: 20 million letters took minutes there."""
+    letters = np.frombuffer("".join(random.Random(9).choices("ACGT", k=1_000_000)).encode(), np.uint8)
+    n, rank, cuts, positions = seq._stops_of(letters, np.full(1000, 1000), seq._codon_table(seq.stop_codons(1)))
+    text = letters[3000:4000].tobytes().decode()
+    want = seq._stops_in(text, seq.stop_codons(1))
+    assert (n[3], rank[3], positions[cuts[3] : cuts[4]].tolist()) == want
