@@ -126,8 +126,7 @@ def _(fx):
     "SELECT DISTINCT sample AS id FROM fx_runs WHERE run=1 AND sample NOT IN (SELECT sample FROM fx_runs WHERE run=2)",
 )
 def _(fx):
-    recs = _recs(fx)
-    return recs.filter("run = 1").select("id").distinct().join(recs.filter("run = 2"), "id", "left_anti")
+    return C.only_in(_recs(fx), 1, 2)
 
 
 _DEDUP = """WITH s AS (SELECT sample, seq, arg_min(header, ord) AS header, arg_min(run, ord) AS run, min(ord) AS ord FROM fx_runs GROUP BY 1,2), n AS (SELECT sample, count(*) AS n_variants FROM s GROUP BY 1)"""

@@ -277,6 +277,12 @@ def shared_ids(df: DataFrame, n_runs: int) -> DataFrame:
     return runs.filter(F.col("_n") == n_runs).select("id")
 
 
+def only_in(df: DataFrame, run, other) -> DataFrame:
+    """Ids that a run has and another has not, in one pass over the records."""
+    runs = df.groupBy("id").agg(F.bool_or(F.col("run") == F.lit(run)).alias("_own"), F.bool_or(F.col("run") == F.lit(other)).alias("_other"))
+    return runs.filter("_own and not coalesce(_other, false)").select("id")
+
+
 def all_ids(*parts: DataFrame) -> DataFrame:
     """Union of the ids of several inputs."""
     out = parts[0].select("id")

@@ -273,3 +273,22 @@ def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql("SELECT revcomp('ACR'), gc_pct('GGAT'), sample_of_header('s_var2;x'), sample_of_header('t_all.fa;1'), parse_number('99,5 %'), max_homopolymer('AA-AT'), normalize_cell(' Á. b, ')").first()
     assert tuple(row) == ("YGT", 50.0, "s", "t", 99.5, 3, "A_b")
+
+
+def test_costly_column_is_worked_out_once_for_each_reader(spark):
+    """A join's filter on a key made from a header is not written out in terms of the whole text below the view."""
+    from ampliq.catalog.fixtures import Fixtures
+
+    runs = Fixtures(spark, "/root/testdata/sf0.001").runs
+    key = F.substring_index("header", ";", 1).alias("id")
+    both = runs.filter("run = 1").select(key).join(runs.filter("run = 2").select(key), "id", "left_anti")
+    assert both._jdf.queryExecution().executedPlan().toString().count("regexp_replace") == 2
+
+
+def test_ids_only_in_one_run_take_one_pass(spark):
+    from ampliq.operators import compare
+
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "a"), (3, "d"), (1, "e"), (None, "e")]
+    found = compare.only_in(spark.createDataFrame(rows, "run int, id string"), 1, 2)
+    assert sorted(r.id for r in found.collect()) == ["a", "e"]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
