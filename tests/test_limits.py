@@ -110,7 +110,7 @@ def test_stops_of_long_and_unusual_texts(spark):
 
 
 def test_stop_kernel_takes_whole_batches():
-    """Fails where texts are read codon by codon in expressions: 20 million letters took minutes there."""
+    """Texts of letters only are looked up together, and each gives what reading it alone gives."""
     letters = np.frombuffer("".join(random.Random(9).choices("ACGT", k=1_000_000)).encode(), np.uint8)
     n, rank, cuts, positions = seq._stops_of(letters, np.full(1000, 1000), seq._codon_table(seq.stop_codons(1)))
     text = letters[3000:4000].tobytes().decode()
