@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ampliq.functions import seq
+from ampliq.functions import headers, seq
 from ampliq.functions import text as X
 from ampliq.functions.iupac import _scan, _scan_long, equal_letters
 from ampliq.functions.seq import STOPS
-from ampliq.operators import ordering
+from ampliq.operators import identify, ordering
 from ampliq.operators import reads as R
 from ampliq.operators.runs import PARAMETERS
 from ampliq.sinks import writers as K
@@ -116,3 +116,26 @@ def test_stop_kernel_takes_whole_batches():
     text = letters[3000:4000].tobytes().decode()
     want = seq._stops_in(text, seq.stop_codons(1))
     assert (n[3], rank[3], positions[cuts[3] : cuts[4]].tolist()) == want
+
+
+def test_names_of_hits_are_compared_in_compiled_code(spark, tmp_path):
+    # Java leaves a method above 8,000 bytes uncompiled; the step then takes five times as long.
+    ref = spark.createDataFrame([("s1", "Diptera", "Muscidae", "Musca", "musca domestica"), ("s2", "ß", "", "", "Musca cf. nova")], "sample string, q_order string, q_family string, q_genus string, q_organism string")
+    hits = spark.createDataFrame(
+        [("S1;1", "", "", "", "Musca_cf._domestica_x"), ("s2", "", "", "", "Musca nova"), ("s2", "SS", "", "", "Muscanova nova"), ("s3", "", "", "musca", "")],
+        "query_name string, s_order string, s_family string, s_genus string, s_organism string",
+    )
+    rows = identify.lookup_taxonomy(hits.withColumn("sample", F.substring_index("query_name", ";", 1)), identify.reference_table(ref), "_own")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    done = identify.with_level(rows, "level")
+    assert sorted(r.level for r in done.collect()) == ["none", "order", "organism", "organism"]
+    assert [r.level for r in identify.with_level(rows.drop("_own"), "level").orderBy("query_name", "s_organism").collect()] == [r.level for r in done.orderBy("query_name", "s_organism").collect()]
+    made = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenStringSeq(done._jdf.queryExecution().executedPlan())
+    assert max(made.apply(k)._3().maxMethodCodeSize() for k in range(made.size())) < 8000
+
+
+def test_numbers_of_headers(spark):
+    rows = [("a;7;8;ambs=1;estgaps=2", "ACN"), ("a_var1; LEN = 5 ;coverage=x=3;Ns=4;fixed_indels=", "AC"), ("len=9", "ANN"), ("a;len;olen=4;len=;len=3", "ACGT"), ("b;x", "RY")]
+    got = spark.createDataFrame(rows, "h string, s string").select(headers.header_metrics("h", "s").alias("m")).select("m.*").collect()
+    assert [tuple(r)[1:] for r in got] == [(7, 8, 1, 2), (5, None, 4, 0), (3, None, 2, 0), (4, None, 0, 0), (2, None, 2, 0)]
