@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LETTERS = {"A": "A", "C": "C", "G": "G", "T": "T", "-": "gap", "N": "N"}
-#: Letters read at once.
-PIECE = 4 << 20
+#: Letters read at once; a task holds up to some 150 bytes for each.
+PIECE = 1 << 20
 #: Counts given out together.
 BLOCK = 1 << 21
 _KINDS = len(LETTERS) + 1
@@ -105,7 +105,8 @@ def _summing(keys: Sequence[str], levels: Sequence[int]):
             types = [batch.schema.field(k).type for k in keys]
             bands = batch.column("band").to_pylist() if levels else [0] * batch.num_rows
             owners = zip(*(batch.column(k).to_pylist() for k in keys)) if keys else [()] * batch.num_rows
-            for own, band, raw in zip(owners, bands, batch.column("counts").to_pylist()):
+            # Looked at where they lie; a list would hold a batch's matrices twice.
+            for own, band, raw in zip(owners, bands, batch.column("counts")):
                 if own != key:
                     if key is not None:
                         settle()
@@ -113,7 +114,7 @@ def _summing(keys: Sequence[str], levels: Sequence[int]):
                     if size > BLOCK:
                         yield given()
                         names, done, size = [], [], 0
-                sums[band] = _plus(sums[band], np.frombuffer(raw, np.int32).astype(np.int64))
+                sums[band] = _plus(sums[band], np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64))
         if key is not None:
             settle()
             yield given()

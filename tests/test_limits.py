@@ -1,8 +1,10 @@
 """Nothing is cut, dropped or refused because it is long, empty or unusual."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ampliq.functions import headers, seq
 from ampliq.functions import text as X
 from ampliq.functions.iupac import _scan, _scan_long, equal_letters
 from ampliq.functions.seq import STOPS
-from ampliq.operators import identify, ordering
+from ampliq.operators import counts, identify, ordering
 from ampliq.operators import reads as R
 from ampliq.operators.runs import PARAMETERS
 from ampliq.sinks import writers as K
@@ -135,6 +137,16 @@ def test_names_of_hits_are_compared_in_compiled_code(spark, tmp_path):
     assert max(made.apply(k)._3().maxMethodCodeSize() for k in range(made.size())) < 8000
 
 
+def test_letters_are_counted_in_bounded_memory():
+    text = "ACGT" * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array([f"s{k}" for k in range(3000)]), pa.array([text] * 3000)], ["sample", "aln"])
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in counts._counting(["sample"])(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and peak < 250 << 20
+
+
 def test_numbers_of_headers(spark):
     rows = [("a;7;8;ambs=1;estgaps=2", "ACN"), ("a_var1; LEN = 5 ;coverage=x=3;Ns=4;fixed_indels=", "AC"), ("len=9", "ANN"), ("a;len;olen=4;len=;len=3", "ACGT"), ("b;x", "RY")]
     got = spark.createDataFrame(rows, "h string, s string").select(headers.header_metrics("h", "s").alias("m")).select("m.*").collect()
