@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from ampliq.functions.align import _place_far, _place_near, _reaches, place
-from ampliq.functions.iupac import all_equal, composition_bounds, distance, distances, equal_letters, gram_bounds, locate
+from ampliq.functions.iupac import all_equal, composition_bounds, distance, distances, equal_letters, gram_bounds, locate, nearest_of, one_to_many, profiles
 
 RULES = ["exact", "base", "overlap"]
 
@@ -69,6 +69,22 @@ def test_many_pairs_at_once(rule, infix):
     assert distances([], [], equal).tolist() == []
 
 
+def test_one_text_and_many():
+    """Only cells near the diagonal are worked out and hopeless texts leave early; within the limit every distance is the true one."""
+    rnd, equal = random.Random(10), equal_letters("base")
+    for n in (0, 1, 63, 64, 65, 129, 300):
+        pattern = "".join(rnd.choices("ACGTN", [9, 5, 5, 9, 1], k=n))
+        texts = ["".join(rnd.choice(["", c, c, c, "AC", "N"]) if rnd.random() < share else c for c in pattern) for share in (0, 0.1, 0.5, 1) for _ in range(9)]
+        texts += ["".join(rnd.choices("ACGT", k=rnd.randrange(400))) for _ in range(30)] + [""]
+        x = [t.encode() for t in texts]
+        want = distances([pattern.encode()] * len(x), x, equal)
+        for limit in (0, 2, 20, 80, 1 << 30):
+            assert one_to_many(pattern.encode(), x, limit, equal).tolist() == np.minimum(want, limit + 1).tolist()
+        for near in (False, True):
+            which, dist = nearest_of(pattern.encode(), x, profiles(x), 5, 500, near, equal)
+            assert dist.tolist() == want[which].tolist() and sorted(dist.tolist())[:5] == np.sort(want)[:5].tolist()
+
+
 def test_gram_bounds_of_many_pairs():
     rnd, equal = random.Random(9), equal_letters("base")
     roots = [word(rnd, "ACGT", 80) for _ in range(9)]

@@ -145,6 +145,32 @@ def test_nearest_refs(spark):
         assert got[f"q{i}"] == [(d, n) for d, _, n in want]
 
 
+def test_unlike_refs_are_not_stored_in_pairs(spark, monkeypatch):
+    """Queries unlike all references meet them as they pass; no step keeps a row for each pair."""
+    rnd, equal = random.Random(12), equal_letters("base")
+    refs = ["".join(rnd.choices("ACGT", k=rnd.randrange(40, 80))) for _ in range(150)] + ["A" * 30 + "N" * 30, "A"]
+    queries = ["".join(rnd.choices("ACGT", k=rnd.randrange(40, 80))) for _ in range(25)] + ["", "A", refs[3]]
+    kept, cut = [], nearest.cut
+
+    def counting(df):
+        out = cut(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearest, "cut", counting)
+    out = nearest.nearest_refs(
+        spark.createDataFrame([(f"q{i}", s) for i, s in enumerate(queries)], "id string, seq string"),
+        spark.createDataFrame([(f"r{i}", s) for i, s in enumerate(refs)], "name string, seq string"), 5,
+    )
+    got = defaultdict(list)
+    for r in out.orderBy("id", "rn").collect():
+        got[r.id].append((r.dist, r.name))
+    for i, s in enumerate(queries):
+        want = sorted((distance(s, r, equal), r, f"r{j}") for j, r in enumerate(refs) if r != s)[:5]
+        assert got[f"q{i}"] == [(d, n) for d, _, n in want]
+    assert max(kept) < 28 * 50
+
+
 def test_minimal_runs(spark):
     rnd = random.Random(4)
     cover = {(f"w{i}", r) for i in range(60) for r in range(8) if rnd.random() < 0.25}
