@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.align import gaps_on, place_on, spread
 from ..functions.iupac import divergence, edit_iupac
-from ..functions.seq import count_char, hamming, orf_trim, ungap
+from ..functions.seq import count_char, gaps_apart, orf_trim, ungap
 from ..session import balance, cut
 from .counts import LETTERS, count_matrix
 from .ordering import top_n_per
@@ -258,13 +258,10 @@ def estimate_gaps(aln: DataFrame, keys: Sequence[str] = ("set",)) -> DataFrame:
     """
     cons = consensus(aln, 0.5, 3, strict=True, keys=keys).select(*keys, F.col("aligned").alias("_c")).filter("_c is not null")
 
-    def shape(c: str) -> Column:
-        return F.regexp_replace(F.col(c), "[^-]", "x")
-
     # The single value is fixed first: a subquery is best a plain scan.
     both = aln.join(cons, list(keys)) if keys else aln.withColumn("_c", cut(cons).scalar()).filter("_c is not null")
-    gaps = hamming(shape("aln"), shape("_c"))
-    return both.select(*[c for c in aln.columns], gaps.alias("estgaps"), (gaps == 0).alias("good"))
+    found = both.withColumn("estgaps", gaps_apart("aln", "_c"))
+    return found.select(*[c for c in aln.columns], "estgaps", (F.col("estgaps") == 0).alias("good"))
 
 
 def qc_barcode(df: DataFrame, code: int, plen: int, tol: int) -> DataFrame:
