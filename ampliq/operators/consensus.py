@@ -72,12 +72,17 @@ def passes_qc(seq: Column, code: int | Column, plen: int, tol: int) -> Column:
     return coding if isinstance(code, int) else F.when(code == 0, free).otherwise(coding)
 
 
-def consensus_sweep(matrix: DataFrame, thresholds: Sequence[float], code: int | Column, plen: int, tol: int) -> DataFrame:
-    """Sequence of each sample when all passing thresholds agree on exactly one; every sample stays a row of its own."""
-    enough = matrix.filter("reads >= 5")
+def with_swept(matrix: DataFrame, thresholds: Sequence[float], code: int | Column, plen: int, tol: int) -> DataFrame:
+    """Add ``swept``: the sequence of a row of 5 reads and more when all passing thresholds agree on exactly one, else null."""
     tried = F.array_distinct(F.array(*[ungap(called(t)) for t in thresholds])) if thresholds else F.array().cast("array<string>")
     passed = F.array_distinct(F.transform(F.filter(F.transform("_t", lambda s: passes_qc(s, code, plen, tol)), lambda q: q["ok"]), lambda q: q["seq"]))
-    return enough.withColumn("_t", tried).withColumn("_p", passed).filter(F.size("_p") == 1).select("sample", F.get("_p", F.lit(0)).alias("seq"))
+    rows = matrix.withColumn("_t", F.when(F.col("reads") >= 5, tried)).withColumn("_p", passed)
+    return rows.withColumn("swept", F.when(F.size("_p") == 1, F.get("_p", F.lit(0)))).drop("_t", "_p")
+
+
+def consensus_sweep(matrix: DataFrame, thresholds: Sequence[float], code: int | Column, plen: int, tol: int) -> DataFrame:
+    """Sequence of each sample when all passing thresholds agree on exactly one; every sample stays a row of its own."""
+    return with_swept(matrix.filter("reads >= 5"), thresholds, code, plen, tol).filter("swept is not null").select("sample", F.col("swept").alias("seq"))
 
 
 # -- mixtures --------------------------------------------------------------------------------

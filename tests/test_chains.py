@@ -151,3 +151,19 @@ def test_one_long_barcode_widens_no_other(spark):
     df = spark.createDataFrame(rows, "sample string, seq string, ok boolean")
     out = {r.sample: r.estgaps for r in P.check_set(df).collect()}
     assert len(out) == 401 and out["long"] >= 399_900
+
+
+def test_levels_read_the_alignment_once(spark, monkeypatch):
+    """Without mixtures no copy of the aligned reads is stored, and a row of counts gives all its calls without a join."""
+    kept, cut = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: kept.append(df) or cut(df))
+    rows = [("a", k, "ACGT" if k < 6 else "AC-T", k + 1) for k in range(10)] + [("b", k, "ACGT" if k < 5 else "AGGT", k + 1) for k in range(10)]
+    aln = spark.createDataFrame(rows, "sample string, read_id int, aln string, rn int")
+    coverage = aln.groupBy("sample").agg(F.count(F.lit(1)).alias("reads"))
+    done = P.call_levels(aln, coverage, P.CallParams(code=0, levels=(10, 5), low=0.2, high=0.6, resolve=False))
+    got = {r.sample: (r.level, r.seq, r.how, r.ok) for r in done.collect()}
+    assert got == {"a": (10, "ACGT", "threshold", True), "b": (5, "ACGT", "threshold", True)}
+    assert not any("aln" in df.columns for df in kept)
+    counts = P.count_levels(aln, P.CallParams(levels=(10, 5))).filter("level = 10").drop("level")
+    called = P.call_counted(counts, aln, P.CallParams(code=0, resolve=False))
+    assert "Join" not in called._jdf.queryExecution().optimizedPlan().toString()
