@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.align import gaps_on, place_on, spread
+from ..functions.align import gaps_on, place, place_on, spread, spread_one
 from ..functions.iupac import divergence, edit_iupac
+from ..functions.packs import runs_of, squeeze_texts
 from ..functions.seq import count_char, gaps_apart, orf_trim, ungap
-from ..session import balance, cut
+from ..session import balance, cut, deal
 from .counts import LETTERS, count_matrix
+from .packing import PACKED, pack_reads, packed_type, unpack_reads
 from .ordering import top_n_per
 
 ORF_COVERAGE = 0.95
+#: Bytes of packed reads given out together.
+PIECE = 1 << 22
 
 
 # -- columns and calls ---------------------------------------------------------------------
@@ -99,12 +104,9 @@ def polymorphic_columns(matrix: DataFrame, minor: float = 0.2) -> DataFrame:
     return matrix.withColumn("_g", good).filter(F.size("_g") >= 2).select("sample", F.inline("_g"))
 
 
-def signatures(aln: DataFrame, poly: DataFrame) -> DataFrame:
-    """Letters of each read at its sample's polymorphic columns, as ``sig``."""
-    spots = poly.groupBy("sample").agg(F.array_sort(F.collect_list("pos")).alias("_p"))
-    both = aln.join(spots, "sample")
-    sig = F.array_join(F.transform("_p", lambda p: F.substr(F.upper("aln"), p + 1, F.lit(1))), "")
-    return both.withColumn("sig", sig).drop("_p")
+def _signature() -> Column:
+    """Letters of a read at the places ``_p``."""
+    return F.array_join(F.transform("_p", lambda p: F.substr(F.upper("aln"), p + 1, F.lit(1))), "")
 
 
 def _cluster(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
@@ -137,7 +139,7 @@ def _cluster(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
         more = near(majority(members))
         free &= ~more
         label[members | more] = seed
-    return pd.DataFrame({"sample": pdf["sample"], "sig": pdf["sig"], "cluster": label})
+    return pd.DataFrame({"sample": pdf["sample"], "sig": pdf["sig"], "cluster": label, "n": weight})
 
 
 def haplotypes(
@@ -145,20 +147,26 @@ def haplotypes(
 ) -> DataFrame:
     """Real haplotype clusters of mixed-looking samples: rank, size, frac, aligned consensus, role.
 
-    Signatures and consensus are counted by Spark. Only the distinct signatures
-    of a sample with their counts, which are no more than its reads and those
-    are limited by ``subset_by_length``, meet in one task for the greedy walk.
+    ``aln``: aligned reads, or these as ``pack_reads`` lays them. Signatures and
+    consensus are counted by Spark, and reads move packed. Only the distinct
+    signatures of a sample with their counts, which are no more than its reads
+    and those are limited by ``subset_by_length``, meet in one task for the
+    greedy walk.
     """
-    poly = cut(polymorphic_columns(count_matrix(aln) if matrix is None else matrix, minor))
-    sigs = signatures(aln, poly)
-    distinct = sigs.groupBy("sample", "sig").agg(F.count(F.lit(1)).alias("n"))
+    packs = aln if PACKED in aln.columns else pack_reads(aln.select("sample", "aln"))
+    poly = cut(polymorphic_columns(count_matrix(unpack_reads(packs)) if matrix is None else matrix, minor))
+    spots = poly.groupBy("sample").agg(F.array_sort(F.collect_list("pos")).alias("_p"))
+    placed = packs.select("sample", PACKED).join(spots, "sample")
+    distinct = unpack_reads(placed).select("sample", _signature().alias("sig")).groupBy("sample", "sig").agg(F.count(F.lit(1)).alias("n"))
     sample_type = dict(aln.dtypes)["sample"]
-    labels = distinct.groupBy("sample").applyInPandas(
-        lambda pdf: _cluster(pdf, tolerance), f"sample {sample_type}, sig string, cluster int"
-    )
-    members = cut(sigs.join(labels, ["sample", "sig"]))
+    labels = cut(distinct.groupBy("sample").applyInPandas(
+        lambda pdf: _cluster(pdf, tolerance), f"sample {sample_type}, sig string, cluster int, n long"
+    ))
+    # A sample's signatures are no more than its reads.
+    known = labels.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("sig", "cluster"))).alias("_k"))
+    members = unpack_reads(placed.join(known, "sample")).select("sample", F.element_at("_k", _signature()).alias("cluster"), "aln")
     found = consensus(members, 0.5, 0, keys=["sample", "cluster"])
-    total = members.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+    total = labels.groupBy("sample").agg(F.sum("n").alias("n"))
     poly_n = poly.groupBy("sample").agg(F.count(F.lit(1)).alias("n_poly"))
     sized = found.join(total, "sample").join(poly_n, "sample").withColumn("frac", F.col("reads") / F.col("n"))
     # Clusters of one sample: a handful of rows.
@@ -284,21 +292,56 @@ def with_genetic_code(samples: DataFrame, codes: DataFrame, default: int) -> Dat
 # -- alignment and similarity ---------------------------------------------------------------------
 
 
-def align_to_template(reads: DataFrame) -> DataFrame:
-    """Align the reads of each sample (sample, read_id, seq, rn) to the one with ``rn`` 1; ``rn`` is kept.
+def align_packed(reads: DataFrame) -> DataFrame:
+    """Align the reads of each sample (sample, read_id, seq, rn) to the one with ``rn`` 1; a row of packed reads for a sample.
 
     Every read is aligned on its own. What reads insert between two template
-    positions becomes extra columns, as many as the longest insert there.
+    positions becomes extra columns, as many as the longest insert there. A
+    sample's reads, whose number ``rn`` limits, pass one after the other; where
+    the numbers were just given they already lie so.
     """
-    template = reads.filter("rn = 1").select("sample", F.col("seq").alias("_t"))
-    placed = balance(reads.join(template, "sample")).withColumn("_p", place_on("seq", "_t")).select("sample", "read_id", "rn", "_p.*")
-    placed = cut(placed)
-    entry = F.explode(F.arrays_zip("at", F.transform("inserts", lambda t: F.length(t)).alias("w")))
-    wide = placed.select("sample", entry.alias("e")).select("sample", F.col("e.at").alias("at"), F.col("e.w").alias("w")).groupBy("sample", "at").agg(F.max("w").alias("w"))
-    # At most one entry per template position.
-    widths = wide.groupBy("sample").agg(F.collect_list(F.struct("at", "w")).alias("_w"))
-    both = placed.join(widths, "sample", "left")
-    return both.select("sample", "read_id", spread("bases", "at", "inserts", F.col("_w.at"), F.col("_w.w")).alias("aln"), "rn")
+    order = F.row_number().over(Window.partitionBy("sample").orderBy("rn"))
+    rows = reads.filter("sample is not null").select("sample", "read_id", "rn", "seq", order.alias("_at"))
+    schema = packed_type(rows.select("sample", "read_id", "rn"))
+
+    def given(names: list[pa.Field], held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], f.type) for k, f in enumerate(names)], [f.name for f in names])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, names = [], 0, []
+
+        def told(batches):
+            for batch in batches:
+                kinds = {f.name: f.type for f in batch.schema}
+                names[:] = [pa.field("sample", kinds["sample"]), pa.field("read_id", pa.list_(kinds["read_id"])), pa.field("rn", pa.list_(kinds["rn"])), pa.field(PACKED, pa.binary())]
+                yield batch
+
+        for sample, own in runs_of(told(batches)):
+            own = list(own)
+            template = next((seq or "" for _, _, rn, seq, _ in own if rn == 1), None)
+            if template is None:
+                continue
+            placed = [place(seq or "", template) for _, _, _, seq, _ in own]
+            widths: dict[int, int] = {}
+            for _, inserts in placed:
+                for at, text in inserts.items():
+                    widths[at] = max(widths.get(at, 0), len(text))
+            spots = sorted(widths.items())
+            alns = squeeze_texts([spread_one(bases, inserts, spots) for bases, inserts in placed])
+            held.append((sample, [r[1] for r in own], [r[2] for r in own], alns))
+            size += len(alns)
+            if size > PIECE:
+                yield given(names, held)
+                held, size = [], 0
+        if held:
+            yield given(names, held)
+
+    return rows.mapInArrow(align, schema)
+
+
+def align_to_template(reads: DataFrame) -> DataFrame:
+    """The rows of ``align_packed``: sample, read_id, aln, rn."""
+    return unpack_reads(align_packed(reads)).select("sample", "read_id", "aln", "rn")
 
 
 def align_set(reads: DataFrame) -> DataFrame:
@@ -360,5 +403,5 @@ def set_gaps(reads: DataFrame) -> DataFrame:
 def similar_reads(reads: DataFrame, cands: DataFrame, plen: int, n: int) -> DataFrame:
     """Reads of each sample within a tenth of ``plen`` of its candidate barcode, the nearest ``n``."""
     both = reads.join(cands.select("sample", F.upper(ungap("seq")).alias("_c")), "sample")
-    near = balance(both).withColumn("dist", edit_iupac("seq", "_c", "base")["iupac"]).filter(F.col("dist") < 0.1 * plen).drop("_c")
+    near = deal(both, "sample", "read_id").withColumn("dist", edit_iupac("seq", "_c", "base")["iupac"]).filter(F.col("dist") < 0.1 * plen).drop("_c")
     return top_n_per(near, ["sample"], [F.col("dist"), F.col("seq"), F.col("read_id")], n)

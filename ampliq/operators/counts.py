@@ -2,6 +2,7 @@
 
 A task counts all reads of a batch at once, so a key sends one row per batch and not one per letter; the rows of a key then pass one after the other
 through a sum, in the order of the key. A key with very many reads is therefore counted everywhere, and no task holds more than its matrix.
+Matrices move and are stored as compact bytes (``count_sums``), as most columns hold one letter; they become columns where they are read (``columns_of``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.packs import squeeze_counts, stretch_counts
+
 LETTERS = {"A": "A", "C": "C", "G": "G", "T": "T", "-": "gap", "N": "N"}
 #: Letters read at once; a task holds up to some 150 bytes for each.
 PIECE = 1 << 20
@@ -52,10 +55,10 @@ def _counting(keys: Sequence[str]):
                 np.maximum.at(width, which, size)
                 base = np.concatenate([[0], np.cumsum(width)])
                 place = np.arange(at[low], at[high]) + np.repeat(base[which] - at[low:high], size)
-                counts = np.bincount(place * _KINDS + _SLOT[data[at[low] : at[high]]], minlength=base[-1] * _KINDS).astype(np.int32)
+                counts = np.bincount(place * _KINDS + _SLOT[data[at[low] : at[high]]], minlength=base[-1] * _KINDS)
                 cut = base * _KINDS
                 own = [part.column(k).take(pa.array(first)) for k in keys]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([counts[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], [*keys, "counts"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array([squeeze_counts(counts[a:b], _KINDS) for a, b in zip(cut[:-1], cut[1:])], pa.binary())], [*keys, "counts"])
                 low = high
 
     return count
@@ -82,7 +85,7 @@ def _summing(keys: Sequence[str], levels: Sequence[int]):
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sums = None, [None] * max(1, len(levels))
-        names, done, size = [], [], 0
+        names, reads, done, size = [], [], [], 0
         types: list[pa.DataType] = []
 
         def settle() -> None:
@@ -92,14 +95,14 @@ def _summing(keys: Sequence[str], levels: Sequence[int]):
                 total = total if m is None else _plus(total, m)
                 if total is not None:
                     names.append((*key, *([levels[k]] if levels else [])))
-                    done.append(total.copy())
-                    size += len(total)
+                    reads.append(int(total.reshape(-1, _KINDS).sum(axis=1).max(initial=0)))
+                    done.append(squeeze_counts(total, _KINDS))
+                    size += len(done[-1])
 
         def given() -> pa.RecordBatch:
             kinds = [*types, *([pa.int32()] if levels else [])]
             own = [pa.array([n[k] for n in names], t) for k, t in enumerate(kinds)]
-            reads = pa.array([int(m.reshape(-1, _KINDS).sum(axis=1).max(initial=0)) for m in done], pa.int64())
-            return pa.RecordBatch.from_arrays([*own, reads, _columns(done)], [*keys, *(["level"] if levels else []), "reads", "cols"])
+            return pa.RecordBatch.from_arrays([*own, pa.array(reads, pa.int64()), pa.array(done, pa.binary())], [*keys, *(["level"] if levels else []), "reads", "counts"])
 
         for batch in batches:
             types = [batch.schema.field(k).type for k in keys]
@@ -113,8 +116,8 @@ def _summing(keys: Sequence[str], levels: Sequence[int]):
                     key, sums = own, [None] * len(sums)
                     if size > BLOCK:
                         yield given()
-                        names, done, size = [], [], 0
-                sums[band] = _plus(sums[band], np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64))
+                        names, reads, done, size = [], [], [], 0
+                sums[band] = _plus(sums[band], stretch_counts(raw.as_py(), _KINDS))
         if key is not None:
             settle()
             yield given()
@@ -122,15 +125,8 @@ def _summing(keys: Sequence[str], levels: Sequence[int]):
     return add
 
 
-def count_matrix(aln: DataFrame, keys: Sequence[str] = ("sample",), rank: str | None = None, levels: Sequence[int] = ()) -> DataFrame:
-    """(keys, reads, cols): how often each letter stands in each alignment column (``aln``, plain letters), in column order.
-
-    ``cols`` holds structs (n, n_A, n_C, n_G, n_T, n_gap, n_N); ``n`` counts all
-    letters, ``reads`` is the largest n. Empty and null rows count nowhere, a key
-    without others is left out. With ``levels`` a key has a row for each level:
-    the counts of its reads up to that ``rank``. Reads are counted once, in bands
-    between the levels, and the bands are added up.
-    """
+def count_sums(aln: DataFrame, keys: Sequence[str] = ("sample",), rank: str | None = None, levels: Sequence[int] = ()) -> DataFrame:
+    """(keys, reads, counts): the counts of ``count_matrix`` as compact bytes, which are cheap to store and to move."""
     keys, levels = list(keys), sorted(levels)
     rows = aln.filter("aln <> ''").select(*keys, *([rank] if rank else []), F.upper("aln").alias("aln"))
     own = list(keys)
@@ -144,10 +140,40 @@ def count_matrix(aln: DataFrame, keys: Sequence[str] = ("sample",), rank: str |
     # Rows of one key only: as many as batches of reads that hold it.
     met = counted.repartition(*keys) if keys else counted.repartition(1)
     named = [*[rows.schema[k] for k in keys], *([T.StructField("level", T.IntegerType())] if levels else [])]
-    out = T.StructType([*named, T.StructField("reads", T.LongType()), T.StructField("cols", T.ArrayType(COLUMN, False))])
+    out = T.StructType([*named, T.StructField("reads", T.LongType()), T.StructField("counts", T.BinaryType())])
     return (met.sortWithinPartitions(*keys) if keys else met).mapInArrow(_summing(keys, levels), out)
 
 
+def columns_of(sums: DataFrame) -> DataFrame:
+    """The matrices of ``count_sums`` with ``cols`` for their bytes; other columns stay."""
+    rest = [f for f in sums.schema.fields if f.name != "counts"]
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, held, size = 0, [], 0
+            for k, raw in enumerate(batch.column("counts")):
+                held.append(stretch_counts(raw.as_py(), _KINDS))
+                size += len(held[-1])
+                if size > BLOCK or k + 1 == batch.num_rows:
+                    own = [batch.column(f.name).slice(low, k + 1 - low) for f in rest]
+                    yield pa.RecordBatch.from_arrays([*own, _columns(held)], [*(f.name for f in rest), "cols"])
+                    low, held, size = k + 1, [], 0
+
+    return sums.mapInArrow(unfold, T.StructType([*rest, T.StructField("cols", T.ArrayType(COLUMN, False))]))
+
+
+def count_matrix(aln: DataFrame, keys: Sequence[str] = ("sample",), rank: str | None = None, levels: Sequence[int] = ()) -> DataFrame:
+    """(keys, reads, cols): how often each letter stands in each alignment column (``aln``, plain letters), in column order.
+
+    ``cols`` holds structs (n, n_A, n_C, n_G, n_T, n_gap, n_N); ``n`` counts all
+    letters, ``reads`` is the largest n. Empty and null rows count nowhere, a key
+    without others is left out. With ``levels`` a key has a row for each level:
+    the counts of its reads up to that ``rank``. Reads are counted once, in bands
+    between the levels, and the bands are added up.
+    """
+    return columns_of(count_sums(aln, keys, rank, levels))
+
+
 def column_counts(aln: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
     """The same with one row per column: keys, pos (from 0), n and a count per letter."""
     return count_matrix(aln, keys).select(*keys, F.posexplode("cols").alias("pos", "c")).select(*keys, "pos", "c.*")

@@ -75,7 +75,7 @@ def run_sweep(reads: DataFrame, sheet: DataFrame, combos: DataFrame, path: str,
         same = (combo.demultiplexed, cp.plen, cp.window, cp.reads_used)
         if held.get("same") != same:
             own = _reads(reads, sheet, path, combo.demultiplexed, rp)
-            aln = cut(C.align_to_template(C.subset_by_length(own, cp.plen, cp.window, cp.reads_used[0])))
+            aln = cut(C.align_packed(C.subset_by_length(own, cp.plen, cp.window, cp.reads_used[0])))
             held = {"same": same, "aln": aln, "counts": count_levels(aln, cp), "coverage": cut(R.sample_coverage(own))}
         called = call_levels(held["aln"], held["coverage"], cp, codes, held["counts"])
         out = held["coverage"].withColumnRenamed("reads", "coverage").join(called, "sample", "left").withColumn("status", F.coalesce("status", F.lit("NA")))
