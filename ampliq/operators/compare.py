@@ -99,8 +99,8 @@ def compare_sequences(a, b, ignore_ends: bool = False) -> Column:
 
 
 def distinct_pairs(df: DataFrame, ignore_ends: bool = False) -> DataFrame:
-    """Verdict on each unordered pair of distinct sequences of an id."""
-    seqs = df.select("id", "seq").distinct()
+    """Verdict on each unordered pair of distinct sequences of an id. One shuffle by id serves both sides."""
+    seqs = df.select("id", "seq").repartition("id").distinct()
     both = seqs.join(seqs.withColumnRenamed("seq", "seq_b"), "id").filter("seq < seq_b")
     return balance(both).withColumn("v", compare_sequences("seq", "seq_b", ignore_ends)).select("id", "seq", "seq_b", "v.*")
 
@@ -162,9 +162,12 @@ def variant_groups(df: DataFrame, ignore_ends: bool = False, pairs: DataFrame |
 
 
 def _components(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    pairs = pairs.filter("state = 'identical'").select("id", "seq", "seq_b")
-    edges = cut(pairs.unionByName(pairs.select("id", F.col("seq_b").alias("seq"), F.col("seq").alias("seq_b"))))
-    labels = cut(df.select("id", "seq").distinct().withColumn("_k", F.col("seq")))
+    """Add ``_k``, the same for all records of an id that such pairs link. Sequences meet by their digests, so none is stored or moved."""
+    named = df.select("id", "run", _digest("seq"))
+    links = pairs.filter("state = 'identical'").select("id", _digest("seq"), _digest("seq_b"))
+    edges = cut(links.unionByName(links.select("id", F.col("seq_b").alias("seq"), F.col("seq").alias("seq_b"))))
+    named = cut(named)
+    labels = cut(named.select("id", "seq").distinct().withColumn("_k", F.col("seq")))
     while True:
         near = edges.join(labels.select("id", F.col("seq").alias("seq_b"), F.col("_k").alias("_n")), ["id", "seq_b"])
         low = near.groupBy("id", "seq").agg(F.min("_n").alias("_n"))
@@ -173,7 +176,11 @@ def _components(df: DataFrame, pairs: DataFrame) -> DataFrame:
         if step.filter("_k <> _old").isEmpty():
             break
         labels = step.drop("_old")
-    return df.join(labels, ["id", "seq"])
+    return named.join(labels, ["id", "seq"])
+
+
+def _digest(name: str) -> Column:
+    return F.unhex(F.sha2(name, 256)).alias(name)
 
 
 def compare_report(df: DataFrame, runs: Sequence, ignore_ends: bool = False) -> DataFrame:

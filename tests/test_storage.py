@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ampliq.functions import packs
-from ampliq.operators import consensus
+from ampliq.operators import compare, consensus
 from ampliq.operators.counts import columns_of, count_matrix, count_sums
 from ampliq.operators.packing import PACKED, pack_reads, unpack_reads
 
@@ -55,3 +55,14 @@ def test_reads_packed_in_parts(spark):
     packed = pack_reads(df.coalesce(1)).withColumn("more", F.array(F.lit(1), F.lit(2)))
     back = unpack_reads(packed).collect()
     assert sorted([(r.sample, r.read_id, r.aln) for r in back], key=str) == sorted(rows, key=str) and {tuple(r.more) for r in back} == {(1, 2)}
+
+
+def test_variant_groups_store_no_sequences(spark, monkeypatch):
+    """Groups of variants are found by digests: no sequence is stored."""
+    kept, cut = [], compare.cut
+    monkeypatch.setattr(compare, "cut", lambda df: kept.append(df) or cut(df))
+    rows = [(1, "a", "ACGTACGT"), (2, "a", "GTAC"), (3, "a", "TTTTTTTT"), (1, "b", "ACGT"), (2, "b", "ACGT")]
+    df = spark.createDataFrame(rows, "run int, id string, seq string")
+    got = {(r.id, r.run): r.variant for r in compare.variant_groups(df, ignore_ends=True).collect()}
+    assert got == {("a", 1): 1, ("a", 2): 1, ("a", 3): 2, ("b", 1): 1, ("b", 2): 1}
+    assert kept and not any(kind == "string" for df in kept for name, kind in df.dtypes if name not in ("id", "run"))
