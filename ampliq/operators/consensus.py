@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from ..functions.iupac import divergence, edit_iupac
 from ..functions.packs import runs_of, squeeze_texts
 from ..functions.seq import count_char, gaps_apart, orf_trim, ungap
 from ..session import balance, cut, deal
-from .counts import LETTERS, count_matrix
+from .counts import count_sums, second_bases, with_calls
 from .packing import PACKED, pack_reads, packed_type, unpack_reads
 from .ordering import top_n_per
 
@@ -27,32 +26,20 @@ PIECE = 1 << 22
 # -- columns and calls ---------------------------------------------------------------------
 
 
-def call(column: Column, threshold, strict: bool = False) -> Column:
-    """Base call of a column (a struct of counts): the letters above the threshold share; gaps give way when another letter is left."""
-    over = F.array_compact(F.array(*[F.when(column[f"n_{name}"] / column["n"] > threshold, b) for b, name in LETTERS.items()]))
-    solid = F.array_remove(over, "-")
-    many = F.lit("N") if strict else F.when(F.size(solid) == 1, F.get(solid, F.lit(0))).otherwise("N")
-    out = F.when(F.size(over) == 0, "N").when(F.size(over) == 1, F.get(over, F.lit(0))).otherwise(many)
-    # Most columns have one letter only.
-    for b, name in LETTERS.items() if threshold < 1 else ():
-        out = F.when(column[f"n_{name}"] == column["n"], b).otherwise(out)
-    return out
-
-
-def called(threshold, strict: bool = False) -> Column:
-    """The aligned consensus of a row's columns."""
-    return F.array_join(F.transform("cols", lambda c: call(c, threshold, strict)), "")
-
-
 def consensus(aln: DataFrame, threshold: float = 0.3, min_reads: int = 5, strict: bool = False, keys: Sequence[str] = ("sample",)) -> DataFrame:
     """Column-majority consensus per key; NULL below ``min_reads``."""
-    return call_columns(count_matrix(aln, keys), threshold, min_reads, strict)
+    return call_columns(count_sums(aln, keys), threshold, min_reads, strict)
 
 
 def call_columns(matrix: DataFrame, threshold: float, min_reads: int, strict: bool = False) -> DataFrame:
     """Consensus from counts made before; no row moves."""
-    aligned = F.when(F.col("reads") >= min_reads, called(threshold, strict))
-    return matrix.withColumn("aligned", aligned).drop("cols").withColumn("seq", ungap("aligned"))
+    return first_call(with_calls(matrix, [threshold], strict), min_reads).drop("calls")
+
+
+def first_call(rows: DataFrame, min_reads: int) -> DataFrame:
+    """Add the first of the ``calls``, aligned and without gaps; NULL below ``min_reads``."""
+    aligned = F.when(F.col("reads") >= min_reads, F.get("calls", F.lit(0)))
+    return rows.withColumn("aligned", aligned).withColumn("seq", ungap("aligned"))
 
 
 def sweep_steps(low: float, high: float, step: float, fixed: float) -> list[float]:
@@ -77,17 +64,18 @@ def passes_qc(seq: Column, code: int | Column, plen: int, tol: int) -> Column:
     return coding if isinstance(code, int) else F.when(code == 0, free).otherwise(coding)
 
 
-def with_swept(matrix: DataFrame, thresholds: Sequence[float], code: int | Column, plen: int, tol: int) -> DataFrame:
-    """Add ``swept``: the sequence of a row of 5 reads and more when all passing thresholds agree on exactly one, else null."""
-    tried = F.array_distinct(F.array(*[ungap(called(t)) for t in thresholds])) if thresholds else F.array().cast("array<string>")
+def with_swept(rows: DataFrame, calls: Column, code: int | Column, plen: int, tol: int) -> DataFrame:
+    """Add ``swept``: the sequence of a row of 5 reads and more when all passing ones of its aligned ``calls`` agree on exactly one, else null."""
+    tried = F.array_distinct(F.transform(calls, ungap))
     passed = F.array_distinct(F.transform(F.filter(F.transform("_t", lambda s: passes_qc(s, code, plen, tol)), lambda q: q["ok"]), lambda q: q["seq"]))
-    rows = matrix.withColumn("_t", F.when(F.col("reads") >= 5, tried)).withColumn("_p", passed)
+    rows = rows.withColumn("_t", F.when(F.col("reads") >= 5, tried)).withColumn("_p", passed)
     return rows.withColumn("swept", F.when(F.size("_p") == 1, F.get("_p", F.lit(0)))).drop("_t", "_p")
 
 
 def consensus_sweep(matrix: DataFrame, thresholds: Sequence[float], code: int | Column, plen: int, tol: int) -> DataFrame:
     """Sequence of each sample when all passing thresholds agree on exactly one; every sample stays a row of its own."""
-    return with_swept(matrix.filter("reads >= 5"), thresholds, code, plen, tol).filter("swept is not null").select("sample", F.col("swept").alias("seq"))
+    rows = with_calls(matrix.filter("reads >= 5"), thresholds)
+    return with_swept(rows, F.col("calls"), code, plen, tol).filter("swept is not null").select("sample", F.col("swept").alias("seq"))
 
 
 # -- mixtures --------------------------------------------------------------------------------
@@ -95,13 +83,7 @@ def consensus_sweep(matrix: DataFrame, thresholds: Sequence[float], code: int |
 
 def polymorphic_columns(matrix: DataFrame, minor: float = 0.2) -> DataFrame:
     """Columns whose second base reaches ``minor`` of all reads, in samples with 4 reads and 2 such columns."""
-
-    def seen(c: Column, at: Column) -> Column:
-        second = F.get(F.sort_array(F.array(c["n_A"], c["n_C"], c["n_G"], c["n_T"]), asc=False), F.lit(1))
-        return F.struct(at.alias("pos"), second.alias("second"), c["n"].alias("n"))
-
-    good = F.filter(F.transform("cols", seen), lambda c: (c["n"] >= 4) & (c["second"] > 0) & (c["second"] / c["n"] >= minor))
-    return matrix.withColumn("_g", good).filter(F.size("_g") >= 2).select("sample", F.inline("_g"))
+    return second_bases(matrix, minor)
 
 
 def _signature() -> Column:
@@ -109,15 +91,15 @@ def _signature() -> Column:
     return F.array_join(F.transform("_p", lambda p: F.substr(F.upper("aln"), p + 1, F.lit(1))), "")
 
 
-def _cluster(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    """Greedy clusters of one sample's distinct signatures with their read counts."""
-    pdf = pdf.sort_values(["n", "sig"], ascending=[False, True], ignore_index=True)
-    letters = np.array([list(s.encode()) for s in pdf["sig"]], dtype=np.uint8)
-    weight = pdf["n"].to_numpy()
+def _cluster(found: list[tuple[str, int]], tolerance: float) -> list[tuple[str, int, int]]:
+    """Greedy clusters (sig, cluster, n) of one sample's distinct signatures with their read counts."""
+    found = sorted(found, key=lambda f: (-f[1], f[0]))
+    letters = np.array([list(sig.encode()) for sig, _ in found], dtype=np.uint8)
+    weight = np.array([n for _, n in found])
     wild = np.array([ord("-"), ord("N")], dtype=np.uint8)
     reach = int(round(max(0.0, tolerance) * letters.shape[1]))
-    free = np.ones(len(pdf), dtype=bool)
-    label = np.full(len(pdf), -1)
+    free = np.ones(len(found), dtype=bool)
+    label = np.full(len(found), -1)
 
     def near(center: np.ndarray) -> np.ndarray:
         differs = (letters != center) & ~np.isin(letters, wild) & ~np.isin(center, wild)
@@ -131,7 +113,7 @@ def _cluster(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
             center[share > 0.5] = ch
         return center
 
-    for seed in range(len(pdf)):
+    for seed in range(len(found)):
         if not free[seed]:
             continue
         members = near(letters[seed])
@@ -139,7 +121,35 @@ def _cluster(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
         more = near(majority(members))
         free &= ~more
         label[members | more] = seed
-    return pd.DataFrame({"sample": pdf["sample"], "sig": pdf["sig"], "cluster": label, "n": weight})
+    return [(sig, int(k), n) for (sig, n), k in zip(found, label)]
+
+
+def _clustering(tolerance: float):
+    """``_cluster`` for the rows (sample, sig, n) of each sample, which come one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+
+        def told(batches):
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field("sample").type
+                yield batch
+
+        def given(rows: list) -> pa.RecordBatch:
+            types = (("sample", kind), ("sig", pa.string()), ("cluster", pa.int32()), ("n", pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], [name for name, _ in types])
+
+        rows: list = []
+        for sample, own in runs_of(told(batches)):
+            rows += [(sample, *found) for found in _cluster([(sig, n) for _, sig, n in own], tolerance)]
+            if len(rows) > 10_000:
+                yield given(rows)
+                rows = []
+        if rows:
+            yield given(rows)
+
+    return run
 
 
 def haplotypes(
@@ -154,14 +164,13 @@ def haplotypes(
     greedy walk.
     """
     packs = aln if PACKED in aln.columns else pack_reads(aln.select("sample", "aln"))
-    poly = cut(polymorphic_columns(count_matrix(unpack_reads(packs)) if matrix is None else matrix, minor))
+    poly = cut(polymorphic_columns(count_sums(unpack_reads(packs)) if matrix is None else matrix, minor))
     spots = poly.groupBy("sample").agg(F.array_sort(F.collect_list("pos")).alias("_p"))
     placed = packs.select("sample", PACKED).join(spots, "sample")
     distinct = unpack_reads(placed).select("sample", _signature().alias("sig")).groupBy("sample", "sig").agg(F.count(F.lit(1)).alias("n"))
     sample_type = dict(aln.dtypes)["sample"]
-    labels = cut(distinct.groupBy("sample").applyInPandas(
-        lambda pdf: _cluster(pdf, tolerance), f"sample {sample_type}, sig string, cluster int, n long"
-    ))
+    labels = distinct.repartition("sample").sortWithinPartitions("sample").select("sample", "sig", "n")
+    labels = cut(labels.mapInArrow(_clustering(tolerance), f"sample {sample_type}, sig string, cluster int, n long"))
     # A sample's signatures are no more than its reads.
     known = labels.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("sig", "cluster"))).alias("_k"))
     members = unpack_reads(placed.join(known, "sample")).select("sample", F.element_at("_k", _signature()).alias("cluster"), "aln")

@@ -144,24 +144,98 @@ def count_sums(aln: DataFrame, keys: Sequence[str] = ("sample",), rank: str | No
     return (met.sortWithinPartitions(*keys) if keys else met).mapInArrow(_summing(keys, levels), out)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows of ``count_sums`` with their matrices, some at a time."""
+    for batch in batches:
+        low, held, size = 0, [], 0
+        for k, raw in enumerate(batch.column("counts")):
+            held.append(stretch_counts(raw.as_py(), _KINDS).reshape(-1, _KINDS))
+            size += held[-1].size
+            if size > BLOCK or k + 1 == batch.num_rows:
+                yield batch.slice(low, k + 1 - low), held
+                low, held, size = k + 1, [], 0
+
+
 def columns_of(sums: DataFrame) -> DataFrame:
     """The matrices of ``count_sums`` with ``cols`` for their bytes; other columns stay."""
     rest = [f for f in sums.schema.fields if f.name != "counts"]
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, held, size = 0, [], 0
-            for k, raw in enumerate(batch.column("counts")):
-                held.append(stretch_counts(raw.as_py(), _KINDS))
-                size += len(held[-1])
-                if size > BLOCK or k + 1 == batch.num_rows:
-                    own = [batch.column(f.name).slice(low, k + 1 - low) for f in rest]
-                    yield pa.RecordBatch.from_arrays([*own, _columns(held)], [*(f.name for f in rest), "cols"])
-                    low, held, size = k + 1, [], 0
+        for part, held in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), _columns([m.reshape(-1) for m in held])], [*(f.name for f in rest), "cols"])
 
     return sums.mapInArrow(unfold, T.StructType([*rest, T.StructField("cols", T.ArrayType(COLUMN, False))]))
 
 
+def sums_of(matrix: DataFrame) -> DataFrame:
+    """``columns_of`` undone; what holds bytes already stays as it is."""
+    if "counts" in matrix.columns:
+        return matrix
+    rest = [f for f in matrix.schema.fields if f.name != "cols"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = []
+            for cols in batch.column("cols"):
+                n, *named = (cols.values.field(k).to_numpy(zero_copy_only=False) for k in range(_KINDS))
+                raw.append(squeeze_counts(np.stack([*named, n - sum(named)], axis=1).reshape(-1), _KINDS))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(raw, pa.binary())], [*(f.name for f in rest), "counts"])
+
+    return matrix.mapInArrow(fold, T.StructType([*rest, T.StructField("counts", T.BinaryType())]))
+
+
+def with_calls(matrix: DataFrame, thresholds: Sequence[float], strict: bool = False) -> DataFrame:
+    """The rows with ``calls`` for their counts: the aligned consensus at each threshold.
+
+    A column's letter is the one above the threshold share; gaps give way when
+    another letter is left, unless ``strict``. Columns of many rows are called together.
+    """
+    sums = sums_of(matrix)
+    rest = [f for f in sums.schema.fields if f.name != "counts"]
+    letters, gap, unclear = np.frombuffer("".join(LETTERS).encode(), np.uint8), list(LETTERS).index("-"), ord("N")
+    thresholds = [float(t) for t in thresholds]
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in _blocks(batches):
+            at = np.cumsum([0, *map(len, held)])
+            counts = np.concatenate(held)
+            share = counts[:, : len(letters)] / np.maximum(counts.sum(axis=1), 1)[:, None]
+            texts = []
+            for t in thresholds:
+                over = share > t
+                n, first = over.sum(axis=1), letters[over.argmax(axis=1)]
+                many = np.full(len(first), unclear, np.uint8)
+                if not strict:
+                    solid = over.copy()
+                    solid[:, gap] = False
+                    many = np.where(solid.sum(axis=1) == 1, letters[solid.argmax(axis=1)], many)
+                out = np.where(n == 1, first, np.where(n == 0, unclear, many)).astype(np.uint8).tobytes().decode()
+                texts.append([out[a:b] for a, b in zip(at[:-1], at[1:])])
+            calls = pa.array([list(own) for own in zip(*texts)] if texts else [[] for _ in held], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), calls], [*(f.name for f in rest), "calls"])
+
+    return sums.mapInArrow(call, T.StructType([*rest, T.StructField("calls", T.ArrayType(T.StringType()))]))
+
+
+def second_bases(matrix: DataFrame, minor: float) -> DataFrame:
+    """(sample, pos, second, n): columns of 4 reads and more whose second base reaches ``minor`` of them, in samples with 2 such columns."""
+    sums = sums_of(matrix).select("sample", "counts")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in _blocks(batches):
+            counts, size = np.concatenate(held), np.array([len(m) for m in held])
+            at = np.repeat(np.cumsum(size) - size, size)
+            owner, n = np.repeat(np.arange(len(held)), size), counts.sum(axis=1)
+            second = np.sort(counts[:, :4], axis=1)[:, 2]
+            good = np.flatnonzero((n >= 4) & (second > 0) & (second / np.maximum(n, 1) >= minor))
+            good = good[np.bincount(owner[good], minlength=len(held))[owner[good]] >= 2]
+            own = [part.column("sample").take(pa.array(owner[good])), pa.array((good - at[good]).astype(np.int32)), pa.array(second[good]), pa.array(n[good])]
+            yield pa.RecordBatch.from_arrays(own, ["sample", "pos", "second", "n"])
+
+    kinds = [T.StructField(name, kind) for name, kind in (("pos", T.IntegerType()), ("second", T.LongType()), ("n", T.LongType()))]
+    return sums.mapInArrow(find, T.StructType([sums.schema["sample"], *kinds]))
+
+
 def count_matrix(aln: DataFrame, keys: Sequence[str] = ("sample",), rank: str | None = None, levels: Sequence[int] = ()) -> DataFrame:
     """(keys, reads, cols): how often each letter stands in each alignment column (``aln``, plain letters), in column order.
 

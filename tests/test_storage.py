@@ -66,3 +66,29 @@ def test_variant_groups_store_no_sequences(spark, monkeypatch):
     got = {(r.id, r.run): r.variant for r in compare.variant_groups(df, ignore_ends=True).collect()}
     assert got == {("a", 1): 1, ("a", 2): 1, ("a", 3): 2, ("b", 1): 1, ("b", 2): 1}
     assert kept and not any(kind == "string" for df in kept for name, kind in df.dtypes if name not in ("id", "run"))
+
+
+def test_calls_by_the_rule(spark):
+    """Letters called as arrays follow the rule column by column, also from counts given as columns."""
+    rng = random.Random(3)
+    reads = [("s", k, "".join(rng.choice("AACG-NX") for _ in range(300))) for k in range(7)]
+    aln = spark.createDataFrame(reads, "sample string, read_id int, aln string")
+
+    def rule(column: str, t: float, strict: bool) -> str:
+        over = [b for b in "ACGT-N" if column.count(b) / len(column) > t]
+        solid = [b for b in over if b != "-"]
+        return over[0] if len(over) == 1 else "N" if not over or strict or len(solid) != 1 else solid[0]
+
+    for matrix in (count_sums(aln), count_matrix(aln)):
+        for t in (0.1, 0.3, 0.6):
+            for strict in (False, True):
+                want = "".join(rule("".join(r[2][i] for r in reads), t, strict) for i in range(300))
+                assert consensus.call_columns(matrix, t, 5, strict).first().aligned == want
+
+
+def test_mixtures_start_no_frame_for_a_sample(spark):
+    """Signatures of a sample are clustered as they pass, and aligned reads meet their places packed."""
+    rows = [(f"s{s}", k, ("ACGT" if k < 6 else "TCGA") * 5) for s in range(3) for k in range(10)]
+    found = consensus.haplotypes(spark.createDataFrame(rows, "sample string, read_id int, aln string"))
+    assert sorted((r.sample, r["rank"], r["size"], r.seq) for r in found.collect()) == sorted((f"s{s}", k, n, t * 5) for s in range(3) for k, n, t in ((1, 6, "ACGT"), (2, 4, "TCGA")))
+    assert not hasattr(consensus, "pd")
