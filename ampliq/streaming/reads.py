@@ -96,28 +96,22 @@ class ClosestReads(StatefulProcessor):
         self.plen, self.window, self.n = plen, window, n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "n long")
-        self.lengths = handle.getMapState("lengths", "bin int", "n long")
-        self.kept = handle.getListState("kept", "dev int, read_id string, digest string, seq string")
+        # One value: each call to the state goes to Spark and back.
+        self.state = handle.getValueState("reads", "bins array<int>, counts array<long>, kept array<struct<dev: int, read_id: string, digest: string, seq: string>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = list(self.kept.get())
-        total = self.total.get()[0] if self.total.exists() else 0
-        new: Counter = Counter()
+        before = self.state.get()
+        lengths, kept = (Counter(dict(zip(before[0], before[1]))), list(map(tuple, before[2]))) if before else (Counter(), [])
         for part in rows:
-            total += len(part)
             for read_id, seq in zip(part["read_id"], part["seq"]):
-                new[len(seq) // 10] += 1
+                lengths[len(seq) // 10] += 1
                 dev = abs(len(seq) - self.plen)
                 if dev <= self.window:
                     kept.append((dev, read_id, md5(seq.encode()).hexdigest(), seq))
-            kept = sorted(map(tuple, kept))[: self.n]
-        for at, n in new.items():
-            self.lengths.updateValue((at,), ((self.lengths.getValue((at,))[0] if self.lengths.containsKey((at,)) else 0) + n,))
-        self.total.update((total,))
-        if kept:
-            self.kept.put(kept)
-        bins = sorted((k[0], v[0]) for k, v in self.lengths.iterator())
+            kept = sorted(kept)[: self.n]
+        total = sum(lengths.values())
+        bins = sorted(lengths.items())
+        self.state.update(([b for b, _ in bins], [n for _, n in bins], kept))
         # A sample without a read of fitting length is still told of, once.
         rows_out = [(i + 1, r[1], r[3]) for i, r in enumerate(kept)] or [(0, None, None)]
         yield pd.DataFrame(

@@ -92,3 +92,32 @@ def test_mixtures_start_no_frame_for_a_sample(spark):
     found = consensus.haplotypes(spark.createDataFrame(rows, "sample string, read_id int, aln string"))
     assert sorted((r.sample, r["rank"], r["size"], r.seq) for r in found.collect()) == sorted((f"s{s}", k, n, t * 5) for s in range(3) for k, n, t in ((1, 6, "ACGT"), (2, 4, "TCGA")))
     assert not hasattr(consensus, "pd")
+
+
+def test_state_of_a_sample_is_read_and_written_once():
+    import pandas as pd
+
+    from ampliq.streaming.reads import ClosestReads
+
+    class Handle:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    handle, step = Handle(), ClosestReads(20, 5, 2)
+    step.init(handle)
+    rows = [("r1", "A" * 20), ("r2", "A" * 23), ("r3", "A" * 41), ("r4", "A" * 21)]
+    for part in (rows[:2], rows[2:]):
+        out = next(iter(step.handleInputRows(("s",), iter([pd.DataFrame(part, columns=["read_id", "seq"])]), None)))
+    assert handle.calls == 4
+    assert out["read_id"].tolist() == ["r1", "r4"] and out["total"].tolist() == [4, 4] and out["bins"][0] == [2, 4] and out["counts"][0] == [3, 1]
